@@ -38,13 +38,12 @@ def enough(common, n, m, percent: int):
 
 
 def prefix(s: np.ndarray, order: int, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set in a global order: rare before frequent by the sketch, then by the order's own hash."""
+    """The first tokens of a set in a global order, in that order: rare before frequent by the sketch, then by a hash."""
     n = len(s)
     k = n - -(-percent * n // 100) + 1
-    if k >= n:
-        return s
     key = np.minimum(mix(s, order) >> np.uint64(6), np.uint64((1 << 58) - 1)) | (sketch[(s >> np.uint64(20)) & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(58))
-    return s[np.argpartition(key, k - 1)[:k]]
+    head = np.argpartition(key, k - 1)[:k] if k < n else np.arange(n)
+    return s[head[np.argsort(key[head])]]
 
 
 def _signatures(width: int):
@@ -97,6 +96,7 @@ def _emit(width: int, percent: int, buckets: int, sketch):
                     continue
                 token = np.concatenate([p for _, p in known.values()])
                 own = np.repeat(np.arange(len(known), dtype=np.uint16), [len(p) for _, p in known.values()])
+                place = np.concatenate([np.minimum(np.arange(len(p)), 65535) for _, p in known.values()]).astype("<u2")
                 bucket = (token % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -105,8 +105,8 @@ def _emit(width: int, percent: int, buckets: int, sketch):
                 for b in np.flatnonzero(np.diff(cuts)):
                     at = order[cuts[b] : cuts[b + 1]]
                     used, local = np.unique(own[at], return_inverse=True)
-                    rows.append((int(b), token[at].tobytes(), local.astype("<u2").tobytes(), cls[used].tobytes(), n[used].tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "tokens", "own", "cls", "n"])
+                    rows.append((int(b), token[at].tobytes(), local.astype("<u2").tobytes(), place[at].tobytes(), cls[used].tobytes(), n[used].tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "tokens", "own", "place", "cls", "n"])
 
     return run
 
@@ -115,25 +115,26 @@ def _meet(percent: int):
     """(token, cls, n) of the tokens that two classes or more have in their prefixes; a task holds whole buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token, cls, n = [], [], []
+        token, cls, n, place = [], [], [], []
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 own = np.frombuffer(r.own, "<u2")
                 token.append(np.frombuffer(r.tokens, "<u8"))
                 cls.append(np.frombuffer(r.cls, "<i8")[own])
                 n.append(np.frombuffer(r.n, "<u4")[own])
+                place.append(np.frombuffer(r.place, "<u2"))
         if not token:
             return
-        token, cls, n = np.concatenate(token), np.concatenate(cls), np.concatenate(n)
+        token, cls, n, place = (np.concatenate(x) for x in (token, cls, n, place))
         order = np.lexsort((cls, token))
-        token, cls, n = token[order], cls[order], n[order].astype(np.int64)
+        token, cls, n, place = token[order], cls[order], n[order].astype(np.int64), place[order].astype(np.int64)
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-        token, cls, n = token[new], cls[new], n[new]
+        token, cls, n, place = token[new], cls[new], n[new], place[new]
         same = token[1:] == token[:-1]
         keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        token, cls, n = token[keep], cls[keep], n[keep]
+        token, cls, n, place = token[keep], cls[keep], n[keep], place[keep]
         for i in range(0, len(token), 100_000):
-            yield pd.DataFrame({"token": token[i : i + 100_000].view("<i8"), "cls": cls[i : i + 100_000], "n": n[i : i + 100_000]})
+            yield pd.DataFrame({"token": token[i : i + 100_000].view("<i8"), "cls": cls[i : i + 100_000], "n": n[i : i + 100_000], "place": place[i : i + 100_000]})
 
     return run
 
@@ -206,16 +207,22 @@ def _across(percent: int, reach: int | None):
     """Pairs of a bucket that lie in different components, from rows sorted by token and size: all, or those of rows that
     stand at most `reach` apart."""
 
-    def long_run(cls: np.ndarray, comp: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def may(n, m, n_rest, m_rest):
+        """Can the sets link if this is their first common token?  At most what stands from it on is common; for any later
+        common token less does, so a pair that links passes at its first one."""
+        return np.minimum(n_rest, m_rest) * (100 + percent) >= percent * (n + m)
+
+    def long_run(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
         for i in np.argsort(size, kind="stable"):  # classes of the smaller components against all later ones
             later = (size[which] > size[i]) | ((size[which] == size[i]) & (which > i))
             for j in np.flatnonzero(which == i):
-                got = cls[later & (np.minimum(n, n[j]) * 100 >= np.maximum(n, n[j]) * percent)]
+                got = cls[later & may(n, n[j], rest, rest[j])]
                 yield np.full(len(got), cls[j]), got
 
     def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token, cls, comp, n = (pdf[c].to_numpy() for c in ("token", "cls", "comp", "n"))
+        token, cls, comp, n, place = (pdf[c].to_numpy() for c in ("token", "cls", "comp", "n", "place"))
+        rest = n - place
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         length = np.diff(np.append(start, len(token)))
         out = []
@@ -225,10 +232,10 @@ def _across(percent: int, reach: int | None):
         for k in range(1, min(int(length[loop].max(initial=0)), (reach or _LONG) + 1)):
             a = np.flatnonzero(short & (left > k))
             b = a + k
-            ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+            ok = (comp[a] != comp[b]) & may(n[a], n[b], rest[a], rest[b])
             out.append((cls[a[ok]], cls[b[ok]]))
         for s, c in zip(start[~loop], length[~loop], strict=True):
-            out += long_run(cls[s : s + c], comp[s : s + c], n[s : s + c])
+            out += long_run(cls[s : s + c], comp[s : s + c], n[s : s + c], rest[s : s + c])
         if out:
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pd.DataFrame({"pivot": np.minimum(a, b), "member": np.maximum(a, b)}).drop_duplicates()
@@ -272,8 +279,8 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     sketch = spark.sparkContext.broadcast(sketch_of(signatures))  # SKETCH bytes
     members = signatures.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls")
 
-    blobs = docs.where("text IS NOT NULL").mapInPandas(_emit(width, percent, n_parts, sketch), "bucket int, tokens binary, own binary, cls binary, n binary")
-    shared = written(blobs.repartition(n_parts, "bucket").mapInPandas(_meet(percent), "token long, cls long, n long"), "prefixes")
+    blobs = docs.where("text IS NOT NULL").mapInPandas(_emit(width, percent, n_parts, sketch), "bucket int, tokens binary, own binary, place binary, cls binary, n binary")
+    shared = written(blobs.repartition(n_parts, "bucket").mapInPandas(_meet(percent), "token long, cls long, n long, place long"), "prefixes")
     ids = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(shared.select("cls").distinct(), "cls", "left_semi").select("doc_id")
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
     bits = ids.select(F.shiftright(spot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -290,7 +297,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     links = written(_verified(tried, held, percent, sketch), "links")
     merged = components(links)
     for reach in (2, 8, None):  # two waves of neighbours by size merge loose groups of copies; then whatever is still apart
-        rest = _open(shared, merged).select("token", "cls", "comp", "n").repartition(n_parts, "token").sortWithinPartitions("token", "n", "cls")
+        rest = _open(shared, merged).select("token", "cls", "comp", "n", "place").repartition(n_parts, "token").sortWithinPartitions("token", "n", "cls")
         cross = rest.mapInPandas(_across(percent, reach), "pivot long, member long").distinct()
         cross = cross.join(tried.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member")), ["pivot", "member"], "left_anti")
         cross = written(cross, "cross")
