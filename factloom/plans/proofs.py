@@ -2,12 +2,256 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from factloom.functions import columns as C
+from factloom.operators import diff, evidence, graph, logs, rules
+from factloom.sources.tables import table
 
+FLAGSHIP = "term_score"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+TERMS = ["widgets", "cold bolt", "econ", "brass"]
+NOW = "2024-03-01 00:00:00"
 
-def oracle_sql():
-    return {}
+
+def _proof(sql: str):
+    def add(f):
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _part_facts(spark, d) -> DataFrame:
+    signals = "stack(3, 'name', 10, p_name, 'type', 6, p_type, 'brand', 5, p_brand) AS (signal, weight, value)"
+    return table(spark, d, "part").selectExpr("p_brand AS module", "p_partkey AS ordinal", signals)
+
+
+_TOK = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+_MATCHED = f"""f AS (SELECT p_brand AS module, p_partkey AS ordinal, u.signal, u.weight, u.value FROM part,
+  LATERAL (VALUES ('name', 10, p_name), ('type', 6, p_type), ('brand', 5, p_brand)) AS u(signal, weight, value)),
+t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS))}) AS v(term_ordinal, term)),
+h AS (SELECT f.*, {_TOK.format('value')} AS a FROM f), w AS (SELECT t.*, {_TOK.format('term')} AS b FROM t),
+m AS (SELECT h.*, w.term, w.term_ordinal FROM h, w WHERE len(list_filter(range(0, greatest(0, len(a) - len(b) + 1)), lambda s:
+  len(list_filter(range(1, len(b) + 1), lambda i: starts_with(a[s + i], b[i]) OR starts_with(b[i], a[s + i]))) = len(b))) > 0),
+k AS (SELECT *, count(*) OVER (PARTITION BY module, signal) AS n, row_number() OVER (PARTITION BY module, signal ORDER BY ordinal, term_ordinal) AS r FROM m)"""
+
+
+@_proof(f"""WITH {_MATCHED}, g AS (SELECT module, CAST(sum(weight) AS BIGINT) AS score,
+  coalesce(string_agg(DISTINCT CASE WHEN n > 5 THEN signal END, ',' ORDER BY CASE WHEN n > 5 THEN signal END), '') AS capped FROM k WHERE r <= 5 GROUP BY module)
+SELECT *, CASE WHEN score >= 10 THEN 'collision' WHEN score > 0 THEN 'adjacent' ELSE 'greenfield' END AS verdict FROM g""")
+def term_score(spark, d):
+    return evidence.scores(_part_facts(spark, d), TERMS)
+
+
+@_proof("SELECT p_brand AS module, count(*) AS parts, 'inventory' AS verdict FROM part GROUP BY 1")
+def inventory_mode(spark, d):
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("module")).agg(F.count("*").alias("parts"), F.lit("inventory").alias("verdict"))
+
+
+@_proof("""WITH u AS (SELECT 'priority' AS param, o_orderpriority AS value FROM orders UNION ALL SELECT 'status', o_orderstatus FROM orders),
+n AS (SELECT count(*) AS total FROM orders) SELECT param, value, count(*) AS records, any_value(total) AS total FROM u, n WHERE value IS NOT NULL GROUP BY 1, 2""")
+def value_frequency(spark, d):
+    orders = table(spark, d, "orders")
+    long = orders.selectExpr("stack(2, 'priority', o_orderpriority, 'status', o_orderstatus) AS (param, value)").where("value IS NOT NULL")
+    total = orders.agg(F.count("*").alias("total"))  # one row
+    return long.groupBy("param", "value").agg(F.count("*").alias("records")).join(F.broadcast(total))
+
+
+@_proof("""SELECT o_orderkey, count(l_linenumber) AS snapshots, max(l_shipdate) AS last FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY 1""")
+def handle_audit(spark, d):
+    lines = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("l_linenumber").alias("snapshots"), F.max("l_shipdate").alias("last"))
+    return table(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("snapshots", F.lit(0)).alias("snapshots"), "last")
+
+
+@_proof("""WITH a AS (SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY 1)
+SELECT count(*) AS handles, count(*) FILTER (n = 0) AS never, CAST(coalesce(sum(n), 0) AS BIGINT) AS snapshots FROM a""")
+def handle_audit_summary(spark, d):
+    return handle_audit(spark, d).agg(F.count("*").alias("handles"), F.count_if(F.col("snapshots") == 0).alias("never"), F.coalesce(F.sum("snapshots"), F.lit(0)).alias("snapshots"))
+
+
+@_proof("""WITH b AS (SELECT lower(p_name) AS name, min(p_partkey) AS other FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
+SELECT p_partkey, lower(p_name) AS name, other FROM part JOIN b ON lower(p_name) = name WHERE p_partkey % 2 = 0""")
+def collision_table(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    return diff.first_match(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), "name", "p_partkey").select("p_partkey", "name", F.col("other.p_partkey").alias("other"))
+
+
+@_proof("""SELECT 'references' AS relation, n_name AS child, r_name AS parent FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'referenced_by', r_name, n_name FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def fk_edges(spark, d):
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return both.selectExpr("'references' AS relation", "n_name AS child", "r_name AS parent").unionByName(both.selectExpr("'referenced_by' AS relation", "r_name AS child", "n_name AS parent"))
+
+
+@_proof("""WITH a AS (SELECT DISTINCT lower(p_name || p_size) AS name FROM part WHERE p_partkey % 3 = 0), b AS (SELECT DISTINCT lower(p_name || p_size) AS name FROM part WHERE p_partkey % 3 = 1)
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'missing-live' ELSE 'missing-declared' END AS status FROM a FULL JOIN b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL""")
+def plane_drift(spark, d):
+    part = table(spark, d, "part").withColumn("name", F.concat("p_name", F.col("p_size").cast("string")))
+    return diff.table_drift(part.where("p_partkey % 3 = 0"), part.where("p_partkey % 3 = 1"))
+
+
+@_proof("""WITH n AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1)
+SELECT s_suppkey, s_nationkey AS k, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status FROM supplier LEFT JOIN n ON k = s_nationkey""")
+def binding_status(spark, d):
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", "s_nationkey AS k")
+    return diff.cardinality(rows, table(spark, d, "customer").where("c_custkey % 7 = 0").selectExpr("c_nationkey AS k"), "k")
+
+
+@_proof("""WITH a AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
+CASE WHEN a.o_orderkey IS NULL OR b.o_orderkey IS NULL THEN '' ELSE 'o_orderstatus' END AS attr
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus""")
+def surface_diff(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    after = orders.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END"))
+    return diff.keyed(orders.where("o_orderkey % 5 <> 0"), after, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@_proof("""SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey) AS orders FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1""")
+def impact_outbound(spark, d):
+    changed = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    hit = table(spark, d, "customer").join(changed, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("n").alias("orders"))
+    return table(spark, d, "nation").join(hit, F.col("n_nationkey") == F.col("c_nationkey")).select("n_name", "customers", "orders")
+
+
+_WAIVE = f"""e AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'never' WHEN event_id % 4 = 2 THEN '2024-01-01 00:00:00' ELSE '2030-01-01 00:00:00' END AS expires FROM events)"""
+
+
+@_proof(f"""WITH {_WAIVE} SELECT event_id, coalesce(TRY_CAST(expires AS TIMESTAMP) <= TIMESTAMP '{NOW}', false) AS expired,
+CASE WHEN event_type = 'click' THEN coalesce(TRY_CAST(expires AS TIMESTAMP) > TIMESTAMP '{NOW}', false) ELSE true END AS active FROM e""")
+def waiver_eval(spark, d):
+    e = table(spark, d, "events").withColumn("expires", F.expr("CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'never' WHEN event_id % 4 = 2 THEN '2024-01-01 00:00:00' ELSE '2030-01-01 00:00:00' END"))
+    now, mode = F.lit(NOW).cast("timestamp"), F.when(F.col("event_type") == "click", "waive").otherwise("migrate")
+    return e.select("event_id", C.waiver_expired(F.col("expires"), now).alias("expired"), C.disposition_active(mode, F.col("expires"), now).alias("active"))
+
+
+@_proof("""WITH f AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity > 45), w AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber = 7)
+SELECT *, 'open' AS state FROM (SELECT * FROM f EXCEPT SELECT * FROM w) UNION ALL SELECT *, 'waived' FROM (SELECT * FROM f INTERSECT SELECT * FROM w) UNION ALL SELECT *, 'stale' FROM (SELECT * FROM w EXCEPT SELECT * FROM f)""")
+def waiver_apply(spark, d):
+    rows, keys = table(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"]
+    found, given = rows.where("l_quantity > 45").select(*keys).distinct(), rows.where("l_linenumber = 7").select(*keys).distinct()
+    a, b, c = (x.withColumn("state", F.lit(s)) for x, s in zip(diff.waivers(found, given, keys), ("open", "waived", "stale"), strict=True))
+    return a.unionByName(b).unionByName(c)
+
+
+@_proof("SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'view' AND value > 50")
+def set_delta(spark, d):
+    e = table(spark, d, "events")
+    return diff.set_delta(e.where("event_type = 'view' AND value > 50").select("user_id"), e.where("event_type = 'purchase'").select("user_id"))
+
+
+@_proof("""SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def gate_latest(spark, d):
+    return logs.latest(table(spark, d, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_id")
+
+
+@_proof(f"""WITH l AS (SELECT user_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value > 20) WHERE r = 1)
+SELECT c_custkey, CASE WHEN ts IS NULL THEN 'not_run' WHEN event_type = 'click' THEN 'awaiting' WHEN event_type = 'purchase' THEN 'revoked'
+WHEN greatest(0, floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(ts))) > 86400 * 30 THEN 'stale' ELSE 'pass' END AS status FROM customer LEFT JOIN l ON user_id = c_custkey""")
+def gate_eval(spark, d):
+    last = logs.latest(table(spark, d, "events").where("value > 20").select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_id")
+    event = F.when(F.col("event_type") == "click", "awaiting").when(F.col("event_type") == "purchase", "revoke").otherwise("pass")
+    joined = table(spark, d, "customer").select("c_custkey").join(last, F.col("c_custkey") == F.col("user_id"), "left")
+    return joined.select("c_custkey", logs.gate_status(F.lit(NOW).cast("timestamp"), F.col("ts"), event, 30 * 24 * 60).alias("status"))
+
+
+@_proof("""WITH h AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS digest FROM conversations), p AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'x' ELSE lag(digest) OVER (PARTITION BY conv_id ORDER BY turn) END AS prev FROM h)
+SELECT conv_id, turn, prev IS NOT DISTINCT FROM lag(digest) OVER w AS linked, coalesce(turn - lag(turn) OVER w = 1, true) AS contiguous FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def chain_verify(spark, d):
+    h = table(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    before = F.lag("digest").over(Window.partitionBy("conv_id").orderBy("turn"))
+    log = h.withColumn("prev", F.when(F.col("turn") % 5 == 4, "x").otherwise(before))
+    return logs.chain_breaks(log, "conv_id", "turn", "digest", "prev").select("conv_id", "turn", "linked", "contiguous")
+
+
+@_proof("""SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM orders) WHERE o_totalprice <= highest""")
+def fencing_faults(spark, d):
+    return logs.fencing_faults(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey", "o_totalprice")
+
+
+@_proof("""WITH r AS (SELECT *, lead(p_retailprice) OVER w AS second, row_number() OVER w AS r FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey))
+SELECT p_brand, p_partkey, p_retailprice, p_retailprice - second AS gap, coalesce(p_retailprice - second < 5, false) AS ambiguous FROM r WHERE r = 1""")
+def topk_gap(spark, d):
+    return evidence.score_gap(table(spark, d, "part"), "p_brand", "p_retailprice", "p_partkey", 5)
+
+
+@_proof("""SELECT source, doc_id, n_chars, used FROM (SELECT source, doc_id, n_chars, CAST(sum(CASE WHEN n_chars <= 5000 THEN n_chars ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS used FROM documents) WHERE n_chars <= 5000 AND used <= 40000""")
+def prefix_budget(spark, d):
+    return logs.prefix_budget(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 40000, 5000)
+
+
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 97 AS dst FROM lineitem WHERE l_suppkey % 97 <> l_partkey % 97 AND l_linenumber = 1 AND l_suppkey < 97)"
+
+
+def _edges(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_suppkey % 97 <> l_partkey % 97 AND l_linenumber = 1 AND l_suppkey < 97").selectExpr("l_suppkey AS src", "l_partkey % 97 AS dst").distinct()
+
+
+@_proof(f"""WITH RECURSIVE {_EDGES}, r(node, dist) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.dst, r.dist + 1 FROM r JOIN e ON e.src = r.node WHERE r.dist < 20)
+SELECT node, min(dist) AS dist FROM r GROUP BY 1""")
+def invalidation_closure(spark, d):
+    return graph.hops(_edges(spark, d), spark.range(1, 2).withColumnRenamed("id", "node"), 20)
+
+
+@_proof(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, dist) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT u.dst, r.dist + 1 FROM r JOIN u ON u.src = r.node WHERE r.dist < 2)
+SELECT min_dist AS ring, count(*) AS nodes FROM (SELECT node, min(dist) AS min_dist FROM r GROUP BY 1) GROUP BY 1""")
+def bfs_rings(spark, d):
+    return graph.hops(graph.undirected(_edges(spark, d)), spark.range(1, 2).withColumnRenamed("id", "node"), 2).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
+
+
+@_proof("""SELECT n_name, max(CASE WHEN c_mktsegment = 'BUILDING' THEN s END) AS building, max(CASE WHEN c_mktsegment = 'MACHINERY' THEN s END) AS machinery FROM (
+SELECT n_name, c_mktsegment, CASE WHEN bool_or(c_acctbal < 0) AND bool_or(c_acctbal >= 0) THEN 'conflict' WHEN bool_or(c_acctbal >= 0) THEN 'supported' ELSE 'unsupported' END AS s
+FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) GROUP BY 1""")
+def support_pivot(spark, d):
+    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    state = F.when(F.bool_or(F.col("c_acctbal") < 0) & F.bool_or(F.col("c_acctbal") >= 0), "conflict").when(F.bool_or(F.col("c_acctbal") >= 0), "supported").otherwise("unsupported")
+    return rows.groupBy("n_name").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).agg(state).select("n_name", *(F.col(a).alias(a.lower()) for a in ("BUILDING", "MACHINERY")))
+
+
+@_proof("""SELECT l_orderkey, l_linenumber, l_quantity % 2 = 0 AS even, l_discount <= 0.05 AS small, l_tax < l_discount AS below, l_returnflag IN ('A', 'N') AS known FROM lineitem""")
+def rules_check(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rules.field("l_quantity", "multipleOf", 2).alias("even"), rules.field("l_discount", "maximum", 0.05).alias("small"),
+                                              rules.cross("l_tax", "lt", "l_discount").alias("below"), rules.field("l_returnflag", "enum", ["A", "N"]).alias("known"))
+
+
+@_proof("""SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) / nullif(l_quantity - 1, 0) AS unit FROM lineitem""")
+def derived_cols(spark, d):
+    tree = ["div", ["mul", {"ref": "l_extendedprice"}, ["sub", {"const": 1}, {"ref": "l_discount"}]], ["sub", {"ref": "l_quantity"}, {"const": 1}]]
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rules.derived(tree).alias("unit"))
+
+
+@_proof("""SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END) = 2""")
+def promotable_keys(spark, d):
+    wanted = F.count_distinct(F.when(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus")))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(wanted.alias("n")).where("n = 2").select("o_custkey")
+
+
+@_proof("""SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1 AS duplicate FROM part""")
+def first_wins(spark, d):
+    return diff.first_wins(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
+
+
+@_proof("""SELECT event_type AS contract, count(*) AS receipts, count(*) FILTER (value > 50) AS matched, count(*) FILTER (NOT value > 50) AS stale, count(DISTINCT user_id) FILTER (value > 50) AS operations FROM events GROUP BY 1""")
+def receipt_conformance(spark, d):
+    hit = F.col("value") > 50
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("contract")).agg(F.count("*").alias("receipts"), F.count_if(hit).alias("matched"), F.count_if(~hit).alias("stale"), F.count_distinct(F.when(hit, F.col("user_id"))).alias("operations"))
+
+
+@_proof("""SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '["\\n\\r,-]') THEN '"' || replace(o_orderpriority, '"', '""') || '"' ELSE coalesce(o_orderpriority, '') END AS field FROM orders""")
+def csv_projection(spark, d):
+    c = F.col("o_orderpriority")
+    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return table(spark, d, "orders").select("o_orderkey", F.when(c.rlike('["\n\r,-]'), quoted).otherwise(F.coalesce(c, F.lit(""))).alias("field"))
