@@ -1,6 +1,6 @@
 """Removal of bytes covered by a 50-byte string that a document with a smaller id also holds, by suffix sorting.
 
-Windows of 50 bytes are dealt by content: a window's mark is the least hash of the 16-byte strings in it, so equal windows
+Windows of 50 bytes are dealt by content: a window's mark is the least hash of the 24-byte strings in it, so equal windows
 have equal marks, and neighbours mostly share theirs.  Marks of only one document need no sorting.  The stretches under the
 others are sorted, a task at a time, by deep-shallow suffix sorting: multikey passes over 8-byte words to a shallow depth,
 and a blind trie for the suffixes that still share their prefix there.
@@ -20,9 +20,10 @@ from .common import parts, reach_workers, written
 from .shingles import _power, mix
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 SHALLOW = 3  # words of 8 bytes
 _BATCH = 1024
+_FINE = 8  # buckets of stretches for each task, sorted one after another
 _BITS = 1 << 24
 NO_ID = (1 << 63) - 1
 
@@ -166,14 +167,11 @@ class BlindTrie:
 
 def equal_groups(buffer: bytes, at: np.ndarray, length: int, shallow: int = SHALLOW) -> np.ndarray:
     """A number for each suffix at these places: equal for equal first `length` bytes."""
-    raw = np.frombuffer(buffer + bytes(8), np.uint8)
+    raw = np.ndarray(max(0, len(buffer) - 7), dtype=">u8", buffer=buffer, strides=(1,)) if length >= 8 else None
     depth = max(0, min(shallow, length // 8))
 
     def word(k: int) -> np.ndarray:  # big-endian, so that numbers sort as bytes do
-        w = np.zeros(len(at), np.uint64)
-        for j in range(8):
-            w = w << np.uint64(8) | raw[at + (8 * k + j)]
-        return w
+        return raw[at + 8 * k].astype(np.uint64)
 
     words = [word(k) for k in range(depth)]
     order = np.lexsort(words[::-1]) if depth else np.arange(len(at))
@@ -184,8 +182,10 @@ def equal_groups(buffer: bytes, at: np.ndarray, length: int, shallow: int = SHAL
     # what is left of the suffixes against the first one of their group; most groups are one string
     head = at[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     differs = np.zeros(len(at), dtype=bool)
-    for j in range(8 * depth, length):
+    for j in sorted({*range(8 * depth, length - 7, 8), max(0, length - 8)}) if raw is not None else ():
         differs |= raw[at[order] + j] != raw[head + j]
+    if raw is None:
+        differs[:] = True
     group = np.cumsum(new) - 1
     out = np.empty(len(at), dtype=np.int64)
     out[order] = group
@@ -200,39 +200,51 @@ def equal_groups(buffer: bytes, at: np.ndarray, length: int, shallow: int = SHAL
     return out
 
 
+def _removed(rows: list, length: int) -> pd.DataFrame:
+    """(id, key, spans) of one bucket's stretches."""
+    buffer = b"".join(r.texts for r in rows)
+    sizes = np.concatenate([np.frombuffer(r.sizes, "<u4") for r in rows]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(r.counts, "<u4") for r in rows]).astype(np.int64)
+    places = np.concatenate([np.frombuffer(r.places, "<i8").reshape(-1, 3) for r in rows])
+    base, windows = np.cumsum(sizes) - sizes, sizes - length + 1
+    least = np.minimum.reduceat(places[:, 0], np.cumsum(counts) - counts)  # a stretch's smallest id
+    first = np.cumsum(windows) - windows
+    stretch = np.repeat(np.arange(len(sizes)), windows)
+    group = equal_groups(buffer, base[stretch] + np.arange(windows.sum()) - first[stretch], length)
+    smallest = np.full(int(group.max()) + 1, NO_ID)
+    np.minimum.at(smallest, group, least[stretch])
+    smallest = smallest[group]
+    of = np.repeat(np.arange(len(sizes)), counts)
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
+    places, of = places[order], of[order]
+    n = windows[of]
+    begin = np.cumsum(n) - n
+    offset = np.arange(n.sum()) - np.repeat(begin, n)
+    gone = smallest[np.repeat(first[of], n) + offset] < np.repeat(places[:, 0], n)
+    open_ = gone & np.concatenate(([True], ~gone[:-1] | (offset[1:] == 0)))
+    close = gone & np.concatenate((~gone[1:] | (offset[1:] == 0), [True]))
+    a, b = np.flatnonzero(open_), np.flatnonzero(close)
+    own = np.repeat(np.arange(len(n)), n)[a]
+    spans = np.c_[places[own, 2] + offset[a], places[own, 2] + offset[b] + length].astype("<i8")
+    ids, keys = places[own, 0], places[own, 1]
+    start = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))) if len(ids) else np.zeros(0, np.int64)
+    return pd.DataFrame({"id": ids[start], "key": keys[start], "spans": [x.tobytes() for x in np.split(spans, start[1:])] if len(start) else []})
+
+
 def _sorted(length: int):
-    """(id, key, spans): runs of window starts whose string a smaller id also has; a task holds whole buckets."""
+    """(id, key, spans): runs of window starts whose string a smaller id also has; rows come bucket by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, sizes, counts, places = [], [], [], []
+        held, bucket = [], None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                texts.append(r.texts)
-                sizes.append(np.frombuffer(r.sizes, "<u4"))
-                counts.append(np.frombuffer(r.counts, "<u4"))
-                places.append(np.frombuffer(r.places, "<i8").reshape(-1, 3))
-        if not texts:
-            return
-        buffer, sizes, counts, places = b"".join(texts), np.concatenate(sizes).astype(np.int64), np.concatenate(counts).astype(np.int64), np.concatenate(places)
-        base, windows = np.cumsum(sizes) - sizes, sizes - length + 1
-        least = np.minimum.reduceat(places[:, 0], np.cumsum(counts) - counts)  # a stretch's smallest id
-        first = np.cumsum(windows) - windows
-        stretch = np.repeat(np.arange(len(sizes)), windows)
-        at = base[stretch] + np.arange(windows.sum()) - first[stretch]
-        group = equal_groups(buffer, at, length)
-        smallest = np.full(int(group.max()) + 1, NO_ID)
-        np.minimum.at(smallest, group, least[stretch])
-        smallest = smallest[group]
-        of = np.repeat(np.arange(len(sizes)), counts)
-        got: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for (doc, key, start), s in zip(places.tolist(), of.tolist(), strict=True):
-            gone = smallest[first[s] : first[s] + windows[s]] < doc
-            if gone.all():
-                got.setdefault((doc, key), []).append((start, start + len(gone) - 1 + length))
-            elif gone.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                got.setdefault((doc, key), []).extend(zip((start + edge[::2]).tolist(), (start + edge[1::2] - 1 + length).tolist(), strict=True))
-        yield pd.DataFrame([(d, k, np.array(v, "<i8").tobytes()) for (d, k), v in got.items()], columns=["id", "key", "spans"])
+                if held and r.bucket != bucket:
+                    yield _removed(held, length)
+                    held = []
+                bucket = r.bucket
+                held.append(r)
+        if held:
+            yield _removed(held, length)
 
     return run
 
@@ -276,8 +288,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     maybe = rows.join(bits, spot == F.col("w"), "left").withColumn("hit", F.coalesce(F.col("b").bitwiseAND(bit) != 0, F.lit(False)))
     own = shared.groupBy("id", "key").agg(F.collect_list("marks").alias("marks"))
     hits = maybe.where("hit").select("doc_id", "id", "key", "text")
-    found = hits.select("id", "key", "text").join(own, ["id", "key"]).mapInPandas(_stretches(n, length, gram), "bucket int, texts binary, sizes binary, counts binary, places binary")
-    spans = written(found.repartition(n, "bucket").mapInPandas(_sorted(length), "id long, key long, spans binary"), "spans")
+    found = hits.select("id", "key", "text").join(own, ["id", "key"]).mapInPandas(_stretches(n * _FINE, length, gram), "bucket int, texts binary, sizes binary, counts binary, places binary")
+    spans = written(found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_sorted(length), "id long, key long, spans binary"), "spans")
     spans = spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
     whole = maybe.where("NOT hit").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans")).unionByName(
         hits.join(spans, ["id", "key"], "left").select("doc_id", "text", "spans"))
