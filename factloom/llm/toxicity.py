@@ -174,7 +174,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 5,
         clean = np.flatnonzero(y[doc] == 0)
         worst = clean[np.argsort(-rating[clean], kind="stable")[: len(top)]]
         picked = np.concatenate((top, worst, r.choice(clean, min(len(clean), len(top)), replace=False)))
-        for _ in range(epochs):
+        for _ in range(max(epochs, 80 * 256 // max(1, len(picked)))):  # small samples need as many steps
             r.shuffle(picked)
             for i in range(0, len(picked), 256):
                 own = picked[i : i + 256]
