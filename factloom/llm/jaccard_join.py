@@ -286,7 +286,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     bits = ids.select(F.shiftright(spot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     # at most _BITS / 64 rows of 16 bytes, whatever the input; texts that pass by chance are joined to nothing below
     some = docs.join(F.broadcast(bits), F.shiftright(spot, 6) == F.col("w")).where("b & shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) AS INT)) <> 0")
-    held = written(some.select("text").mapInPandas(_sets(width), "cls long, tokens binary, firsts array<long>").dropDuplicates(["cls"]), "sets")
+    held = written(some.select("text").mapInPandas(_sets(width), "cls long, tokens binary, firsts array<long>"), "sets")  # a class that comes twice links twice, which changes nothing
 
     # near copies mostly share the first token of some order: each class meets the least and the greatest class that does
     first = written(held.select("cls", F.posexplode("firsts").alias("o", "first")), "firsts")
