@@ -4,7 +4,8 @@ Documents with equal shingle sets form one class and are joined once.  Two sets
 the first n - ceil(t n) + 1 of either, in any global order.  Orders put tokens that a fixed-size count sketch finds frequent
 last, so passages that many documents share rarely enter a prefix; ties are broken by different hashes.  The first order
 makes candidates by a shuffle on the token; the other orders' prefixes must meet as well before a pair is verified on its
-whole sets.
+whole sets.  Sets are made only for pairs whose parity maps allow a link: tokens outside the intersection alone tell two
+maps apart, so maps that differ in more bits than a linked pair has such tokens rule the link out, and lose none.
 
 A bucket of a token does not emit all its pairs.  Every class first meets a few pivots, classes with the same first token in
 one of several orders; what that links is merged, and only classes of a bucket that still lie in different components are
@@ -31,6 +32,7 @@ FIRSTS = (2, 3, 4, 5)
 _TEXTS = 256
 _MEMBERS = 256
 _BITS = 1 << 24
+_MAP = 1024
 
 
 def enough(common, n, m, percent: int):
@@ -46,21 +48,28 @@ def prefix(s: np.ndarray, order: int, sketch: np.ndarray, percent: int) -> np.nd
     return s[head[np.argsort(key[head])]]
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """_MAP bits as signed 64-bit numbers; each token turns one bit over."""
+    odd = np.bincount((mix(s, 9) >> np.uint64(64 - _MAP.bit_length() + 1)).astype(np.int64), minlength=_MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, empty = np.zeros(SKETCH, dtype=np.uint32), True
         for pdf in batches:
-            n, cls, texts = [], [], pdf["text"].tolist()
+            got, texts = [], pdf["text"].tolist()
             for i in range(0, len(texts), _TEXTS):
                 for s in sets(texts[i : i + _TEXTS], width):
-                    n.append(len(s))
-                    cls.append(class_of(s) if len(s) else None)
+                    got.append((len(s), class_of(s), [int(mix(s, o).min().view(np.int64)) for o in FIRSTS], parity(s)) if len(s) else (0, None, None, None))
                     np.add.at(counts, (s >> np.uint64(20)) & np.uint64(SKETCH - 1), 1)
             empty = False
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "cls": pd.array(cls, dtype="Int64"), "chunk": pd.array([None] * len(n), dtype="Int32"), "counts": None})
+            n, cls, firsts, bits = zip(*got, strict=True) if got else ([], [], [], [])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "n": n, "cls": pd.array(cls, dtype="Int64"), "firsts": firsts, "bits": bits, "chunk": pd.array([None] * len(n), dtype="Int32"), "counts": None})
         if not empty:
             for c in range(0, SKETCH, CHUNK):
-                yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "n": [0], "cls": pd.array([None], dtype="Int64"), "chunk": pd.array([c // CHUNK], dtype="Int32"), "counts": [counts[c : c + CHUNK].tobytes()]})
+                none = pd.array([None], dtype="Int64")
+                yield pd.DataFrame({"doc_id": none, "key": none, "n": [0], "cls": none, "firsts": [None], "bits": [None], "chunk": pd.array([c // CHUNK], dtype="Int32"), "counts": [counts[c : c + CHUNK].tobytes()]})
 
     return run
 
@@ -144,8 +153,8 @@ def _sets(width: int):
         for pdf in batches:
             texts = pdf["text"].tolist()
             for i in range(0, len(texts), _TEXTS):
-                got = [(class_of(s), s.tobytes(), [int(mix(s, o).min().view(np.int64)) for o in FIRSTS]) for s in sets(texts[i : i + _TEXTS], width) if len(s)]
-                yield pd.DataFrame(got, columns=["cls", "tokens", "firsts"])
+                got = [(class_of(s), s.tobytes()) for s in sets(texts[i : i + _TEXTS], width) if len(s)]
+                yield pd.DataFrame(got, columns=["cls", "tokens"])
 
     return run
 
@@ -175,9 +184,33 @@ def _verify(percent: int, sketch):
     return run
 
 
-def _verified(pairs: DataFrame, held: DataFrame, percent: int, sketch) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity maps differ in no more bits than linked sets of their sizes have tokens apart."""
+
+    def side(end: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(end), F.col("n").alias(f"{end}_n"), F.col("bits").alias(f"{end}_bits"))
+
+    differ = "aggregate(zip_with(pivot_bits, member_bits, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
+    both = pairs.join(side("pivot"), "pivot").join(side("member"), "member")
+    return both.where(f"{100 + percent} * {differ} <= {100 - percent} * (pivot_n + member_n)").select("pivot", "member")
+
+
+def _held(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(cls, tokens) of the classes, once each, and of texts that pass for theirs by chance."""
+    spot = F.pmod(F.xxhash64("key"), F.lit(_BITS))
+    bit = "shiftleft(1L, cast(pmod(xxhash64(key), 64) AS INT))"
+    # at most _BITS / 64 rows of 16 bytes, whatever the input
+    bits = classes.select(F.shiftright(spot, 6).alias("w"), F.expr(bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    some = docs.join(F.broadcast(bits), F.shiftright(spot, 6) == F.col("w")).where(f"b & {bit} <> 0").dropDuplicates(["key"])  # rows that repeat id and text
+    return written(some.select("text").mapInPandas(_sets(width), "cls long, tokens binary"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int, sketch) -> DataFrame:
     """The pairs (pivot, member) that link.  A pivot with many members is copied to several tasks."""
     n = parts(pairs.sparkSession)
+    pairs = written(_likely(pairs, classes, percent), "likely")
+    ends = pairs.select(F.explode(F.array("pivot", "member")).alias("cls")).distinct()
+    held = _held(docs, classes.join(ends, "cls", "left_semi"), width)
     many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / _MEMBERS).alias("salts"))
     members = pairs.join(many, "pivot").select("pivot", F.pmod(F.xxhash64("member"), "salts").alias("salt"), "member", F.lit(False).alias("head")).join(held.withColumnRenamed("cls", "member"), "member")
     heads = many.join(held.withColumnRenamed("cls", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("member"), F.lit(True).alias("head"), "tokens")
@@ -274,34 +307,30 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     spark = docs.sparkSession
     reach_workers(spark)
     n_parts = parts(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signatures = written(docs.mapInPandas(_signatures(width), "doc_id long, n long, cls long, chunk int, counts binary"), "signatures")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    schema = "doc_id long, key long, n long, cls long, firsts array<long>, bits array<long>, chunk int, counts binary"
+    signatures = written(docs.mapInPandas(_signatures(width), schema), "signatures")
     sketch = spark.sparkContext.broadcast(sketch_of(signatures))  # SKETCH bytes
     members = signatures.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls")
 
     blobs = docs.where("text IS NOT NULL").mapInPandas(_emit(width, percent, n_parts, sketch), "bucket int, tokens binary, own binary, place binary, cls binary, n binary")
     shared = written(blobs.repartition(n_parts, "bucket").mapInPandas(_meet(percent), "token long, cls long, n long, place long"), "prefixes")
-    ids = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(shared.select("cls").distinct(), "cls", "left_semi").select("doc_id")
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
-    bits = ids.select(F.shiftright(spot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    # at most _BITS / 64 rows of 16 bytes, whatever the input; texts that pass by chance are joined to nothing below
-    some = docs.join(F.broadcast(bits), F.shiftright(spot, 6) == F.col("w")).where("b & shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) AS INT)) <> 0")
-    held = written(some.select("text").mapInPandas(_sets(width), "cls long, tokens binary, firsts array<long>"), "sets")  # a class that comes twice links twice, which changes nothing
+    one = signatures.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "firsts", "bits")).alias("m")).select("cls", "m.*")
+    classes = written(one.join(shared.select("cls").distinct(), "cls", "left_semi"), "classes")
 
     # near copies mostly share the first token of some order: each class meets the least and the greatest class that does
-    first = written(held.select("cls", F.posexplode("firsts").alias("o", "first")), "firsts")
+    first = classes.select("cls", F.posexplode("firsts").alias("o", "first"))
     ends = first.groupBy("o", "first").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     star = first.join(ends, ["o", "first"]).select(F.explode(F.array("lo", "hi")).alias("pivot"), F.col("cls").alias("member")).where("pivot <> member").distinct()
     tried = written(star, "star")
-    held = held.drop("firsts")
-    links = written(_verified(tried, held, percent, sketch), "links")
+    links = written(_verified(tried, docs, classes, percent, width, sketch), "links")
     merged = components(links)
     for reach in (2, 8, None):  # two waves of neighbours by size merge loose groups of copies; then whatever is still apart
         rest = _open(shared, merged).select("token", "cls", "comp", "n", "place").repartition(n_parts, "token").sortWithinPartitions("token", "n", "cls")
         cross = rest.mapInPandas(_across(percent, reach), "pivot long, member long").distinct()
         cross = cross.join(tried.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member")), ["pivot", "member"], "left_anti")
         cross = written(cross, "cross")
-        new = written(_verified(cross, held, percent, sketch), "links")
+        new = written(_verified(cross, docs, classes, percent, width, sketch), "links")
         links, tried = links.unionByName(new), tried.unionByName(cross)
         if new.limit(1).count():
             merged = components(links)
