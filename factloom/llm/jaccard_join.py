@@ -49,8 +49,9 @@ def prefix(s: np.ndarray, order: int, sketch: np.ndarray, percent: int) -> np.nd
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """_MAP bits as signed 64-bit numbers; each token turns one bit over."""
-    odd = np.bincount((mix(s, 9) >> np.uint64(64 - _MAP.bit_length() + 1)).astype(np.int64), minlength=_MAP) & 1
+    """_MAP bits or more, a power of two with a bit for each token, as signed 64-bit numbers; each token turns one over."""
+    size = max(_MAP, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((mix(s, 9) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
@@ -83,12 +84,14 @@ def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sketch_of(signatures: DataFrame) -> np.ndarray:
-    """Levels of the fixed-size count sketch (one byte each, SKETCH in all): 0 up to four times the mean, then logarithms."""
+    """Levels of the fixed-size count sketch (one byte each, SKETCH in all): 0 up to what chance puts into a cell beside
+    its like, then logarithms of the excess."""
     rows = signatures.where("chunk IS NOT NULL").repartition(SKETCH // CHUNK, "chunk").select("chunk", "counts").mapInPandas(_add_up, "chunk int, counts binary").collect()
     total = np.zeros(SKETCH, dtype=np.int64)
     for r in rows:  # SKETCH / CHUNK rows, 8 MB
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
-    return np.minimum(63, np.ceil(2 * np.log2(np.maximum(1, total / max(1.0, 4 * total.mean()))))).astype(np.uint8)
+    usual = float(np.median(total))
+    return np.minimum(63, np.ceil(2 * np.log2(np.maximum(1, (total - usual) / (4 + 3 * usual**0.5))))).astype(np.uint8)
 
 
 def _emit(width: int, percent: int, buckets: int, sketch):
@@ -190,9 +193,15 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def side(end: str) -> DataFrame:
         return classes.select(F.col("cls").alias(end), F.col("n").alias(f"{end}_n"), F.col("bits").alias(f"{end}_bits"))
 
-    differ = "aggregate(zip_with(pivot_bits, member_bits, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
-    both = pairs.join(side("pivot"), "pivot").join(side("member"), "member")
-    return both.where(f"{100 + percent} * {differ} <= {100 - percent} * (pivot_n + member_n)").select("pivot", "member")
+    def folded(own: str, other: str) -> str:
+        """The map laid over itself, so that it is as long as the other one."""
+        halves = f"zip_with(slice({own}, 1, size({other})), slice({own}, size({other}) + 1, size({other})), (x, y) -> x ^ y)"
+        return f"IF(size({own}) > size({other}), {halves}, {own})"
+
+    differ = f"aggregate(zip_with({folded('pivot_bits', 'member_bits')}, {folded('member_bits', 'pivot_bits')}, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
+    both = pairs.join(side("pivot"), "pivot").join(side("member"), "member").where(f"100 * least(pivot_n, member_n) >= {percent} * greatest(pivot_n, member_n)")
+    far = "greatest(size(pivot_bits), size(member_bits)) > 2 * least(size(pivot_bits), size(member_bits))"  # only below 50 percent
+    return both.where(f"{far} OR {100 + percent} * {differ} <= {100 - percent} * (pivot_n + member_n)").select("pivot", "member")
 
 
 def _held(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
