@@ -197,3 +197,13 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert (got["rate"] >= 0).all() and np.abs(share - [mixing.TARGETS[d] for d in mixing.DOMAINS]).max() < 0.04
     assert mixing.mix(docs, labels).count() == len(TEXTS) and mixing.mix(empty, labels).count() == 0
     assert mixing.thinned(docs, labels).columns == docs.columns
+
+
+def test_parity_maps_differ_in_no_more_bits_than_tokens_are_apart():
+    r = np.random.default_rng(4)
+    for n, m, common in ((3, 5, 2), (900, 1100, 800), (1000, 1200, 0), (4000, 4200, 3900)):
+        t = r.integers(0, 1 << 63, n + m - common, dtype=np.uint64)
+        a, b = (np.unpackbits(jaccard_join.parity(np.sort(s)).view(np.uint8)) for s in (t[:n], t[n - common :]))
+        if len(a) < len(b):
+            b = b[: len(a)] ^ b[len(a) :]
+        assert len(a) == len(b) and int((a ^ b).sum()) <= n + m - 2 * common
