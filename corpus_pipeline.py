@@ -42,7 +42,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Expectation-maximisation, fitted rates and token ids are beyond SQL; the stages are tested against plain versions.
+#: Expectation-maximisation, fitted rates and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
