@@ -2,7 +2,8 @@
 
 A classifier fitted on the labelled table gives every document a posterior over domains.  Projected-gradient least squares
 then fits nonnegative document rates r so that the expected domain totals, the sum of r * tokens * posterior, match the
-targets, with a small pull of every rate to 1.  Only the domain totals (one row) come to the driver in each iteration: a
+targets, with a small pull of every rate to 1.  A domain's squared difference weighs as one over its target, so that small
+domains are fitted as closely, and in as few steps, as large ones.  Only the domain totals (one row) come to the driver in each iteration: a
 rate is a function of its document's posterior and of the residuals so far, so tasks fold the short list of residuals.
 """
 
@@ -24,6 +25,8 @@ DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
 SAMPLE = 3000
 PULL = 0.02
+#: A target below this share weighs as this share.
+LEAST_SHARE = 1e-3
 _STRIP = ".,;:!?\"'()[]#*$%&|<>"
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -124,7 +127,7 @@ def rates_of(p: np.ndarray, history: list[list[float]], step: float, pull: float
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], keep: str | None = None, rounds: int = 60, tol: float = 1e-4):
-    """(history, step, totals, wanted): residual shares of each iteration and the domain totals they led to.
+    """(history, step, totals, wanted): weighed residuals of each iteration and the domain totals they led to.
 
     Targets are shares of the tokens there are now; with keep, of so many that this domain's target is what it has now.
     """
@@ -144,10 +147,11 @@ def fit_rates(members: DataFrame, targets: dict[str, float], keep: str | None =
     want = np.array([targets[d] for d in DOMAINS], dtype=float)
     want = want / want.sum() * (now.sum() if keep is None else now[DOMAINS.index(keep)] / (want[DOMAINS.index(keep)] / want.sum()))
     size = max(1.0, now.sum())
-    step = 1 / (max(1e-9, (now / size).max()) + PULL)  # the curvature is at most the largest domain's share
+    weight = 1 / np.maximum(want / size, LEAST_SHARE)
+    step = 1 / (max(1e-9, (weight * now / size).max()) + PULL)  # a bound of the curvature: the largest row sum, as posteriors sum to 1
     last = None
     for _ in range(rounds):
-        e = (now - want) / size
+        e = weight * (now - want) / size
         if np.abs(e).max() < tol or (last is not None and np.abs(e - last).max() < tol / 50):
             break
         last = e
