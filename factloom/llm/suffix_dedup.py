@@ -4,11 +4,16 @@ Windows of 50 bytes are dealt by content: a window's mark is the least hash of t
 have equal marks, and neighbours mostly share theirs.  Marks of only one document need no sorting.  The stretches under the
 others are sorted, a task at a time, by deep-shallow suffix sorting: multikey passes over 8-byte words to a shallow depth,
 and a blind trie for the suffixes that still share their prefix there.
+
+A batch of documents sends each stretch once, with the smallest id that holds it; the places where it stands stay behind.
+What sorting finds out (the smallest id of each window, in runs) goes back to the batches, so a passage that a third of all
+documents hold makes one short row for a batch and no task sees all its places.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +106,10 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stretches(buckets: int, length: int, gram: int):
-    """Blobs of the text under shared marks: each stretch once for a batch, with the places where it stands."""
+    """Blobs of the text under shared marks: each stretch once for a batch, with its smallest id and the places where it stands.
+
+    The number of a batch is random: the blobs are to be written before they are used twice.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,11 +122,14 @@ def _stretches(buckets: int, length: int, gram: int):
                     wanted = np.isin(mark, np.frombuffer(b"".join(r.marks), "<u8"))
                     for m, a, b in zip((mark[wanted] % np.uint64(buckets)).tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
                         held.setdefault(m, {}).setdefault(raw[a : b - 1 + length], []).append((r.id, r.key, a))
-                rows = []
+                rows, batch = [], uuid.uuid4().int >> 65
                 for b, found in held.items():
                     places = np.array([p for ps in found.values() for p in ps], dtype="<i8")
-                    rows.append((b, b"".join(found), np.array([len(t) for t in found], "<u4").tobytes(), np.array([len(p) for p in found.values()], "<u4").tobytes(), places.tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "texts", "sizes", "counts", "places"])
+                    counts = np.array([len(p) for p in found.values()])
+                    least = np.minimum.reduceat(places[:, 0], np.cumsum(counts) - counts)
+                    sizes = np.array([len(t) for t in found], "<u4")
+                    rows.append((b, batch, b"".join(found), sizes.tobytes(), least.tobytes(), counts.astype("<u4").tobytes(), places.tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "texts", "sizes", "least", "counts", "places"])
 
     return run
 
@@ -200,51 +211,81 @@ def equal_groups(buffer: bytes, at: np.ndarray, length: int, shallow: int = SHAL
     return out
 
 
-def _removed(rows: list, length: int) -> pd.DataFrame:
-    """(id, key, spans) of one bucket's stretches."""
-    buffer = b"".join(r.texts for r in rows)
-    sizes = np.concatenate([np.frombuffer(r.sizes, "<u4") for r in rows]).astype(np.int64)
-    counts = np.concatenate([np.frombuffer(r.counts, "<u4") for r in rows]).astype(np.int64)
-    places = np.concatenate([np.frombuffer(r.places, "<i8").reshape(-1, 3) for r in rows])
+def _slices(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of several slices, one after another."""
+    return np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
+
+
+def _ranked(rows: list, length: int) -> pd.DataFrame:
+    """(bucket, batch, runs, ends, ids) of one bucket's blobs: for each stretch the number of its runs of windows with one
+    smallest id, and for each run its end and that id."""
+    known: dict[bytes, int] = {}
+    which, least = [], []
+    for r in rows:
+        ends = np.cumsum(np.frombuffer(r.sizes, "<u4")).tolist()
+        which.append(np.array([known.setdefault(r.texts[a:b], len(known)) for a, b in zip([0, *ends], ends, strict=False)], dtype=np.int64))
+        least.append(np.frombuffer(r.least, "<i8"))
+    sizes = np.array([len(t) for t in known], dtype=np.int64)
+    lowest = np.full(len(known), NO_ID)
+    np.minimum.at(lowest, np.concatenate(which), np.concatenate(least))
     base, windows = np.cumsum(sizes) - sizes, sizes - length + 1
-    least = np.minimum.reduceat(places[:, 0], np.cumsum(counts) - counts)  # a stretch's smallest id
     first = np.cumsum(windows) - windows
     stretch = np.repeat(np.arange(len(sizes)), windows)
-    group = equal_groups(buffer, base[stretch] + np.arange(windows.sum()) - first[stretch], length)
+    offset = np.arange(windows.sum()) - first[stretch]
+    group = equal_groups(b"".join(known), base[stretch] + offset, length)
     smallest = np.full(int(group.max()) + 1, NO_ID)
-    np.minimum.at(smallest, group, least[stretch])
+    np.minimum.at(smallest, group, lowest[stretch])
     smallest = smallest[group]
-    of = np.repeat(np.arange(len(sizes)), counts)
-    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
-    places, of = places[order], of[order]
-    n = windows[of]
-    begin = np.cumsum(n) - n
-    offset = np.arange(n.sum()) - np.repeat(begin, n)
-    gone = smallest[np.repeat(first[of], n) + offset] < np.repeat(places[:, 0], n)
-    open_ = gone & np.concatenate(([True], ~gone[:-1] | (offset[1:] == 0)))
-    close = gone & np.concatenate((~gone[1:] | (offset[1:] == 0), [True]))
-    a, b = np.flatnonzero(open_), np.flatnonzero(close)
-    own = np.repeat(np.arange(len(n)), n)[a]
-    spans = np.c_[places[own, 2] + offset[a], places[own, 2] + offset[b] + length].astype("<i8")
-    ids, keys = places[own, 0], places[own, 1]
-    start = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))) if len(ids) else np.zeros(0, np.int64)
-    return pd.DataFrame({"id": ids[start], "key": keys[start], "spans": [x.tobytes() for x in np.split(spans, start[1:])] if len(start) else []})
+    new = np.concatenate(([True], (smallest[1:] != smallest[:-1]) | (offset[1:] == 0)))
+    begin = np.flatnonzero(new)
+    runs = np.bincount(stretch[begin], minlength=len(sizes))
+    end = (offset[np.append(begin[1:], len(new)) - 1] + 1).astype("<u4")
+    start = np.cumsum(runs) - runs
+    out = []
+    for r, own in zip(rows, which, strict=True):
+        at = _slices(start[own], runs[own])
+        out.append((r.bucket, r.batch, runs[own].astype("<u4").tobytes(), end[at].tobytes(), smallest[begin[at]].astype("<i8").tobytes()))
+    return pd.DataFrame(out, columns=["bucket", "batch", "runs", "ends", "ids"])
 
 
 def _sorted(length: int):
-    """(id, key, spans): runs of window starts whose string a smaller id also has; rows come bucket by bucket."""
+    """What sorting finds for each blob; rows come bucket by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, bucket = [], None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if held and r.bucket != bucket:
-                    yield _removed(held, length)
+                    yield _ranked(held, length)
                     held = []
                 bucket = r.bucket
                 held.append(r)
         if held:
-            yield _removed(held, length)
+            yield _ranked(held, length)
+
+    return run
+
+
+def _spans(length: int):
+    """(id, key, spans): the bytes of a document's places whose windows a smaller id also has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                places = np.frombuffer(r.places, "<i8").reshape(-1, 3)
+                runs, ends, ids = (np.frombuffer(x, t).astype(np.int64) for x, t in ((r.runs, "<u4"), (r.ends, "<u4"), (r.ids, "<i8")))
+                begins = np.concatenate(([0], ends[:-1]))
+                begins[np.cumsum(runs) - runs] = 0
+                of = np.repeat(np.arange(len(runs)), np.frombuffer(r.counts, "<u4"))
+                at, own = _slices((np.cumsum(runs) - runs)[of], runs[of]), np.repeat(np.arange(len(of)), runs[of])
+                gone = ids[at] < places[own, 0]
+                at, own = at[gone], own[gone]
+                order = np.lexsort((places[own, 1], places[own, 0]))
+                at, p = at[order], places[own[order]]
+                spans = np.c_[p[:, 2] + begins[at], p[:, 2] + ends[at] - 1 + length].astype("<i8")
+                if len(p):
+                    start = np.flatnonzero(np.concatenate(([True], (p[1:, :2] != p[:-1, :2]).any(axis=1))))
+                    yield pd.DataFrame({"id": p[start, 0], "key": p[start, 1], "spans": [x.tobytes() for x in np.split(spans, start[1:])]})
 
     return run
 
@@ -288,8 +329,12 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     maybe = rows.join(bits, spot == F.col("w"), "left").withColumn("hit", F.coalesce(F.col("b").bitwiseAND(bit) != 0, F.lit(False)))
     own = shared.groupBy("id", "key").agg(F.collect_list("marks").alias("marks"))
     hits = maybe.where("hit").select("doc_id", "id", "key", "text")
-    found = hits.select("id", "key", "text").join(own, ["id", "key"]).mapInPandas(_stretches(n * _FINE, length, gram), "bucket int, texts binary, sizes binary, counts binary, places binary")
-    spans = written(found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_sorted(length), "id long, key long, spans binary"), "spans")
+    found = hits.select("id", "key", "text").join(own, ["id", "key"]).mapInPandas(
+        _stretches(n * _FINE, length, gram), "bucket int, batch long, texts binary, sizes binary, least binary, counts binary, places binary")
+    found = written(found, "stretches")
+    dealt = found.select("bucket", "batch", "texts", "sizes", "least").repartition(n, "bucket").sortWithinPartitions("bucket")
+    ranked = dealt.mapInPandas(_sorted(length), "bucket int, batch long, runs binary, ends binary, ids binary")
+    spans = found.select("bucket", "batch", "counts", "places").join(ranked, ["bucket", "batch"]).mapInPandas(_spans(length), "id long, key long, spans binary")
     spans = spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
     whole = maybe.where("NOT hit").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans")).unionByName(
         hits.join(spans, ["id", "key"], "left").select("doc_id", "text", "spans"))
