@@ -55,8 +55,13 @@ def marks(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return m[first], first
 
 
+def _tags(mark: np.ndarray) -> np.ndarray:
+    """32 bits of each mark.  Marks that share a bucket and a tag by chance only add stretches to sort."""
+    return (mix(mark, 7) & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
 def _marks(buckets: int, length: int, gram: int):
-    """Blobs (bucket, marks, own, ids, keys) of the marks of each batch of documents."""
+    """Blobs (bucket, tags, counts, keys) of the marks of each batch of documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -66,47 +71,46 @@ def _marks(buckets: int, length: int, gram: int):
                 mark = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 if not len(mark):
                     continue
-                own = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
+                own = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 bucket = (mark % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                ids, keys, rows = part["id"].to_numpy("<i8"), part["key"].to_numpy("<i8"), []
+                keys, tag, rows = part["key"].to_numpy("<i8"), _tags(mark), []
                 for b in np.flatnonzero(np.diff(cuts)):
                     at = order[cuts[b] : cuts[b + 1]]
-                    used, local = np.unique(own[at], return_inverse=True)
-                    rows.append((int(b), mark[at].tobytes(), local.astype("<u2").tobytes(), ids[used].tobytes(), keys[used].tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "marks", "own", "ids", "keys"])
+                    used, counts = np.unique(own[at], return_counts=True)  # own does not fall in a bucket
+                    rows.append((int(b), tag[at].tobytes(), counts.astype("<u4").tobytes(), keys[used].tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "tags", "counts", "keys"])
 
     return run
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, key, marks): each document's marks that documents with another id have as well."""
-    mark, ids, keys = [], [], []
+    """(key, tags): the tags of each document's marks that other documents have as well."""
+    tag, keys = [], []
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            own = np.frombuffer(r.own, "<u2")
-            mark.append(np.frombuffer(r.marks, "<u8"))
-            ids.append(np.frombuffer(r.ids, "<i8")[own])
-            keys.append(np.frombuffer(r.keys, "<i8")[own])
-    if not mark:
+            tag.append(np.frombuffer(r.tags, "<u4"))
+            keys.append(np.repeat(np.frombuffer(r.keys, "<i8"), np.frombuffer(r.counts, "<u4")))
+    if not tag:
         return
-    mark, ids, keys = np.concatenate(mark), np.concatenate(ids), np.concatenate(keys)
-    order = np.argsort(mark, kind="stable")
-    mark, ids, keys = mark[order], ids[order], keys[order]
-    start = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
-    many = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-    keep = np.repeat(many, np.diff(np.append(start, len(mark))))
-    mark, ids, keys = mark[keep], ids[keep], keys[keep]
-    order = np.lexsort((keys, ids))
-    mark, ids, keys = mark[order], ids[order], keys[order]
-    if len(mark):
-        start = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
-        yield pd.DataFrame({"id": ids[start], "key": keys[start], "marks": [m.tobytes() for m in np.split(mark, start[1:])]})
+    tag, keys = np.concatenate(tag), np.concatenate(keys)
+    order = np.argsort(tag, kind="stable")
+    tag, keys = tag[order], keys[order]
+    start = np.flatnonzero(np.concatenate(([True], tag[1:] != tag[:-1])))
+    many = np.minimum.reduceat(keys, start) != np.maximum.reduceat(keys, start)
+    keep = np.repeat(many, np.diff(np.append(start, len(tag))))
+    tag, keys = tag[keep], keys[keep]
+    order = np.argsort(keys, kind="stable")
+    tag, keys = tag[order], keys[order]
+    if len(tag):
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        yield pd.DataFrame({"key": keys[start], "tags": [m.tobytes() for m in np.split(tag, start[1:])]})
 
 
 def _stretches(buckets: int, length: int, gram: int):
-    """Blobs of the text under shared marks: each stretch once for a batch, with its smallest id and the places where it stands.
+    """Blobs of the text under shared marks: each stretch once for a batch, with its smallest id and the places where it
+    stands (document of the batch, byte); and a row of bucket -1 with the ids and keys of the batch's documents.
 
     The number of a batch is random: the blobs are to be written before they are used twice.
     """
@@ -114,22 +118,26 @@ def _stretches(buckets: int, length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), _BATCH):
-                held: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
-                for r in pdf.iloc[i : i + _BATCH].itertuples(index=False):
-                    raw = r.text.encode("utf-8", "replace")
+                part = pdf.iloc[i : i + _BATCH]
+                ids, keys = part["id"].to_numpy("<i8"), part["key"].to_numpy("<i8")
+                held: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+                for j, (text, tags) in enumerate(zip(part["text"], part["tags"], strict=True)):
+                    raw = text.encode("utf-8", "replace")
                     mark, first = marks(raw, length, gram)
                     last = np.append(first[1:], len(raw) - length + 1)
-                    wanted = np.isin(mark, np.frombuffer(b"".join(r.marks), "<u8"))
+                    wanted = np.isin(_tags(mark), np.frombuffer(b"".join(tags), "<u4"))
                     for m, a, b in zip((mark[wanted] % np.uint64(buckets)).tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
-                        held.setdefault(m, {}).setdefault(raw[a : b - 1 + length], []).append((r.id, r.key, a))
-                rows, batch = [], uuid.uuid4().int >> 65
+                        held.setdefault(m, {}).setdefault(raw[a : b - 1 + length], []).append((j, a))
+                batch = uuid.uuid4().int >> 65
+                rows = [(-1, batch, None, None, None, None, None, None, ids.tobytes(), keys.tobytes())]
                 for b, found in held.items():
-                    places = np.array([p for ps in found.values() for p in ps], dtype="<i8")
+                    places = np.array([p for ps in found.values() for p in ps])
                     counts = np.array([len(p) for p in found.values()])
-                    least = np.minimum.reduceat(places[:, 0], np.cumsum(counts) - counts)
+                    least = np.minimum.reduceat(ids[places[:, 0]], np.cumsum(counts) - counts)
                     sizes = np.array([len(t) for t in found], "<u4")
-                    rows.append((b, batch, b"".join(found), sizes.tobytes(), least.tobytes(), counts.astype("<u4").tobytes(), places.tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "batch", "texts", "sizes", "least", "counts", "places"])
+                    rows.append((b, batch, b"".join(found), sizes.tobytes(), least.tobytes(), counts.astype("<u4").tobytes(),
+                                 places[:, 0].astype("<u2").tobytes(), places[:, 1].astype("<u4").tobytes(), None, None))
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "texts", "sizes", "least", "counts", "own", "at", "ids", "keys"])
 
     return run
 
@@ -217,7 +225,7 @@ def _slices(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _ranked(rows: list, length: int) -> pd.DataFrame:
-    """(bucket, batch, runs, ends, ids) of one bucket's blobs: for each stretch the number of its runs of windows with one
+    """(bucket, batch, runs, ends, lowest) of one bucket's blobs: for each stretch the number of its runs of windows with one
     smallest id, and for each run its end and that id."""
     known: dict[bytes, int] = {}
     which, least = [], []
@@ -245,7 +253,7 @@ def _ranked(rows: list, length: int) -> pd.DataFrame:
     for r, own in zip(rows, which, strict=True):
         at = _slices(start[own], runs[own])
         out.append((r.bucket, r.batch, runs[own].astype("<u4").tobytes(), end[at].tobytes(), smallest[begin[at]].astype("<i8").tobytes()))
-    return pd.DataFrame(out, columns=["bucket", "batch", "runs", "ends", "ids"])
+    return pd.DataFrame(out, columns=["bucket", "batch", "runs", "ends", "lowest"])
 
 
 def _sorted(length: int):
@@ -266,26 +274,51 @@ def _sorted(length: int):
     return run
 
 
+def _merged(docs, places: dict, ranks: dict, length: int) -> pd.DataFrame:
+    """(id, key, spans) of the documents of one batch: the bytes at their places whose windows a smaller id also has."""
+    ids, keys = (np.frombuffer(x, "<i8") for x in docs)
+    owns, begins, closes = [], [], []
+    for bucket, (counts, own, at) in places.items():
+        runs, ends, lowest = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(ranks[bucket], ("<u4", "<u4", "<i8"), strict=True))
+        opens = np.concatenate(([0], ends[:-1]))
+        opens[np.cumsum(runs) - runs] = 0
+        of = np.repeat(np.arange(len(runs)), np.frombuffer(counts, "<u4"))
+        run, place = _slices((np.cumsum(runs) - runs)[of], runs[of]), np.repeat(np.arange(len(of)), runs[of])
+        own, at = np.frombuffer(own, "<u2").astype(np.int64)[place], np.frombuffer(at, "<u4").astype(np.int64)[place]
+        gone = lowest[run] < ids[own]
+        owns.append(own[gone])
+        begins.append((at + opens[run])[gone])
+        closes.append((at + ends[run] - 1 + length)[gone])
+    own, begin, close = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owns, begins, closes))
+    own = own << 40  # documents one after another
+    order = np.argsort(own + begin)
+    own, begin, close = own[order], (own + begin)[order], np.maximum.accumulate((own + close)[order])
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > close[:-1]))) if len(own) else np.zeros(0, np.int64)
+    doc = own[new] >> 40
+    spans = np.c_[begin[new] - own[new], close[np.append(new[1:], len(own)) - 1] - own[new]].astype("<i8") if len(new) else np.zeros((0, 2), "<i8")
+    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    return pd.DataFrame({"id": ids[doc[start]], "key": keys[doc[start]], "spans": [x.tobytes() for x in np.split(spans, start[1:])] if len(start) else []})
+
+
 def _spans(length: int):
-    """(id, key, spans): the bytes of a document's places whose windows a smaller id also has."""
+    """(id, key, spans) of each document with something to remove; rows come batch by batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, docs, places, ranks = None, None, {}, {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                places = np.frombuffer(r.places, "<i8").reshape(-1, 3)
-                runs, ends, ids = (np.frombuffer(x, t).astype(np.int64) for x, t in ((r.runs, "<u4"), (r.ends, "<u4"), (r.ids, "<i8")))
-                begins = np.concatenate(([0], ends[:-1]))
-                begins[np.cumsum(runs) - runs] = 0
-                of = np.repeat(np.arange(len(runs)), np.frombuffer(r.counts, "<u4"))
-                at, own = _slices((np.cumsum(runs) - runs)[of], runs[of]), np.repeat(np.arange(len(of)), runs[of])
-                gone = ids[at] < places[own, 0]
-                at, own = at[gone], own[gone]
-                order = np.lexsort((places[own, 1], places[own, 0]))
-                at, p = at[order], places[own[order]]
-                spans = np.c_[p[:, 2] + begins[at], p[:, 2] + ends[at] - 1 + length].astype("<i8")
-                if len(p):
-                    start = np.flatnonzero(np.concatenate(([True], (p[1:, :2] != p[:-1, :2]).any(axis=1))))
-                    yield pd.DataFrame({"id": p[start, 0], "key": p[start, 1], "spans": [x.tobytes() for x in np.split(spans, start[1:])]})
+                if r.batch != batch:
+                    if docs:
+                        yield _merged(docs, places, ranks, length)
+                    batch, docs, places, ranks = r.batch, None, {}, {}
+                if r.bucket < 0:
+                    docs = r.ids, r.keys
+                elif r.runs is None:
+                    places[r.bucket] = r.counts, r.own, r.at
+                else:
+                    ranks[r.bucket] = r.runs, r.ends, r.lowest
+        if docs:
+            yield _merged(docs, places, ranks, length)
 
     return run
 
@@ -318,23 +351,24 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     reach_workers(spark)
     n, gram = parts(spark), min(GRAM, length)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "text")
     long_ = rows.where(F.octet_length("text") >= length)
-    blobs = long_.select("id", "key", "text").mapInPandas(_marks(n, length, gram), "bucket int, marks binary, own binary, ids binary, keys binary")
-    shared = written(blobs.repartition(n, "bucket").mapInPandas(_shared, "id long, key long, marks binary"), "marks")
-    h = F.xxhash64("id", "key")
-    spot, bit = F.shiftright(F.pmod(h, F.lit(_BITS)), 6), F.expr("shiftleft(1L, cast(pmod(xxhash64(id, key), 64) AS INT))")
+    blobs = long_.select("key", "text").mapInPandas(_marks(n, length, gram), "bucket int, tags binary, counts binary, keys binary")
+    shared = written(blobs.repartition(n, "bucket").mapInPandas(_shared, "key long, tags binary"), "marks")
+    spot, bit = F.shiftright(F.pmod("key", F.lit(_BITS)), 6), F.expr("shiftleft(1L, cast(pmod(key, 64) AS INT))")
     # at most _BITS / 64 rows, whatever the input: most documents without a shared mark are told apart without a shuffle
     bits = F.broadcast(shared.select(spot.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")))
     maybe = rows.join(bits, spot == F.col("w"), "left").withColumn("hit", F.coalesce(F.col("b").bitwiseAND(bit) != 0, F.lit(False)))
-    own = shared.groupBy("id", "key").agg(F.collect_list("marks").alias("marks"))
+    own = shared.groupBy("key").agg(F.collect_list("tags").alias("tags"))
     hits = maybe.where("hit").select("doc_id", "id", "key", "text")
-    found = hits.select("id", "key", "text").join(own, ["id", "key"]).mapInPandas(
-        _stretches(n * _FINE, length, gram), "bucket int, batch long, texts binary, sizes binary, least binary, counts binary, places binary")
+    found = hits.select("id", "key", "text").join(own, "key").select("id", "key", "text", "tags").mapInPandas(
+        _stretches(n * _FINE, length, gram),
+        "bucket int, batch long, texts binary, sizes binary, least binary, counts binary, own binary, at binary, ids binary, keys binary")
     found = written(found, "stretches")
-    dealt = found.select("bucket", "batch", "texts", "sizes", "least").repartition(n, "bucket").sortWithinPartitions("bucket")
-    ranked = dealt.mapInPandas(_sorted(length), "bucket int, batch long, runs binary, ends binary, ids binary")
-    spans = found.select("bucket", "batch", "counts", "places").join(ranked, ["bucket", "batch"]).mapInPandas(_spans(length), "id long, key long, spans binary")
+    dealt = found.where("bucket >= 0").select("bucket", "batch", "texts", "sizes", "least").repartition(n, "bucket").sortWithinPartitions("bucket")
+    ranked = dealt.mapInPandas(_sorted(length), "bucket int, batch long, runs binary, ends binary, lowest binary")
+    home = found.select("bucket", "batch", "counts", "own", "at", "ids", "keys").unionByName(ranked, allowMissingColumns=True)
+    spans = written(home.repartition(n, "batch").sortWithinPartitions("batch").mapInPandas(_spans(length), "id long, key long, spans binary"), "spans")
     spans = spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
     whole = maybe.where("NOT hit").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans")).unionByName(
         hits.join(spans, ["id", "key"], "left").select("doc_id", "text", "spans"))
