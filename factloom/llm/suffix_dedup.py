@@ -28,7 +28,7 @@ LENGTH = 50
 GRAM = 24
 SHALLOW = 3  # words of 8 bytes
 _BATCH = 1024
-_FINE = 8  # buckets of stretches for each task, sorted one after another
+_FINE = 8  # parts of a bucket of stretches, sorted one after another
 _BITS = 1 << 24
 NO_ID = (1 << 63) - 1
 
@@ -126,18 +126,21 @@ def _stretches(buckets: int, length: int, gram: int):
                     mark, first = marks(raw, length, gram)
                     last = np.append(first[1:], len(raw) - length + 1)
                     wanted = np.isin(_tags(mark), np.frombuffer(b"".join(tags), "<u4"))
-                    for m, a, b in zip((mark[wanted] % np.uint64(buckets)).tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
+                    for m, a, b in zip((mark[wanted] % np.uint64(buckets * _FINE)).tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
                         held.setdefault(m, {}).setdefault(raw[a : b - 1 + length], []).append((j, a))
                 batch = uuid.uuid4().int >> 65
-                rows = [(-1, batch, None, None, None, None, None, None, ids.tobytes(), keys.tobytes())]
-                for b, found in held.items():
-                    places = np.array([p for ps in found.values() for p in ps])
-                    counts = np.array([len(p) for p in found.values()])
+                rows = [(-1, batch, None, None, None, None, None, None, None, ids.tobytes(), keys.tobytes())]
+                for b in sorted({m % buckets for m in held}):
+                    shares = [held.get(b + k * buckets, {}) for k in range(_FINE)]
+                    found = [x for share in shares for x in share.items()]
+                    places = np.array([p for _, ps in found for p in ps])
+                    counts = np.array([len(ps) for _, ps in found])
                     least = np.minimum.reduceat(ids[places[:, 0]], np.cumsum(counts) - counts)
-                    sizes = np.array([len(t) for t in found], "<u4")
-                    rows.append((b, batch, b"".join(found), sizes.tobytes(), least.tobytes(), counts.astype("<u4").tobytes(),
+                    sizes = np.array([len(t) for t, _ in found], "<u4")
+                    fine = np.array([len(share) for share in shares], "<u4")
+                    rows.append((b, batch, b"".join(t for t, _ in found), fine.tobytes(), sizes.tobytes(), least.tobytes(), counts.astype("<u4").tobytes(),
                                  places[:, 0].astype("<u2").tobytes(), places[:, 1].astype("<u4").tobytes(), None, None))
-                yield pd.DataFrame(rows, columns=["bucket", "batch", "texts", "sizes", "least", "counts", "own", "at", "ids", "keys"])
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "texts", "fine", "sizes", "least", "counts", "own", "at", "ids", "keys"])
 
     return run
 
@@ -225,14 +228,25 @@ def _slices(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _ranked(rows: list, length: int) -> pd.DataFrame:
-    """(bucket, batch, runs, ends, lowest) of one bucket's blobs: for each stretch the number of its runs of windows with one
-    smallest id, and for each run its end and that id."""
+    """(bucket, batch, runs, ends, lowest) of one bucket's blobs: for each stretch the number of its runs of windows with
+    one smallest id, and for each run its end and that id."""
+    out = [(r.bucket, r.batch, [], [], []) for r in rows]
+    cuts = [np.concatenate(([0], np.cumsum(np.frombuffer(r.fine, "<u4")))).astype(np.int64).tolist() for r in rows]
+    ends = [np.concatenate(([0], np.cumsum(np.frombuffer(r.sizes, "<u4")))).astype(np.int64).tolist() for r in rows]
+    for k in range(_FINE):
+        texts = [[r.texts[a:b] for a, b in zip(e[c[k] : c[k + 1]], e[c[k] + 1 : c[k + 1] + 1], strict=True)] for r, c, e in zip(rows, cuts, ends, strict=True)]
+        if any(texts):
+            least = [np.frombuffer(r.least, "<i8")[c[k] : c[k + 1]] for r, c in zip(rows, cuts, strict=True)]
+            for o, found in zip(out, _runs(texts, least, length), strict=True):
+                for have, new in zip(o[2:], found, strict=True):
+                    have.append(new)
+    return pd.DataFrame([(b, n, *map(b"".join, lists)) for b, n, *lists in out], columns=["bucket", "batch", "runs", "ends", "lowest"])
+
+
+def _runs(texts: list[list[bytes]], least: list[np.ndarray], length: int) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """For each blob the numbers, ends and smallest ids of its stretches' runs, from suffixes of all the blobs."""
     known: dict[bytes, int] = {}
-    which, least = [], []
-    for r in rows:
-        ends = np.cumsum(np.frombuffer(r.sizes, "<u4")).tolist()
-        which.append(np.array([known.setdefault(r.texts[a:b], len(known)) for a, b in zip([0, *ends], ends, strict=False)], dtype=np.int64))
-        least.append(np.frombuffer(r.least, "<i8"))
+    which = [np.array([known.setdefault(t, len(known)) for t in own], dtype=np.int64) for own in texts]
     sizes = np.array([len(t) for t in known], dtype=np.int64)
     lowest = np.full(len(known), NO_ID)
     np.minimum.at(lowest, np.concatenate(which), np.concatenate(least))
@@ -249,11 +263,9 @@ def _ranked(rows: list, length: int) -> pd.DataFrame:
     runs = np.bincount(stretch[begin], minlength=len(sizes))
     end = (offset[np.append(begin[1:], len(new)) - 1] + 1).astype("<u4")
     start = np.cumsum(runs) - runs
-    out = []
-    for r, own in zip(rows, which, strict=True):
+    for own in which:
         at = _slices(start[own], runs[own])
-        out.append((r.bucket, r.batch, runs[own].astype("<u4").tobytes(), end[at].tobytes(), smallest[begin[at]].astype("<i8").tobytes()))
-    return pd.DataFrame(out, columns=["bucket", "batch", "runs", "ends", "lowest"])
+        yield runs[own].astype("<u4").tobytes(), end[at].tobytes(), smallest[begin[at]].astype("<i8").tobytes()
 
 
 def _sorted(length: int):
@@ -362,10 +374,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = shared.groupBy("key").agg(F.collect_list("tags").alias("tags"))
     hits = maybe.where("hit").select("doc_id", "id", "key", "text")
     found = hits.select("id", "key", "text").join(own, "key").select("id", "key", "text", "tags").mapInPandas(
-        _stretches(n * _FINE, length, gram),
-        "bucket int, batch long, texts binary, sizes binary, least binary, counts binary, own binary, at binary, ids binary, keys binary")
+        _stretches(n, length, gram),
+        "bucket int, batch long, texts binary, fine binary, sizes binary, least binary, counts binary, own binary, at binary, ids binary, keys binary")
     found = written(found, "stretches")
-    dealt = found.where("bucket >= 0").select("bucket", "batch", "texts", "sizes", "least").repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = found.where("bucket >= 0").select("bucket", "batch", "texts", "fine", "sizes", "least").repartition(n, "bucket").sortWithinPartitions("bucket")
     ranked = dealt.mapInPandas(_sorted(length), "bucket int, batch long, runs binary, ends binary, lowest binary")
     home = found.select("bucket", "batch", "counts", "own", "at", "ids", "keys").unionByName(ranked, allowMissingColumns=True)
     spans = written(home.repartition(n, "batch").sortWithinPartitions("batch").mapInPandas(_spans(length), "id long, key long, spans binary"), "spans")
