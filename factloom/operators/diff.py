@@ -50,3 +50,22 @@ def waivers(findings: DataFrame, given: DataFrame, keys: list[str]) -> tuple[Dat
 def first_wins(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """rows with `duplicate` false for the first of each key."""
     return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy(key).orderBy(ordinal)) > 1)
+
+
+def file_delta(before: DataFrame, after: DataFrame, key: str, attrs: list[str]) -> DataFrame:
+    """(key, status): added, deleted, or modified where any attribute differs (null equals null)."""
+    both = before.select(key, F.struct(*attrs).alias("a")).join(after.select(key, F.struct(*attrs).alias("b")), key, "full_outer")
+    status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("b")), "modified")
+    return both.select(key, status.alias("status")).where("status IS NOT NULL")
+
+
+def agreement(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: keys in both, only left, only right; precision of left and recall against right (null without a base)."""
+    both = left.select(*keys).distinct().withColumn("l", F.lit(True)).join(right.select(*keys).distinct().withColumn("r", F.lit(True)), keys, "full_outer")
+    out = both.agg(F.count_if(F.expr("l AND r")).alias("matched"), F.count_if(F.expr("r IS NULL")).alias("only_left"), F.count_if(F.expr("l IS NULL")).alias("only_right"))
+    return out.withColumns({"precision": F.try_divide(F.col("matched"), F.expr("matched + only_left")), "recall": F.try_divide(F.col("matched"), F.expr("matched + only_right"))})
+
+
+def unreachable(items: DataFrame, reached: DataFrame, key: str, at: str, before: str) -> DataFrame:
+    """Items that nothing reaches and that are older than a moment."""
+    return items.where(F.col(at) < F.lit(before).cast("timestamp")).join(reached.select(key).distinct(), key, "left_anti")

@@ -36,3 +36,34 @@ def prefix_budget(files: DataFrame, key: str, order: str, size: str, limit: int,
     used = F.sum(F.when(F.col(size) <= oversize, F.col(size)).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     # sizes are not negative, so the running sum exceeds the limit from the first misfit on
     return files.withColumn("used", used).where((F.col(size) <= oversize) & (F.col("used") <= limit))
+
+
+def kind_counts(log: DataFrame, kind: str, kinds: list[str]) -> DataFrame:
+    """Number of rows of each of these kinds, 0 where there is none; other kinds are left out."""
+    given = log.sparkSession.createDataFrame([(k,) for k in kinds], f"{kind} string")
+    n = log.groupBy(kind).agg(F.count("*").alias("n"))
+    return given.join(n, kind, "left").select(kind, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def forbidden_moves(log: DataFrame, key: str, order: list[str], state: str, allowed: list[tuple[str, str]]) -> DataFrame:
+    """log with `was`, only where a state follows another one and the move is not allowed."""
+    moved = log.withColumn("was", F.lag(state).over(Window.partitionBy(key).orderBy(*order)))
+    fine = F.concat_ws(">", "was", state).isin([">".join(m) for m in allowed])
+    return moved.where(F.col("was").isNotNull() & (F.col("was") != F.col(state)) & ~fine)
+
+
+def mode_faults(log: DataFrame, key: str, order: list[str], mode: str) -> DataFrame:
+    """Rows whose mode is not that of the first row of their log."""
+    first = log.groupBy(key).agg(F.min_by(mode, F.struct(*order)).alias("bound"))
+    return log.join(first, key).where(F.col(mode) != F.col("bound"))
+
+
+def first_blocking(gates: DataFrame, key: str, gate: str, ordinal: str, blocking: Column) -> DataFrame:
+    """(key, gate): the first blocking gate in gate order, ties to the smaller name; null where none blocks."""
+    return gates.groupBy(key).agg(F.min_by(gate, F.when(blocking, F.struct(ordinal, gate))).alias(gate))
+
+
+def contract_class(rows: DataFrame, key: str, error: Column) -> DataFrame:
+    """(key, class): blocked without operations, partial with any error, else complete; a null error marks no operation."""
+    n = rows.groupBy(key).agg(F.count(error).alias("n"), F.coalesce(F.bool_or(error), F.lit(False)).alias("bad"))
+    return n.select(key, F.when(F.col("n") == 0, "blocked").when(F.col("bad"), "partial").otherwise("complete").alias("class"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
-from factloom.operators import diff, evidence, graph, logs, rules
+from factloom.operators import diff, evidence, graph, logs, paths, rules
 from factloom.sources.tables import table
 
 FLAGSHIP = "term_score"
@@ -256,3 +256,84 @@ def csv_projection(spark, d):
     c = F.col("o_orderpriority")
     quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     return table(spark, d, "orders").select("o_orderkey", F.when(c.rlike('["\n\r,-]'), quoted).otherwise(F.coalesce(c, F.lit(""))).alias("field"))
+
+
+@_proof("""WITH a AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 7 <> 0)
+SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'deleted' ELSE 'modified' END AS status
+FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_name IS DISTINCT FROM b.p_name OR a.p_size IS DISTINCT FROM b.p_size""")
+def file_delta(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    after = part.where("p_partkey % 7 <> 0").withColumn("p_size", F.expr("IF(p_partkey % 3 = 0, p_size + 1, p_size)"))
+    return diff.file_delta(part.where("p_partkey % 5 <> 0"), after, "p_partkey", ["p_name", "p_size"])
+
+
+@_proof("""WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2),
+n AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS matched, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_right)
+SELECT *, matched / nullif(matched + only_left, 0) AS "precision", matched / nullif(matched + only_right, 0) AS recall FROM n""")
+def route_agreement(spark, d):
+    rows = table(spark, d, "lineitem")
+    return diff.agreement(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"), ["l_partkey", "l_suppkey"])
+
+
+@_proof(f"""SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '{NOW}' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def unreachable_items(spark, d):
+    reached = table(spark, d, "lineitem").where("l_returnflag = 'R'").selectExpr("l_orderkey AS o_orderkey")
+    return diff.unreachable(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), reached, "o_orderkey", "o_orderdate", NOW)
+
+
+_PATHS = "p AS (SELECT p_partkey, p_brand || '/' || p_size || '/' || p_partkey AS path FROM part), r AS (SELECT DISTINCT p_brand || '/' || p_size AS root FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT p_brand FROM part WHERE p_size > 40)"
+
+
+def _roots(spark, d) -> DataFrame:
+    part = table(spark, d, "part")
+    return part.where("p_size % 2 = 0").selectExpr("p_brand || '/' || p_size AS root").unionByName(part.where("p_size > 40").selectExpr("p_brand AS root"))
+
+
+@_proof(f"WITH {_PATHS} SELECT p_partkey, path, arg_max(root, length(root)) AS root FROM p LEFT JOIN r ON starts_with(path, root || '/') GROUP BY 1, 2")
+def nearest_root(spark, d):
+    rows = table(spark, d, "part").selectExpr("p_partkey", "p_brand || '/' || p_size || '/' || p_partkey AS path")
+    return paths.nearest_root(rows, "path", _roots(spark, d), "root")
+
+
+@_proof(f"WITH {_PATHS} SELECT root FROM r WHERE NOT EXISTS (SELECT 1 FROM r s WHERE starts_with(r.root, s.root || '/'))")
+def scope_cover(spark, d):
+    return paths.uncovered(_roots(spark, d), "root")
+
+
+@_proof("""SELECT p_brand AS prefix, bool_or(NOT (p = p_brand OR starts_with(p, p_brand || '/'))) AS unreflected FROM (SELECT p_brand, CASE WHEN p_partkey % 50 = 0 THEN p_brand || 'x/' ELSE p_brand || '/' END || p_partkey AS p FROM part) GROUP BY 1""")
+def prefix_reflected(spark, d):
+    rows = table(spark, d, "part").selectExpr("p_brand AS prefix", "IF(p_partkey % 50 = 0, p_brand || 'x/', p_brand || '/') || p_partkey AS path")
+    return paths.unreflected(rows, "prefix", "path")
+
+
+@_proof("""WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS path FROM part) SELECT lower(path) AS folded, count(DISTINCT path) AS spellings FROM p GROUP BY 1 HAVING count(DISTINCT path) > 1""")
+def case_collisions(spark, d):
+    return paths.case_collisions(table(spark, d, "part").select(F.expr("IF(p_partkey % 2 = 0, upper(p_name), p_name)").alias("path")), "path")
+
+
+@_proof("""SELECT k.event_type, count(e.event_id) AS n FROM (VALUES ('view'), ('click'), ('purchase'), ('never')) AS k(event_type) LEFT JOIN events e ON e.event_type = k.event_type GROUP BY 1""")
+def kind_counts(spark, d):
+    return logs.kind_counts(table(spark, d, "events"), "event_type", ["view", "click", "purchase", "never"])
+
+
+@_proof("""SELECT user_id, event_id, was, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was <> event_type AND was || '>' || event_type NOT IN ('view>click', 'click>purchase')""")
+def transition_rule(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    return logs.forbidden_moves(e, "user_id", ["ts", "event_id"], "event_type", [("view", "click"), ("click", "purchase")]).select("user_id", "event_id", "was", "event_type")
+
+
+@_proof("""SELECT user_id, event_id, event_type, bound FROM (SELECT *, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bound FROM events) WHERE event_type <> bound""")
+def mode_binding(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    return logs.mode_faults(e, "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type", "bound")
+
+
+@_proof("""SELECT l_orderkey, arg_min(l_returnflag, l_linenumber * 1000 + ascii(l_returnflag)) FILTER (l_quantity > 40) AS l_returnflag FROM lineitem GROUP BY 1""")
+def first_blocking(spark, d):
+    return logs.first_blocking(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber", F.col("l_quantity") > 40)
+
+
+@_proof("""SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'blocked' WHEN bool_or(o_orderstatus = 'P') THEN 'partial' ELSE 'complete' END AS class FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def contract_class(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    return logs.contract_class(table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left"), "c_custkey", F.col("o_orderstatus") == "P")
