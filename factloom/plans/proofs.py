@@ -212,6 +212,45 @@ def bfs_rings(spark, d):
     return graph.hops(graph.undirected(_edges(spark, d)), spark.range(1, 2).withColumnRenamed("id", "node"), 2).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
 
 
+_LINES = "(SELECT l_suppkey, l_partkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS next_supp FROM lineitem)"
+_DEPENDENTS = f"""d AS (SELECT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM {_LINES}
+  UNION SELECT 'part:' || l_partkey, 'supplier:' || next_supp FROM {_LINES} WHERE next_supp IS NOT NULL)"""
+_FIRST = "SELECT 'supplier:' || min(l_suppkey) AS node, CAST(0 AS BIGINT) AS dist FROM lineitem HAVING count(*) > 0"
+
+
+def _dependents(spark, d) -> DataFrame:
+    """Edges of every row of lineitem: a supplier to its part, the part to the supplier of the order's next line."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
+    lines = table(spark, d, "lineitem").withColumn("next_supp", F.lead("l_suppkey").over(order))
+    supplier, part, following = (F.concat(F.lit(kind), F.col(c).cast("string")) for kind, c in (("supplier:", "l_suppkey"), ("part:", "l_partkey"), ("supplier:", "next_supp")))
+    return lines.select(supplier.alias("src"), part.alias("dst")).unionByName(lines.where("next_supp IS NOT NULL").select(part.alias("src"), following.alias("dst"))).distinct()
+
+
+def _first_supplier(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").agg(F.min("l_suppkey").alias("k")).where("k IS NOT NULL").select(F.concat(F.lit("supplier:"), F.col("k").cast("string")).alias("node"))
+
+
+@_proof(f"""WITH RECURSIVE {_DEPENDENTS}, r(node, dist) USING KEY (node) AS ({_FIRST}
+  UNION SELECT d.dst, min(r.dist) + 1 FROM r JOIN d ON d.src = r.node WHERE d.dst NOT IN (SELECT node FROM recurring.r) GROUP BY 1)
+SELECT node, dist FROM r""")
+def dependency_closure(spark, d):
+    return graph.hops(_dependents(spark, d), _first_supplier(spark, d))
+
+
+@_proof(f"""WITH RECURSIVE {_DEPENDENTS}, b AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d), r(node, dist) USING KEY (node) AS ({_FIRST}
+  UNION SELECT b.dst, min(r.dist) + 1 FROM r JOIN b ON b.src = r.node WHERE b.dst NOT IN (SELECT node FROM recurring.r) GROUP BY 1)
+SELECT dist AS ring, count(*) AS nodes FROM r GROUP BY 1""")
+def dependency_rings(spark, d):
+    return graph.hops(graph.undirected(_dependents(spark, d)), _first_supplier(spark, d)).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
+
+
+@_proof("""SELECT s_suppkey, s_nationkey AS k, CASE count(c_custkey) WHEN 0 THEN 'missing' WHEN 1 THEN 'bound' ELSE 'ambiguous' END AS status
+FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey GROUP BY s_suppkey, s_nationkey""")
+def binding_status_whole(spark, d):
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", "s_nationkey AS k")
+    return diff.cardinality(rows, table(spark, d, "customer").selectExpr("c_nationkey AS k"), "k")
+
+
 @_proof("""SELECT n_name, max(CASE WHEN c_mktsegment = 'BUILDING' THEN s END) AS building, max(CASE WHEN c_mktsegment = 'MACHINERY' THEN s END) AS machinery FROM (
 SELECT n_name, c_mktsegment, CASE WHEN bool_or(c_acctbal < 0) AND bool_or(c_acctbal >= 0) THEN 'conflict' WHEN bool_or(c_acctbal >= 0) THEN 'supported' ELSE 'unsupported' END AS s
 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) GROUP BY 1""")

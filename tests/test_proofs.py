@@ -45,3 +45,18 @@ def test_prefix_budget_stops_at_the_first_misfit(spark):
 def test_literal_zero_divisor_is_refused():
     with pytest.raises(ValueError):
         rules.derived(["div", {"ref": "a"}, {"const": 0}])
+
+
+def test_dependency_queries_reach_past_twenty_edges_and_keep_every_id(spark, tmp_path):
+    lines = [(1, i, 1000 + i, 200 + i) for i in range(1, 16)] + [(2, 3, 5000, 300)]  # one order of 15 lines: 29 edges in a row
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {f"supplier:{200 + i}": 2 * i - 2 for i in range(1, 16)} | {f"part:{1000 + i}": 2 * i - 1 for i in range(1, 16)}
+    assert {r["node"]: r["dist"] for r in proofs.queries()["dependency_closure"](spark, str(tmp_path)).collect()} == want
+    assert {r["ring"]: r["nodes"] for r in proofs.queries()["dependency_rings"](spark, str(tmp_path)).collect()} == {k: 1 for k in range(30)}
+
+
+def test_binding_sees_the_whole_catalog(spark, tmp_path):
+    spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 10), (2, 11), (3, 11)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = proofs.queries()["binding_status_whole"](spark, str(tmp_path)).collect()
+    assert {r["s_suppkey"]: r["status"] for r in got} == {1: "bound", 2: "ambiguous", 3: "missing"}
