@@ -305,8 +305,9 @@ def _open(shared: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has a row for each row of docs (doc_id, n_shingles, cls, component_id), links pairs of
-    classes (a, b) whose links make up the components.
+    """(members, links): members has a row for each row of docs (doc_id, n_shingles, cls, component_id, key, first), links
+    pairs of classes (a, b) whose links make up the components.  key is the row's hash of doc_id and text; first marks the
+    rows of the component's smallest (doc_id, key), null ids last.
 
     - null text, or one without words: an empty set, linked with nothing, its own component
     - repeated rows and equal sets share a class; a null doc_id takes part, and names no component unless all ids are null
@@ -320,7 +321,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     schema = "doc_id long, key long, n long, cls long, firsts array<long>, bits array<long>, chunk int, counts binary"
     signatures = written(docs.mapInPandas(_signatures(width), schema), "signatures")
     sketch = spark.sparkContext.broadcast(sketch_of(signatures))  # SKETCH bytes
-    members = signatures.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    members = signatures.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls", "key")
 
     blobs = docs.where("text IS NOT NULL").mapInPandas(_emit(width, percent, n_parts, sketch), "bucket int, tokens binary, own binary, place binary, cls binary, n binary")
     shared = written(blobs.repartition(n_parts, "bucket").mapInPandas(_meet(percent), "token long, cls long, n long, place long"), "prefixes")
@@ -345,17 +346,27 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
             merged = components(links)
 
     placed = members.join(merged, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = placed.where("comp IS NOT NULL").join(least, "comp").select("doc_id", "n_shingles", "cls", "component_id")
-    return out.unionByName(placed.where("comp IS NULL").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id"))), links
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(rank).alias("least"))
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
+    out = placed.where("comp IS NOT NULL").join(least, "comp").select("doc_id", "n_shingles", "cls", "component_id", "key", first.alias("first"))
+    return out.unionByName(placed.where("comp IS NULL").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id"), "key", F.lit(True).alias("first"))), links
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; one row stays for rows that repeat an id and text.
+    """One row of docs for each component: that of the smallest (doc_id, hash of id and text), null ids last.
 
-    Rows with a null doc_id stay.
+    - other texts with the id of a dropped row stay, unless they are copies themselves
+    - rows that repeat an id and text: one stays
+    - null texts and ones without words are copies of nothing; of those without an id, every row stays
     """
     members, _ = join(docs)
-    gone = members.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    fate = members.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), F.bool_and("first").alias("first"), F.max("n_shingles").alias("n"))
+    fate = written(fate.where("NOT first OR (rows > 1 AND (doc_id IS NOT NULL OR n > 0))").select(F.col("doc_id").alias("at_id"), F.col("key").alias("at_key"), "first"), "fate")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("key") == F.col("at_key"))
+    once = rows.join(fate, same, "left_anti").select("row.*")
+    repeats = fate.where("first")
+    if not repeats.limit(1).count():
+        return once
+    return once.unionByName(rows.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"]).select("row.*"))

@@ -207,3 +207,19 @@ def test_parity_maps_differ_in_no_more_bits_than_tokens_are_apart():
         if len(a) < len(b):
             b = b[: len(a)] ^ b[len(a) :]
         assert len(a) == len(b) and int((a ^ b).sum()) <= n + m - 2 * common
+
+
+def test_one_row_of_each_group_stays_and_no_other_text(spark):
+    other = " ".join(f"w{k}" for k in range(40))
+    third = " ".join(f"v{k}" for k in range(40))
+    rows = [
+        (1, LINE, "a"), (2, LINE, "b"), (2, other, "c"),  # a copy beside another text of the same id
+        (3, third, "d"), (3, third, "d"), (3, third, "d"), (None, third, "e"),  # a repeated row, and a copy without an id
+        (None, "only without an id", "f"), (None, "only without an id", "f"), (4, None, "g"), (4, None, "g"), (5, " ", "h"), (None, "", "i"), (None, "", "i"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, key string")
+    got = jaccard_join.representatives(docs)
+    assert got.schema.names == docs.columns and got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    want = [(1, LINE, "a"), (2, other, "c"), (3, third, "d"), (None, "only without an id", "f"), (4, None, "g"), (5, " ", "h"), (None, "", "i"), (None, "", "i")]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert jaccard_join.representatives(docs.where("false")).count() == 0
