@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    """Runs of ASCII letters and digits, split where camel case begins a word, in lower case."""
+    spaced = F.regexp_replace(F.coalesce(c, F.lit("")), "([a-z0-9])([A-Z])|([A-Z]+)([A-Z][a-z])", "$1$3 $2$4")
+    return F.transform(F.filter(F.split(spaced, "[^a-zA-Z0-9]+"), lambda x: x != ""), F.lower)
 
 
 def tokens_match(text: Column, term: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import tokens, tokens_match
@@ -33,3 +33,24 @@ def score_gap(rows: DataFrame, key: str, score: str, tie: str, least: float) ->
     w = Window.partitionBy(key).orderBy(F.desc(score), tie)
     ranked = rows.withColumn("second", F.lead(score).over(w)).withColumn("r", F.row_number().over(w)).where("r = 1")
     return ranked.select(key, tie, score, (F.col(score) - F.col("second")).alias("gap")).withColumn("ambiguous", F.coalesce(F.col("gap") < least, F.lit(False)))
+
+
+def top_sources(scored: DataFrame, score: str, name: str, least: int = 25, take: int = 4) -> DataFrame:
+    """The `take` best rows (16 at most) of those that score `least` or more; ties to the smaller name."""
+    return scored.where(F.col(score) >= least).orderBy(F.desc(score), name).limit(min(take, 16))
+
+
+def combined(states: Column) -> Column:
+    """One state for an array of distinct states; none at all, or null, is unknown."""
+    has = lambda s: F.array_contains(states, s)
+    return (
+        F.when(F.coalesce(F.size(states), F.lit(0)) < 1, "unknown").when(F.size(states) == 1, F.get(states, F.lit(0)))
+        .when(has("conflict"), "conflict").when(has("unknown"), "unknown").when(has("supported") & has("unsupported"), "conflict")
+        .when(has("partial") | has("supported"), "partial").when(has("unsupported"), "unsupported").otherwise("not-applicable")
+    )
+
+
+def support_matrix(rows: DataFrame, key: str, capability: str, state: str, names: list[str]) -> DataFrame:
+    """key and a column for each of these capabilities with its combined state."""
+    sets = rows.groupBy(key).pivot(capability, names).agg(F.collect_set(state))
+    return sets.select(key, *(combined(F.col(f"`{n}`")).alias(n) for n in names))

@@ -23,6 +23,12 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFra
     return seen
 
 
+def invalidated(edges: DataFrame, nodes: DataFrame, changed: DataFrame, everything: bool = False) -> DataFrame:
+    """hops from the changed nodes over edges dependency to dependent; from all nodes (node) too where everything is set."""
+    seeds = changed.select("node").unionByName(nodes.select("node")) if everything else changed
+    return hops(edges, seeds)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

@@ -376,3 +376,26 @@ def first_blocking(spark, d):
 def contract_class(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
     return logs.contract_class(table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left"), "c_custkey", F.col("o_orderstatus") == "P")
+
+
+@_proof(f"""WITH {_MATCHED}, g AS (SELECT module, CAST(sum(weight) AS BIGINT) AS score FROM k WHERE r <= 5 GROUP BY module)
+SELECT module, score FROM g WHERE score >= 25 ORDER BY score DESC, module LIMIT 4""")
+def top_sources(spark, d):
+    return evidence.top_sources(evidence.scores(_part_facts(spark, d), TERMS).select("module", "score"), "score", "module")
+
+
+_STATE = "CASE WHEN c_acctbal < 0 THEN 'unsupported' WHEN c_acctbal < 2500 THEN 'partial' WHEN c_acctbal < 4000 THEN 'not-applicable' ELSE 'supported' END"
+_SEGMENTS = ["BUILDING", "MACHINERY"]
+
+
+def _cell(segment: str) -> str:
+    n = lambda s: f"count(*) FILTER (c_mktsegment = '{segment}' AND s = '{s}')"
+    kinds = f"count(DISTINCT s) FILTER (c_mktsegment = '{segment}')"
+    return f"""CASE {kinds} WHEN 0 THEN 'unknown' WHEN 1 THEN max(s) FILTER (c_mktsegment = '{segment}') ELSE
+CASE WHEN {n("supported")} > 0 AND {n("unsupported")} > 0 THEN 'conflict' WHEN {n("partial")} + {n("supported")} > 0 THEN 'partial' ELSE 'unsupported' END END AS "{segment}\""""
+
+
+@_proof(f"SELECT n_name, {', '.join(map(_cell, _SEGMENTS))} FROM (SELECT *, {_STATE} AS s FROM customer) JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def support_matrix(spark, d):
+    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return evidence.support_matrix(rows.withColumn("s", F.expr(_STATE)), "n_name", "c_mktsegment", "s", _SEGMENTS)

@@ -5,7 +5,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from factloom.operators import graph, logs, rules
+from factloom.functions import columns
+from factloom.operators import evidence, graph, logs, rules
 from factloom.plans import proofs
 
 DATA = Path("/root/testdata/sf0.001")
@@ -60,3 +61,32 @@ def test_binding_sees_the_whole_catalog(spark, tmp_path):
     spark.createDataFrame([(1, 10), (2, 11), (3, 11)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     got = proofs.queries()["binding_status_whole"](spark, str(tmp_path)).collect()
     assert {r["s_suppkey"]: r["status"] for r in got} == {1: "bound", 2: "ambiguous", 3: "missing"}
+
+
+def test_tokens_split_camel_case(spark):
+    rows = spark.createDataFrame([(1, "APIController orgId2Name"), (2, None), (3, "cold_BOLT")], "i int, s string").select("i", columns.tokens("s").alias("t"))
+    assert [r["t"] for r in rows.orderBy("i").collect()] == [["api", "controller", "org", "id2", "name"], [], ["cold", "bolt"]]
+    facts = spark.createDataFrame([("m", "name", 10, 1, "APIController")], "module string, signal string, weight int, ordinal long, value string")
+    assert evidence.matches(facts, ["controller"]).count() == 1
+
+
+def test_top_sources_has_a_threshold_and_four_places(spark):
+    scored = spark.createDataFrame([("a", 24), ("b", 25), ("e", 30), ("d", 30), ("c", 99), ("f", 26)], "path string, score int")
+    assert [r["path"] for r in evidence.top_sources(scored, "score", "path").collect()] == ["c", "d", "e", "f"]
+
+
+def test_combined_states(spark):
+    cases = [
+        ([], "unknown"), (["conflict"], "conflict"), (["partial", "unknown"], "unknown"), (["unknown", "conflict"], "conflict"), (["supported", "unsupported", "partial"], "conflict"),
+        (["supported", "not-applicable"], "partial"), (["unsupported", "partial"], "partial"), (["unsupported", "not-applicable"], "unsupported"), (["supported"], "supported"),
+    ]
+    rows = [("r", f"c{i}", s) for i, (states, _) in enumerate(cases) for s in states]
+    got = evidence.support_matrix(spark.createDataFrame(rows, "k string, c string, s string"), "k", "c", "s", [f"c{i}" for i in range(len(cases))]).first()
+    assert list(got)[1:] == [want for _, want in cases]
+
+
+def test_invalidation_starts_from_every_changed_node(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 4)], "src long, dst long")
+    nodes, changed = spark.range(1, 7).toDF("node"), spark.createDataFrame([(1,), (3,)], "node long")
+    assert {r["node"] for r in graph.invalidated(edges, nodes, changed).collect()} == {1, 2, 3, 4}
+    assert {r["node"] for r in graph.invalidated(edges, nodes, changed.where("false"), True).collect()} == set(range(1, 7))
