@@ -42,3 +42,14 @@ def path_params(c: Column) -> Column:
 def shape_hash(*cols: Column) -> Column:
     """sha256 of the values, nulls told apart from empty strings."""
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in cols)), 256)
+
+
+def csv_field(c: Column) -> Column:
+    """A CSV field: quoted only for a double quote, comma, CR or LF; null is empty."""
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(c.rlike('["\n\r,]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def csv_record(*cols: Column) -> Column:
+    """A CSV record without its line end."""
+    return F.concat_ws(",", *map(csv_field, cols))

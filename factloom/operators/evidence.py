@@ -54,3 +54,9 @@ def support_matrix(rows: DataFrame, key: str, capability: str, state: str, names
     """key and a column for each of these capabilities with its combined state."""
     sets = rows.groupBy(key).pivot(capability, names).agg(F.collect_set(state))
     return sets.select(key, *(combined(F.col(f"`{n}`")).alias(n) for n in names))
+
+
+def populated(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(field, populated) for each of these columns: how many rows have a value that is not empty."""
+    counts = rows.agg(*(F.count_if(F.col(c).cast("string") != "").alias(c) for c in names))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("populated")) for c in names))).alias("f")).select("f.*")

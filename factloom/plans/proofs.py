@@ -399,3 +399,27 @@ CASE WHEN {n("supported")} > 0 AND {n("unsupported")} > 0 THEN 'conflict' WHEN {
 def support_matrix(spark, d):
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     return evidence.support_matrix(rows.withColumn("s", F.expr(_STATE)), "n_name", "c_mktsegment", "s", _SEGMENTS)
+
+
+_FIELDS = {"documents": ["doc_id", "lang", "source", "n_chars", "text"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
+
+
+def _csv_sql(name: str, key: str) -> str:
+    texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _FIELDS[name])
+    special = " OR ".join(f"contains(x, {c})" for c in ("chr(34)", "chr(44)", "chr(13)", "chr(10)"))
+    return f"SELECT {key}, array_to_string(list_transform([{texts}], lambda x: CASE WHEN {special} THEN chr(34) || replace(x, chr(34), repeat(chr(34), 2)) || chr(34) ELSE x END), ',') AS record FROM {name}"
+
+
+@_proof(_csv_sql("documents", "doc_id"))
+def csv_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", C.csv_record(*map(F.col, _FIELDS["documents"])).alias("record"))
+
+
+@_proof(_csv_sql("orders", "o_orderkey"))
+def csv_orders(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", C.csv_record(*map(F.col, _FIELDS["orders"])).alias("record"))
+
+
+@_proof(" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER (length(CAST({c} AS VARCHAR)) > 0) AS populated FROM documents" for c in _FIELDS["documents"]))
+def csv_populated(spark, d):
+    return evidence.populated(table(spark, d, "documents"), _FIELDS["documents"])

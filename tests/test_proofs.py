@@ -90,3 +90,11 @@ def test_invalidation_starts_from_every_changed_node(spark):
     nodes, changed = spark.range(1, 7).toDF("node"), spark.createDataFrame([(1,), (3,)], "node long")
     assert {r["node"] for r in graph.invalidated(edges, nodes, changed).collect()} == {1, 2, 3, 4}
     assert {r["node"] for r in graph.invalidated(edges, nodes, changed.where("false"), True).collect()} == set(range(1, 7))
+
+
+def test_csv_quotes_no_more_than_it_must(spark):
+    rows = [(1, "5-LOW", "a,b"), (2, 'say "x"', "two\nlines"), (3, None, "cr\rhere"), (4, "", "plain")]
+    made = spark.createDataFrame(rows, "k int, a string, b string")
+    got = [r["line"] for r in made.select("k", columns.csv_record(*(made[c] for c in "kab")).alias("line")).orderBy("k").collect()]
+    assert got == ['1,5-LOW,"a,b"', '2,"say ""x""","two\nlines"', '3,,"cr\rhere"', "4,,plain"]
+    assert {r["field"]: r["populated"] for r in evidence.populated(made, ["k", "a", "b"]).collect()} == {"k": 4, "a": 2, "b": 4}
