@@ -1,15 +1,16 @@
 """N-gram Jaccard self-join with prefix filters under several global token orders.
 
 Documents with equal shingle sets form one class and are joined once.  Two sets of similarity t or more share a token among
-the first n - ceil(t n) + 1 of either, in any global order.  Orders put tokens that a fixed-size count sketch finds frequent
-last, so passages that many documents share rarely enter a prefix; ties are broken by different hashes.  The first order
-makes candidates by a shuffle on the token; the other orders' prefixes must meet as well before a pair is verified on its
-whole sets.  Sets are made only for pairs whose parity maps allow a link: tokens outside the intersection alone tell two
-maps apart, so maps that differ in more bits than a linked pair has such tokens rule the link out, and lose none.
-
-A bucket of a token does not emit all its pairs.  Every class first meets a few pivots, classes with the same first token in
-one of several orders; what that links is merged, and only classes of a bucket that still lie in different components are
-compared with each other, which loses no component.
+the first n - ceil(t n) + 1 of either, in any global order.  Order 1 puts tokens that a fixed-size count sketch finds
+frequent last, so passages that many documents share rarely enter a prefix; orders 2 and 3 are two independent hashes.
+A pair is a candidate only if its prefixes meet under all three: the token of order 1 brings classes together, and inside
+its bucket the prefixes of orders 2 and 3 are intersected before any pair leaves the task.  Whole sets are made only for
+candidates, and of those only where parity maps allow a link: tokens outside the intersection alone tell two maps apart, so
+maps that differ in more bits than a linked pair has such tokens rule the link out, and lose none.
+
+A bucket of a token does not emit all its pairs.  Every class first meets the least class with the same first token of
+order 2 or 3; what that links is merged, and only classes of a bucket that still lie in different components are compared
+with each other, which loses no component.  A large bucket is dealt out once more by the tokens of order 2.
 """
 
 from __future__ import annotations
@@ -26,51 +27,68 @@ from .shingles import class_of, mix, sets
 
 SKETCH = 1 << 20
 CHUNK = 1 << 14
-ORDERS = (1, 2, 3)
-#: Orders whose first token alone finds a class its pivots.
-FIRSTS = (2, 3, 4, 5)
+#: The order by frequency, and those by a hash alone.
+FREQUENCY, HASHED = 1, (2, 3)
 _TEXTS = 256
 _MEMBERS = 256
 _BITS = 1 << 24
-_MAP = 1024
+_MAP = 256
 
 
 def enough(common, n, m, percent: int):
     return 100 * common >= percent * (n + m - common)
 
 
-def prefix(s: np.ndarray, order: int, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set in a global order, in that order: rare before frequent by the sketch, then by a hash."""
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set in order 1, in that order: rare before frequent by the sketch, then by a hash."""
     n = len(s)
-    k = n - -(-percent * n // 100) + 1
-    key = np.minimum(mix(s, order) >> np.uint64(6), np.uint64((1 << 58) - 1)) | (sketch[(s >> np.uint64(20)) & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(58))
+    k = prefix_length(n, percent)
+    key = np.minimum(mix(s, FREQUENCY) >> np.uint64(6), np.uint64((1 << 58) - 1)) | (sketch[(s >> np.uint64(20)) & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(58))
     head = np.argpartition(key, k - 1)[:k] if k < n else np.arange(n)
     return s[head[np.argsort(key[head])]]
 
 
+def hashed_prefix(s: np.ndarray, order: int, percent: int) -> tuple[int, np.ndarray]:
+    """The first token of a set in an order by hash, and 32 bits of each token of the prefix, sorted."""
+    h, k = mix(s, order), prefix_length(len(s), percent)
+    if k < len(h):
+        h = np.partition(h, k - 1)[:k]
+    return int(h.min().view(np.int64)), np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
 def parity(s: np.ndarray) -> np.ndarray:
-    """_MAP bits or more, a power of two with a bit for each token, as signed 64-bit numbers; each token turns one over."""
-    size = max(_MAP, 1 << (len(s) - 1).bit_length())
+    """_MAP bits or more, a power of two with two bits for each token, as signed 64-bit numbers; each token turns one over."""
+    size = max(_MAP, 2 << (len(s) - 1).bit_length())
     odd = np.bincount((mix(s, 9) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def _signatures(width: int):
+def _signatures(width: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, empty = np.zeros(SKETCH, dtype=np.uint32), True
         for pdf in batches:
             got, texts = [], pdf["text"].tolist()
             for i in range(0, len(texts), _TEXTS):
                 for s in sets(texts[i : i + _TEXTS], width):
-                    got.append((len(s), class_of(s), [int(mix(s, o).min().view(np.int64)) for o in FIRSTS], parity(s)) if len(s) else (0, None, None, None))
+                    if len(s):
+                        firsts, heads = zip(*(hashed_prefix(s, o, percent) for o in HASHED), strict=True)
+                        got.append((len(s), class_of(s), firsts, *heads, parity(s)))
+                    else:
+                        got.append((0, None, None, None, None, None))
                     np.add.at(counts, (s >> np.uint64(20)) & np.uint64(SKETCH - 1), 1)
             empty = False
-            n, cls, firsts, bits = zip(*got, strict=True) if got else ([], [], [], [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "n": n, "cls": pd.array(cls, dtype="Int64"), "firsts": firsts, "bits": bits, "chunk": pd.array([None] * len(n), dtype="Int32"), "counts": None})
+            n, cls, firsts, second, third, bits = zip(*got, strict=True) if got else ([],) * 6
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "n": n, "cls": pd.array(cls, dtype="Int64"), "firsts": firsts, "second": second, "third": third,
+                                "bits": bits, "chunk": pd.array([None] * len(n), dtype="Int32"), "counts": None})
         if not empty:
             for c in range(0, SKETCH, CHUNK):
                 none = pd.array([None], dtype="Int64")
-                yield pd.DataFrame({"doc_id": none, "key": none, "n": [0], "cls": none, "firsts": [None], "bits": [None], "chunk": pd.array([c // CHUNK], dtype="Int32"), "counts": [counts[c : c + CHUNK].tobytes()]})
+                yield pd.DataFrame({"doc_id": none, "key": none, "n": [0], "cls": none, "firsts": [None], "second": [None], "third": [None],
+                                    "bits": [None], "chunk": pd.array([c // CHUNK], dtype="Int32"), "counts": [counts[c : c + CHUNK].tobytes()]})
 
     return run
 
@@ -103,7 +121,7 @@ def _emit(width: int, percent: int, buckets: int, sketch):
                 for j in range(i, min(len(texts), i + 2048), _TEXTS):
                     for s in sets(texts[j : min(j + _TEXTS, i + 2048)], width):
                         if len(s) and (c := class_of(s)) not in known:
-                            known[c] = len(s), prefix(s, ORDERS[0], sketch.value, percent)
+                            known[c] = len(s), prefix(s, sketch.value, percent)
                 if not known:
                     continue
                 token = np.concatenate([p for _, p in known.values()])
@@ -123,8 +141,8 @@ def _emit(width: int, percent: int, buckets: int, sketch):
     return run
 
 
-def _meet(percent: int):
-    """(token, cls, n) of the tokens that two classes or more have in their prefixes; a task holds whole buckets."""
+def _meet():
+    """(token, cls, n, place) of the tokens that two classes or more have in their prefixes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token, cls, n, place = [], [], [], []
@@ -162,23 +180,18 @@ def _sets(width: int):
     return run
 
 
-def _verify(percent: int, sketch):
+def _verify(percent: int):
     """Links (a, b) from rows that are sorted by (pivot, salt) with the pivot's own set first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, mine, heads = None, None, None
+        at, mine = None, None
         for pdf in batches:
             links = []
             for pivot, member, head, raw in zip(pdf["pivot"], pdf["member"], pdf["head"], pdf["tokens"], strict=True):
                 s = np.frombuffer(raw, "<u8")
                 if head:
-                    at, mine, heads = pivot, s, None
-                    continue
-                if at != pivot or 100 * min(len(s), len(mine)) < percent * max(len(s), len(mine)):
-                    continue
-                if heads is None:
-                    heads = [prefix(mine, o, sketch.value, percent) for o in ORDERS[1:]]
-                if all(np.isin(prefix(s, o, sketch.value, percent), h).any() for o, h in zip(ORDERS[1:], heads, strict=True)):
+                    at, mine = pivot, s
+                elif at == pivot:
                     common = int((mine[np.minimum(np.searchsorted(mine, s), len(mine) - 1)] == s).sum())
                     if enough(common, len(mine), len(s), percent):
                         links.append((pivot, member))
@@ -187,21 +200,38 @@ def _verify(percent: int, sketch):
     return run
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose parity maps differ in no more bits than linked sets of their sizes have tokens apart."""
-
-    def side(end: str) -> DataFrame:
-        return classes.select(F.col("cls").alias(end), F.col("n").alias(f"{end}_n"), F.col("bits").alias(f"{end}_bits"))
-
-    def folded(own: str, other: str) -> str:
-        """The map laid over itself, so that it is as long as the other one."""
-        halves = f"zip_with(slice({own}, 1, size({other})), slice({own}, size({other}) + 1, size({other})), (x, y) -> x ^ y)"
-        return f"IF(size({own}) > size({other}), {halves}, {own})"
-
-    differ = f"aggregate(zip_with({folded('pivot_bits', 'member_bits')}, {folded('member_bits', 'pivot_bits')}, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
-    both = pairs.join(side("pivot"), "pivot").join(side("member"), "member").where(f"100 * least(pivot_n, member_n) >= {percent} * greatest(pivot_n, member_n)")
-    far = "greatest(size(pivot_bits), size(member_bits)) > 2 * least(size(pivot_bits), size(member_bits))"  # only below 50 percent
-    return both.where(f"{far} OR {100 + percent} * {differ} <= {100 - percent} * (pivot_n + member_n)").select("pivot", "member")
+def meet_under(heads: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a[i], b[i]) of rows have a token in common in their prefixes of one order."""
+    size = np.array([len(h) for h in heads])
+    row = np.repeat(np.arange(len(heads), dtype=np.uint64), size)
+    known = (row << np.uint64(32)) | np.concatenate(heads).view(np.uint32)  # sorted: row by row, each prefix sorted
+    start = np.cumsum(size) - size
+    out = np.zeros(len(a), dtype=bool)
+    for i in range(0, len(a), _PAIRS):
+        x, y = a[i : i + _PAIRS], b[i : i + _PAIRS]
+        pair = np.repeat(np.arange(len(x)), size[x])
+        at = np.arange(len(pair)) + np.repeat(start[x] - np.cumsum(size[x]) + size[x], size[x])
+        want = (known[at] & np.uint64(0xFFFFFFFF)) | (y[pair].astype(np.uint64) << np.uint64(32))
+        hit = known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want
+        out[i + pair[hit]] = True
+    return out
+
+
+def maps_allow(bits: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs have parity maps that differ in no more bits than linked sets of their sizes have tokens apart."""
+    words = np.array([len(x) for x in bits])
+    out = np.ones(len(a), dtype=bool)
+    kind = words[a] * (1 << 32) + words[b]
+    for k in np.unique(kind).tolist():
+        of = np.flatnonzero(kind == k)
+        least = min(k >> 32, k & 0xFFFFFFFF)
+        for i in range(0, len(of), _PAIRS):
+            at = of[i : i + _PAIRS]
+            # the longer map laid over itself, so that it is as long as the other one
+            x, y = (np.bitwise_xor.reduce(np.stack([bits[j] for j in side[at]]).view(np.uint64).reshape(len(at), -1, least), axis=1) for side in (a, b))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            out[at] = (100 + percent) * differ <= (100 - percent) * (n[a[at]] + n[b[at]])
+    return out
 
 
 def _held(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -214,17 +244,16 @@ def _held(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return written(some.select("text").mapInPandas(_sets(width), "cls long, tokens binary"), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int, sketch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (pivot, member) that link.  A pivot with many members is copied to several tasks."""
     n = parts(pairs.sparkSession)
-    pairs = written(_likely(pairs, classes, percent), "likely")
     ends = pairs.select(F.explode(F.array("pivot", "member")).alias("cls")).distinct()
     held = _held(docs, classes.join(ends, "cls", "left_semi"), width)
     many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / _MEMBERS).alias("salts"))
     members = pairs.join(many, "pivot").select("pivot", F.pmod(F.xxhash64("member"), "salts").alias("salt"), "member", F.lit(False).alias("head")).join(held.withColumnRenamed("cls", "member"), "member")
     heads = many.join(held.withColumnRenamed("cls", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("member"), F.lit(True).alias("head"), "tokens")
     rows = heads.unionByName(members.select(*heads.columns)).repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("head"))
-    return rows.mapInPandas(_verify(percent, sketch), "a long, b long")
+    return rows.mapInPandas(_verify(percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,44 +272,87 @@ def components(links: DataFrame) -> DataFrame:
 
 
 _LONG = 512
+_PAIRS = 1 << 14
+#: Buckets of more open rows are dealt out by the tokens of order 2.
+_SPLIT = 1 << 12
+
+
+def _tried(start: np.ndarray, length: np.ndarray, comp: np.ndarray, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of each bucket: all of different components, those at most `reach` apart, or (0) those with the first."""
+    rows = int(length.sum())
+    if reach == 0:
+        yield np.repeat(start, length - 1), np.delete(np.arange(rows), start)
+        return
+    loop = (length <= _LONG) if reach is None else (length > 0)
+    short, left = np.repeat(loop, length), np.repeat(start + length, length) - np.arange(rows)  # rows of the bucket from here on
+    for k in range(1, min(int(length[loop].max(initial=0)), (reach or _LONG) + 1)):
+        a = np.flatnonzero(short & (left > k))
+        yield a, a + k
+    for s, c in zip(start[~loop], length[~loop], strict=True):
+        _, which, size = np.unique(comp[s : s + c], return_inverse=True, return_counts=True)
+        for i in np.argsort(size, kind="stable"):  # classes of the smaller components against all later ones
+            later = s + np.flatnonzero((size[which] > size[i]) | ((size[which] == size[i]) & (which > i)))
+            for j in s + np.flatnonzero(which == i):
+                yield np.full(len(later), j), later
+
+
+def _near(pdf: pd.DataFrame, percent: int, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tried pairs of different components whose sizes, and the places of this token, allow a link."""
+    token, comp, n, place = (pdf[c].to_numpy() for c in ("token", "comp", "n", "place"))
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    rest = n - place
+    for a, b in _tried(start, np.diff(np.append(start, len(token))), comp, reach):
+        ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        # If this is the sets' first common token, at most what stands from it on is common; for any later common token
+        # less is, so a pair that links passes at its first one.
+        ok &= np.minimum(rest[a], rest[b]) * (100 + percent) >= percent * (n[a] + n[b])
+        if ok.any():
+            yield a[ok], b[ok]
+
+
+def _partnered(percent: int, reach: int | None):
+    """The rows that have a partner in their bucket."""
+
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        has = np.zeros(len(pdf), dtype=bool)
+        for a, b in _near(pdf, percent, reach):
+            has[a], has[b] = True, True
+        yield pdf[has]
+
+    return _by_token(run)
+
+
+def _candidates(percent: int, reach: int | None):
+    """Pairs of a bucket that pass all filters."""
+
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        cls, n = pdf["cls"].to_numpy(), pdf["n"].to_numpy()
+        second, third, bits = (pdf[c].tolist() for c in ("second", "third", "bits"))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        out: set[tuple[int, int]] = set()
+
+        def judged() -> None:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for passes in (lambda: meet_under(second, a, b), lambda: meet_under(third, a, b), lambda: maps_allow(bits, n, a, b, percent)):
+                ok = passes()
+                a, b = a[ok], b[ok]
+            out.update(zip(np.minimum(cls[a], cls[b]).tolist(), np.maximum(cls[a], cls[b]).tolist(), strict=True))
+
+        for pair in _near(pdf, percent, reach):
+            held.append(pair)
+            if sum(len(a) for a, _ in held) >= _PAIRS:
+                judged()
+        if held:
+            judged()
+        if out:
+            yield pd.DataFrame(sorted(out), columns=["pivot", "member"])
 
+    return _by_token(run)
 
-def _across(percent: int, reach: int | None):
-    """Pairs of a bucket that lie in different components, from rows sorted by token and size: all, or those of rows that
-    stand at most `reach` apart."""
-
-    def may(n, m, n_rest, m_rest):
-        """Can the sets link if this is their first common token?  At most what stands from it on is common; for any later
-        common token less does, so a pair that links passes at its first one."""
-        return np.minimum(n_rest, m_rest) * (100 + percent) >= percent * (n + m)
 
-    def long_run(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
-        for i in np.argsort(size, kind="stable"):  # classes of the smaller components against all later ones
-            later = (size[which] > size[i]) | ((size[which] == size[i]) & (which > i))
-            for j in np.flatnonzero(which == i):
-                got = cls[later & may(n, n[j], rest, rest[j])]
-                yield np.full(len(got), cls[j]), got
-
-    def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token, cls, comp, n, place = (pdf[c].to_numpy() for c in ("token", "cls", "comp", "n", "place"))
-        rest = n - place
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        length = np.diff(np.append(start, len(token)))
-        out = []
-        loop = (length <= _LONG) if reach is None else (length > 0)
-        short = np.repeat(loop, length)
-        left = np.repeat(start + length, length) - np.arange(len(token))  # rows of the run from here on
-        for k in range(1, min(int(length[loop].max(initial=0)), (reach or _LONG) + 1)):
-            a = np.flatnonzero(short & (left > k))
-            b = a + k
-            ok = (comp[a] != comp[b]) & may(n[a], n[b], rest[a], rest[b])
-            out.append((cls[a[ok]], cls[b[ok]]))
-        for s, c in zip(start[~loop], length[~loop], strict=True):
-            out += long_run(cls[s : s + c], comp[s : s + c], n[s : s + c], rest[s : s + c])
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pd.DataFrame({"pivot": np.minimum(a, b), "member": np.maximum(a, b)}).drop_duplicates()
+def _by_token(each):
+    """Runs `each` on whole buckets of rows that come token by token."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
@@ -290,18 +362,38 @@ def _across(percent: int, reach: int | None):
                 whole = pdf["token"].to_numpy() != pdf["token"].iloc[-1]
                 left = pdf[~whole]
                 if whole.any():
-                    yield from pairs(pdf[whole])
+                    yield from each(pdf[whole])
         if left is not None and len(left):
-            yield from pairs(left)
+            yield from each(left)
 
     return run
 
 
+def _met(rows: DataFrame, classes: DataFrame, percent: int, reach: int | None) -> DataFrame:
+    """Candidates (pivot, member) from rows (token, cls, comp, n, place).  Rows without a partner by size and place go first:
+    only the others are worth the prefixes of orders 2 and 3."""
+    order = ["cls"] if reach == 0 else ["n", "cls"]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts(rows.sparkSession), "token").sortWithinPartitions("token", *order)
+
+    if reach != 0:
+        rows = dealt(rows).mapInPandas(_partnered(percent, reach), "token long, cls long, comp long, n long, place long")
+    wide = rows.join(classes.select("cls", "second", "third", "bits"), "cls")
+    return dealt(wide).mapInPandas(_candidates(percent, reach), "pivot long, member long").distinct()
+
+
 def _open(shared: DataFrame, merged: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold classes of several components, with comp."""
-    at = shared.join(merged, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ends = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return at.join(ends, "token", "left_semi")
+    """Rows of the buckets that hold classes of several components, with comp and the size of the bucket."""
+    at = shared.join(merged, "cls", "left").select("token", "cls", F.coalesce("comp", "cls").alias("comp"), "n", "place")
+    ends = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return at.join(ends.select("token", "size"), "token")
+
+
+def _dealt(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows, those of large buckets once for each token of their prefix of order 2, in a bucket of both tokens."""
+    large = rows.where(F.col("size") > _SPLIT).join(classes.select("cls", "second"), "cls").withColumn("other", F.explode("second"))
+    return rows.where(F.col("size") <= _SPLIT).drop("size").unionByName(large.select(F.xxhash64("token", "other").alias("token"), "cls", "comp", "n", "place"))
 
 
 def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -318,29 +410,26 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     reach_workers(spark)
     n_parts = parts(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    schema = "doc_id long, key long, n long, cls long, firsts array<long>, bits array<long>, chunk int, counts binary"
-    signatures = written(docs.mapInPandas(_signatures(width), schema), "signatures")
+    schema = "doc_id long, key long, n long, cls long, firsts array<long>, second array<int>, third array<int>, bits array<long>, chunk int, counts binary"
+    signatures = written(docs.mapInPandas(_signatures(width, percent), schema), "signatures")
     sketch = spark.sparkContext.broadcast(sketch_of(signatures))  # SKETCH bytes
     members = signatures.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls", "key")
 
     blobs = docs.where("text IS NOT NULL").mapInPandas(_emit(width, percent, n_parts, sketch), "bucket int, tokens binary, own binary, place binary, cls binary, n binary")
-    shared = written(blobs.repartition(n_parts, "bucket").mapInPandas(_meet(percent), "token long, cls long, n long, place long"), "prefixes")
-    one = signatures.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "firsts", "bits")).alias("m")).select("cls", "m.*")
+    shared = written(blobs.repartition(n_parts, "bucket").mapInPandas(_meet(), "token long, cls long, n long, place long"), "prefixes")
+    one = signatures.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "firsts", "second", "third", "bits")).alias("m")).select("cls", "m.*")
     classes = written(one.join(shared.select("cls").distinct(), "cls", "left_semi"), "classes")
 
-    # near copies mostly share the first token of some order: each class meets the least and the greatest class that does
-    first = classes.select("cls", F.posexplode("firsts").alias("o", "first"))
-    ends = first.groupBy("o", "first").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    star = first.join(ends, ["o", "first"]).select(F.explode(F.array("lo", "hi")).alias("pivot"), F.col("cls").alias("member")).where("pivot <> member").distinct()
-    tried = written(star, "star")
-    links = written(_verified(tried, docs, classes, percent, width, sketch), "links")
+    # near copies mostly share the first token of some order: each class meets the least class that does
+    first = classes.select("cls", F.col("cls").alias("comp"), "n", F.lit(0).cast("long").alias("place"), F.posexplode("firsts").alias("o", "first"))
+    tried = written(_met(first.select(F.xxhash64("o", "first").alias("token"), "cls", "comp", "n", "place"), classes, percent, 0), "star")
+    links = written(_verified(tried, docs, classes, percent, width), "links")
     merged = components(links)
-    for reach in (2, 8, None):  # two waves of neighbours by size merge loose groups of copies; then whatever is still apart
-        rest = _open(shared, merged).select("token", "cls", "comp", "n", "place").repartition(n_parts, "token").sortWithinPartitions("token", "n", "cls")
-        cross = rest.mapInPandas(_across(percent, reach), "pivot long, member long").distinct()
-        cross = cross.join(tried.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member")), ["pivot", "member"], "left_anti")
-        cross = written(cross, "cross")
-        new = written(_verified(cross, docs, classes, percent, width, sketch), "links")
+    for reach in (4, None):  # neighbours by size merge loose groups of copies; then whatever is still apart
+        rest = _open(shared, merged)
+        cross = _met(_dealt(rest, classes) if reach is None else rest.drop("size"), classes, percent, reach)
+        cross = written(cross.join(tried, ["pivot", "member"], "left_anti"), "cross")
+        new = written(_verified(cross, docs, classes, percent, width), "links")
         links, tried = links.unionByName(new), tried.unionByName(cross)
         if new.limit(1).count():
             merged = components(links)
