@@ -1,9 +1,10 @@
 """Removal of bytes covered by a 50-byte string that a document with a smaller id also holds, by suffix sorting.
 
 Windows of 50 bytes are dealt by content: a window's mark is the least hash of the 24-byte strings in it, so equal windows
-have equal marks, and neighbours mostly share theirs.  Marks of only one document need no sorting.  The stretches under the
-others are sorted, a task at a time, by deep-shallow suffix sorting: multikey passes over 8-byte words to a shallow depth,
-and a blind trie for the suffixes that still share their prefix there.
+have equal marks, and neighbours mostly share theirs.  Marks of only one document need no sorting.  A batch of documents
+sends each of its marks once, with the smallest and the largest document that has it, and is told which ones others share.
+The stretches under those are sorted, a task at a time, by deep-shallow suffix sorting: multikey quicksort over 8-byte words
+to a shallow depth, and blind tries for the groups of suffixes that still share their prefix there.
 
 A batch of documents sends each stretch once, with the smallest id that holds it; the places where it stands stay behind.
 What sorting finds out (the smallest id of each window, in runs) goes back to the batches, so a passage that a third of all
@@ -61,51 +62,81 @@ def _tags(mark: np.ndarray) -> np.ndarray:
 
 
 def _marks(buckets: int, length: int, gram: int):
-    """Blobs (bucket, tags, counts, keys) of the marks of each batch of documents."""
+    """Blobs of the marks of each batch of documents: for a bucket each tag once, with the least and greatest key that has
+    it; and a row of bucket -1 with the batch's keys and all their tags, document by document.
+
+    The number of a batch is random: the blobs are to be written before they are used twice.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), _BATCH):
                 part = pdf.iloc[i : i + _BATCH]
-                found = [np.unique(marks(t.encode("utf-8", "replace"), length, gram)[0]) for t in part["text"]]
-                mark = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                if not len(mark):
-                    continue
-                own = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                bucket = (mark % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                keys, tag, rows = part["key"].to_numpy("<i8"), _tags(mark), []
-                for b in np.flatnonzero(np.diff(cuts)):
-                    at = order[cuts[b] : cuts[b + 1]]
-                    used, counts = np.unique(own[at], return_counts=True)  # own does not fall in a bucket
-                    rows.append((int(b), tag[at].tobytes(), counts.astype("<u4").tobytes(), keys[used].tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "tags", "counts", "keys"])
+                found = [np.unique(_tags(marks(t.encode("utf-8", "replace"), length, gram)[0])) for t in part["text"]]
+                keys, counts = part["key"].to_numpy("<i8"), np.array([len(f) for f in found], dtype="<u4")
+                tag, batch = np.concatenate(found), uuid.uuid4().int >> 65
+                rows = [(-1, batch, tag.tobytes(), None, None, keys.tobytes(), counts.tobytes())]
+                own = np.repeat(keys, counts)
+                order = np.lexsort((tag, tag % np.uint32(buckets)))
+                tag, own = tag[order], own[order]
+                start = np.flatnonzero(np.concatenate(([True], tag[1:] != tag[:-1])))
+                least, most, tag = np.minimum.reduceat(own, start), np.maximum.reduceat(own, start), tag[start]
+                bucket = tag % np.uint32(buckets)
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    x, y = cuts[b], cuts[b + 1]
+                    rows.append((b, batch, tag[x:y].tobytes(), least[x:y].tobytes(), most[x:y].tobytes(), None, None))
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "tags", "least", "most", "keys", "counts"])
 
     return run
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, tags): the tags of each document's marks that other documents have as well."""
-    tag, keys = [], []
+    """For each blob of a bucket its tags that several documents have: as many rows as came in."""
+    batch, size, tag, least, most = [], [], [], [], []
     for pdf in batches:
         for r in pdf.itertuples(index=False):
+            batch.append(r.batch)
             tag.append(np.frombuffer(r.tags, "<u4"))
-            keys.append(np.repeat(np.frombuffer(r.keys, "<i8"), np.frombuffer(r.counts, "<u4")))
+            least.append(np.frombuffer(r.least, "<i8"))
+            most.append(np.frombuffer(r.most, "<i8"))
+            size.append(len(tag[-1]))
     if not tag:
         return
-    tag, keys = np.concatenate(tag), np.concatenate(keys)
+    tag, least, most = np.concatenate(tag), np.concatenate(least), np.concatenate(most)
     order = np.argsort(tag, kind="stable")
-    tag, keys = tag[order], keys[order]
-    start = np.flatnonzero(np.concatenate(([True], tag[1:] != tag[:-1])))
-    many = np.minimum.reduceat(keys, start) != np.maximum.reduceat(keys, start)
-    keep = np.repeat(many, np.diff(np.append(start, len(tag))))
-    tag, keys = tag[keep], keys[keep]
-    order = np.argsort(keys, kind="stable")
-    tag, keys = tag[order], keys[order]
-    if len(tag):
-        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        yield pd.DataFrame({"key": keys[start], "tags": [m.tobytes() for m in np.split(tag, start[1:])]})
+    start = np.flatnonzero(np.concatenate(([True], tag[order][1:] != tag[order][:-1])))
+    many = np.minimum.reduceat(least[order], start) != np.maximum.reduceat(most[order], start)
+    keep = np.empty(len(tag), dtype=bool)
+    keep[order] = np.repeat(many, np.diff(np.append(start, len(tag))))
+    cuts = np.cumsum(size)[:-1]
+    yield pd.DataFrame({"batch": batch, "tags": [t[k].tobytes() for t, k in zip(np.split(tag, cuts), np.split(keep, cuts), strict=True)]})
+
+
+def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, tags) of each document that shares a tag, from rows that come batch by batch."""
+
+    def told(home, shared: list[bytes]) -> Iterator[pd.DataFrame]:
+        tags, keys, counts = (np.frombuffer(x, t) for x, t in zip(home, ("<u4", "<i8", "<u4"), strict=True))
+        keep = np.isin(tags, np.frombuffer(b"".join(shared), "<u4"))
+        parts_ = [t[k] for t, k in zip(np.split(tags, np.cumsum(counts)[:-1]), np.split(keep, np.cumsum(counts)[:-1]), strict=True)]
+        rows = [(k, t.tobytes()) for k, t in zip(keys.tolist(), parts_, strict=True) if len(t)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "tags"])
+
+    batch, home, shared = None, None, []
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if r.batch != batch:
+                if home and shared:
+                    yield from told(home, shared)
+                batch, home, shared = r.batch, None, []
+            if r.keys is not None:
+                home = r.tags, r.keys, r.counts
+            elif r.tags:
+                shared.append(r.tags)
+    if home and shared:
+        yield from told(home, shared)
 
 
 def _stretches(buckets: int, length: int, gram: int):
@@ -125,7 +156,7 @@ def _stretches(buckets: int, length: int, gram: int):
                     raw = text.encode("utf-8", "replace")
                     mark, first = marks(raw, length, gram)
                     last = np.append(first[1:], len(raw) - length + 1)
-                    wanted = np.isin(_tags(mark), np.frombuffer(b"".join(tags), "<u4"))
+                    wanted = np.isin(_tags(mark), np.frombuffer(tags, "<u4"))
                     for m, a, b in zip((mark[wanted] % np.uint64(buckets * _FINE)).tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
                         held.setdefault(m, {}).setdefault(raw[a : b - 1 + length], []).append((j, a))
                 batch = uuid.uuid4().int >> 65
@@ -188,19 +219,27 @@ class BlindTrie:
 
 
 def equal_groups(buffer: bytes, at: np.ndarray, length: int, shallow: int = SHALLOW) -> np.ndarray:
-    """A number for each suffix at these places: equal for equal first `length` bytes."""
+    """A number for each suffix at these places: equal for equal first `length` bytes.
+
+    Multikey quicksort with words for characters: a round sorts the suffixes of each group by their next word, and the next
+    round goes on within the groups of two or more that are still equal.  Blind tries order what is equal at the shallow
+    depth; a trie that would have one leaf alone is compared whole, many at a time.
+    """
     raw = np.ndarray(max(0, len(buffer) - 7), dtype=">u8", buffer=buffer, strides=(1,)) if length >= 8 else None
     depth = max(0, min(shallow, length // 8))
-
-    def word(k: int) -> np.ndarray:  # big-endian, so that numbers sort as bytes do
-        return raw[at + 8 * k].astype(np.uint64)
-
-    words = [word(k) for k in range(depth)]
-    order = np.lexsort(words[::-1]) if depth else np.arange(len(at))
-    new = np.zeros(len(at), dtype=bool)
+    order = np.arange(len(at))
+    new = np.zeros(len(at), dtype=bool)  # where a group starts
     new[:1] = True
-    for w in words:
-        new[1:] |= w[order][1:] != w[order][:-1]
+    for k in range(depth):
+        group = np.cumsum(new) - 1
+        open_ = np.flatnonzero(np.bincount(group)[group] > 1)  # whole groups, one after another
+        if not len(open_):
+            break
+        word = raw[at[order[open_]] + 8 * k].astype(np.uint64)  # big-endian, so that numbers sort as bytes do
+        sort = np.argsort(word, kind="quicksort") if k == 0 else np.lexsort((word, group[open_]))
+        order[open_], word = order[open_][sort], word[sort]
+        differs = word[1:] != word[:-1]
+        new[open_[1:][differs]] = True
     # what is left of the suffixes against the first one of their group; most groups are one string
     head = at[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     differs = np.zeros(len(at), dtype=bool)
@@ -341,8 +380,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, spans in zip(pdf.pop("text"), pdf.pop("spans"), strict=True):
             raw = text.encode("utf-8", "replace") if isinstance(text, str) else b""
             step = np.zeros(len(raw) + 1, dtype=np.int64)
-            if spans is not None and len(spans):
-                s = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+            if spans:
+                s = np.frombuffer(spans, "<i8").reshape(-1, 2)
                 np.add.at(step, s[:, 0], 1)
                 np.add.at(step, s[:, 1], -1)
             gone = np.cumsum(step)[:-1] > 0
@@ -365,13 +404,16 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n, gram = parts(spark), min(GRAM, length)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "text")
     long_ = rows.where(F.octet_length("text") >= length)
-    blobs = long_.select("key", "text").mapInPandas(_marks(n, length, gram), "bucket int, tags binary, counts binary, keys binary")
-    shared = written(blobs.repartition(n, "bucket").mapInPandas(_shared, "key long, tags binary"), "marks")
+    blobs = long_.select("key", "text").mapInPandas(_marks(n, length, gram), "bucket int, batch long, tags binary, least binary, most binary, keys binary, counts binary")
+    blobs = written(blobs, "marks")
+    met = blobs.where("bucket >= 0").select("bucket", "batch", "tags", "least", "most").repartition(n, "bucket").mapInPandas(_shared, "batch long, tags binary")
+    told = blobs.where("bucket < 0").select("batch", "tags", "keys", "counts").unionByName(met, allowMissingColumns=True)
+    shared = written(told.repartition(n, "batch").sortWithinPartitions("batch").mapInPandas(_own, "key long, tags binary"), "shared")
     spot, bit = F.shiftright(F.pmod("key", F.lit(_BITS)), 6), F.expr("shiftleft(1L, cast(pmod(key, 64) AS INT))")
     # at most _BITS / 64 rows, whatever the input: most documents without a shared mark are told apart without a shuffle
     bits = F.broadcast(shared.select(spot.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")))
     maybe = rows.join(bits, spot == F.col("w"), "left").withColumn("hit", F.coalesce(F.col("b").bitwiseAND(bit) != 0, F.lit(False)))
-    own = shared.groupBy("key").agg(F.collect_list("tags").alias("tags"))
+    own = shared.groupBy("key").agg(F.max("tags").alias("tags"))  # rows that repeat id and text have the same ones
     hits = maybe.where("hit").select("doc_id", "id", "key", "text")
     found = hits.select("id", "key", "text").join(own, "key").select("id", "key", "text", "tags").mapInPandas(
         _stretches(n, length, gram),
@@ -381,7 +423,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ranked = dealt.mapInPandas(_sorted(length), "bucket int, batch long, runs binary, ends binary, lowest binary")
     home = found.select("bucket", "batch", "counts", "own", "at", "ids", "keys").unionByName(ranked, allowMissingColumns=True)
     spans = written(home.repartition(n, "batch").sortWithinPartitions("batch").mapInPandas(_spans(length), "id long, key long, spans binary"), "spans")
-    spans = spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
-    whole = maybe.where("NOT hit").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans")).unionByName(
+    spans = spans.groupBy("id", "key").agg(F.max("spans").alias("spans"))
+    whole = maybe.where("NOT hit").select("doc_id", "text", F.lit(None).cast("binary").alias("spans")).unionByName(
         hits.join(spans, ["id", "key"], "left").select("doc_id", "text", "spans"))
     return whole.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
