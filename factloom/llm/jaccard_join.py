@@ -3,9 +3,9 @@
 Documents with equal shingle sets form one class and are joined once.  Two sets of similarity t or more share a token among
 the first n - ceil(t n) + 1 of either, in any global order.  Order 1 puts tokens that a fixed-size count sketch finds
 frequent last, so passages that many documents share rarely enter a prefix; orders 2 and 3 are two independent hashes.
-A pair is a candidate only if its prefixes meet under all three: the token of order 1 brings classes together, and inside
-its bucket the prefixes of orders 2 and 3 are intersected before any pair leaves the task.  Whole sets are made only for
-candidates, and of those only where parity maps allow a link: tokens outside the intersection alone tell two maps apart, so
+A pair is a candidate only if its prefixes meet under all three: the token of order 1 brings classes together, and whole
+sets are made only for pairs whose prefixes of orders 2 and 3 meet as well.  Sizes, the token's places and small parity maps
+rule pairs out before they leave a bucket, larger maps after: tokens outside the intersection alone tell two maps apart, so
 maps that differ in more bits than a linked pair has such tokens rule the link out, and lose none.
 
 A bucket of a token does not emit all its pairs.  Every class first meets the least class with the same first token of
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts, reach_workers, written
@@ -33,6 +33,7 @@ _TEXTS = 256
 _MEMBERS = 256
 _BITS = 1 << 24
 _MAP = 256
+_MAPS = [f"m{i}" for i in range(_MAP // 64)]
 
 
 def enough(common, n, m, percent: int):
@@ -67,6 +68,11 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """The map laid over itself, _MAP bits long."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, _MAP // 64), axis=0)
+
+
 def _signatures(width: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, empty = np.zeros(SKETCH, dtype=np.uint32), True
@@ -76,19 +82,20 @@ def _signatures(width: int, percent: int):
                 for s in sets(texts[i : i + _TEXTS], width):
                     if len(s):
                         firsts, heads = zip(*(hashed_prefix(s, o, percent) for o in HASHED), strict=True)
-                        got.append((len(s), class_of(s), firsts, *heads, parity(s)))
+                        bits = parity(s)
+                        got.append((len(s), class_of(s), firsts, *heads, folded(bits), bits))
                     else:
-                        got.append((0, None, None, None, None, None))
+                        got.append((0, *(None,) * 6))
                     np.add.at(counts, (s >> np.uint64(20)) & np.uint64(SKETCH - 1), 1)
             empty = False
-            n, cls, firsts, second, third, bits = zip(*got, strict=True) if got else ([],) * 6
+            n, cls, firsts, second, third, small, bits = zip(*got, strict=True) if got else ([],) * 7
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "n": n, "cls": pd.array(cls, dtype="Int64"), "firsts": firsts, "second": second, "third": third,
-                                "bits": bits, "chunk": pd.array([None] * len(n), dtype="Int32"), "counts": None})
+                                "map": small, "bits": bits, "chunk": pd.array([None] * len(n), dtype="Int32"), "counts": None})
         if not empty:
             for c in range(0, SKETCH, CHUNK):
                 none = pd.array([None], dtype="Int64")
                 yield pd.DataFrame({"doc_id": none, "key": none, "n": [0], "cls": none, "firsts": [None], "second": [None], "third": [None],
-                                    "bits": [None], "chunk": pd.array([c // CHUNK], dtype="Int32"), "counts": [counts[c : c + CHUNK].tobytes()]})
+                                    "map": [None], "bits": [None], "chunk": pd.array([c // CHUNK], dtype="Int32"), "counts": [counts[c : c + CHUNK].tobytes()]})
 
     return run
 
@@ -200,38 +207,23 @@ def _verify(percent: int):
     return run
 
 
-def meet_under(heads: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs (a[i], b[i]) of rows have a token in common in their prefixes of one order."""
-    size = np.array([len(h) for h in heads])
-    row = np.repeat(np.arange(len(heads), dtype=np.uint64), size)
-    known = (row << np.uint64(32)) | np.concatenate(heads).view(np.uint32)  # sorted: row by row, each prefix sorted
-    start = np.cumsum(size) - size
-    out = np.zeros(len(a), dtype=bool)
-    for i in range(0, len(a), _PAIRS):
-        x, y = a[i : i + _PAIRS], b[i : i + _PAIRS]
-        pair = np.repeat(np.arange(len(x)), size[x])
-        at = np.arange(len(pair)) + np.repeat(start[x] - np.cumsum(size[x]) + size[x], size[x])
-        want = (known[at] & np.uint64(0xFFFFFFFF)) | (y[pair].astype(np.uint64) << np.uint64(32))
-        hit = known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want
-        out[i + pair[hit]] = True
-    return out
-
-
-def maps_allow(bits: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs have parity maps that differ in no more bits than linked sets of their sizes have tokens apart."""
-    words = np.array([len(x) for x in bits])
-    out = np.ones(len(a), dtype=bool)
-    kind = words[a] * (1 << 32) + words[b]
-    for k in np.unique(kind).tolist():
-        of = np.flatnonzero(kind == k)
-        least = min(k >> 32, k & 0xFFFFFFFF)
-        for i in range(0, len(of), _PAIRS):
-            at = of[i : i + _PAIRS]
-            # the longer map laid over itself, so that it is as long as the other one
-            x, y = (np.bitwise_xor.reduce(np.stack([bits[j] for j in side[at]]).view(np.uint64).reshape(len(at), -1, least), axis=1) for side in (a, b))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            out[at] = (100 + percent) * differ <= (100 - percent) * (n[a[at]] + n[b[at]])
-    return out
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes of orders 2 and 3 meet, and whose parity maps differ in no more bits than linked sets of their
+    sizes have tokens apart."""
+
+    def side(end: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "second", "third", "bits")))
+
+    def laid(own: str, other: str) -> str:
+        """The map laid over itself, so that it is as long as the other one."""
+        halves = f"zip_with(slice({own}, 1, size({other})), slice({own}, size({other}) + 1, size({other})), (x, y) -> x ^ y)"
+        return f"IF(size({own}) > size({other}), {halves}, {own})"
+
+    differ = f"aggregate(zip_with({laid('pivot_bits', 'member_bits')}, {laid('member_bits', 'pivot_bits')}, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
+    far = "greatest(size(pivot_bits), size(member_bits)) > 2 * least(size(pivot_bits), size(member_bits))"  # only below 50 percent
+    both = pairs.join(side("pivot"), "pivot").join(side("member"), "member")
+    both = both.where("arrays_overlap(pivot_second, member_second) AND arrays_overlap(pivot_third, member_third)")
+    return both.where(f"{far} OR {100 + percent} * {differ} <= {100 - percent} * (pivot_n + member_n)").select("pivot", "member")
 
 
 def _held(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -247,6 +239,7 @@ def _held(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (pivot, member) that link.  A pivot with many members is copied to several tasks."""
     n = parts(pairs.sparkSession)
+    pairs = written(_likely(pairs, classes, percent), "likely")
     ends = pairs.select(F.explode(F.array("pivot", "member")).alias("cls")).distinct()
     held = _held(docs, classes.join(ends, "cls", "left_semi"), width)
     many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / _MEMBERS).alias("salts"))
@@ -272,7 +265,6 @@ def components(links: DataFrame) -> DataFrame:
 
 
 _LONG = 512
-_PAIRS = 1 << 14
 #: Buckets of more open rows are dealt out by the tokens of order 2.
 _SPLIT = 1 << 12
 
@@ -296,59 +288,28 @@ def _tried(start: np.ndarray, length: np.ndarray, comp: np.ndarray, reach: int |
                 yield np.full(len(later), j), later
 
 
-def _near(pdf: pd.DataFrame, percent: int, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The tried pairs of different components whose sizes, and the places of this token, allow a link."""
-    token, comp, n, place = (pdf[c].to_numpy() for c in ("token", "comp", "n", "place"))
-    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    rest = n - place
-    for a, b in _tried(start, np.diff(np.append(start, len(token))), comp, reach):
-        ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-        # If this is the sets' first common token, at most what stands from it on is common; for any later common token
-        # less is, so a pair that links passes at its first one.
-        ok &= np.minimum(rest[a], rest[b]) * (100 + percent) >= percent * (n[a] + n[b])
-        if ok.any():
-            yield a[ok], b[ok]
-
-
-def _partnered(percent: int, reach: int | None):
-    """The rows that have a partner in their bucket."""
-
-    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        has = np.zeros(len(pdf), dtype=bool)
-        for a, b in _near(pdf, percent, reach):
-            has[a], has[b] = True, True
-        yield pdf[has]
-
-    return _by_token(run)
-
-
 def _candidates(percent: int, reach: int | None):
-    """Pairs of a bucket that pass all filters."""
-
-    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        cls, n = pdf["cls"].to_numpy(), pdf["n"].to_numpy()
-        second, third, bits = (pdf[c].tolist() for c in ("second", "third", "bits"))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        out: set[tuple[int, int]] = set()
-
-        def judged() -> None:
-            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            for passes in (lambda: meet_under(second, a, b), lambda: meet_under(third, a, b), lambda: maps_allow(bits, n, a, b, percent)):
-                ok = passes()
-                a, b = a[ok], b[ok]
-            out.update(zip(np.minimum(cls[a], cls[b]).tolist(), np.maximum(cls[a], cls[b]).tolist(), strict=True))
-
-        for pair in _near(pdf, percent, reach):
-            held.append(pair)
-            if sum(len(a) for a, _ in held) >= _PAIRS:
-                judged()
-        if held:
-            judged()
+    """Pairs of a bucket that lie in different components and whose sizes, maps and places of this token allow a link."""
+
+    def each(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        token, cls, comp, n, place = (pdf[c].to_numpy() for c in ("token", "cls", "comp", "n", "place"))
+        maps = [pdf[c].to_numpy().view(np.uint64) for c in _MAPS]
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        rest, out = n - place, set()
+        for a, b in _tried(start, np.diff(np.append(start, len(token))), comp, reach):
+            ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            # If this is the sets' first common token, at most what stands from it on is common; for any later common
+            # token less is, so a pair that links passes at its first one.
+            ok &= np.minimum(rest[a], rest[b]) * (100 + percent) >= percent * (n[a] + n[b])
+            a, b = a[ok], b[ok]
+            differ = sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in maps)
+            ok = (100 + percent) * differ <= (100 - percent) * (n[a] + n[b])
+            a, b = cls[a[ok]], cls[b[ok]]
+            out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
         if out:
             yield pd.DataFrame(sorted(out), columns=["pivot", "member"])
 
-    return _by_token(run)
+    return _by_token(each)
 
 
 def _by_token(each):
@@ -369,31 +330,31 @@ def _by_token(each):
     return run
 
 
-def _met(rows: DataFrame, classes: DataFrame, percent: int, reach: int | None) -> DataFrame:
-    """Candidates (pivot, member) from rows (token, cls, comp, n, place).  Rows without a partner by size and place go first:
-    only the others are worth the prefixes of orders 2 and 3."""
-    order = ["cls"] if reach == 0 else ["n", "cls"]
+def _open(shared: DataFrame, merged: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold classes of several components, bucket by bucket: with comp, the size of the bucket and
+    the class's small map."""
+    at = shared.join(merged, "cls", "left").join(classes.select("cls", *_maps()), "cls").withColumn("comp", F.coalesce("comp", "cls"))
+    own = Window.partitionBy("token")
+    ends = {"lo": F.min("comp").over(own), "hi": F.max("comp").over(own), "size": F.count("*").over(own)}
+    return at.withColumns(ends).where("lo <> hi").select("token", "cls", "comp", "n", "place", "size", *_MAPS)
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts(rows.sparkSession), "token").sortWithinPartitions("token", *order)
 
-    if reach != 0:
-        rows = dealt(rows).mapInPandas(_partnered(percent, reach), "token long, cls long, comp long, n long, place long")
-    wide = rows.join(classes.select("cls", "second", "third", "bits"), "cls")
-    return dealt(wide).mapInPandas(_candidates(percent, reach), "pivot long, member long").distinct()
+def _maps() -> list[Column]:
+    return [F.col("map")[i].alias(c) for i, c in enumerate(_MAPS)]
 
 
-def _open(shared: DataFrame, merged: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold classes of several components, with comp and the size of the bucket."""
-    at = shared.join(merged, "cls", "left").select("token", "cls", F.coalesce("comp", "cls").alias("comp"), "n", "place")
-    ends = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return at.join(ends.select("token", "size"), "token")
-
-
-def _dealt(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows, those of large buckets once for each token of their prefix of order 2, in a bucket of both tokens."""
-    large = rows.where(F.col("size") > _SPLIT).join(classes.select("cls", "second"), "cls").withColumn("other", F.explode("second"))
-    return rows.where(F.col("size") <= _SPLIT).drop("size").unionByName(large.select(F.xxhash64("token", "other").alias("token"), "cls", "comp", "n", "place"))
+def _met(rows: DataFrame, classes: DataFrame, percent: int, reach: int | None) -> DataFrame:
+    """Candidates (pivot, member) of rows that come bucket by bucket.  A large bucket is dealt out by the tokens of order 2:
+    a pair that links has one of them in common too."""
+    schema = "pivot long, member long"
+    small = rows if reach is not None else rows.where(F.col("size") <= _SPLIT)
+    pairs = small.sortWithinPartitions("token", *(["cls"] if reach == 0 else ["n", "cls"])).mapInPandas(_candidates(percent, reach), schema)
+    if reach is None:
+        large = rows.where(F.col("size") > _SPLIT).join(classes.select("cls", "second"), "cls").withColumn("other", F.explode("second"))
+        large = large.withColumn("token", F.xxhash64("token", "other")).drop("second", "other")
+        large = large.repartition(parts(rows.sparkSession), "token").sortWithinPartitions("token", "n", "cls")
+        pairs = pairs.unionByName(large.mapInPandas(_candidates(percent, None), schema))
+    return pairs.distinct()
 
 
 def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -410,24 +371,24 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     reach_workers(spark)
     n_parts = parts(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    schema = "doc_id long, key long, n long, cls long, firsts array<long>, second array<int>, third array<int>, bits array<long>, chunk int, counts binary"
+    schema = "doc_id long, key long, n long, cls long, firsts array<long>, second array<int>, third array<int>, map array<long>, bits array<long>, chunk int, counts binary"
     signatures = written(docs.mapInPandas(_signatures(width, percent), schema), "signatures")
     sketch = spark.sparkContext.broadcast(sketch_of(signatures))  # SKETCH bytes
     members = signatures.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls", "key")
 
     blobs = docs.where("text IS NOT NULL").mapInPandas(_emit(width, percent, n_parts, sketch), "bucket int, tokens binary, own binary, place binary, cls binary, n binary")
     shared = written(blobs.repartition(n_parts, "bucket").mapInPandas(_meet(), "token long, cls long, n long, place long"), "prefixes")
-    one = signatures.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "firsts", "second", "third", "bits")).alias("m")).select("cls", "m.*")
+    one = signatures.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "firsts", "second", "third", "map", "bits")).alias("m")).select("cls", "m.*")
     classes = written(one.join(shared.select("cls").distinct(), "cls", "left_semi"), "classes")
 
     # near copies mostly share the first token of some order: each class meets the least class that does
-    first = classes.select("cls", F.col("cls").alias("comp"), "n", F.lit(0).cast("long").alias("place"), F.posexplode("firsts").alias("o", "first"))
-    tried = written(_met(first.select(F.xxhash64("o", "first").alias("token"), "cls", "comp", "n", "place"), classes, percent, 0), "star")
+    first = classes.select("cls", F.col("cls").alias("comp"), "n", F.lit(0).cast("long").alias("place"), *_maps(), F.posexplode("firsts").alias("o", "first"))
+    first = first.withColumn("token", F.xxhash64("o", "first")).drop("o", "first").repartition(n_parts, "token")
+    tried = written(_met(first, classes, percent, 0), "star")
     links = written(_verified(tried, docs, classes, percent, width), "links")
     merged = components(links)
     for reach in (4, None):  # neighbours by size merge loose groups of copies; then whatever is still apart
-        rest = _open(shared, merged)
-        cross = _met(_dealt(rest, classes) if reach is None else rest.drop("size"), classes, percent, reach)
+        cross = _met(_open(shared, merged, classes), classes, percent, reach)
         cross = written(cross.join(tried, ["pivot", "member"], "left_anti"), "cross")
         new = written(_verified(cross, docs, classes, percent, width), "links")
         links, tried = links.unionByName(new), tried.unionByName(cross)
