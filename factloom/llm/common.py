@@ -4,38 +4,55 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _own_dir: list[str] = []
+_paths: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="factloom-"))
     return _own_dir[0]
 
 
+_dropping = {"lock": threading.Lock(), "users": 0, "before": "false"}
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes the shuffle files of an action inside as soon as it has ended: its output no longer needs them."""
+    """Spark deletes the shuffle files of an action inside as soon as it has ended: its output no longer needs them.
+
+    The setting is the session's; the last of several threads inside puts it back.
+    """
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    with _dropping["lock"]:
+        if not _dropping["users"]:
+            _dropping["before"] = spark.conf.get(name)
+            spark.conf.set(name, "true")
+        _dropping["users"] += 1
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with _dropping["lock"]:
+            _dropping["users"] -= 1
+            if not _dropping["users"]:
+                spark.conf.set(name, _dropping["before"])
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -43,7 +60,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     with shuffles_dropped(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path, weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned; nothing that is still to run may read them."""
+    for table_ in tables:
+        path, _ = _paths.pop(id(table_))
+        jvm, conf = table_.sparkSession._jvm, table_.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def parts(spark: SparkSession, least: int = 1) -> int:
@@ -67,10 +95,21 @@ def key_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, label: DataFrame, most: int) -> DataFrame:
-    """At most `most` labelled rows, picked by a hash of doc_id, with their whole texts.
+#: Characters of text in a sample of labelled rows.
+SAMPLE_CHARS = 1 << 24
+
+
+def labelled_sample(docs: DataFrame, label: DataFrame, most: int, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """At most `most` labelled documents of at most `chars` characters together, with their whole texts, one row an id.
 
-    The bound makes the sample small enough to broadcast and to train on in one process.
+    They are picked by a hash of doc_id among the ids that both tables hold.  Of several labels of an id the least counts,
+    of several texts the least.  The bounds make the sample small enough to train on in one process.
     """
-    few = label.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(most).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(F.broadcast(few), "doc_id")
+    values = [c for c in label.columns if c != "doc_id"]
+    one = label.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*values)).alias("label"))
+    sizes = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size")).join(one, "doc_id")
+    by = [F.xxhash64("doc_id"), F.col("doc_id")]
+    few = sizes.groupBy("doc_id").agg(F.max("size").alias("size"), F.first("label").alias("label")).orderBy(*by).limit(most)
+    used = F.sum("size").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))  # of `most` rows
+    few = few.withColumn("used", used).where(F.col("used") <= chars).select("doc_id", "label.*")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", *values).agg(F.min("text").alias("text"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, reach_workers, written
+from .common import discard, parts, reach_workers, written
 from .shingles import class_of, mix, sets
 
 SKETCH = 1 << 20
@@ -237,7 +237,7 @@ def _held(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (pivot, member) that link.  A pivot with many members is copied to several tasks."""
+    """The pairs (pivot, member) that link, as a written table.  A pivot with many members is copied to several tasks."""
     n = parts(pairs.sparkSession)
     pairs = written(_likely(pairs, classes, percent), "likely")
     ends = pairs.select(F.explode(F.array("pivot", "member")).alias("cls")).distinct()
@@ -246,7 +246,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     members = pairs.join(many, "pivot").select("pivot", F.pmod(F.xxhash64("member"), "salts").alias("salt"), "member", F.lit(False).alias("head")).join(held.withColumnRenamed("cls", "member"), "member")
     heads = many.join(held.withColumnRenamed("cls", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("member"), F.lit(True).alias("head"), "tokens")
     rows = heads.unionByName(members.select(*heads.columns)).repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("head"))
-    return rows.mapInPandas(_verify(percent), "a long, b long")
+    out = written(rows.mapInPandas(_verify(percent), "a long, b long"), "links")
+    discard(pairs, held)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,10 +260,12 @@ def components(links: DataFrame) -> DataFrame:
         hooked = labels.join(near, "cls", "left").select("cls", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         hooked = written(hooked, "labels")
         jump = hooked.select(F.col("cls").alias("comp"), F.col("comp").alias("root"))
-        labels = written(hooked.join(jump, "comp", "left").select("cls", "was", F.coalesce("root", "comp").alias("comp")), "labels")
+        out = written(hooked.join(jump, "comp", "left").select("cls", "was", F.coalesce("root", "comp").alias("comp")), "labels")
+        discard(labels, hooked)
+        labels = out
         if not labels.where("was <> comp").limit(1).count():
+            discard(edges)
             return labels.select("cls", "comp")
-        labels = labels.select("cls", "comp")
 
 
 _LONG = 512
@@ -385,16 +389,17 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     first = classes.select("cls", F.col("cls").alias("comp"), "n", F.lit(0).cast("long").alias("place"), *_maps(), F.posexplode("firsts").alias("o", "first"))
     first = first.withColumn("token", F.xxhash64("o", "first")).drop("o", "first").repartition(n_parts, "token")
     tried = written(_met(first, classes, percent, 0), "star")
-    links = written(_verified(tried, docs, classes, percent, width), "links")
+    links = _verified(tried, docs, classes, percent, width)
     merged = components(links)
     for reach in (4, None):  # neighbours by size merge loose groups of copies; then whatever is still apart
         cross = _met(_open(shared, merged, classes), classes, percent, reach)
         cross = written(cross.join(tried, ["pivot", "member"], "left_anti"), "cross")
-        new = written(_verified(cross, docs, classes, percent, width), "links")
+        new = _verified(cross, docs, classes, percent, width)
         links, tried = links.unionByName(new), tried.unionByName(cross)
         if new.limit(1).count():
             merged = components(links)
 
+    discard(shared, classes)
     placed = members.join(merged, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(rank).alias("least"))

@@ -3,8 +3,9 @@
 A classifier fitted on the labelled table gives every document a posterior over domains.  Projected-gradient least squares
 then fits nonnegative document rates r so that the expected domain totals, the sum of r * tokens * posterior, match the
 targets, with a small pull of every rate to 1.  A domain's squared difference weighs as one over its target, so that small
-domains are fitted as closely, and in as few steps, as large ones.  Only the domain totals (one row) come to the driver in each iteration: a
-rate is a function of its document's posterior and of the residuals so far, so tasks fold the short list of residuals.
+domains are fitted as closely, and in as few steps, as large ones.  Only the domain totals (one row) come to the driver in
+each iteration; a step is a built-in expression of a document's rate, its posterior and the residuals.  Every few steps the
+rates are written down and the next ones start from there, until the residuals stand still.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, reach_workers, written
+from .common import discard, labelled_sample, reach_workers, written
 
 DOMAINS = ("good", "low", "toxic")
 #: Shares of the tokens that mixed text should have.
@@ -27,6 +28,9 @@ SAMPLE = 3000
 PULL = 0.02
 #: A target below this share weighs as this share.
 LEAST_SHARE = 1e-3
+#: The fit ends when no weighed residual is larger than this, or none has moved by a fiftieth of it.
+TOLERANCE = 1e-4
+_STEPS = 12
 _STRIP = ".,;:!?\"'()[]#*$%&|<>"
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -118,49 +122,51 @@ def memberships(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.struct("*").alias("d"), member(F.col("text")).alias("m")).select("d", F.col("m.n").alias("n_tokens"), F.col("m.p").alias("p"))
 
 
-def rates_of(p: np.ndarray, history: list[list[float]], step: float, pull: float) -> np.ndarray:
-    """Rates after the projected-gradient steps with these residuals, all from 1."""
-    r = np.ones(len(p))
-    for e in history:
-        r = np.maximum(0.0, r - step * (p @ np.asarray(e) + pull * (r - 1)))
-    return r
+def stepped(rate: Column, p: Column, residuals: list[list[float]], step: float, pull: float, most: float | None) -> Column:
+    """A rate after projected-gradient steps with these residuals."""
+    for e in residuals:
+        down = sum((p[i] * F.lit(step * x) for i, x in enumerate(e)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate * (1 - step * pull) + step * pull - down)
+        rate = F.least(F.lit(float(most)), rate) if most is not None else rate
+    return rate
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], keep: str | None = None, rounds: int = 60, tol: float = 1e-4):
-    """(history, step, totals, wanted): weighed residuals of each iteration and the domain totals they led to.
+def fit_rates(members: DataFrame, targets: dict[str, float], keep: str | None = None, most: float | None = None, tol: float = TOLERANCE):
+    """(members with rate, totals, wanted): rates at which the domain totals come as close to the wanted ones as rates from 0
+    (to `most`) and the pull to 1 allow.  It iterates until the residuals stand still, however long that takes.
 
     Targets are shares of the tokens there are now; with keep, of so many that this domain's target is what it has now.
     """
     k = len(DOMAINS)
+    now_at = members.withColumn("rate", F.lit(1.0))
 
-    def totals(history: list[list[float]], step: float) -> np.ndarray:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                p = np.array(pdf["p"].tolist()).reshape(len(pdf), k)
-                yield pd.DataFrame([(pdf["n_tokens"].to_numpy() * rates_of(p, history, step, PULL)) @ p], columns=[f"s{i}" for i in range(k)])
+    def totals(rate: Column) -> np.ndarray:
+        sums = now_at.agg(*(F.sum(F.col("n_tokens") * rate * F.col("p")[i]) for i in range(k)))
+        return np.array([x or 0.0 for x in sums.first()])
 
-        sums = members.select("n_tokens", "p").mapInPandas(run, ", ".join(f"s{i} double" for i in range(k)))
-        return np.array([x or 0.0 for x in sums.agg(*(F.sum(f"s{i}") for i in range(k))).first()])
-
-    history: list[list[float]] = []
-    now = totals(history, 1.0)
+    now = totals(F.col("rate"))
     want = np.array([targets[d] for d in DOMAINS], dtype=float)
     want = want / want.sum() * (now.sum() if keep is None else now[DOMAINS.index(keep)] / (want[DOMAINS.index(keep)] / want.sum()))
     size = max(1.0, now.sum())
     weight = 1 / np.maximum(want / size, LEAST_SHARE)
     step = 1 / (max(1e-9, (weight * now / size).max()) + PULL)  # a bound of the curvature: the largest row sum, as posteriors sum to 1
-    last = None
-    for _ in range(rounds):
+    last, steps, table_ = None, [], None
+    while True:
         e = weight * (now - want) / size
         if np.abs(e).max() < tol or (last is not None and np.abs(e - last).max() < tol / 50):
             break
         last = e
-        history.append([float(x) for x in e])
-        now = totals(history, step)
-    return history, step, now, want
+        steps.append([float(x) for x in e])
+        now = totals(stepped(F.col("rate"), F.col("p"), steps, step, PULL, most))
+        if len(steps) == _STEPS:
+            before, table_ = table_, written(now_at.withColumn("rate", stepped(F.col("rate"), F.col("p"), steps, step, PULL, most)), "rates")
+            now_at, steps = table_, []
+            if before is not None:
+                discard(before)
+    return now_at.withColumn("rate", stepped(F.col("rate"), F.col("p"), steps, step, PULL, most)), now, want
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None, sample: int = SAMPLE) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None, sample: int = SAMPLE, most: float | None = None) -> DataFrame:
     """Every row of docs as struct d, with n_tokens, p (posterior of each of DOMAINS) and rate.
 
     - null or empty text: no tokens, a posterior by its features, and the rate that goes with it
@@ -168,22 +174,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     - very long texts are read whole; empty table: no rows; no labels: all domains as likely
     - other columns may have any names
     """
-    model = fit_model(docs, labels, sample)
-    members = written(memberships(docs, model), "memberships")
-    history, step, _, _ = fit_rates(members, targets or TARGETS, keep)
-
-    @F.pandas_udf("double")
-    def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(rates_of(np.array(p.tolist()).reshape(len(p), len(DOMAINS)), history, step, PULL))
-
-    return members.withColumn("rate", rate(F.col("p")))
+    members = written(memberships(docs, fit_model(docs, labels, sample)), "memberships")
+    return fit_rates(members, targets or TARGETS, keep, most)[0]
 
 
 def thinned(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str = "good") -> DataFrame:
     """docs after mixing by thinning: the kept domain stays as large as it is and sets the scale for the others.
 
-    A row stays with the probability of its rate, drawn from a hash of its id; one most likely of the kept domain stays.
+    A row stays with the probability of its rate (at most 1), drawn from a hash of its id and text; one most likely of the
+    kept domain stays.  A domain with less than its target stays whole.
     """
-    draw = F.pmod(F.xxhash64(F.col("d.doc_id"), F.lit(11)), F.lit(1 << 30)) / (1 << 30)
+    draw = F.pmod(F.xxhash64(F.col("d.doc_id"), F.col("d.text"), F.lit(11)), F.lit(1 << 30)) / (1 << 30)
     clean = F.array_position("p", F.array_max("p")) == DOMAINS.index(keep) + 1
-    return mix(docs, labels, targets, keep).where(clean | (draw < F.col("rate"))).select("d.*")
+    return mix(docs, labels, targets, keep, most=1.0).where(clean | (draw < F.col("rate"))).select("d.*")

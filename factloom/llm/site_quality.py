@@ -79,11 +79,12 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("h_n"), F.sum("s").alias("h_s"), F.count("*").alias("h_paths"))
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).first()
     n, mean = total["n"] or 0, (total["s"] or 0.0) / max(1, total["n"] or 0)
-    within = max(1e-6, (total["ss"] or 0.0) / max(1, n) - mean * mean)
 
     def strength(sites: DataFrame, n: str, s: str, around: Column) -> float:
         """Rows that the prior counts for: variance within over variance between sites (moments; weights by rows)."""
-        got = sites.agg(F.sum(F.col(n) * (F.col(s) / F.col(n) - around) ** 2).alias("v"), F.sum(n).alias("n"), F.count("*").alias("k")).first()
+        own = F.sum(F.col(s) * F.col(s) / F.col(n)).alias("own")
+        got = sites.agg(F.sum(F.col(n) * (F.col(s) / F.col(n) - around) ** 2).alias("v"), F.sum(n).alias("n"), F.count("*").alias("k"), own).first()
+        within = max(1e-6, ((total["ss"] or 0.0) - (got["own"] or 0.0)) / max(1, (got["n"] or 0) - got["k"]))
         between = max(1e-6, ((got["v"] or 0.0) - within * got["k"]) / max(1, got["n"] or 0))
         return min(1e6, max(1.0, within / between))
 

@@ -2,7 +2,7 @@
 
 Windows of 50 bytes are dealt by content: a window's mark is the least hash of the 24-byte strings in it, so equal windows
 have equal marks, and neighbours mostly share theirs.  Marks of only one document need no sorting.  A batch of documents
-sends each of its marks once, with the smallest and the largest document that has it, and is told which ones others share.
+sends each of its marks once, with the document that has it or a sign for several, and is told which ones are shared.
 The stretches under those are sorted, a task at a time, by deep-shallow suffix sorting: multikey quicksort over 8-byte words
 to a shallow depth, and blind tries for the groups of suffixes that still share their prefix there.
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, reach_workers, written
+from .common import discard, parts, reach_workers, written
 from .shingles import _power, mix
 
 LENGTH = 50
@@ -32,6 +32,7 @@ _BATCH = 1024
 _FINE = 8  # parts of a bucket of stretches, sorted one after another
 _BITS = 1 << 24
 NO_ID = (1 << 63) - 1
+SEVERAL = -1 << 63  # stands for a key
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -62,8 +63,8 @@ def _tags(mark: np.ndarray) -> np.ndarray:
 
 
 def _marks(buckets: int, length: int, gram: int):
-    """Blobs of the marks of each batch of documents: for a bucket each tag once, with the least and greatest key that has
-    it; and a row of bucket -1 with the batch's keys and all their tags, document by document.
+    """Blobs of the marks of each batch of documents: for a bucket each tag once, with the key of the document that has it
+    or SEVERAL; and a row of bucket -1 with the batch's keys and all their tags, document by document.
 
     The number of a batch is random: the blobs are to be written before they are used twice.
     """
@@ -75,38 +76,38 @@ def _marks(buckets: int, length: int, gram: int):
                 found = [np.unique(_tags(marks(t.encode("utf-8", "replace"), length, gram)[0])) for t in part["text"]]
                 keys, counts = part["key"].to_numpy("<i8"), np.array([len(f) for f in found], dtype="<u4")
                 tag, batch = np.concatenate(found), uuid.uuid4().int >> 65
-                rows = [(-1, batch, tag.tobytes(), None, None, keys.tobytes(), counts.tobytes())]
+                rows = [(-1, batch, tag.tobytes(), keys.tobytes(), counts.tobytes())]
                 own = np.repeat(keys, counts)
                 order = np.lexsort((tag, tag % np.uint32(buckets)))
                 tag, own = tag[order], own[order]
                 start = np.flatnonzero(np.concatenate(([True], tag[1:] != tag[:-1])))
-                least, most, tag = np.minimum.reduceat(own, start), np.maximum.reduceat(own, start), tag[start]
+                tag, own = tag[start], np.where(np.minimum.reduceat(own, start) == np.maximum.reduceat(own, start), own[start], SEVERAL)
                 bucket = tag % np.uint32(buckets)
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     x, y = cuts[b], cuts[b + 1]
-                    rows.append((b, batch, tag[x:y].tobytes(), least[x:y].tobytes(), most[x:y].tobytes(), None, None))
-                yield pd.DataFrame(rows, columns=["bucket", "batch", "tags", "least", "most", "keys", "counts"])
+                    rows.append((b, batch, tag[x:y].tobytes(), own[x:y].tobytes(), None))
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "tags", "keys", "counts"])
 
     return run
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each blob of a bucket its tags that several documents have: as many rows as came in."""
-    batch, size, tag, least, most = [], [], [], [], []
+    batch, size, tag, keys = [], [], [], []
     for pdf in batches:
         for r in pdf.itertuples(index=False):
             batch.append(r.batch)
             tag.append(np.frombuffer(r.tags, "<u4"))
-            least.append(np.frombuffer(r.least, "<i8"))
-            most.append(np.frombuffer(r.most, "<i8"))
+            keys.append(np.frombuffer(r.keys, "<i8"))
             size.append(len(tag[-1]))
     if not tag:
         return
-    tag, least, most = np.concatenate(tag), np.concatenate(least), np.concatenate(most)
+    tag, keys = np.concatenate(tag), np.concatenate(keys)
     order = np.argsort(tag, kind="stable")
     start = np.flatnonzero(np.concatenate(([True], tag[order][1:] != tag[order][:-1])))
-    many = np.minimum.reduceat(least[order], start) != np.maximum.reduceat(most[order], start)
+    least = np.minimum.reduceat(keys[order], start)
+    many = (least == SEVERAL) | (least != np.maximum.reduceat(keys[order], start))
     keep = np.empty(len(tag), dtype=bool)
     keep[order] = np.repeat(many, np.diff(np.append(start, len(tag))))
     cuts = np.cumsum(size)[:-1]
@@ -404,11 +405,12 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n, gram = parts(spark), min(GRAM, length)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "text")
     long_ = rows.where(F.octet_length("text") >= length)
-    blobs = long_.select("key", "text").mapInPandas(_marks(n, length, gram), "bucket int, batch long, tags binary, least binary, most binary, keys binary, counts binary")
+    blobs = long_.select("key", "text").mapInPandas(_marks(n, length, gram), "bucket int, batch long, tags binary, keys binary, counts binary")
     blobs = written(blobs, "marks")
-    met = blobs.where("bucket >= 0").select("bucket", "batch", "tags", "least", "most").repartition(n, "bucket").mapInPandas(_shared, "batch long, tags binary")
+    met = blobs.where("bucket >= 0").select("bucket", "batch", "tags", "keys").repartition(n, "bucket").mapInPandas(_shared, "batch long, tags binary")
     told = blobs.where("bucket < 0").select("batch", "tags", "keys", "counts").unionByName(met, allowMissingColumns=True)
     shared = written(told.repartition(n, "batch").sortWithinPartitions("batch").mapInPandas(_own, "key long, tags binary"), "shared")
+    discard(blobs)
     spot, bit = F.shiftright(F.pmod("key", F.lit(_BITS)), 6), F.expr("shiftleft(1L, cast(pmod(key, 64) AS INT))")
     # at most _BITS / 64 rows, whatever the input: most documents without a shared mark are told apart without a shuffle
     bits = F.broadcast(shared.select(spot.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")))
@@ -423,6 +425,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ranked = dealt.mapInPandas(_sorted(length), "bucket int, batch long, runs binary, ends binary, lowest binary")
     home = found.select("bucket", "batch", "counts", "own", "at", "ids", "keys").unionByName(ranked, allowMissingColumns=True)
     spans = written(home.repartition(n, "batch").sortWithinPartitions("batch").mapInPandas(_spans(length), "id long, key long, spans binary"), "spans")
+    discard(found)
     spans = spans.groupBy("id", "key").agg(F.max("spans").alias("spans"))
     whole = maybe.where("NOT hit").select("doc_id", "text", F.lit(None).cast("binary").alias("spans")).unionByName(
         hits.join(spans, ["id", "key"], "left").select("doc_id", "text", "spans"))
