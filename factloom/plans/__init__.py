@@ -1 +1,3 @@
+"""Proof queries over the supplied tables; importing the package registers all of them."""
 
+from . import proofs, scalars  # noqa: F401
