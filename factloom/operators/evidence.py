@@ -25,7 +25,7 @@ def scores(facts: DataFrame, terms: list[str], cap: int = 5) -> DataFrame:
     """module, score, overflowing signals and the verdict on the module."""
     kept = capped(matches(facts, terms), cap)
     out = kept.groupBy("module").agg(F.sum("weight").cast("long").alias("score"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("n") > cap, F.col("signal")))), ",").alias("capped"))
-    return out.withColumn("verdict", F.when(F.col("score") >= 10, "collision").when(F.col("score") > 0, "adjacent").otherwise("greenfield"))
+    return out.withColumn("verdict", _verdict(F.col("score")))
 
 
 def score_gap(rows: DataFrame, key: str, score: str, tie: str, least: float) -> DataFrame:
@@ -60,3 +60,87 @@ def populated(rows: DataFrame, names: list[str]) -> DataFrame:
     """(field, populated) for each of these columns: how many rows have a value that is not empty."""
     counts = rows.agg(*(F.count_if(F.col(c).cast("string") != "").alias(c) for c in names))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("populated")) for c in names))).alias("f")).select("f.*")
+
+
+def module_verdicts(scored: DataFrame, modules: DataFrame) -> DataFrame:
+    """Every module with its score, 0 and greenfield without a match, best score first and then by name."""
+    rows = modules.select("module").distinct().join(scored.select("module", "score"), "module", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
+    return rows.withColumn("verdict", _verdict(F.col("score"))).orderBy(F.desc("score"), "module")
+
+
+def overall_verdict(scored: DataFrame) -> DataFrame:
+    """One row (verdict) over all modules: any collision, else any adjacent one, else greenfield."""
+    return scored.agg(F.max("score").alias("m")).select(_verdict(F.coalesce("m", F.lit(0))).alias("verdict"))
+
+
+def _verdict(score: Column) -> Column:
+    return F.when(score >= 10, "collision").when(score > 0, "adjacent").otherwise("greenfield")
+
+
+def frequencies(records: DataFrame, params: dict[str, str]) -> DataFrame:
+    """(param, value, records, total, rank): how often each value of a parameter occurs, of all records; nulls are passed
+    over, ranks go by count and then by value."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("param"), F.col(c).cast("string").alias("value")) for k, c in params.items())))
+    n = records.select(pairs.alias("p")).select("p.*").where("value IS NOT NULL").groupBy("param", "value").agg(F.count("*").alias("records"))
+    total = records.agg(F.count("*").alias("total"))  # one row
+    return n.join(F.broadcast(total)).withColumn("rank", F.row_number().over(Window.partitionBy("param").orderBy(F.desc("records"), "value")))
+
+
+def receipts(rows: DataFrame, current: DataFrame, trusted: Column | None = None) -> DataFrame:
+    """(contract, matched, stale, unsupported, violations) of receipts (contract, contract_ref, violations: array of codes).
+
+    Receipts of an older contract are kept and counted stale.  Violations are counted over all trusted receipts, unsupported
+    ones apart; matched is counted before violations are unfolded, so that none counts twice.
+    """
+    own = (rows if trusted is None else rows.where(trusted)).join(current, "contract", "left")
+    hit = F.col("contract_ref").eqNullSafe(F.col("current_ref"))
+    odd = F.size(F.filter("violations", lambda v: v == "unsupported"))
+    return own.groupBy("contract").agg(F.count_if(hit).alias("matched"), F.count_if(~hit).alias("stale"), F.sum(odd).alias("unsupported"), F.sum(F.size("violations") - odd).alias("violations"))
+
+
+def operation_violations(rows: DataFrame, current: DataFrame) -> DataFrame:
+    """(contract, operation, n): violations of matched receipts only, unsupported ones included."""
+    own = rows.join(current, "contract").where(F.col("contract_ref") == F.col("current_ref"))
+    return own.select("contract", "operation", F.explode("violations").alias("v")).groupBy("contract", "operation").agg(F.count("*").alias("n"))
+
+
+def handle_audit(handles: DataFrame, snapshots: DataFrame, types: Column | None = None) -> DataFrame:
+    """(handle, revoked, snapshots, last) of handles (handle, resource_type, revoked), of some types only where given."""
+    taken = snapshots.groupBy("handle").agg(F.count("snapshot_id").alias("snapshots"), F.max("recorded_at").alias("last"))
+    rows = handles if types is None else handles.where(F.array_contains(types, F.col("resource_type")))
+    return rows.join(taken, "handle", "left").select("handle", "revoked", F.coalesce("snapshots", F.lit(0).cast("long")).alias("snapshots"), "last")
+
+
+def audit_summary(audit: DataFrame) -> DataFrame:
+    return audit.agg(F.count("*").alias("handles"), F.count_if("revoked").alias("revoked"), F.count_if(F.col("snapshots") == 0).alias("never"), F.coalesce(F.sum("snapshots"), F.lit(0).cast("long")).alias("snapshots"))
+
+
+def outbound(changes: DataFrame, edges: DataFrame, owners: DataFrame, own: str) -> DataFrame:
+    """(subject, relation, feature) of the features that a change reaches, own excluded: derives_from from its target,
+    fk_references and name_collides_with from either end; owners are (node, feature)."""
+    ends = lambda a, b: edges.select(F.col(a).alias("subject"), F.col(b).alias("node"), "relation")
+    either = F.col("relation").isin("fk_references", "name_collides_with")
+    reached = ends("target", "source").where((F.col("relation") == "derives_from") | either).unionByName(ends("source", "target").where(either))
+    return changes.select("subject").distinct().join(reached, "subject").join(owners, "node").where(F.col("feature") != own).select("subject", "relation", "feature").distinct()
+
+
+def dispositions(impacts: DataFrame, given: DataFrame, active: Column) -> DataFrame:
+    """impacts (change_key, downstream_feature) with the mode of the first active disposition by ordinal, null without."""
+    keys = ["change_key", "downstream_feature"]
+    first = given.where(active).groupBy(*keys).agg(F.min_by("mode", "ordinal").alias("mode"))
+    return impacts.join(first, keys, "left")
+
+
+def inbound(given: DataFrame, own: str) -> DataFrame:
+    """Other features' migrate dispositions that name this one."""
+    return given.where((F.col("mode") == "migrate") & (F.col("downstream_feature") == own) & (F.col("feature") != own))
+
+
+def dependents(declared: DataFrame, source: str) -> DataFrame:
+    """(feature, n) of the features that declare a dependency on this one."""
+    return declared.where(F.col("source_feature") == source).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+def in_order(rows: DataFrame, key: str, section: Column, *within: Column) -> DataFrame:
+    """rows with ordinal, from 1: by section and the places within it."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(section, *within)))

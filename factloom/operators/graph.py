@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,49 @@ def on_cycles(edges: DataFrame) -> DataFrame:
             break
         left = kept
     return kept.select(F.col("src").alias("node")).unionByName(kept.select(F.col("dst").alias("node"))).distinct()
+
+
+def impact_graph(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): of several definitions (id, type, label) of a node the first counts, in the order of the tables and of
+    `ordinal` within one; edges (source, target, relation) keep their duplicates, and stay only between known nodes."""
+    all_ = reduce(DataFrame.unionByName, (n.withColumn("_t", F.lit(i)) for i, n in enumerate(nodes)))
+    rest = [c for c in all_.columns if c not in ("id", "ordinal", "_t")]
+    known = all_.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("_t", "ordinal")).alias("r")).select("id", "r.*")
+    ids = known.select("id")
+    kept = reduce(DataFrame.unionByName, edges).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return known, kept
+
+
+def collapsed(edges: DataFrame, dist: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with every node farther than `most` made one, 'beyond'; edges are led there, the first of each pair
+    stays, and none leads from it to itself."""
+    name = F.when(F.col("dist") <= most, F.col("node")).otherwise("beyond")
+    nodes = dist.select(name.alias("node"), F.least("dist", F.lit(most + 1).cast("long")).alias("ring")).distinct()
+    at = dist.select("node", name.alias("as"))
+    led = edges.join(at.select(F.col("node").alias("src"), F.col("as").alias("a")), "src").join(at.select(F.col("node").alias("dst"), F.col("as").alias("b")), "dst")
+    return nodes, led.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def prefix_chains(mounts: DataFrame) -> DataFrame:
+    """(node, prefix): every concatenation of prefixes from a root to a node over mounts (parent, child, prefix), distinct.
+
+    Roots are parents that nothing mounts; a path that comes back to a node on it adds nothing.
+    """
+    roots = mounts.select(F.col("parent").alias("node")).distinct().join(mounts.select(F.col("child").alias("node")), "node", "left_anti")
+    front = durable(roots.select("node", F.lit("").alias("prefix"), F.array("node").alias("seen")))
+    out = front
+    while front.limit(1).count():
+        step = front.join(mounts, F.col("node") == F.col("parent")).where(~F.array_contains("seen", F.col("child")))
+        front = durable(step.select(F.col("child").alias("node"), F.concat(front["prefix"], mounts["prefix"]).alias("prefix"), F.array_append("seen", F.col("child")).alias("seen")).distinct())
+        out = out.unionByName(front)
+    return out.select("node", "prefix").distinct()
+
+
+def alias_targets(aliases: DataFrame) -> DataFrame:
+    """(name, target) of aliases (name, next), followed to the end by doubling the step; target is null on a cycle."""
+    way = durable(aliases.select("name", F.col("next").alias("at")))
+    names, reach = way.count(), 1
+    while reach <= names:  # after as many doublings every chain has ended but the endless ones
+        way = durable(way.join(way.select(F.col("name").alias("at"), F.col("at").alias("far")), "at", "left").select("name", F.coalesce("far", "at").alias("at")))
+        reach *= 2
+    return way.join(aliases.select(F.col("name").alias("at"), F.lit(True).alias("_more")).distinct(), "at", "left").select("name", F.when(F.col("_more").isNull(), F.col("at")).alias("target"))

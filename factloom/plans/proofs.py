@@ -39,7 +39,7 @@ def _part_facts(spark, d) -> DataFrame:
     return table(spark, d, "part").selectExpr("p_brand AS module", "p_partkey AS ordinal", signals)
 
 
-_TOK = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+_TOK = "list_filter(string_split_regex(lower(regexp_replace(coalesce({}, ''), '([a-z0-9])([A-Z])|([A-Z]+)([A-Z][a-z])', '\\1\\3 \\2\\4', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
 _MATCHED = f"""f AS (SELECT p_brand AS module, p_partkey AS ordinal, u.signal, u.weight, u.value FROM part,
   LATERAL (VALUES ('name', 10, p_name), ('type', 6, p_type), ('brand', 5, p_brand)) AS u(signal, weight, value)),
 t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS))}) AS v(term_ordinal, term)),
@@ -163,7 +163,7 @@ SELECT c_custkey, CASE WHEN ts IS NULL THEN 'not_run' WHEN event_type = 'click'
 WHEN greatest(0, floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(ts))) > 86400 * 30 THEN 'stale' ELSE 'pass' END AS status FROM customer LEFT JOIN l ON user_id = c_custkey""")
 def gate_eval(spark, d):
     last = logs.latest(table(spark, d, "events").where("value > 20").select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_id")
-    event = F.when(F.col("event_type") == "click", "awaiting").when(F.col("event_type") == "purchase", "revoke").otherwise("pass")
+    event = F.when(F.col("event_type") == "click", "awaiting").when(F.col("event_type") == "purchase", "revoke").when(F.col("event_type").isNotNull(), "pass")
     joined = table(spark, d, "customer").select("c_custkey").join(last, F.col("c_custkey") == F.col("user_id"), "left")
     return joined.select("c_custkey", logs.gate_status(F.lit(NOW).cast("timestamp"), F.col("ts"), event, 30 * 24 * 60).alias("status"))
 
