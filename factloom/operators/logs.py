@@ -24,7 +24,7 @@ def gate_status(now: Column, at: Column, event: Column, minutes: Column | int, c
     """
     limit = F.lit(minutes) if isinstance(minutes, int) else minutes
     age = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp(at))
-    old = (limit > 0) & F.coalesce(age > 60 * limit, F.lit(True))
+    old = (limit > 0) & (at.isNull() | (age > 60 * limit))
     stale = old if changed is None else F.coalesce(changed, F.lit(False)) | old
     return F.when(event.isNull(), "not_run").when(event == "awaiting", "awaiting").when(event == "revoke", "revoked").when(stale, "stale").when(event == "force", "forced").otherwise("pass")
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from factloom.functions import columns
-from factloom.operators import evidence, graph, logs, rules
+from factloom.operators import evidence, graph, logs, routes, rules
 from factloom.plans import proofs
 
 DATA = Path("/root/testdata/sf0.001")
@@ -98,3 +98,31 @@ def test_csv_quotes_no_more_than_it_must(spark):
     got = [r["line"] for r in made.select("k", columns.csv_record(*(made[c] for c in "kab")).alias("line")).orderBy("k").collect()]
     assert got == ['1,5-LOW,"a,b"', '2,"say ""x""","two\nlines"', '3,,"cr\rhere"', "4,,plain"]
     assert {r["field"]: r["populated"] for r in evidence.populated(made, ["k", "a", "b"]).collect()} == {"k": 4, "a": 2, "b": 4}
+
+
+def test_endpoints_against_a_document(spark):
+    """Each kind of outcome, with the prefix inferred or not."""
+    e = lambda *rows: spark.createDataFrame(rows, "key string, verb string, path string, operation_id string")
+    o = lambda *rows: spark.createDataFrame(rows, "verb string, path string, operation_id string")
+    ends = e(("matched", "GET", "/organizations/{id}", "findOrganization"), ("verb", "GET", "/widgets/{id}", "findWidget"), ("path", "GET", "/gizmos", "findGizmo"), ("missing", "GET", "/ghosts", "findGhost"),
+             ("adopted", "POST", "/w/:id([0-9]+)", None), ("nameless", "POST", "/gadgets", None), ("nothing", "GET", "/nothing", None), ("ambiguous", "GET", "/reports", None))
+    ops = o(("GET", "/api/v0/organizations/{id}", "findOrganization"), ("POST", "/api/v0/widgets/{id}", "findWidget"), ("GET", "/totally/unrelated", "findGizmo"), ("POST", "/api/v0/w/{key}", "createW"),
+            ("POST", "/api/v0/gadgets", None), ("GET", "/api/v0/reports", "a"), ("GET", "/reports", "b"))
+    prefix = routes.inferred_prefix(routes.prefix_deltas(ends, ops))
+    assert tuple(prefix.first()) == ("/api/v0", "inferred", "")
+    got = {r["key"]: (r["kind"], r["reason"], r["operation"]) for r in routes.reconcile(ends, ops, prefix).collect()}
+    assert got == {
+        "matched": ("matched", "", "findOrganization"), "verb": ("drift", "verb", None), "path": ("drift", "path", None), "missing": ("missing", "", None), "adopted": ("adopted", "", "createW"),
+        "nameless": ("unresolved", "document-missing-operation-id", None), "nothing": ("unresolved", "no-candidate", None), "ambiguous": ("ambiguous", "", None),
+    }
+    none = routes.inferred_prefix(routes.prefix_deltas(ends.where("false"), ops))
+    got = {r["key"]: r["reason"] for r in routes.reconcile(e(("k", "GET", "/nothing", None)), ops, none).collect()}
+    assert got == {"k": "prefix-inconclusive"}
+
+
+def test_overall_verdict_is_greenfield_without_a_match(spark):
+    facts = spark.createDataFrame([("m", "name", 10, 1, "APIController"), ("n", "name", 5, 1, "other")], "module string, signal string, weight int, ordinal long, value string")
+    scored = evidence.scores(facts, ["nothing"])
+    assert evidence.overall_verdict(scored).first()["verdict"] == "greenfield"
+    assert [tuple(r) for r in evidence.module_verdicts(scored, facts).collect()] == [("m", 0, "greenfield"), ("n", 0, "greenfield")]
+    assert evidence.overall_verdict(evidence.scores(facts, ["other"])).first()["verdict"] == "adjacent"
