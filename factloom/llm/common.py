@@ -74,6 +74,18 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+_BITS = 1 << 24
+
+
+def sieved(rows: DataFrame, key: str, some: DataFrame, some_key: str) -> DataFrame:
+    """rows with `hit`: false where key is surely not among some_key.  A bitmap of _BITS bits is broadcast (at most _BITS / 64
+    rows, whatever the input), so that rows without a partner need no shuffle."""
+    spot = lambda c: F.shiftright(F.pmod(F.xxhash64(c), F.lit(_BITS)), 6)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) AS INT))")
+    bits = F.broadcast(some.select(spot(some_key).alias("_w"), bit(some_key).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b")))
+    return rows.join(bits, spot(key) == F.col("_w"), "left").withColumn("hit", F.coalesce(F.col("_b").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_w", "_b")
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

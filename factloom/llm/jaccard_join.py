@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, parts, reach_workers, written
+from .common import discard, parts, reach_workers, sieved, written
 from .shingles import class_of, mix, sets
 
 SKETCH = 1 << 20
@@ -419,9 +419,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     fate = members.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), F.bool_and("first").alias("first"), F.max("n_shingles").alias("n"))
     fate = written(fate.where("NOT first OR (rows > 1 AND (doc_id IS NOT NULL OR n > 0))").select(F.col("doc_id").alias("at_id"), F.col("key").alias("at_key"), "first"), "fate")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = sieved(rows, "key", fate, "at_key")
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("key") == F.col("at_key"))
-    once = rows.join(fate, same, "left_anti").select("row.*")
+    hits = rows.where("hit")
+    once = rows.where("NOT hit").select("row.*").unionByName(hits.join(fate, same, "left_anti").select("row.*"))
     repeats = fate.where("first")
     if not repeats.limit(1).count():
         return once
-    return once.unionByName(rows.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"]).select("row.*"))
+    return once.unionByName(hits.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"]).select("row.*"))
