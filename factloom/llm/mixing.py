@@ -5,7 +5,7 @@ then fits nonnegative document rates r so that the expected domain totals, the s
 targets, with a small pull of every rate to 1.  A domain's squared difference weighs as one over its target, so that small
 domains are fitted as closely, and in as few steps, as large ones.  Only the domain totals (one row) come to the driver in
 each iteration; a step is a built-in expression of a document's rate, its posterior and the residuals.  Every few steps the
-rates are written down and the next ones start from there, until the residuals stand still.
+rates (without the texts) are written down and the next ones start from there, until the residuals stand still.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SAMPLE = 3000
 PULL = 0.02
 #: A target below this share weighs as this share.
 LEAST_SHARE = 1e-3
-#: The fit ends when no weighed residual is larger than this, or none has moved by a fiftieth of it.
+#: The fit ends when no weighed residual is larger than this, or none has moved by a fifth of it in a step.
 TOLERANCE = 1e-4
 _STEPS = 12
 _STRIP = ".,;:!?\"'()[]#*$%&|<>"
@@ -131,6 +131,18 @@ def stepped(rate: Column, p: Column, residuals: list[list[float]], step: float,
     return rate
 
 
+def folded(p: Column, residuals: list[list[float]], step: float, pull: float, most: float | None) -> Column:
+    """stepped() from a rate of 1, for any number of steps: the expression holds their residuals as one array."""
+    if not residuals:
+        return F.lit(1.0)
+
+    def one(rate: Column, e: Column) -> Column:
+        rate = F.greatest(F.lit(0.0), rate * (1 - step * pull) + step * pull - sum((p[i] * e[i] * step for i in range(len(DOMAINS))), F.lit(0.0)))
+        return F.least(F.lit(float(most)), rate) if most is not None else rate
+
+    return F.aggregate(F.array(*(F.array(*map(F.lit, e)) for e in residuals)), F.lit(1.0), one)
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float], keep: str | None = None, most: float | None = None, tol: float = TOLERANCE):
     """(members with rate, totals, wanted): rates at which the domain totals come as close to the wanted ones as rates from 0
     (to `most`) and the pull to 1 allow.  It iterates until the residuals stand still, however long that takes.
@@ -138,7 +150,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], keep: str | None =
     Targets are shares of the tokens there are now; with keep, of so many that this domain's target is what it has now.
     """
     k = len(DOMAINS)
-    now_at = members.withColumn("rate", F.lit(1.0))
+    now_at = members.select("n_tokens", "p").withColumn("rate", F.lit(1.0))
 
     def totals(rate: Column) -> np.ndarray:
         sums = now_at.agg(*(F.sum(F.col("n_tokens") * rate * F.col("p")[i]) for i in range(k)))
@@ -150,20 +162,23 @@ def fit_rates(members: DataFrame, targets: dict[str, float], keep: str | None =
     size = max(1.0, now.sum())
     weight = 1 / np.maximum(want / size, LEAST_SHARE)
     step = 1 / (max(1e-9, (weight * now / size).max()) + PULL)  # a bound of the curvature: the largest row sum, as posteriors sum to 1
-    last, steps, table_ = None, [], None
+    last, steps, history, table_ = None, [], [], None
     while True:
         e = weight * (now - want) / size
-        if np.abs(e).max() < tol or (last is not None and np.abs(e - last).max() < tol / 50):
+        if np.abs(e).max() < tol or (last is not None and np.abs(e - last).max() < tol / 5):
             break
         last = e
         steps.append([float(x) for x in e])
+        history.append(steps[-1])
         now = totals(stepped(F.col("rate"), F.col("p"), steps, step, PULL, most))
         if len(steps) == _STEPS:
             before, table_ = table_, written(now_at.withColumn("rate", stepped(F.col("rate"), F.col("p"), steps, step, PULL, most)), "rates")
             now_at, steps = table_, []
             if before is not None:
                 discard(before)
-    return now_at.withColumn("rate", stepped(F.col("rate"), F.col("p"), steps, step, PULL, most)), now, want
+    if table_ is not None:
+        discard(table_)
+    return members.withColumn("rate", folded(F.col("p"), history, step, PULL, most)), now, want
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None, sample: int = SAMPLE, most: float | None = None) -> DataFrame:
