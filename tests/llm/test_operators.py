@@ -223,3 +223,51 @@ def test_one_row_of_each_group_stays_and_no_other_text(spark):
     want = [(1, LINE, "a"), (2, other, "c"), (3, third, "d"), (None, "only without an id", "f"), (4, None, "g"), (5, " ", "h"), (None, "", "i"), (None, "", "i")]
     assert Counter(map(tuple, got.collect())) == Counter(want)
     assert jaccard_join.representatives(docs.where("false")).count() == 0
+
+
+def test_fitted_rates_are_those_of_a_plain_least_squares_fit(spark):
+    """Against a long plain projected-gradient fit over all rows at once; with an upper bound too."""
+    r = np.random.default_rng(1)
+    p, n = r.dirichlet([2, 0.5, 0.3], 400), r.integers(1, 200, 400)
+    rows = [(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)]
+    members = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    for keep, most in ((None, None), ("good", 1.0)):
+        got, now, want = mixing.fit_rates(members, mixing.TARGETS, keep, most)
+        rate = np.array([x["rate"] for x in got.collect()])
+        size = (n @ p).sum()
+        weight = 1 / np.maximum(want / size, mixing.LEAST_SHARE)
+        plain = np.ones(400)
+        for _ in range(20_000):
+            e = weight * ((n * plain) @ p - want) / size
+            plain = np.clip(plain - 0.2 * (p @ e + mixing.PULL * (plain - 1)), 0, most)
+        assert np.abs((n * rate) @ p - now).max() < 1e-6 * size
+        assert np.abs(now - (n * plain) @ p).max() < 0.01 * size and (rate >= 0).all() and (most is None or rate.max() <= most)
+
+
+def test_a_labelled_sample_keeps_its_bounds(spark):
+    from factloom.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, "same")] * 500 + [(2, "b" * 50), (3, None), (None, "x"), (4, "d")], "doc_id long, text string")
+    label = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (9, 1), (None, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: (r["quality"], r["text"]) for r in labelled_sample(docs, label, 10).collect()}
+    assert got == {1: (0, "same"), 2: (1, "b" * 50), 3: (0, None)}  # the least of two labels, one row an id, absent ids take no room
+    assert labelled_sample(docs, label, 2).count() == 2 and labelled_sample(docs, label, 10, chars=10).count() <= 2
+    assert labelled_sample(docs.where("false"), label, 10).count() == 0
+
+
+def test_many_equal_rows_of_a_dedup_are_one_document(spark):
+    text = LINE * 3
+    docs = spark.createDataFrame([(5, text)] * 2000 + [(7, "x" + text)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup(docs).collect())
+    doc = (LINE * 3).encode()
+    assert got == {(5, 0, 0): 2000, (7, len(doc), 1): 1}
+
+
+def test_suffixes_are_grouped_as_a_plain_dictionary_groups_them():
+    r = np.random.default_rng(3)
+    for length in (50, 30, 10, 5):
+        text = bytes(r.choice(list(b"ab"), 400).tolist()) + b"abc" * 60 + bytes(r.choice(list(b"ab"), 50).tolist()) * 3
+        at = np.arange(len(text) - length + 1)
+        group = suffix_dedup.equal_groups(text, at, length)
+        seen = {}
+        assert all(seen.setdefault(text[i : i + length], g) == g for i, g in zip(at.tolist(), group.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
