@@ -172,13 +172,13 @@ def gate_inputs(spark, d):
     return diff.input_delta(before, after, "o_orderkey", "i")
 
 
-_ROOTS = "a AS (SELECT DISTINCT p_brand || '/' || p_size AS root FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_brand FROM part WHERE p_size > 45), b AS (SELECT DISTINCT p_brand || '/' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '/' || p_type ELSE '' END AS root FROM part)"
+_ROOTS = "a AS (SELECT DISTINCT p_brand || '/' || p_size AS root FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE '%1'), b AS (SELECT DISTINCT p_brand || '/' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '/' || p_type ELSE '' END AS root FROM part)"
 
 
 @_proof(f"WITH {_ROOTS} SELECT root FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.root = a.root OR starts_with(b.root, a.root || '/'))")
 def permission_roots(spark, d):
     part = table(spark, d, "part")
-    before = part.where("p_partkey % 2 = 0").selectExpr("p_brand || '/' || p_size AS root").unionByName(part.where("p_size > 45").selectExpr("p_brand AS root"))
+    before = part.where("p_size % 2 = 0").selectExpr("p_brand || '/' || p_size AS root").unionByName(part.where("p_brand LIKE '%1'").selectExpr("p_brand AS root"))
     return trust.root_expansions(before, part.selectExpr("p_brand || '/' || p_size || IF(p_partkey % 3 = 0, '/' || p_type, '') AS root"), "root", paths.ancestors)
 
 
@@ -299,13 +299,13 @@ def impact_edges(spark, d):
     return _impact(spark, d)[1].select("source", "target", "relation")
 
 
-_MOUNTS = "m AS (SELECT DISTINCT 'n' || p_size % 25 AS parent, 'n' || (p_size % 25 + p_partkey % 4 + CASE WHEN p_partkey % 20 = 0 THEN -12 ELSE 8 END) AS child, '/' || p_type AS prefix FROM part WHERE p_partkey % 9 = 0)"
+_MOUNTS = "m AS (SELECT DISTINCT 'n' || p_size AS parent, 'n' || CASE WHEN p_partkey % 40 = 0 THEN p_size // 2 ELSE p_size * 2 END AS child, CASE WHEN p_partkey % 2 = 0 THEN '/a' ELSE '/b' END AS prefix FROM part WHERE p_size < 20)"
 
 
 @_proof(f"""WITH RECURSIVE {_MOUNTS}, r(node, prefix, seen) AS (SELECT DISTINCT parent, '', [parent] FROM m WHERE parent NOT IN (SELECT child FROM m) UNION SELECT m.child, r.prefix || m.prefix, list_append(seen, m.child) FROM r JOIN m ON m.parent = r.node WHERE NOT list_contains(seen, m.child))
 SELECT DISTINCT node, prefix FROM r""")
 def mount_prefixes(spark, d):
-    mounts = table(spark, d, "part").where("p_partkey % 9 = 0").selectExpr("'n' || p_size % 25 AS parent", "'n' || (p_size % 25 + p_partkey % 4 + IF(p_partkey % 20 = 0, -12, 8)) AS child", "'/' || p_type AS prefix").distinct()
+    mounts = table(spark, d, "part").where("p_size < 20").selectExpr("'n' || p_size AS parent", "'n' || IF(p_partkey % 40 = 0, p_size DIV 2, p_size * 2) AS child", "IF(p_partkey % 2 = 0, '/a', '/b') AS prefix").distinct()
     return graph.prefix_chains(mounts)
 
 
