@@ -31,34 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-_dropping = {"lock": threading.Lock(), "users": 0, "before": "false"}
+#: Rows of a batch that a Python task holds at a time: whole texts are long.
+_BATCH_ROWS = 2048
+_lean = {"lock": threading.Lock(), "users": 0, "before": {}}
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes the shuffle files of an action inside as soon as it has ended: its output no longer needs them.
-
-    The setting is the session's; the last of several threads inside puts it back.
-    """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    with _dropping["lock"]:
-        if not _dropping["users"]:
-            _dropping["before"] = spark.conf.get(name)
-            spark.conf.set(name, "true")
-        _dropping["users"] += 1
+def lean(spark: SparkSession) -> Iterator[None]:
+    """For the actions inside, Spark deletes an action's shuffle files as soon as it has ended, as its output no longer needs
+    them, and hands Python tasks smaller batches.  The settings are the session's; the last thread inside puts them back."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _lean["lock"]:
+        if not _lean["users"]:
+            most = int(spark.conf.get(rows))
+            wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", rows: str(min(most, _BATCH_ROWS) if most > 0 else _BATCH_ROWS)}
+            _lean["before"] = {k: spark.conf.get(k) for k in wanted}
+            for k, v in wanted.items():
+                spark.conf.set(k, v)
+        _lean["users"] += 1
     try:
         yield
     finally:
-        with _dropping["lock"]:
-            _dropping["users"] -= 1
-            if not _dropping["users"]:
-                spark.conf.set(name, _dropping["before"])
+        with _lean["lock"]:
+            _lean["users"] -= 1
+            if not _lean["users"]:
+                for k, v in _lean["before"].items():
+                    spark.conf.set(k, v)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and survives the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    with shuffles_dropped(df.sparkSession):
+    with lean(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path, weakref.finalize(out, _paths.pop, id(out), None)
