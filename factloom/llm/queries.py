@@ -70,8 +70,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+def _secret_sql(scope: int = 300) -> str:
+    """SQL of op8: matches and their places from split texts, links by a join of a row's spans."""
+    quoted = {kind: pattern.replace("'", "''") for kind, _, _, pattern, _ in secret_scan.KINDS}
+    matches = "\nUNION ALL ".join(
+        f"SELECT k, '{kind}' AS kind, '{role}' AS role, {n} AS ord, regexp_extract_all(t, '{quoted[kind]}') AS f, regexp_split_to_array(t, '{quoted[kind]}') AS b FROM d"
+        for kind, role, n, _, _ in secret_scan.KINDS)
+    near = "EXISTS (FROM s p WHERE p.k = w.k AND p.role = '{}' AND abs(p.a - w.a) <= " + str(scope) + ")"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({matches}),
+e AS (SELECT k, kind, role, ord, f[i] AS m, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM f)),
+s AS MATERIALIZED (SELECT k, kind, role, ord, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS z FROM e
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, '^(?:{quoted["assign"]})$', 2)) >= 6 WHEN 'access' THEN length(m) >= 20
+    WHEN 'string' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') ELSE true END),
+w AS (SELECT * FROM s w WHERE ord <= 2 OR ((ord = 5 OR NOT EXISTS (FROM s c WHERE c.k = w.k AND c.ord <= 2 AND c.a <= w.a AND w.a < c.z))
+  AND CASE ord WHEN 3 THEN {near.format("id")} WHEN 4 THEN {near.format("secret")} ELSE {near.format("id")} AND {near.format("secret")} END)),
+g AS (SELECT k, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+    string_agg(concat_ws(':', kind, a, z), ',' ORDER BY a, ord) FILTER (ord <= 2) AS base, string_agg(concat_ws(':', kind, a, z), ',' ORDER BY a, ord) AS spans FROM w GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_secret_scan": _secret_sql(),
         "op7_jaccard_join": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
