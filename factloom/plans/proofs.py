@@ -20,6 +20,8 @@ NOW = "2024-03-01 00:00:00"
 
 def _proof(sql: str):
     def add(f):
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
         return f
 
@@ -103,11 +105,12 @@ def plane_drift(spark, d):
     return diff.table_drift(part.where("p_partkey % 3 = 0"), part.where("p_partkey % 3 = 1"))
 
 
-@_proof("""WITH n AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1)
-SELECT s_suppkey, s_nationkey AS k, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status FROM supplier LEFT JOIN n ON k = s_nationkey""")
+@_proof("""WITH n AS (SELECT c_nationkey AS k, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1, 2)
+SELECT s_suppkey, s_nationkey AS k, 'BUILDING' AS segment, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status FROM supplier LEFT JOIN n ON k = s_nationkey AND segment = 'BUILDING'""")
 def binding_status(spark, d):
-    rows = table(spark, d, "supplier").selectExpr("s_suppkey", "s_nationkey AS k")
-    return diff.cardinality(rows, table(spark, d, "customer").where("c_custkey % 7 = 0").selectExpr("c_nationkey AS k"), "k")
+    place = "struct({} AS k, {} AS segment) AS place".format
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", place("s_nationkey", "'BUILDING'"))
+    return diff.cardinality(rows, table(spark, d, "customer").selectExpr(place("c_nationkey", "c_mktsegment")), "place").select("s_suppkey", "place.*", "status")
 
 
 @_proof("""WITH a AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 7 <> 0)
@@ -193,25 +196,6 @@ def prefix_budget(spark, d):
     return logs.prefix_budget(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 40000, 5000)
 
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 97 AS dst FROM lineitem WHERE l_suppkey % 97 <> l_partkey % 97 AND l_linenumber = 1 AND l_suppkey < 97)"
-
-
-def _edges(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_suppkey % 97 <> l_partkey % 97 AND l_linenumber = 1 AND l_suppkey < 97").selectExpr("l_suppkey AS src", "l_partkey % 97 AS dst").distinct()
-
-
-@_proof(f"""WITH RECURSIVE {_EDGES}, r(node, dist) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.dst, r.dist + 1 FROM r JOIN e ON e.src = r.node WHERE r.dist < 20)
-SELECT node, min(dist) AS dist FROM r GROUP BY 1""")
-def invalidation_closure(spark, d):
-    return graph.hops(_edges(spark, d), spark.range(1, 2).withColumnRenamed("id", "node"), 20)
-
-
-@_proof(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, dist) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT u.dst, r.dist + 1 FROM r JOIN u ON u.src = r.node WHERE r.dist < 2)
-SELECT min_dist AS ring, count(*) AS nodes FROM (SELECT node, min(dist) AS min_dist FROM r GROUP BY 1) GROUP BY 1""")
-def bfs_rings(spark, d):
-    return graph.hops(graph.undirected(_edges(spark, d)), spark.range(1, 2).withColumnRenamed("id", "node"), 2).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
-
-
 _LINES = "(SELECT l_suppkey, l_partkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS next_supp FROM lineitem)"
 _DEPENDENTS = f"""d AS (SELECT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM {_LINES}
   UNION SELECT 'part:' || l_partkey, 'supplier:' || next_supp FROM {_LINES} WHERE next_supp IS NOT NULL)"""
@@ -237,6 +221,21 @@ def dependency_closure(spark, d):
     return graph.hops(_dependents(spark, d), _first_supplier(spark, d))
 
 
+@_proof(f"""WITH RECURSIVE {_DEPENDENTS}, r(node, dist) USING KEY (node) AS (SELECT DISTINCT 'supplier:' || s_suppkey, CAST(0 AS BIGINT) FROM supplier WHERE s_acctbal < 0
+  UNION SELECT d.dst, min(r.dist) + 1 FROM r JOIN d ON d.src = r.node WHERE d.dst NOT IN (SELECT node FROM recurring.r) GROUP BY 1)
+SELECT node, dist FROM r""")
+def invalidation_closure(spark, d):
+    edges = _dependents(spark, d)
+    nodes = edges.selectExpr("explode(array(src, dst)) AS node")
+    return graph.invalidated(edges, nodes, table(spark, d, "supplier").where("s_acctbal < 0").selectExpr("'supplier:' || s_suppkey AS node"))
+
+
+@_proof(f"""WITH {_DEPENDENTS}, b AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d), s AS (SELECT node FROM ({_FIRST})), one AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM s) AND dst NOT IN (FROM s)),
+two AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM one) AND dst NOT IN (FROM one) AND dst NOT IN (FROM s)) SELECT * FROM (SELECT CAST(0 AS BIGINT) AS ring, count(*) AS nodes FROM s UNION ALL SELECT 1, count(*) FROM one UNION ALL SELECT 2, count(*) FROM two) WHERE nodes > 0""")
+def bfs_rings(spark, d):
+    return graph.hops(graph.undirected(_dependents(spark, d)), _first_supplier(spark, d), 2).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
+
+
 @_proof(f"""WITH RECURSIVE {_DEPENDENTS}, b AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d), r(node, dist) USING KEY (node) AS ({_FIRST}
   UNION SELECT b.dst, min(r.dist) + 1 FROM r JOIN b ON b.src = r.node WHERE b.dst NOT IN (SELECT node FROM recurring.r) GROUP BY 1)
 SELECT dist AS ring, count(*) AS nodes FROM r GROUP BY 1""")

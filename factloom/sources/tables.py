@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a local one where that is unset) and read again."""
+    """df written to the folder in spark.checkpoint.dir and read again; a local folder only where that is unset and the master local."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="factloom-"))
         base = _own[0]
