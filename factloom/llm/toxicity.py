@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as its own embedding (words of the training sample that are common enough) next to the mean of the embeddings
-of its character trigrams.  All overlapping windows of a text are scored; a document's score is that of its worst window.
+of its character trigrams.  Overlapping windows of 24 words, one from every fourth word, cover a text; a document's score is that of its worst
+window.
 Training picks, for each toxic document, the window that scores highest so far, and for clean documents their worst ones.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, reach_workers
 
 SAMPLE = 2500
-WINDOW, STEP = 24, 16
+WINDOW, STEP = 24, 4
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 CHAR_ROWS = 8192
 _WORD = re.compile(r"[^\W\d_]+")
