@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, quality_rules, secret_scan, site_quality, suffix_dedup, topk_search, toxicity
+from . import (conversation_repair, html_extract, jaccard_join, language_id, mixing, oracles, packing, quality_rules, resampling, secret_scan, site_quality, suffix_dedup,
+               topk_search, toxicity)
 from .common import key_crc, table
 
 
@@ -58,6 +59,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("d.doc_id", "n_tokens", *share, "rate")
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_suffix_dedup, op2_site_quality, op3_language_id, op4_quality_rules, op5_packing, op6_toxicity,
-           op7_jaccard_join, op8_secret_scan, op9_topk_search, op10_mixing, pipeline)
+           op7_jaccard_join, op8_secret_scan, op9_topk_search, op10_mixing, op11_html_extract, op12_conversation_repair, op13_resampling, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -95,6 +108,9 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_html_extract": oracles.PAGES,
+        "op12_conversation_repair": oracles.CONVERSATIONS,
+        "op13_resampling": oracles.RESAMPLING,
         "op8_secret_scan": _secret_sql(),
         "op7_jaccard_join": r"""
 WITH RECURSIVE d AS (
