@@ -66,16 +66,42 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path, weakref.finalize(out, _paths.pop, id(out), None)
+    if (made := getattr(_stage, "made", None)) is not None:
+        made.append(path)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() returned; nothing that is still to run may read them."""
     for table_ in tables:
-        path, _ = _paths.pop(id(table_))
-        jvm, conf = table_.sparkSession._jvm, table_.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        delete(table_.sparkSession, _paths.pop(id(table_))[0])
+
+
+_stage = threading.local()
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """A stage of a pipeline.  Its output is written before this thread enters the next one, so what written() made inside is
+    deleted then (or by cleared())."""
+    cleared(spark)
+    _stage.made = []
+    try:
+        yield
+    finally:
+        _stage.left, _stage.made = _stage.made, None
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes the tables of this thread's last stage."""
+    for path in getattr(_stage, "left", ()):
+        delete(spark, path)
+    _stage.left = []
 
 
 _BITS = 1 << 24
@@ -90,6 +116,16 @@ def sieved(rows: DataFrame, key: str, some: DataFrame, some_key: str) -> DataFra
     return rows.join(bits, spot(key) == F.col("_w"), "left").withColumn("hit", F.coalesce(F.col("_b").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_w", "_b")
 
 
+def id_text():
+    """doc_id as text, for frames that Python reads: pandas makes doubles of whole numbers beside nulls, and ids over 2 ** 53 others."""
+    return F.col("doc_id").cast("long").cast("string").alias("doc_id")
+
+
+def with_ids(df: DataFrame) -> DataFrame:
+    """df with doc_id as a number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, parts, reach_workers, sieved, written
+from .common import discard, id_text, parts, reach_workers, sieved, with_ids, written
 from .shingles import class_of, mix, sets
 
 SKETCH = 1 << 20
@@ -89,12 +89,12 @@ def _signatures(width: int, percent: int):
                     np.add.at(counts, (s >> np.uint64(20)) & np.uint64(SKETCH - 1), 1)
             empty = False
             n, cls, firsts, second, third, small, bits = zip(*got, strict=True) if got else ([],) * 7
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "n": n, "cls": pd.array(cls, dtype="Int64"), "firsts": firsts, "second": second, "third": third,
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "n": n, "cls": pd.array(cls, dtype="Int64"), "firsts": firsts, "second": second, "third": third,
                                 "map": small, "bits": bits, "chunk": pd.array([None] * len(n), dtype="Int32"), "counts": None})
         if not empty:
             for c in range(0, SKETCH, CHUNK):
                 none = pd.array([None], dtype="Int64")
-                yield pd.DataFrame({"doc_id": none, "key": none, "n": [0], "cls": none, "firsts": [None], "second": [None], "third": [None],
+                yield pd.DataFrame({"doc_id": [None], "key": none, "n": [0], "cls": none, "firsts": [None], "second": [None], "third": [None],
                                     "map": [None], "bits": [None], "chunk": pd.array([c // CHUNK], dtype="Int32"), "counts": [counts[c : c + CHUNK].tobytes()]})
 
     return run
@@ -375,10 +375,10 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     reach_workers(spark)
     n_parts = parts(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    schema = "doc_id long, key long, n long, cls long, firsts array<long>, second array<int>, third array<int>, map array<long>, bits array<long>, chunk int, counts binary"
-    signatures = written(docs.mapInPandas(_signatures(width, percent), schema), "signatures")
+    schema = "doc_id string, key long, n long, cls long, firsts array<long>, second array<int>, third array<int>, map array<long>, bits array<long>, chunk int, counts binary"
+    signatures = written(docs.withColumn("doc_id", id_text()).mapInPandas(_signatures(width, percent), schema), "signatures")
     sketch = spark.sparkContext.broadcast(sketch_of(signatures))  # SKETCH bytes
-    members = signatures.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "cls", "key")
+    members = with_ids(signatures.where("chunk IS NULL")).select("doc_id", F.col("n").alias("n_shingles"), "cls", "key")
 
     blobs = docs.where("text IS NOT NULL").mapInPandas(_emit(width, percent, n_parts, sketch), "bucket int, tokens binary, own binary, place binary, cls binary, n binary")
     shared = written(blobs.repartition(n_parts, "bucket").mapInPandas(_meet(), "token long, cls long, n long, place long"), "prefixes")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reach_workers
+from .common import id_text, reach_workers, with_ids
 
 TOP = 300
 PER_LANGUAGE = 400
@@ -113,6 +113,5 @@ def predict(docs: DataFrame, table: pd.DataFrame, top: int = TOP) -> DataFrame:
     """
     reach_workers(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(
-        _predict(table, top), "doc_id long, held_out boolean, lang_pred string, score double"
-    )
+    schema = "doc_id string, held_out boolean, lang_pred string, score double"
+    return with_ids(docs.select(id_text(), held.alias("held_out"), "text").mapInPandas(_predict(table, top), schema))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reach_workers, written
+from .common import id_text, reach_workers, with_ids, written
 
 CAPACITY = 2048
 END_ID = 1
@@ -122,7 +122,7 @@ def cut(path: str, capacity: int):
                     n = len(piece) // 4
                     out.append((doc_id, start, n, zlib.crc32(piece), total, task, seen[n]))
                     seen[n] += 1
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "n"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "n"])
 
     return run
 
@@ -223,8 +223,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     spark = docs.sparkSession
     reach_workers(spark)
     path = vocabulary or default_vocabulary()
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, n long"
-    pieces = written(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut(path, capacity), schema), "pieces")
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, task long, n long"
+    pieces = written(docs.select(id_text(), "text").mapInPandas(cut(path, capacity), schema), "pieces")
     totals = pieces.groupBy("task", "length").agg(F.count("*").alias("c"))
     histogram = {r["length"]: r["c"] for r in totals.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most 2048 rows
     before = F.coalesce(F.sum("c").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -232,5 +232,5 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("n")).alias("rank")
     )
     table = plan({k: v for k, v in histogram.items() if k != capacity}, capacity)
-    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked.mapInPandas(placed(table, capacity), out)
+    out = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return with_ids(ranked.mapInPandas(placed(table, capacity), out))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sieved, written
 
 #: kind, role, order in ties, pattern (Java and RE2 alike), what a match must also satisfy (`m` is the match)
 _KEYS = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -116,7 +116,9 @@ def masked(docs: DataFrame, scope: int = 300) -> DataFrame:
         (a, s) -> IF(s.end <= a.at, a, named_struct('at', s.end, 'out', IF(s.start >= a.at,
             concat(a.out, array(substring(t, cast(a.at + 1 AS INT), cast(s.start - a.at AS INT)), '<secret>')), a.out))),
         a -> concat(array_join(a.out, ''), substring(t, cast(a.at + 1 AS INT))))"""
-    found = scan(docs, scope).where("size(spans) > 0").select("k", "spans").dropDuplicates(["k"])
-    whole = docs.select(F.struct("*").alias("d"), _key().alias("k"), F.col("text").alias("t")).join(found, "k", "left")
+    found = written(scan(docs, scope).where("size(spans) > 0").select("k", "spans").dropDuplicates(["k"]), "secrets")
+    rows = sieved(docs.select(F.struct("*").alias("d"), _key().alias("k"), F.col("text").alias("t")), "k", found.select(F.col("k").alias("_k")), "_k")
+    hits = rows.where("hit").join(found, "k", "left")  # rows without a secret are not shuffled with their texts
     text = F.when(F.col("spans").isNull(), F.col("t")).otherwise(F.expr(cut))
-    return whole.withColumn("t", text).select(*(F.col("t").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
+    whole = rows.where("NOT hit").select("d", "t").unionByName(hits.select("d", text.alias("t")))
+    return whole.select(*(F.col("t").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))

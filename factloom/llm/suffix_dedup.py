@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, parts, reach_workers, written
+from .common import discard, id_text, parts, reach_workers, with_ids, written
 from .shingles import _power, mix
 
 LENGTH = 50
@@ -429,4 +429,4 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = spans.groupBy("id", "key").agg(F.max("spans").alias("spans"))
     whole = maybe.where("NOT hit").select("doc_id", "text", F.lit(None).cast("binary").alias("spans")).unionByName(
         hits.join(spans, ["id", "key"], "left").select("doc_id", "text", "spans"))
-    return whole.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return with_ids(whole.withColumn("doc_id", id_text()).mapInPandas(_cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))

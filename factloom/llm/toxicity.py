@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, reach_workers
+from .common import id_text, labelled_sample, reach_workers, with_ids
 
 SAMPLE = 2500
 WINDOW, STEP = 24, 4
@@ -277,4 +277,4 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     """
     reach_workers(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(_score(net), "doc_id long, held_out boolean, score double, predicted int")
+    return with_ids(docs.select(id_text(), held.alias("held_out"), "text").mapInPandas(_score(net), "doc_id string, held_out boolean, score double, predicted int"))
