@@ -7,21 +7,26 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import joined_route
 from factloom.sources.tables import durable
 
 
+#: Tables of levels that are put together into one.
+_LEVELS = 16
+
+
 def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(node, dist) for every node that edges (src, dst) reach from seeds (node); seeds are at 0."""
-    seen = durable(seeds.select("node").distinct().withColumn("dist", F.lit(0).cast("long")))
+    front = durable(seeds.select("node").distinct().withColumn("dist", F.lit(0).cast("long")))
     edges = durable(edges.select("src", "dst").distinct())
-    level = 0
+    seen, level = front, 0
     while most is None or level < most:
-        front = seen.where(F.col("dist") == level)
-        new = durable(edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("dist", F.lit(level + 1).cast("long")))
-        if not new.limit(1).count():
+        front = durable(edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("dist", F.lit(level + 1).cast("long")))
+        if front.isEmpty():
             break
-        seen = durable(seen.unionByName(new))
-        level += 1
+        seen, level = seen.unionByName(front), level + 1  # a level is written once; the many small tables of a deep graph are put together
+        if level % _LEVELS == 0:
+            seen = durable(seen)
     return seen
 
 
@@ -83,6 +88,44 @@ def prefix_chains(mounts: DataFrame) -> DataFrame:
     return out.select("node", "prefix").distinct()
 
 
+def _below(path: str):
+    """A path under the prefix and base of a node."""
+    return F.regexp_replace(joined_route(joined_route(F.col("prefix"), F.col("base")), F.col(path)), "/+", "/")
+
+
+def mounted_routes(nodes: DataFrame, routes: DataFrame, mounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(endpoints, notes) of applications (node, file, base, literal) with routes (node, at, verb, path) and mounts (node, at, path,
+    child), at being the place in the source.
+
+    A mount has of its child in the same file just what stands before the mount there, and of one in another file all.  Roots are
+    the nodes that nothing mounts, or all where there are none.  endpoints: root, node, verb, path, and ats, the places of the
+    mounts and the route, in whose order they come.  notes: node, at, note; a base that is no literal gives neither routes nor
+    mounts, an unresolved child and a mount that leads back to a node above it give nothing.
+    """
+    apps = durable(nodes.select("node", "file", "base", "literal"))
+    lines = mounts.select("node", "at", "path", "child").join(apps.select(F.col("node").alias("child"), F.col("file").alias("_child_file")), "child", "left")
+    lines = durable(lines)
+    taken = lines.where("_child_file IS NOT NULL").select(F.col("child").alias("node"))
+    roots = apps.join(taken, "node", "left_anti")
+    roots = roots if not roots.isEmpty() else apps
+    end = F.lit(None).cast(lines.schema["at"].dataType)
+    front = durable(roots.select(F.col("node").alias("root"), "node", F.lit("").alias("prefix"), end.alias("upto"), F.array().cast(f"array<{lines.schema['at'].dataType.simpleString()}>").alias("ats"), F.array("node").alias("above")))
+    found, notes = [], []
+    while not front.isEmpty():
+        here = front.join(apps, "node")
+        before = lambda df: (df["node"] == here["node"]) & (here["upto"].isNull() | (df["at"] < here["upto"]))  # noqa: E731, B023
+        own = routes.select("node", "at", "verb", F.col("path").alias("_path"))
+        own = here.join(own, before(own)).select("root", here["node"], "literal", "verb", "at", _below("_path").alias("path"), F.array_append("ats", F.col("at")).alias("ats"))
+        found.append(own.where("literal").select("root", "node", "verb", "path", "ats"))
+        down = here.join(lines, before(lines)).select("root", here["node"], "file", "literal", "at", "child", "_child_file", "above", "ats", _below("path").alias("prefix"))
+        note = F.when(~F.col("literal"), "base-not-literal").when(F.col("_child_file").isNull(), "child-unresolved").when(F.array_contains("above", F.col("child")), "cycle")
+        down = durable(down.withColumn("note", note))
+        notes += [down.where("note IS NOT NULL").select("node", "at", "note"), own.where("NOT literal").select("node", "at", F.lit("base-not-literal").alias("note"))]
+        cut = F.when(F.col("file") == F.col("_child_file"), F.col("at"))
+        front = durable(down.where("note IS NULL").select("root", F.col("child").alias("node"), "prefix", cut.alias("upto"), F.array_append("ats", F.col("at")).alias("ats"), F.array_append("above", F.col("child")).alias("above")))
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, notes).distinct()
+
+
 def alias_targets(aliases: DataFrame) -> DataFrame:
     """(name, target) of aliases (name, next), followed to the end by doubling the step; target is null on a cycle."""
     way = durable(aliases.select("name", F.col("next").alias("at")))

@@ -53,13 +53,20 @@ def gc_prefix(blobs: DataFrame, group: str, order: str, size: str, most: int, mo
 
 
 def skip_budget(sources: DataFrame, key: str, order: str, size: str, limit: int, most: int = 100) -> DataFrame:
-    """(key, order) of the sources that fit one after another, those that do not passed over; of the first `most` of a key,
-    which is as many as a request may name, so a key's list stays short."""
-    few = sources.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_n") <= most)
-    lists = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("s"))
-    start = F.struct(F.lit(0).cast("double").alias("used"), F.array().cast(f"array<{dict(sources.dtypes)[order]}>").alias("kept"))
-    fold = F.aggregate("s", start, lambda acc, x: F.when(acc["used"] + x[size] <= limit, F.struct((acc["used"] + x[size]).alias("used"), F.array_append(acc["kept"], x[order]).alias("kept"))).otherwise(acc))
-    return lists.select(key, F.explode(fold["kept"]).alias(order))
+    """(key, order, included, refused): the sources of a request in order, included where they fit beside the ones included
+    before, those that do not passed over.  A request of more than `most` sources is refused as a whole: one row without
+    an order.  No list is longer than that."""
+    few = sources.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_n") <= most + 1)
+    lists = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_n"), F.col(order).alias("o"), F.col(size).cast("double").alias("z")))).alias("s"))
+    kind = f"array<struct<o:{dict(sources.dtypes)[order]},included:boolean>>"
+    fits = lambda acc, x: acc["used"] + x["z"] <= limit
+    fold = F.aggregate("s", F.struct(F.lit(0.0).alias("used"), F.array().cast(kind).alias("out")), lambda acc, x: F.struct(
+        F.when(fits(acc, x), acc["used"] + x["z"]).otherwise(acc["used"]).alias("used"),
+        F.array_append(acc["out"], F.struct(x["o"].alias("o"), F.coalesce(fits(acc, x), F.lit(False)).alias("included"))).alias("out")))
+    refused = F.size("s") > most
+    none = F.array(F.struct(F.lit(None).alias("o"), F.lit(False).alias("included"))).cast(kind)
+    told = lists.select(key, refused.alias("refused"), F.explode(F.when(refused, none).otherwise(fold["out"])).alias("x"))
+    return told.select(key, F.col("x.o").alias(order), "x.included", "refused")
 
 
 def arbitrate(claims: DataFrame, key: str, name: str, specificity: str) -> DataFrame:

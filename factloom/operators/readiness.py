@@ -68,14 +68,49 @@ def cutover(checks: Column) -> Column:
     return F.struct(((blockers == "") & (unknown == "")).alias("ready"), blockers.alias("blockers"), unknown.alias("unknown"))
 
 
-def promotion(endpoints: DataFrame, fields: list[str], source_bound: Column, audited: Column, runtime: list[tuple[Column, str]]) -> DataFrame:
-    """endpoints (a state column for each field) with every blocker of the source, the first one of the runtime, and what is ready."""
-    source = codes((~audited, "context-not-attached"), (~source_bound, "source-binding-not-bound"), *((F.coalesce(F.col(f) != "resolved", F.lit(True)), f"{f}-not-resolved") for f in fields))
-    first = None
-    for bad, code in runtime:
-        first = F.when(bad, code) if first is None else first.when(bad, code)
-    rows = endpoints.withColumn("source_blockers", source).withColumn("runtime_blocker", first)
-    return rows.withColumn("source_ready", F.col("source_blockers") == "").withColumn("runtime_ready", (F.col("source_blockers") == "") & F.col("runtime_blocker").isNull())
+# The steps at which a runtime report fails, in order; a pair of fields that must be equal, and the code.
+REPORT_PAIRS = [
+    ("source_ref", "runtime-report-source-ref-mismatch"), ("openapi_ref", "runtime-report-openapi-ref-mismatch"), ("binding_hash", "runtime-report-binding-hash-mismatch"),
+    ("profile_hash", "runtime-report-profile-mismatch"), ("nonce", "runtime-report-attempt-mismatch"), ("oracle_hash", "runtime-report-oracle-evidence-mismatch"),
+    ("candidate_hash", "runtime-report-candidate-evidence-mismatch"),
+]
+
+
+def promotion(decisions: DataFrame, key: str, context: DataFrame, fields: list[str]) -> DataFrame:
+    """(key, source_blockers, runtime_blocker, source_ready, runtime_ready): every blocker of an endpoint's source as (code, field,
+    state, reason), and the first one of its runtime as (code, state, reason).
+
+    decisions: key, field, state, value, reason.  context, one row for each key: audited; binding (source_state, source_reason,
+    runtime_state, runtime_reason and the fields of REPORT_PAIRS); report (supported, state, reason and the same fields), null if
+    none; observed (state, reason and expected: operation_id, method, path), null if none."""
+    held = decisions.where(F.col("field").isin(fields)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("state", "value", "reason")))).alias("_f"))
+    rows = context.join(held, key, "left")
+    of = lambda f: F.try_element_at("_f", F.lit(f))
+    b, r, o = F.col("binding"), F.col("report"), F.col("observed")
+    text = lambda c, default: F.coalesce(c, F.lit(default))
+    none = F.lit(None).cast("string")
+    blocker = lambda code, state=none, reason=none: F.struct(F.lit(code).alias("code"), state.alias("state"), reason.alias("reason"))
+    source = lambda code, field, state, reason: F.struct(F.lit(code).alias("code"), field.alias("field"), state.alias("state"), reason.alias("reason"))
+    blockers = F.filter(F.array(
+        F.when(~F.coalesce("audited", F.lit(False)), source("openapi-context-not-attached", none, none, none)),
+        F.when(~F.coalesce(b["source_state"] == "bound", F.lit(False)), source("source-spec-binding-not-bound", none, text(b["source_state"], "unknown"), text(b["source_reason"], "missing-binding-state"))),
+        *(F.when(~F.coalesce(of(f)["state"] == "resolved", F.lit(False)), source("route-field-not-resolved", F.lit(f), text(of(f)["state"], "missing"), text(of(f)["reason"], "field-missing"))) for f in fields),
+    ), lambda x: x.isNotNull())
+    first = F.when(~F.coalesce(b["runtime_state"] == "bound", F.lit(False)), blocker("runtime-binding-not-bound", text(b["runtime_state"], "unknown"), text(b["runtime_reason"], "missing-runtime-binding-state")))
+    first = first.when(r.isNull(), blocker("runtime-report-not-supplied")).when(~F.coalesce(r["supported"], F.lit(False)), blocker("runtime-report-version-unsupported"))
+    first = first.when(~F.coalesce(r["state"] == "ready", F.lit(False)), blocker("runtime-report-not-ready", text(r["state"], "unknown"), text(r["reason"], "runtime-report-state-missing")))
+    for name, code in REPORT_PAIRS:
+        first = first.when(~r[name].eqNullSafe(b[name]), blocker(code))
+    first = first.when(o.isNull(), blocker("runtime-endpoint-result-missing"))
+    first = first.when(~F.coalesce(o["state"] == "observed", F.lit(False)), blocker("runtime-route-not-observed", o["state"], text(o["reason"], "runtime-route-state-missing")))
+    resolved = F.forall(F.array(*map(F.lit, fields)), lambda f: F.coalesce(F.try_element_at("_f", f)["state"] == "resolved", F.lit(False)))
+    first = first.when(~resolved, blocker("runtime-expected-route-unavailable"))
+    same = [o[n].eqNullSafe(of(f)["value"]) for n, f in zip(("operation_id", "method", "path"), fields)]
+    for ok in same:
+        first = first.when(~ok, blocker("runtime-expected-route-mismatch"))
+    out = rows.select(key, blockers.alias("source_blockers"), first.alias("runtime_blocker"))
+    good = F.size("source_blockers") == 0
+    return out.withColumn("source_ready", good).withColumn("runtime_ready", good & F.col("runtime_blocker").isNull())
 
 
 def evidence_bound(evidence: DataFrame, bound: DataFrame, graph: str) -> DataFrame:
@@ -111,7 +146,7 @@ def conformance(profile: DataFrame, actual: DataFrame, exact: DataFrame, item: l
 
 
 def annotation_names(uses: DataFrame, imports: DataFrame, types: DataFrame) -> DataFrame:
-    """uses (file, package, name) with status, fqn and basis.  A dotted name stands for itself; else explicit imports, a type of
+    """uses (file, package, name) with status, fqn, basis and the sorted candidates.  A dotted name stands for itself; else explicit imports, a type of
     the same package and wildcard imports (file, name; those end in .*) are the candidates: one resolves, several conflict,
     none leaves the language's own.  types (fqn) that are declared twice count for none."""
     uses = uses.select("file", "package", "name").distinct()
@@ -123,16 +158,19 @@ def annotation_names(uses: DataFrame, imports: DataFrame, types: DataFrame) -> D
     local = uses.select("*", own.alias("fqn"), F.lit(2).alias("rank")).join(known, "fqn", "left_semi").select("file", "package", "name", "fqn", "rank")
     wild = lines.where(F.endswith("import", F.lit(".*"))).select("file", F.expr("substr(import, 1, length(import) - 2)").alias("_p"))
     wild = uses.join(wild, "file").select("file", "package", "name", F.concat("_p", F.lit("."), "name").alias("fqn"), F.lit(3).alias("rank")).join(known, "fqn", "left_semi").select("file", "package", "name", "fqn", "rank")
-    proven = explicit.unionByName(local).unionByName(wild).groupBy("file", "package", "name").agg(F.min("fqn").alias("lo"), F.max("fqn").alias("hi"), F.min("rank").alias("rank"))
+    proven = explicit.unionByName(local).unionByName(wild).groupBy("file", "package", "name").agg(F.min("fqn").alias("lo"), F.max("fqn").alias("hi"), F.min("rank").alias("rank"), F.array_sort(F.collect_set("fqn")).alias("all"))
     rows = uses.join(proven, ["file", "package", "name"], "left")
     dotted, one, many, lang = F.contains("name", F.lit(".")), F.col("lo") == F.col("hi"), F.col("lo") != F.col("hi"), F.col("name").isin(LANG_ANNOTATIONS)
     status = F.when(dotted | one, "resolved").when(many, "conflict").when(lang, "resolved").otherwise("unknown")
     fqn = F.when(dotted, F.col("name")).when(one, F.col("lo")).when(many, None).when(lang, F.concat(F.lit("java.lang."), "name"))
+    # Bases.
     basis = (
-        F.when(dotted, "written-qualified").when(one & (F.col("rank") == 1), "explicit-import").when(one & (F.col("rank") == 2), "same-package-type").when(one, "wildcard-type")
-        .when(many, "several-candidates").when(lang, "language").otherwise("no-evidence")
+        F.when(dotted, "written-qualified").when(one & (F.col("rank") == 1), "explicit-import").when(one & (F.col("rank") == 2), "same-package-project-type").when(one, "wildcard-project-type")
+        .when(many, "multiple-proven-candidates").when(lang, "java-lang").otherwise("insufficient-static-evidence")
     )
-    return rows.select("file", "package", "name", status.alias("status"), fqn.alias("fqn"), basis.alias("basis"))
+    tried = F.when(one | many & ~dotted, F.col("all")).when(fqn.isNotNull(), F.array(fqn)).otherwise(F.array().cast("array<string>"))
+    tried = F.when(dotted, F.array("name")).otherwise(tried)
+    return rows.select("file", "package", "name", status.alias("status"), fqn.alias("fqn"), basis.alias("basis"), tried.alias("candidates"))
 
 
 def annotation_paths(nodes: DataFrame, edges: DataFrame, depth: int = 8) -> DataFrame:

@@ -45,24 +45,49 @@ def certified(evidence: DataFrame, key: str, kind: str, levels: dict[str, list[s
 
 def checks_pass(required: DataFrame, observed: DataFrame, evidence: DataFrame) -> DataFrame:
     """(release, blockers) of required checks (release, check_id, required): each must be required and observed PASS with
-    evidence that resolves; codes are distinct and sorted."""
-    rows = required.join(observed.groupBy("check_id").agg(F.max("result").alias("result"), F.max("ref").alias("ref")), "check_id", "left")
-    rows = rows.join(evidence.select("ref").distinct().withColumn("_there", F.lit(True)), "ref", "left")
-    code = F.when((F.col("required") != "PASS") | F.col("result").isNull() | (F.col("result") != "PASS"), "check-not-passed").when(F.col("_there").isNull(), "evidence-missing")
+    evidence that resolves, in every one of its observations; codes are distinct and sorted."""
+    seen = observed.join(evidence.select("ref").distinct().withColumn("_there", F.lit(True)), "ref", "left")
+    all_ = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    each = seen.groupBy("check_id").agg(all_(F.col("result") == "PASS").alias("_pass"), all_(F.col("_there")).alias("_held"))
+    rows = required.join(each, "check_id", "left")
+    passed = F.coalesce((F.col("required") == "PASS") & F.col("_pass"), F.lit(False))
+    code = F.when(~passed, "check-not-passed").when(~F.col("_held"), "evidence-missing")
     return rows.groupBy("release").agg(F.array_join(F.array_sort(F.collect_set(code)), ",").alias("blockers"))
 
 
 def capability_allowed(needs: DataFrame, have: DataFrame, allowed: Column) -> DataFrame:
-    """needs (adapter, capability) with status and whether it is allowed; a missing or unknown one never is."""
-    rows = needs.join(have.groupBy("adapter", "capability").agg(F.max("status").alias("status")), ["adapter", "capability"], "left")
-    status = F.coalesce("status", F.lit("unknown"))
-    return rows.withColumn("status", status).withColumn("allowed", (F.col("status") != "unknown") & F.array_contains(allowed, F.col("status")))
-
-
-def waiver_admissible(code: Column, scope: Column, own_scope: Column, expires: Column, now: Column, never: list[str]) -> Column:
-    """The first reason against a waiver, or admissible."""
+    """needs (adapter, capability) with status, whether it is allowed and, if not, the reason; a missing or unknown one never
+    is, nor is one whose records differ (their status is unknown)."""
+    one = have.groupBy("adapter", "capability").agg(F.min(F.coalesce("status", F.lit("unknown"))).alias("_lo"), F.max(F.coalesce("status", F.lit("unknown"))).alias("_hi"))
+    rows = needs.join(one, ["adapter", "capability"], "left")
+    same = F.col("_lo") == F.col("_hi")
+    status = F.when(same, F.col("_lo")).otherwise("unknown")
+    ok = (status != "unknown") & F.array_contains(allowed, status)
+    # The reasons.
+    reason = F.when(F.col("_lo").isNull(), "capability record is missing").when(~same, "capability records conflict").when(
+        ~ok, F.concat(F.lit("status "), status, F.lit(" is not accepted by this policy")))
+    return rows.withColumns({"status": status, "allowed": ok, "reason": reason}).drop("_lo", "_hi")
+
+
+#: Failure codes that no waiver may cover.
+NON_WAIVABLE = ("identity.hash-mismatch", "trust.sandbox-escape", "trust.secret-leak", "evidence.replay", "contract.unknown-major")
+
+
+def waiver_reason(code: Column, subject: Column, scope: Column, codes: Column, expires: Column, now: Column) -> Column:
+    """The first reason against a waiver (scope, codes, expires; without a scope there is none) for a failure code of a
+    subject; null if it is allowed.  A moment that can't be read allows nothing."""
+    never = F.array(*map(F.lit, NON_WAIVABLE))
     at = F.try_to_timestamp(expires)
-    return F.when(code.isin(never), "non-waivable").when(~scope.eqNullSafe(own_scope), "scope-mismatch").when(at.isNull(), "expiry-unreadable").when(at <= now, "expired").otherwise("admissible")
+    # The reasons.
+    return (
+        F.when(F.array_contains(never, code), F.concat(code, F.lit(" is non-waivable")))
+        .when(scope.isNull(), "no waiver supplied")
+        .when(~scope.eqNullSafe(subject), F.concat(F.lit("waiver scope "), scope, F.lit(" does not match subject "), F.coalesce(subject, F.lit(""))))
+        .when(~F.coalesce(F.array_contains(codes, code), F.lit(False)), F.concat(F.lit("waiver does not cover "), F.coalesce(code, F.lit(""))))
+        .when(F.arrays_overlap(codes, never), "waiver attempts to cover a non-waivable failure code")
+        .when(at.isNull(), "waiver.expiresAt must be a valid date-time")
+        .when(at <= now, "waiver is expired")
+    )
 
 
 def inventory_faults(baseline: DataFrame, found: DataFrame, key: str, digest: str) -> DataFrame:

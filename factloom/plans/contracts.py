@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import json as J
-from factloom.operators import contracts, readiness
+from factloom.operators import contracts, decisions, readiness
 from factloom.plans.proofs import _proof
 from factloom.sources.tables import table
 
@@ -209,12 +209,27 @@ def cutover_readiness(spark, d):
     return table(spark, d, "part").select("p_partkey", readiness.cutover(F.expr(f"map_concat(map({checks}), IF(p_size % 9 = 0, map('extra', true), CAST(map() AS map<string,boolean>)))")).alias("c")).select("p_partkey", "c.*")
 
 
-@_proof("""SELECT *, source_blockers = '' AS source_ready, source_blockers = '' AND runtime_blocker IS NULL AS runtime_ready FROM (SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_partkey % 5 = 0 THEN 'context-not-attached' END, CASE WHEN l_partkey % 7 = 0 THEN 'source-binding-not-bound' END, CASE WHEN l_returnflag <> 'A' THEN 'identity-not-resolved' END, CASE WHEN l_linestatus <> 'F' THEN 'method-not-resolved' END) AS source_blockers,
-CASE WHEN l_suppkey % 3 = 0 THEN 'binding-not-bound' WHEN l_quantity > 40 THEN 'report-not-ready' WHEN l_discount > 0.07 THEN 'route-not-observed' END AS runtime_blocker FROM lineitem)""")
+_PROMOTED = "SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey * 10 + l_linenumber AS id, l_partkey AS p, l_suppkey AS s, l_returnflag AS f, l_linestatus AS z FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus"
+
+
+@_proof(f"""WITH x AS ({_PROMOTED}), y AS (SELECT id, concat_ws(',', CASE WHEN p % 5 = 0 THEN 'openapi-context-not-attached' END, CASE p % 7 WHEN 0 THEN 'source-spec-binding-not-bound:unbound:why' WHEN 1 THEN 'source-spec-binding-not-bound:unknown:missing-binding-state' END,
+CASE f WHEN 'N' THEN 'route-field-not-resolved:operation.identity:unknown:because' WHEN 'R' THEN 'route-field-not-resolved:operation.identity:missing:field-missing' END, CASE WHEN z = 'F' THEN 'route-field-not-resolved:http.path:conflict:path-drift' END) AS source_blockers,
+CASE WHEN s % 11 = 0 THEN 'runtime-binding-not-bound:unknown:missing-runtime-binding-state' WHEN s % 11 = 1 THEN 'runtime-report-not-supplied' WHEN s % 11 = 2 THEN 'runtime-report-version-unsupported' WHEN s % 11 = 3 THEN 'runtime-report-not-ready:stale:old' WHEN s % 11 = 4 THEN 'runtime-report-source-ref-mismatch' WHEN s % 11 = 5 THEN 'runtime-report-attempt-mismatch'
+WHEN p % 4 = 0 THEN 'runtime-endpoint-result-missing' WHEN p % 4 = 1 THEN 'runtime-route-not-observed:absent:runtime-route-state-missing' WHEN f <> 'A' OR z = 'F' THEN 'runtime-expected-route-unavailable' WHEN s % 2 = 0 THEN 'runtime-expected-route-mismatch' END AS runtime_blocker FROM x)
+SELECT *, source_blockers = '' AS source_ready, source_blockers = '' AND runtime_blocker IS NULL AS runtime_ready FROM y""")
 def promotion_readiness(spark, d):
-    rows = table(spark, d, "lineitem").selectExpr("*", "IF(l_returnflag = 'A', 'resolved', 'unknown') AS identity", "IF(l_linestatus = 'F', 'resolved', NULL) AS method")
-    runtime = [(F.expr("l_suppkey % 3 = 0"), "binding-not-bound"), (F.expr("l_quantity > 40"), "report-not-ready"), (F.expr("l_discount > 0.07"), "route-not-observed")]
-    return readiness.promotion(rows, ["identity", "method"], F.expr("l_partkey % 7 <> 0"), F.expr("l_partkey % 5 <> 0"), runtime).select("l_orderkey", "l_linenumber", "source_blockers", "runtime_blocker", "source_ready", "runtime_ready")
+    first = F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("m")
+    x = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(first).selectExpr("id", "m.l_partkey AS p", "m.l_suppkey AS s", "m.l_returnflag AS f", "m.l_linestatus AS z")
+    made = x.selectExpr("id", "f", """inline(array(named_struct('field', 'operation.identity', 'state', IF(f = 'A', 'resolved', 'unknown'), 'value', 'op', 'reason', IF(f = 'A', 'ok', 'because')),
+        named_struct('field', 'http.method', 'state', 'resolved', 'value', 'GET', 'reason', 'ok'), named_struct('field', 'http.path', 'state', IF(z = 'F', 'conflict', 'resolved'), 'value', '/x', 'reason', IF(z = 'F', 'path-drift', 'ok'))))""").where("NOT (f = 'R' AND field = 'operation.identity')")
+    pairs = ", ".join(f"'{n}', '{n}'" for n, _ in readiness.REPORT_PAIRS)
+    odd = pairs.replace("'source_ref', 'source_ref'", "'source_ref', IF(s % 11 = 4, 'other', 'source_ref')").replace("'nonce', 'nonce'", "'nonce', IF(s % 11 = 5, NULL, 'nonce')")
+    context = x.selectExpr("id", "p % 5 <> 0 AS audited", f"""named_struct('source_state', CASE p % 7 WHEN 0 THEN 'unbound' WHEN 1 THEN NULL ELSE 'bound' END, 'source_reason', IF(p % 7 = 0, 'why', NULL), 'runtime_state', IF(s % 11 = 0, NULL, 'bound'), 'runtime_reason', CAST(NULL AS STRING), {pairs}) AS binding""",
+        f"IF(s % 11 = 1, NULL, named_struct('supported', s % 11 <> 2, 'state', IF(s % 11 = 3, 'stale', 'ready'), 'reason', IF(s % 11 = 3, 'old', NULL), {odd})) AS report",
+        "IF(p % 4 = 0, NULL, named_struct('state', IF(p % 4 = 1, 'absent', 'observed'), 'reason', CAST(NULL AS STRING), 'operation_id', 'op', 'method', IF(s % 2 = 0, 'PUT', 'GET'), 'path', '/x')) AS observed")
+    got = readiness.promotion(made, "id", context, decisions.ROUTE_FIELDS)
+    told = F.transform("source_blockers", lambda b: F.concat_ws(":", b["code"], b["field"], b["state"], b["reason"]))
+    return got.select("id", F.array_join(told, ",").alias("source_blockers"), F.when(F.col("runtime_blocker").isNotNull(), F.concat_ws(":", "runtime_blocker.code", "runtime_blocker.state", "runtime_blocker.reason")).alias("runtime_blocker"), "source_ready", "runtime_ready")
 
 
 @_proof("""SELECT o_orderkey, role, coalesce(lo = ref AND hi = ref, false) AS fits FROM (SELECT o_orderkey, unnest(['A', 'R']) AS role, 'r1' AS ref FROM orders) LEFT JOIN (SELECT l_orderkey, l_returnflag AS role, min('r' || l_linenumber % 2) AS lo, max('r' || l_linenumber % 2) AS hi FROM lineitem GROUP BY 1, 2) e USING (role) WHERE l_orderkey = o_orderkey
@@ -250,15 +265,16 @@ _USES = "u AS (SELECT DISTINCT p_partkey % 400 AS file, 'p' || p_partkey % 8 AS
 @_proof(f"""WITH {_USES}, t AS (SELECT fqn FROM (SELECT DISTINCT p_size % 12 AS n, p_partkey % 8 AS k, p_type FROM part WHERE p_partkey < 60), (SELECT 1), LATERAL (SELECT 'p' || k || '.A' || n AS fqn) GROUP BY fqn HAVING count(*) = 1),
 i AS (SELECT DISTINCT p_partkey % 400 AS file, CASE WHEN p_size % 2 = 0 THEN 'q.A' || p_size % 12 ELSE 'p' || p_size % 8 || '.*' END AS import FROM part),
 c AS (SELECT u.file, u.name, import AS fqn, 1 AS r FROM u JOIN i ON i.file = u.file AND import NOT LIKE '%.*' AND split_part(import, '.', 2) = u.name UNION SELECT u.file, u.name, package || '.' || name, 2 FROM u WHERE package || '.' || name IN (FROM t) UNION SELECT u.file, u.name, split_part(import, '.', 1) || '.' || name, 3 FROM u JOIN i ON i.file = u.file AND import LIKE '%.*' WHERE split_part(import, '.', 1) || '.' || name IN (FROM t)),
-g AS (SELECT file, name, count(DISTINCT fqn) AS n, min(fqn) AS fqn, min(r) AS r FROM c GROUP BY 1, 2)
+g AS (SELECT file, name, count(DISTINCT fqn) AS n, min(fqn) AS fqn, min(r) AS r, string_agg(DISTINCT fqn, ',' ORDER BY fqn) AS alls FROM c GROUP BY 1, 2)
 SELECT u.file, u.package, u.name, CASE WHEN u.name = 'x.Y' OR n = 1 THEN 'resolved' WHEN n > 1 THEN 'conflict' WHEN u.name = 'Override' THEN 'resolved' ELSE 'unknown' END AS status, CASE WHEN u.name = 'x.Y' THEN 'x.Y' WHEN n = 1 THEN fqn WHEN n IS NULL AND u.name = 'Override' THEN 'java.lang.Override' END AS fqn,
-CASE WHEN u.name = 'x.Y' THEN 'written-qualified' WHEN n = 1 THEN ['explicit-import', 'same-package-type', 'wildcard-type'][r] WHEN n > 1 THEN 'several-candidates' WHEN u.name = 'Override' THEN 'language' ELSE 'no-evidence' END AS basis FROM u LEFT JOIN g USING (file, name)""")
+CASE WHEN u.name = 'x.Y' THEN 'written-qualified' WHEN n = 1 THEN ['explicit-import', 'same-package-project-type', 'wildcard-project-type'][r] WHEN n > 1 THEN 'multiple-proven-candidates' WHEN u.name = 'Override' THEN 'java-lang' ELSE 'insufficient-static-evidence' END AS basis,
+CASE WHEN u.name = 'x.Y' THEN 'x.Y' WHEN n > 0 THEN alls WHEN u.name = 'Override' THEN 'java.lang.Override' ELSE '' END AS candidates FROM u LEFT JOIN g USING (file, name)""")
 def annotation_names(spark, d):
     part = table(spark, d, "part")
     uses = part.selectExpr("p_partkey % 400 AS file", "'p' || p_partkey % 8 AS package", "CASE p_size % 5 WHEN 0 THEN 'x.Y' WHEN 1 THEN 'Override' ELSE 'A' || p_size % 12 END AS name")
     imports = part.selectExpr("p_partkey % 400 AS file", "IF(p_size % 2 = 0, 'q.A' || p_size % 12, 'p' || p_size % 8 || '.*') AS name")
     types = part.where("p_partkey < 60").selectExpr("p_size % 12 AS n", "p_partkey % 8 AS k", "p_type").distinct().selectExpr("'p' || k || '.A' || n AS fqn")
-    return readiness.annotation_names(uses, imports, types)
+    return readiness.annotation_names(uses, imports, types).withColumn("candidates", F.array_join("candidates", ","))
 
 
 _META = "e AS (SELECT DISTINCT p_partkey AS src, CASE WHEN p_size % 9 = 0 THEN p_partkey - 3 WHEN p_size % 9 = 1 THEN -1 ELSE p_partkey + 1 END AS dst FROM part UNION SELECT p_partkey, p_partkey + 2 FROM part WHERE p_size % 4 = 0)"

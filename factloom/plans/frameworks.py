@@ -69,32 +69,50 @@ def rails_actions(spark, d):
 
 
 # --- decisions -------------------------------------------------------------------------------------------------------
-_RESULTS = """SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, {at} AS kind, CASE WHEN l_suppkey % 2 = 0 THEN 'verb' ELSE 'path' END AS drift, CASE WHEN l_suppkey % 5 > 0 THEN 'op' || l_partkey END AS operation_id, 'GET' AS verb, '/api/x' || l_suppkey % 4 AS path,
-'PUT' AS scan_verb, CASE l_suppkey % 3 WHEN 0 THEN '/api/x' WHEN 1 THEN '/x' ELSE '/y' END || l_suppkey % 4 AS scan_path, CASE WHEN l_suppkey % 7 = 0 THEN 'because' END AS cause, CASE WHEN l_linestatus = 'F' THEN 'schema' END AS request, CASE WHEN l_tax > 0.04 THEN 'too-big' END AS request_cause, l_discount > 0.05 AS project, l_suppkey, l_partkey FROM {t}"""
+_RESULTS = """SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, {at} AS kind, CASE WHEN l_suppkey % 2 = 0 THEN 'verb' ELSE 'path' END AS drift, CASE WHEN l_suppkey % 5 > 0 THEN 'op' || l_partkey END AS operation_id, l_suppkey % 13 = 0 AS synthesized, 'GET' AS verb, '/api/x' || l_suppkey % 4 AS path,
+'PUT' AS scan_verb, CASE l_suppkey % 3 WHEN 0 THEN '/api/x' WHEN 1 THEN '/x' ELSE '/y' END || l_suppkey % 4 AS scan_path, CASE WHEN l_suppkey % 7 = 0 THEN 'because' END AS cause, CASE WHEN l_linestatus = 'F' THEN 'schema' END AS request, CASE WHEN l_tax > 0.04 THEN 'too-big' END AS request_cause, l_discount > 0.05 AS project, l_suppkey, l_partkey,
+'s' || l_suppkey AS source_ref, CASE WHEN l_suppkey % 17 > 0 THEN 'o1' ELSE '' END AS openapi_ref FROM {t}"""
 _KINDS = ["matched", "adopted", "drift", "missing", "ambiguous", "unresolved"]
 _R = "r AS (" + _RESULTS.format(at="['matched', 'adopted', 'drift', 'missing', 'ambiguous', 'unresolved'][CAST(l_partkey % 6 + 1 AS INT)]", t="lineitem") + ")"
-_DECIDED = f"""{_R}, x AS (SELECT *, kind IN ('matched', 'adopted') AS safe, scan_path = path AS exact, scan_path = path OR '/api' || scan_path = path AS fits, kind = 'drift' AND drift = 'verb' AS vd FROM r), y AS (
-SELECT id, 'operation.identity' AS field, CASE WHEN safe OR (kind = 'drift' AND operation_id IS NOT NULL) THEN 'resolved' WHEN kind = 'ambiguous' THEN 'conflict' ELSE 'unknown' END AS state, operation_id AS v, CASE kind WHEN 'matched' THEN 'operation-id-match' WHEN 'adopted' THEN 'single-route-adoption' WHEN 'drift' THEN CASE WHEN operation_id IS NULL THEN 'operation-id-not-retained' ELSE 'operation-id-anchor' END WHEN 'missing' THEN 'operation-id-missing-from-document' WHEN 'ambiguous' THEN 'multiple-route-candidates' ELSE coalesce(cause, 'unresolved') END AS reason FROM x
-UNION ALL SELECT id, 'http.method', CASE WHEN vd THEN 'conflict' WHEN kind IN ('missing', 'unresolved') THEN 'unknown' ELSE 'resolved' END, CASE WHEN safe THEN verb ELSE scan_verb END, CASE WHEN vd THEN 'method-drift' ELSE CASE kind WHEN 'adopted' THEN 'single-route-match' WHEN 'ambiguous' THEN 'route-index-is-method-scoped' WHEN 'missing' THEN 'document-operation-missing' WHEN 'unresolved' THEN coalesce(cause, 'unresolved') ELSE 'method-match' END END FROM x
-UNION ALL SELECT id, 'http.path', CASE WHEN safe OR (vd AND fits) THEN 'resolved' WHEN kind IN ('missing', 'unresolved') THEN 'unknown' ELSE 'conflict' END, path, CASE WHEN safe OR (vd AND fits) THEN CASE WHEN exact THEN 'exact-' ELSE 'prefix-' END || CASE WHEN kind = 'adopted' THEN 'route-adoption' WHEN exact THEN 'path' ELSE 'reconciled' END WHEN vd THEN 'path-not-proven' WHEN kind = 'drift' THEN 'path-drift' WHEN kind = 'missing' THEN 'document-operation-missing' WHEN kind = 'ambiguous' THEN 'multiple-route-candidates' ELSE coalesce(cause, 'unresolved') END FROM x
-UNION ALL SELECT id, f, CASE WHEN s IS NOT NULL THEN 'resolved' WHEN c IS NULL AND NOT project THEN 'skipped' ELSE 'unknown' END, s, CASE WHEN s IS NOT NULL THEN 'projected-from-document' WHEN c IS NOT NULL THEN c WHEN NOT project THEN 'schema-projection-disabled' WHEN safe THEN 'none-or-skipped-not-retained' ELSE 'endpoint-not-safely-reconciled' END
-FROM (SELECT *, 'api.request.schema' AS f, request AS s, request_cause AS c FROM x UNION ALL SELECT *, 'api.response.schema', NULL, NULL FROM x UNION ALL SELECT *, 'api.error.schema', NULL, 'cut' FROM x)
-UNION ALL SELECT id, 'api.security.declared', CASE WHEN l_suppkey % 4 > 1 THEN 'resolved' ELSE 'unknown' END, CASE WHEN l_suppkey % 4 = 2 THEN 'bearer,key' ELSE '' END, CASE l_suppkey % 4 WHEN 3 THEN 'declared-public' WHEN 2 THEN 'requirements-declared' WHEN 1 THEN 'unreadable' ELSE CASE WHEN safe THEN 'root-security-not-retained' ELSE 'endpoint-not-safely-reconciled' END END FROM x),
-d AS (SELECT id, field, state, CASE WHEN state = 'resolved' THEN v END AS value, reason FROM y)"""
+_LOST = "legacy-result-does-not-retain-none-vs-skipped-media-type"
+_ROOT = "root-security-inheritance-not-retained-by-legacy-result"
+_DECIDED = f"""{_R}, x AS (SELECT *, kind IN ('matched', 'adopted') AS safe, scan_path = path AS exact, scan_path = path OR '/api' || scan_path = path AS fits, kind = 'drift' AND drift = 'verb' AS vd, CASE WHEN NOT synthesized THEN operation_id END AS own, coalesce(cause, 'unresolved') AS why,
+CASE WHEN openapi_ref <> '' THEN 'openapi:' || openapi_ref ELSE '' END AS eo, 'scan:' || source_ref AS es FROM r), z AS (SELECT *, concat_ws(',', es, nullif(eo, '')) AS eb FROM x), y AS (
+SELECT id, 'operation.identity' AS field, CASE WHEN safe OR (kind = 'drift' AND own IS NOT NULL) THEN 'resolved' WHEN kind = 'ambiguous' THEN 'conflict' ELSE 'unknown' END AS state, operation_id AS v, CASE WHEN kind IN ('missing', 'unresolved') THEN own WHEN kind = 'ambiguous' THEN 'a' || l_partkey || ',b' END AS candidates,
+  CASE kind WHEN 'matched' THEN 'scan+openapi' WHEN 'adopted' THEN 'openapi' WHEN 'ambiguous' THEN 'conflict' WHEN 'drift' THEN CASE WHEN own IS NULL THEN 'none' ELSE 'scan+openapi' END ELSE CASE WHEN own IS NULL THEN 'none' ELSE 'scan' END END AS authority,
+  CASE WHEN kind = 'adopted' THEN eo WHEN kind = 'missing' OR (kind = 'unresolved' AND own IS NOT NULL) THEN es ELSE eb END AS evidence,
+  CASE kind WHEN 'matched' THEN 'operation-id-match' WHEN 'adopted' THEN 'single-route-adoption' WHEN 'drift' THEN CASE WHEN own IS NULL THEN 'operation-id-not-retained-in-reconciliation-result' ELSE 'operation-id-anchor' END WHEN 'missing' THEN 'operation-id-missing-from-openapi' WHEN 'ambiguous' THEN 'multiple-route-candidates' ELSE why END AS reason FROM z
+UNION ALL SELECT id, 'http.method', CASE WHEN vd THEN 'conflict' WHEN kind IN ('missing', 'unresolved') THEN 'unknown' ELSE 'resolved' END, CASE WHEN safe THEN verb ELSE scan_verb END, CASE WHEN vd THEN 'PUT,GET' WHEN kind IN ('missing', 'unresolved') THEN 'PUT' END,
+  CASE WHEN vd THEN 'conflict' WHEN kind IN ('missing', 'unresolved') THEN 'scan' ELSE 'scan+openapi' END, CASE WHEN kind IN ('missing', 'unresolved') THEN es ELSE eb END,
+  CASE WHEN vd THEN 'method-drift' ELSE CASE kind WHEN 'adopted' THEN 'single-route-match' WHEN 'ambiguous' THEN 'route-index-is-method-scoped' WHEN 'missing' THEN 'openapi-operation-missing' WHEN 'unresolved' THEN why ELSE 'method-match' END END FROM z
+UNION ALL SELECT id, 'http.path', CASE WHEN safe OR (vd AND fits) THEN 'resolved' WHEN kind IN ('missing', 'unresolved') THEN 'unknown' ELSE 'conflict' END, path,
+  CASE WHEN safe OR (vd AND fits) THEN NULL WHEN kind IN ('missing', 'unresolved') THEN scan_path WHEN kind = 'ambiguous' THEN scan_path || ',/q' || CASE WHEN scan_path = path THEN '' ELSE ',' || path END ELSE CASE WHEN exact THEN path ELSE scan_path || ',' || path END END,
+  CASE WHEN safe OR (vd AND fits) THEN 'reconciled' WHEN kind IN ('missing', 'unresolved') THEN 'scan' ELSE 'conflict' END, CASE WHEN kind IN ('missing', 'unresolved') THEN es ELSE eb END,
+  CASE WHEN safe OR (vd AND fits) THEN CASE WHEN exact THEN 'exact-' ELSE 'prefix-' END || CASE WHEN kind = 'adopted' THEN 'route-adoption' WHEN exact THEN 'path' ELSE 'reconciled' END WHEN vd THEN 'path-not-proven' WHEN kind = 'drift' THEN 'path-drift' WHEN kind = 'missing' THEN 'openapi-operation-missing' WHEN kind = 'ambiguous' THEN 'multiple-route-candidates' ELSE why END FROM z
+UNION ALL SELECT id, f, CASE WHEN s IS NOT NULL THEN 'resolved' WHEN c IS NULL AND NOT project THEN 'skipped' ELSE 'unknown' END, s, NULL, CASE WHEN s IS NULL AND c IS NULL AND project AND NOT safe THEN 'none' ELSE 'openapi' END, CASE WHEN s IS NULL AND c IS NULL AND project AND NOT safe THEN eb ELSE eo END,
+  CASE WHEN s IS NOT NULL THEN 'projected-from-safely-reconciled-openapi' WHEN c IS NOT NULL THEN c WHEN NOT project THEN 'schema-projection-disabled' WHEN safe THEN '{_LOST}' ELSE 'endpoint-not-safely-reconciled' END
+FROM (SELECT *, 'api.request.schema' AS f, request AS s, request_cause AS c FROM z UNION ALL SELECT *, 'api.response.schema', NULL, NULL FROM z UNION ALL SELECT *, 'api.error.schema', NULL, 'cut' FROM z)
+UNION ALL SELECT id, 'api.security.declared', CASE WHEN l_suppkey % 4 > 1 THEN 'resolved' ELSE 'unknown' END, CASE WHEN l_suppkey % 4 = 2 THEN 'bearer,key' ELSE '' END, NULL, CASE WHEN l_suppkey % 4 = 0 AND NOT safe THEN 'none' ELSE 'openapi' END, CASE WHEN l_suppkey % 4 = 0 AND NOT safe THEN eb ELSE eo END,
+  CASE l_suppkey % 4 WHEN 3 THEN 'operation-explicitly-declared-public' WHEN 2 THEN 'operation-security-requirements-declared' WHEN 1 THEN 'unreadable' ELSE CASE WHEN safe THEN '{_ROOT}' ELSE 'endpoint-not-safely-reconciled' END END FROM z),
+d AS (SELECT id, field, state, CASE WHEN state = 'resolved' THEN v END AS value, candidates, authority, evidence, reason FROM y)"""
 
 
 def _decided(spark, d):
     kinds = "array(" + ", ".join(f"'{k}'" for k in _KINDS) + ")"
-    table(spark, d, "lineitem").createOrReplaceTempView("factloom_lines")
-    rows = spark.sql(_RESULTS.format(at=f"get({kinds}, CAST(l_partkey % 6 AS INT))", t="factloom_lines"))
+    rows = spark.sql(_RESULTS.format(at=f"get({kinds}, CAST(l_partkey % 6 AS INT))", t="{lines}"), lines=table(spark, d, "lineitem"))
     rows = rows.selectExpr("*", "CAST(NULL AS STRING) AS response", "CAST(NULL AS STRING) AS response_cause", "CAST(NULL AS STRING) AS error", "'cut' AS error_cause",
+                           "IF(kind = 'ambiguous', array(named_struct('operation_id', 'a' || l_partkey, 'path', '/q'), named_struct('operation_id', 'b', 'path', path), named_struct('operation_id', 'b', 'path', NULL)), NULL) AS candidates",
                            "CASE l_suppkey % 4 WHEN 3 THEN CAST(array() AS array<string>) WHEN 2 THEN array('bearer', 'key') END AS security", "IF(l_suppkey % 4 = 1, 'unreadable', NULL) AS security_cause")
     return rows, decisions.decided(rows, "id", F.lit("/api"), F.col("project"))
 
 
+def _flat(made):
+    return made.withColumns({"candidates": F.array_join("candidates", ","), "evidence": F.array_join(F.transform("evidence", lambda e: F.concat(e["role"], F.lit(":"), e["ref"])), ",")})
+
+
 @_proof(f"WITH {_DECIDED} SELECT * FROM d")
 def field_decisions(spark, d):
-    return _decided(spark, d)[1]
+    return _flat(_decided(spark, d)[1])
 
 
 @_proof(f"WITH {_DECIDED} SELECT state, field, count(*) AS n FROM d GROUP BY 1, 2")
@@ -102,15 +120,25 @@ def decision_counts(spark, d):
     return _decided(spark, d)[1].groupBy("state", "field").agg(F.count("*").alias("n"))
 
 
-@_proof(f"""WITH {_DECIDED}, k AS (SELECT DISTINCT id, CASE l_suppkey % 12 WHEN 0 THEN 'unknown' WHEN 4 THEN 'inherits' WHEN 3 THEN 'unknown' END AS s, l_suppkey FROM r), u AS (SELECT 'op' || p_partkey AS o FROM part WHERE p_size % 4 = 0),
-n AS (SELECT d.*, s, field = 'operation.identity' AND state = 'resolved' AND value IN (FROM u) AS clash, field = 'api.security.declared' AND coalesce(s = 'unknown', false) AS bad, field = 'api.security.declared' AND reason = 'root-security-not-retained' AS o FROM d JOIN k USING (id))
-SELECT id, field, CASE WHEN clash THEN 'conflict' WHEN bad THEN 'unknown' WHEN o AND s = 'inherits' THEN 'resolved' ELSE state END AS state, CASE WHEN clash OR bad THEN NULL WHEN o AND s = 'inherits' THEN 'root' ELSE value END AS value,
-CASE WHEN clash THEN 'duplicate-operation-id' WHEN bad THEN 'operation-security-unreadable' WHEN o AND s = 'inherits' THEN 'inherited-document-security' WHEN o THEN 'operation-security-context-missing' ELSE reason END AS reason FROM n""")
+_KNOWN = """SELECT DISTINCT id, CASE l_suppkey % 12 WHEN 0 THEN 'unknown' WHEN 4 THEN 'inherit' WHEN 3 THEN 'unknown' ELSE 'operation' END AS security_state, CASE WHEN l_suppkey % 3 = 0 THEN 'malformed-operation-security' END AS security_reason,
+CASE l_suppkey % 5 WHEN 0 THEN 'absent' WHEN 1 THEN 'skipped' WHEN 2 THEN 'present' WHEN 3 THEN 'unknown' END AS request_state, CASE WHEN l_suppkey % 2 = 0 THEN 'request-why' END AS request_reason, 'absent' AS response_state, 'success-responses-absent' AS response_reason, 'present' AS error_state, NULL AS error_reason FROM {r} WHERE l_suppkey % 12 <> 8"""
+
+
+@_proof(f"""WITH {_DECIDED}, k AS ({_KNOWN.format(r="r")}), u AS (SELECT 'op' || p_partkey AS o FROM part WHERE p_size % 4 = 0),
+n AS (SELECT d.*, k.id IS NOT NULL AS there, security_state AS s, security_reason AS sr, CASE field WHEN 'api.request.schema' THEN request_state WHEN 'api.response.schema' THEN response_state WHEN 'api.error.schema' THEN error_state END AS ps, CASE field WHEN 'api.request.schema' THEN request_reason WHEN 'api.response.schema' THEN response_reason END AS pr,
+  field = 'operation.identity' AND state = 'resolved' AND value IN (FROM u) AS clash, d.reason = '{_LOST}' AND k.id IS NOT NULL AS lost, d.reason = '{_ROOT}' AS o FROM d LEFT JOIN k USING (id)),
+m AS (SELECT *, field = 'api.security.declared' AND coalesce(s = 'unknown', false) AS bad FROM n),
+c AS (SELECT *, CASE WHEN lost AND ps IN ('absent', 'skipped') THEN ps WHEN lost AND ps IS NOT NULL THEN 'unknown' WHEN bad THEN 'unknown' WHEN clash THEN 'conflict' WHEN o AND s = 'inherit' THEN 'resolved' WHEN o THEN 'unknown' END AS ns,
+  CASE WHEN lost AND ps IN ('absent', 'skipped') THEN pr WHEN lost AND ps = 'present' THEN 'openapi-schema-present-but-legacy-result-did-not-project' WHEN lost AND ps IS NOT NULL THEN coalesce(pr, 'openapi-schema-presence-unknown') WHEN bad THEN sr WHEN clash THEN 'duplicate-openapi-operation-id'
+    WHEN o AND s IS NULL THEN 'operation-security-context-missing' WHEN o AND s = 'operation' THEN 'operation-security-present-but-legacy-result-did-not-project' WHEN o THEN 'inherited-document-security' END AS nr FROM m)
+SELECT id, field, coalesce(ns, state) AS state, CASE WHEN ns IS NULL THEN value WHEN ns = 'resolved' THEN 'root' END AS value, CASE WHEN ns IS NULL THEN candidates END AS candidates, CASE WHEN ns IS NULL THEN authority WHEN ns = 'conflict' THEN 'conflict' ELSE 'openapi' END AS authority,
+CASE WHEN ns IS NULL THEN evidence ELSE 'openapi:o1' END AS evidence, CASE WHEN ns IS NULL THEN reason ELSE nr END AS reason FROM c""")
 def context_decisions(spark, d):
     rows, made = _decided(spark, d)
-    known = rows.selectExpr("id", "CASE l_suppkey % 12 WHEN 0 THEN 'unknown' WHEN 4 THEN 'inherits' WHEN 3 THEN 'unknown' END AS security_state").where("security_state IS NOT NULL")
+    known = spark.sql(_KNOWN.format(r="{rows}"), rows=rows)
     twice = table(spark, d, "part").where("p_size % 4 = 0").selectExpr("'op' || p_partkey AS operation_id")
-    return decisions.with_context(made, "id", twice, known, F.struct(F.lit("resolved").alias("state"), F.lit("root").alias("value")))
+    root = F.struct(F.lit("resolved").alias("state"), F.lit("root").alias("value"), F.lit(None).cast("string").alias("reason"))
+    return _flat(decisions.with_context(made, "id", twice, known, F.lit("o1"), root))
 
 
 @_proof("""SELECT p_brand, omission, count(*) AS operations FROM (SELECT p_brand, unnest([CASE WHEN p_size % 2 = 0 THEN 'summaries' END, CASE WHEN p_size % 3 = 0 THEN 'tags' END, CASE WHEN p_size % 5 = 0 THEN 'security' END]) AS omission FROM part) WHERE omission IS NOT NULL GROUP BY 1, 2""")

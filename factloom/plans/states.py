@@ -115,7 +115,16 @@ UNION ALL SELECT s.l_orderkey, s.n, r.used + CASE WHEN r.used + s.size <= 100 TH
 def skip_budget(spark, d):
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     rows = table(spark, d, "lineitem").withColumn("n", n.cast("long"))
-    return logs.skip_budget(rows.select("l_orderkey", "n", "l_quantity"), "l_orderkey", "n", "l_quantity", 100)
+    return logs.skip_budget(rows.select("l_orderkey", "n", "l_quantity"), "l_orderkey", "n", "l_quantity", 100).where("included").select("l_orderkey", "n")
+
+
+@_proof("""WITH RECURSIVE s AS (SELECT l_orderkey AS request, l_linenumber AS source, l_quantity AS size, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+r AS (SELECT request, source, n, c, CASE WHEN size <= 60 THEN size ELSE 0 END AS used, size <= 60 AS included FROM s WHERE n = 1 AND c <= 4
+UNION ALL SELECT s.request, s.source, s.n, s.c, r.used + CASE WHEN r.used + s.size <= 60 THEN s.size ELSE 0 END, r.used + s.size <= 60 FROM r JOIN s ON s.request = r.request AND s.n = r.n + 1)
+SELECT request, source, included, false AS refused FROM r UNION ALL SELECT DISTINCT request, NULL, false, true FROM s WHERE c > 4""")
+def packet_requests(spark, d):
+    one = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("source")).agg(F.min("l_quantity").alias("size"))
+    return logs.skip_budget(one, "request", "source", "size", 60, 4)
 
 
 @_proof("""WITH m AS (SELECT p_brand, max(p_size) AS m FROM part GROUP BY 1), b AS (SELECT p_brand, count(DISTINCT p_name) AS n, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names FROM part JOIN m USING (p_brand) WHERE p_size = m GROUP BY 1)
@@ -243,30 +252,40 @@ def certification_levels(spark, d):
     return trust.certified(table(spark, d, "orders"), "o_custkey", "o_orderpriority", levels)
 
 
-@_proof("""WITH r AS (SELECT o_custkey AS release, o_orderkey AS c, CASE WHEN o_orderstatus = 'P' THEN 'SKIP' ELSE 'PASS' END AS required FROM orders), b AS (SELECT l_orderkey AS c, max(CASE WHEN l_returnflag = 'R' THEN 'PASS' ELSE 'FAIL' END) AS result, max('e' || l_partkey) AS ref FROM lineitem GROUP BY 1),
-k AS (SELECT release, CASE WHEN required <> 'PASS' OR result IS NULL OR result <> 'PASS' THEN 'check-not-passed' WHEN ref NOT IN (SELECT 'e' || p_partkey FROM part WHERE p_size < 40) THEN 'evidence-missing' END AS code FROM r LEFT JOIN b USING (c)) SELECT release, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS blockers FROM k GROUP BY 1""")
+@_proof("""WITH r AS (SELECT o_custkey AS release, o_orderkey AS c, CASE WHEN o_orderstatus = 'P' THEN 'SKIP' ELSE 'PASS' END AS required FROM orders), e AS (SELECT DISTINCT 'e' || p_partkey AS ref FROM part WHERE p_size < 40),
+b AS (SELECT l_orderkey AS c, bool_and(l_returnflag <> 'A') AS passed, bool_and(ref IS NOT NULL) AS held FROM lineitem LEFT JOIN e ON ref = 'e' || l_partkey GROUP BY 1),
+k AS (SELECT release, CASE WHEN required <> 'PASS' OR NOT coalesce(passed, false) THEN 'check-not-passed' WHEN NOT held THEN 'evidence-missing' END AS code FROM r LEFT JOIN b USING (c)) SELECT release, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS blockers FROM k GROUP BY 1""")
 def release_blockers(spark, d):
     required = table(spark, d, "orders").selectExpr("o_custkey AS release", "o_orderkey AS check_id", "IF(o_orderstatus = 'P', 'SKIP', 'PASS') AS required")
-    observed = table(spark, d, "lineitem").selectExpr("l_orderkey AS check_id", "IF(l_returnflag = 'R', 'PASS', 'FAIL') AS result", "'e' || l_partkey AS ref")
+    observed = table(spark, d, "lineitem").selectExpr("l_orderkey AS check_id", "IF(l_returnflag <> 'A', 'PASS', 'FAIL') AS result", "'e' || l_partkey AS ref")
     return trust.checks_pass(required, observed, table(spark, d, "part").where("p_size < 40").selectExpr("'e' || p_partkey AS ref"))
 
 
 _NEED = "SELECT DISTINCT c_nationkey AS adapter, c_mktsegment AS capability FROM customer"
+_HAVE = "SELECT s_nationkey AS adapter, CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END AS capability, CASE WHEN s_acctbal < 0 THEN 'unknown' WHEN s_acctbal < 3000 THEN 'partial' ELSE 'supported' END AS status FROM supplier"
 
 
-@_proof(f"""WITH h AS (SELECT s_nationkey AS adapter, 'BUILDING' AS capability, max(CASE WHEN s_acctbal < 0 THEN 'unknown' WHEN s_acctbal < 5000 THEN 'partial' ELSE 'supported' END) AS status FROM supplier GROUP BY 1)
-SELECT adapter, capability, coalesce(status, 'unknown') AS status, coalesce(status = 'supported', false) AS allowed FROM ({_NEED}) LEFT JOIN h USING (adapter, capability)""")
+@_proof(f"""WITH h AS (SELECT adapter, capability, min(status) AS lo, max(status) AS hi FROM ({_HAVE}) GROUP BY ALL), s AS (SELECT adapter, capability, lo, hi, CASE WHEN lo = hi THEN lo ELSE 'unknown' END AS status FROM ({_NEED}) LEFT JOIN h USING (adapter, capability))
+SELECT adapter, capability, status, status = 'supported' AS allowed, CASE WHEN lo IS NULL THEN 'capability record is missing' WHEN lo <> hi THEN 'capability records conflict' WHEN status <> 'supported' THEN 'status ' || status || ' is not accepted by this policy' END AS reason FROM s""")
 def capability_policy(spark, d):
-    have = table(spark, d, "supplier").selectExpr("s_nationkey AS adapter", "'BUILDING' AS capability", "CASE WHEN s_acctbal < 0 THEN 'unknown' WHEN s_acctbal < 5000 THEN 'partial' ELSE 'supported' END AS status")
+    have = table(spark, d, "supplier").selectExpr("s_nationkey AS adapter", "CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END AS capability",
+                                                  "CASE WHEN s_acctbal < 0 THEN 'unknown' WHEN s_acctbal < 3000 THEN 'partial' ELSE 'supported' END AS status")
     needs = table(spark, d, "customer").selectExpr("c_nationkey AS adapter", "c_mktsegment AS capability").distinct()
     return trust.capability_allowed(needs, have, F.array(F.lit("supported"), F.lit("unknown")))
 
 
-@_proof(f"""WITH w AS (SELECT event_id, event_type, user_id % 3 AS s, CASE event_id % 3 WHEN 0 THEN 'never' WHEN 1 THEN '2024-01-01 00:00:00' ELSE '2030-01-01 00:00:00' END AS x FROM events)
-SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'non-waivable' WHEN s <> 1 THEN 'scope-mismatch' WHEN x = 'never' THEN 'expiry-unreadable' WHEN TRY_CAST(x AS TIMESTAMP) <= TIMESTAMP '{NOW}' THEN 'expired' ELSE 'admissible' END AS verdict FROM w""")
+@_proof(f"""WITH w AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'trust.secret-leak' ELSE event_type END AS code, 's' || user_id % 3 AS subject, CASE WHEN event_id % 7 <> 0 THEN 's' || event_id % 2 END AS scope,
+  CASE event_id % 5 WHEN 0 THEN ['click', 'evidence.replay'] WHEN 1 THEN ['view'] ELSE ['click', 'view', 'signup'] END AS codes, CASE event_id % 3 WHEN 0 THEN 'never' WHEN 1 THEN '2024-01-01 00:00:00' ELSE '2030-01-01 00:00:00' END AS x FROM events)
+SELECT event_id, CASE WHEN code = 'trust.secret-leak' THEN code || ' is non-waivable' WHEN scope IS NULL THEN 'no waiver supplied' WHEN scope <> subject THEN 'waiver scope ' || scope || ' does not match subject ' || subject
+  WHEN NOT list_contains(codes, code) THEN 'waiver does not cover ' || code WHEN list_contains(codes, 'evidence.replay') THEN 'waiver attempts to cover a non-waivable failure code'
+  WHEN x = 'never' THEN 'waiver.expiresAt must be a valid date-time' WHEN TRY_CAST(x AS TIMESTAMP) <= TIMESTAMP '{NOW}' THEN 'waiver is expired' END AS reason FROM w""")
 def waivers_admitted(spark, d):
-    x = F.expr("CASE event_id % 3 WHEN 0 THEN 'never' WHEN 1 THEN '2024-01-01 00:00:00' ELSE '2030-01-01 00:00:00' END")
-    return table(spark, d, "events").select("event_id", trust.waiver_admissible(F.col("event_type"), F.col("user_id") % 3, F.lit(1), x, F.lit(NOW).cast("timestamp"), ["purchase"]).alias("verdict"))
+    rows = table(spark, d, "events").selectExpr(
+        "event_id", "IF(event_type = 'purchase', 'trust.secret-leak', event_type) AS code", "'s' || user_id % 3 AS subject", "IF(event_id % 7 <> 0, 's' || event_id % 2, NULL) AS scope",
+        "CASE event_id % 5 WHEN 0 THEN array('click', 'evidence.replay') WHEN 1 THEN array('view') ELSE array('click', 'view', 'signup') END AS codes",
+        "CASE event_id % 3 WHEN 0 THEN 'never' WHEN 1 THEN '2024-01-01 00:00:00' ELSE '2030-01-01 00:00:00' END AS x")
+    reason = trust.waiver_reason(F.col("code"), F.col("subject"), F.col("scope"), F.col("codes"), F.col("x"), F.lit(NOW).cast("timestamp"))
+    return rows.select("event_id", reason.alias("reason"))
 
 
 @_proof("""SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'missing' WHEN a.p_partkey IS NULL THEN 'unexpected' ELSE 'changed' END AS fault FROM (SELECT p_partkey, sha256(p_name) AS h FROM part WHERE p_partkey % 5 <> 0) a
@@ -365,6 +384,6 @@ def route_groups(spark, d):
 _DDL = "'CREATE TABLE IF NOT EXISTS app.' || replace(p_brand, '#', '_') || ' (id uuid NOT NULL, ' || p_type || ' numeric(10, 2), CONSTRAINT pk PRIMARY KEY (id), FOREIGN KEY (id) REFERENCES base(uid)); ALTER TABLE ' || replace(p_brand, '#', '_') || ' ADD COLUMN size_' || p_size || ' int; CREATE TABLE broken (a int'"
 
 
-@_proof("""SELECT p_partkey, 'column' AS kind, replace(p_brand, '#', '_') AS "table", unnest(['id', p_type, 'size_' || p_size]) AS name, NULL AS parent FROM part UNION ALL SELECT p_partkey, 'fk', replace(p_brand, '#', '_'), 'id', 'base.uid' FROM part""")
+@_proof("""SELECT p_partkey, 'column' AS kind, replace(p_brand, '#', '_') AS "table", unnest(['id', p_type, 'size_' || p_size]) AS name, NULL AS parent, NULL AS parent_column, unnest([1, 2, 4]) AS ordinal FROM part UNION ALL SELECT p_partkey, 'fk', replace(p_brand, '#', '_'), 'id', 'base', 'uid', 3 FROM part""")
 def ddl_facts(spark, d):
     return _ddl_facts(table(spark, d, "part").selectExpr("p_partkey", f"{_DDL} AS sql"), "sql").drop("sql")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it (a cluster ships the package itself)."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir and read again; a local folder only where that is unset and the master local."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
