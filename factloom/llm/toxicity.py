@@ -1,9 +1,12 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as its own embedding (words of the training sample that are common enough) next to the mean of the embeddings
-of its character trigrams.  Overlapping windows of 24 words, one from every fourth word, cover a text; a document's score is that of its worst
-window.
-Training picks, for each toxic document, the window that scores highest so far, and for clean documents their worst ones.
+of its character trigrams.  Overlapping windows of 24 words, one from every word, cover a text; a document's score is that of
+its worst window.  The network reads a text in tiles of 96 words and what their windows need, with 8 words of context on both
+sides: each direction takes one step a word, the windows differ in what attention pools, and a pooled sum over a window is
+made of sums over 8 and 16 words.
+Training picks, for each toxic document, the window that scores highest so far, and for clean documents their worst ones; it
+reads windows with their context too.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import id_text, labelled_sample, reach_workers, with_ids
 
 SAMPLE = 2500
-WINDOW, STEP = 24, 4
+WINDOW, CONTEXT, TILE = 24, 8, 96
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 CHAR_ROWS = 8192
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,21 +83,22 @@ class Net:
             out[t] = h = new
         return out, saved
 
-    def forward(self, af: np.ndarray, ab: np.ndarray, mask: np.ndarray, keep: bool = False):
+    def forward(self, af: np.ndarray, ab: np.ndarray, mask: np.ndarray, inside: np.ndarray, keep: bool = False):
+        """Logits of windows read with their context: mask tells the words there are, inside those of the window."""
         hf, sf = self.run(af, mask, "f", keep)
         hb, sb = self.run(ab, mask, "b", keep)
         h = np.concatenate((hf, hb), axis=2)
-        e = np.where(mask, h @ self.p["v"].astype(h.dtype), -1e9)
-        w = np.exp(e - e.max(0)) * mask
+        e = np.where(inside, h @ self.p["v"].astype(h.dtype), -1e9)
+        w = np.exp(e - e.max(0)) * inside
         w /= np.maximum(w.sum(0), 1e-9)
         pooled = (w[:, :, None] * h).sum(0)
         return pooled @ self.p["o"].astype(h.dtype) + float(self.p["c"]), (h, w, pooled, sf, sb)
 
-    def gradients(self, ids: np.ndarray, mask: np.ndarray, x: np.ndarray, y: np.ndarray):
+    def gradients(self, ids: np.ndarray, mask: np.ndarray, inside: np.ndarray, x: np.ndarray, y: np.ndarray):
         """Loss and gradients over windows ids (time, window) into the input rows x, labels y; also the gradient of x."""
         p, g = self.p, {}
         at = x[ids]
-        logit, (h, w, pooled, sf, sb) = self.forward(at @ p["Wf"] + p["bf"], at @ p["Wb"] + p["bb"], mask, True)
+        logit, (h, w, pooled, sf, sb) = self.forward(at @ p["Wf"] + p["bf"], at @ p["Wb"] + p["bb"], mask, inside, True)
         prob = _sigmoid(logit)
         d = (prob - y) / len(y)
         g["o"], g["c"] = pooled.T @ d, d.sum()
@@ -124,14 +128,27 @@ class Net:
         return loss, g, rows
 
 
-def windows(n: int, size: int = WINDOW, step: int = STEP) -> list[int]:
-    """Starts of overlapping windows that cover n words, the last one ending with the text."""
-    return [0] if n <= size else sorted({*range(0, n - size, step), n - size})
+def starts_of(n: np.ndarray) -> np.ndarray:
+    """How many windows texts of n words have: one from every word that a whole window follows, at least one."""
+    return np.where(n > 0, np.maximum(n - WINDOW, 0) + 1, 0)
 
 
-def _grid(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = starts[None, :] + np.arange(WINDOW)[:, None]
-    return np.minimum(at, np.maximum(ends - 1, 0)[None, :]), at < ends[None, :]
+def _grid(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of windows and their context, (time, window), which of them lie in the text (low to high), and which in the window."""
+    at = starts[None, :] + np.arange(-CONTEXT, WINDOW + CONTEXT)[:, None]
+    mask = (at >= low) & (at < high) & (at < ends + CONTEXT)
+    return np.clip(at, low, np.maximum(high - 1, 0)), mask, mask & (at >= starts) & (at < ends)
+
+
+def _windowed(x: np.ndarray) -> np.ndarray:
+    """Sums of WINDOW rows from each row on; past the end there are zeros."""
+    def more(a: np.ndarray, by: int, b: np.ndarray | None = None) -> np.ndarray:
+        out = a.copy()
+        out[: len(a) - by] += (a if b is None else b)[by:]
+        return out
+
+    eight = more(more(more(x, 1), 2), 4)
+    return more(more(eight, 8), 16, eight)
 
 
 def _adam(moment: list[np.ndarray], rows, d: np.ndarray, step: int, rate: float = 0.01) -> np.ndarray:
@@ -158,11 +175,13 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 5,
     row = {w: i for i, w in enumerate(vocab)}
     ids = [np.array([row[w] for w in d], dtype=np.int64) for d in docs]
     first = np.array([max(0.0, odds.get(w, 0.0)) ** 2 for w in vocab])  # the first pick of windows: words that mark the label
-    spans = [(i, s, min(len(d), s + WINDOW)) for i, d in enumerate(ids) if len(d) for s in windows(len(d))]
-    doc, start, end = (np.array(c) for c in zip(*spans, strict=True))
-    base = np.r_[0, np.cumsum([len(d) for d in ids])[:-1]]
-    flat = np.concatenate(ids)
-    rating = np.array([first[flat[base[i] + s : base[i] + e]].sum() for i, s, e in spans])
+    n = np.array([len(d) for d in ids])
+    base, many, flat = np.cumsum(n) - n, starts_of(n), np.concatenate(ids)
+    doc = np.repeat(np.arange(len(n)), many)
+    start = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    end = np.minimum(n[doc], start + WINDOW)
+    sums = np.r_[0, np.cumsum(first[flat])]
+    rating = sums[base[doc] + end] - sums[base[doc] + start]
     net.p["E"][1:, 0] = [np.clip(odds[w], -3, 3) for w in common]
     r, step = np.random.default_rng(seed), 0
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -173,28 +192,31 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 5,
         order = np.lexsort((-rating, doc))
         top = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]
         clean = np.flatnonzero(y[doc] == 0)
-        worst = clean[np.argsort(-rating[clean], kind="stable")[: len(top)]]
+        apart = clean[start[clean] % CONTEXT == 0]  # neighbours say the same
+        worst = apart[np.argsort(-rating[apart], kind="stable")[: len(top)]]
         picked = np.concatenate((top, worst, r.choice(clean, min(len(clean), len(top)), replace=False)))
         for _ in range(max(epochs, 80 * 256 // max(1, len(picked)))):  # small samples need as many steps
             r.shuffle(picked)
             for i in range(0, len(picked), 256):
                 own = picked[i : i + 256]
-                at, mask = _grid(base[doc[own]] + start[own], base[doc[own]] + end[own])
+                here = doc[own]
+                at, mask, inside = _grid(base[here] + start[own], base[here] + end[own], base[here], base[here] + n[here])
                 used, local = np.unique(flat[at], return_inverse=True)
                 local = local.reshape(at.shape)
                 x = net.inputs([vocab[j] for j in used])
-                _, g, gx = net.gradients(local, mask, x, y[doc[own]].astype(float))
-                n = n_grams[used]
-                own_grams = grams[np.repeat(first_gram[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                _, g, gx = net.gradients(local, mask, inside, x, y[here].astype(float))
+                k_grams = n_grams[used]
+                own_grams = grams[np.repeat(first_gram[used] - (np.cumsum(k_grams) - k_grams), k_grams) + np.arange(k_grams.sum())]
                 step += 1
                 for k, d in g.items():
                     net.p[k] = net.p[k] - _adam(moment[k], ..., d, step)
-                for k, rows, d in (("E", of_word[used], gx[:, :WORD_DIM]), ("C", own_grams, np.repeat(gx[:, WORD_DIM:] / n[:, None], n, axis=0))):
+                for k, rows, d in (("E", of_word[used], gx[:, :WORD_DIM]), ("C", own_grams, np.repeat(gx[:, WORD_DIM:] / k_grams[:, None], k_grams, axis=0))):
                     few, put = np.unique(rows, return_inverse=True)
                     sums = np.zeros((len(few), d.shape[1]))
                     np.add.at(sums, put, d)
                     net.p[k][few] -= _adam(moment[k], few, sums, step)
-        rating = score_windows(Scorer(net), flat, vocab, base[doc] + start, base[doc] + end)
+        scorer = Scorer(net)
+        rating = scorer.windows(scorer.rows(vocab)[flat], n)
     return net
 
 
@@ -216,34 +238,42 @@ class Scorer:
             self.projected = np.concatenate((self.projected, more))
         return np.array([row[w] for w in words], dtype=np.int64)
 
-    def windows(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = []
-        for i in range(0, len(starts), 1024):
-            at, mask = _grid(starts[i : i + 1024], ends[i : i + 1024])
-            a = self.projected[flat[at]]
-            logit, _ = self.net.forward(a[:, :, : 3 * HIDDEN], a[:, :, 3 * HIDDEN :], mask)
-            out.append(logit)
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-def score_windows(scorer: Scorer, ids: np.ndarray, vocab: list[str], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return scorer.windows(scorer.rows(vocab)[ids], starts, ends)
+    def windows(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Logits of every window of texts of n words, whose projected rows are flat, text after text."""
+        p, many, base = self.net.p, starts_of(n), np.cumsum(n) - n
+        out, first = np.empty(many.sum()), np.cumsum(many) - many
+        tiles = -(-many // TILE)
+        doc = np.repeat(np.arange(len(n)), tiles)
+        begin = (np.arange(len(doc)) - np.repeat(np.cumsum(tiles) - tiles, tiles)) * TILE
+        last = np.minimum(begin + TILE, many[doc])  # of its windows, exclusive
+        low, high = np.maximum(begin - CONTEXT, 0), np.minimum(last - 1 + WINDOW + CONTEXT, n[doc])
+        order = np.argsort(high - low, kind="stable")
+        for i in range(0, len(order), 512):
+            own = order[i : i + 512]
+            t = np.arange((high - low)[own].max())[:, None]
+            mask = t < (high - low)[own]
+            a = self.projected[flat[base[doc[own]] + np.minimum(low[own] + t, high[own] - 1)]]
+            hf, _ = self.net.run(a[:, :, : 3 * HIDDEN], mask, "f")
+            hb, _ = self.net.run(a[:, :, 3 * HIDDEN :], mask, "b")
+            v, o = p["v"].astype(np.float32), p["o"].astype(np.float32)
+            e = np.where(mask, hf @ v[:HIDDEN] + hb @ v[HIDDEN:], -np.inf)
+            w = np.exp(e - e.max(0)).astype(np.float64)
+            logit = _windowed(w * (hf @ o[:HIDDEN] + hb @ o[HIDDEN:])) / np.maximum(_windowed(w), 1e-300) + float(p["c"])
+            place = low[own] + t
+            ok = (place >= begin[own]) & (place < last[own])
+            out[(first[doc[own]] + place)[ok]] = logit[ok]
+        return out
 
 
 def score_texts(scorer: Scorer, texts: list) -> np.ndarray:
-    """The worst window's probability for each text; 0 for a text without a word."""
+    """The worst window's probability for each text, to six places; 0 for a text without a word."""
     docs = [words_of(t) for t in texts]
-    out = np.zeros(len(docs))
-    flat = scorer.rows([w for d in docs for w in d])
     n = np.array([len(d) for d in docs], dtype=np.int64)
-    base = np.cumsum(n) - n
-    doc = np.concatenate([np.full(len(windows(k)), i) for i, k in enumerate(n) if k] or [np.zeros(0, np.int64)])
-    if len(doc):
-        start = np.concatenate([np.array(windows(k)) for k in n if k])
-        logit = scorer.windows(flat, base[doc] + start, base[doc] + np.minimum(n[doc], start + WINDOW))
-        worst = np.full(len(docs), -np.inf)
-        np.maximum.at(worst, doc, logit)
-        out = _sigmoid(worst) * (n > 0)
+    out, some = np.zeros(len(docs)), n > 0
+    if some.any():
+        logit = scorer.windows(scorer.rows([w for d in docs for w in d]), n)
+        many = starts_of(n)[some]
+        out[some] = np.round(_sigmoid(np.maximum.reduceat(logit, np.cumsum(many) - many)), 6)  # equal texts differ in the tenth place by where they lie
     return out
 
 

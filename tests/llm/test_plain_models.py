@@ -111,16 +111,17 @@ def test_toxicity_gradients_and_frames(spark):
     r = np.random.default_rng(1)
     words = ["one", "two", "three", "four"]
     local, mask = r.integers(0, 4, (6, 5)), np.arange(6)[:, None] < np.array([6, 1, 3, 6, 2])[None, :]
+    inside = mask & (np.arange(6)[:, None] >= np.array([0, 0, 1, 2, 1])[None, :])
     y = np.array([1.0, 0, 1, 0, 1])
     x = net.inputs(words)
-    loss, g, _ = net.gradients(local, mask, x, y)
+    loss, g, _ = net.gradients(local, mask, inside, x, y)
     for name, d in g.items():
         flat = net.p[name].reshape(-1)
         for k in r.choice(len(flat), min(4, len(flat)), replace=False):
             kept, ends = flat[k], []
             for h in (1e-5, -1e-5):
                 flat[k] = kept + h
-                ends.append(np.sum(net.gradients(local, mask, x, y)[0]))
+                ends.append(np.sum(net.gradients(local, mask, inside, x, y)[0]))
             flat[k] = kept
             assert np.reshape(d, -1)[k] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=2e-5)
     rows = [(1, "one two", 7, 8), (1, "one two", 7, 8), (None, "two", 7, 8), (2, None, 7, 8), (3, " \n", 7, 8), (5, "one " * 5000, 7, 8)]
@@ -135,3 +136,55 @@ def test_toxicity_gradients_and_frames(spark):
     assert toxicity.score(docs.where("false"), net).count() == 0
     odd = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, odd)).count() == len(rows)
+
+
+def plain_windows(net, words):
+    """Every window's logit, word by word: states of its tile with its context, softmax over the window."""
+    x, p, size = net.inputs(words), net.p, toxicity.HIDDEN
+    sig = lambda a: 1 / (1 + np.exp(-a))
+
+    def states(rows, d):
+        h, out = np.zeros(size), []
+        for row in rows:
+            a, g = row @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+            z, r = sig(a[:size] + g[:size]), sig(a[size : 2 * size] + g[size : 2 * size])
+            n = np.tanh(a[2 * size :] + r * g[2 * size :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return np.array(out)
+
+    out, count = [], max(len(words) - toxicity.WINDOW, 0) + 1
+    for begin in range(0, count, toxicity.TILE):
+        last = min(begin + toxicity.TILE, count)
+        low, high = max(begin - toxicity.CONTEXT, 0), min(last - 1 + toxicity.WINDOW + toxicity.CONTEXT, len(words))
+        h = np.c_[states(x[low:high], "f"), states(x[low:high][::-1], "b")[::-1]]
+        for s in range(begin, last):
+            own = h[s - low : min(s + toxicity.WINDOW, len(words)) - low]
+            e = np.exp(own @ p["v"])
+            out.append((e / e.sum()) @ own @ p["o"] + p["c"])
+    return np.array(out)
+
+
+def test_every_window_is_scored():
+    """Texts around the sizes of a window and of tiles, and a passage across the edge of two tiles."""
+    net = toxicity.Net({f"w{chr(97 + i)}": i + 1 for i in range(20)}, 3)
+    for k in ("v", "o", "E", "C"):
+        net.p[k] = net.p[k] * 4
+    r = np.random.default_rng(2)
+    docs = [[f"w{chr(97 + i)}" for i in r.integers(0, 26, n)] for n in (1, 2, 23, 24, 25, 95, 96, 97, 119, 120, 121, 215, 216, 400)]
+    scorer, n = toxicity.Scorer(net), np.array([len(d) for d in docs])
+    got = scorer.windows(scorer.rows([w for d in docs for w in d]), n)
+    want = [plain_windows(net, d) for d in docs]
+    assert got == pytest.approx(np.concatenate(want), abs=1e-4)
+    worst = toxicity.score_texts(scorer, [" ".join(d) for d in docs] + ["", None])
+    assert worst == pytest.approx([1 / (1 + math.exp(-w.max())) for w in want] + [0, 0], abs=1e-4)
+
+
+def test_a_passage_is_found_wherever_it_starts():
+    r = np.random.default_rng(5)
+    plain, foul = [f"plain{chr(97 + i)}" for i in range(20)], ["vile", "rotten", "scum", "filth"]
+    text = lambda n, at=None: " ".join([*(w := list(r.choice(plain, n)))[: at or 0], *(foul if at is not None else []), *w[at or 0 :]])
+    net = toxicity.train([text(60, int(r.integers(0, 60))) if i % 2 else text(60) for i in range(160)], [i % 2 for i in range(160)])
+    edge = toxicity.TILE + toxicity.WINDOW
+    p = toxicity.score_texts(toxicity.Scorer(net), [text(300, at) for at in range(edge - 40, edge + 8)] + [text(300) for _ in range(20)])
+    assert (p[:48] >= 0.5).all() and (p[48:] < 0.5).all()
