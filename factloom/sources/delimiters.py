@@ -39,10 +39,11 @@ def delimiters(texts: DataFrame, keys: list[str], code: Column, opening: str = "
     return rows.withColumn("depth", F.col("_sum") - step - F.col("_low")).drop("_sum", "_low")
 
 
-def groups(texts: DataFrame, keys: list[str], code: Column, header: str, opening: str = "(", closing: str = ")", parting: str = ",") -> DataFrame:
+def groups(texts: DataFrame, keys: list[str], code: Column, header: str, opening: str = "(", closing: str = ")", parting: str = ",", empty: bool = False) -> DataFrame:
     """(keys, at, head, item, text): the items of every group whose opening delimiter stands right behind text that ends as the
     header pattern says; at is the delimiter's offset.  Items are parted at the top level only and trimmed, empty ones are left
-    out; a group that is never closed has none, and groups inside another one that counts are part of its text."""
+    out unless they are wanted (then a group without items has one); a group that is not closed before the next one that counts
+    begins has none, and other groups inside it are part of its text."""
     rows = delimiters(texts, keys, code, opening, closing, parting)
     along = Window.partitionBy(*keys).orderBy("pos")
     head = F.regexp_extract(F.lag("token").over(along), rf"(?is)({header})\z", 1)
@@ -52,9 +53,34 @@ def groups(texts: DataFrame, keys: list[str], code: Column, header: str, opening
     inside = Window.partitionBy(*keys, "_open.pos").orderBy("pos")
     own = Window.partitionBy(*keys, "_open.pos")
     over = (F.col("token") == closing) & (F.col("depth") == F.col("_open.depth") + 1)
-    rows = rows.withColumn("_end", F.min(F.when(over, F.col("pos"))).over(own)).where((F.col("pos") > F.col("_open.pos")) & (F.col("pos") < F.col("_end")))
+    rows = rows.withColumn("_end", F.min(F.when(over, F.col("pos"))).over(own)).where(F.col("pos") < F.col("_end"))
+    rows = rows.withColumn("token", F.when(F.col("pos") > F.col("_open.pos"), F.col("token")).otherwise(""))
     part = F.col("token").isin(list(parting)) & (F.col("depth") == F.col("_open.depth") + 1)
     rows = rows.withColumn("item", F.count_if(part).over(inside.rowsBetween(Window.unboundedPreceding, 0))).where(~part)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")
-    out = rows.groupBy(*keys, F.col("_open.at").alias("at"), F.col("_open.head").alias("head"), "item").agg(F.trim(F.regexp_replace(joined, r"^\s+|\s+\z", "")).alias("text"))
-    return out.where("text <> ''")
+    out = rows.groupBy(*keys, F.col("_open.at").alias("at"), F.col("_open.head").alias("head"), "item").agg(F.regexp_replace(joined, r"^\s+|\s+\z", "").alias("text"))
+    return out if empty else out.where("text <> ''")
+
+
+#: Delimiters, and what stands for them inside strings.
+_PLAIN, _HIDDEN = "()[]{},", "\x01\x02\x03\x04\x05\x06\x07"
+
+
+def shielded(text: Column, language: str) -> Column:
+    """text without its comments (and, of indented languages, its strings of several lines), the delimiters inside its strings
+    put out of sight."""
+    pattern = MASKS[language]
+    token = lambda t: F.when(t.rlike(r"^(#|//|--|/\*|\"\"\"|'{3})"), F.regexp_replace(t, r"[^\n]", "")).otherwise(F.translate(t, _PLAIN, _HIDDEN))
+    held = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), token)
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), held, lambda piece, t: F.concat(piece, F.coalesce(t, F.lit("")))), "")
+
+
+def unshielded(text: Column) -> Column:
+    return F.translate(text, _HIDDEN, _PLAIN)
+
+
+def calls(texts: DataFrame, keys: list[str], code: Column, header: str) -> DataFrame:
+    """(keys, at, head, args): the calls whose name ends as the header says, with their arguments in order."""
+    items = groups(texts, keys, code, header, empty=True)
+    listed = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("item", "text"))), lambda x: x["text"]), lambda t: t != "")
+    return items.groupBy(*keys, "at", "head").agg(listed.alias("args"))
