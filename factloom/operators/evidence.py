@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import tokens, tokens_match
+from factloom.sources.tables import durable
 
 
 def matches(facts: DataFrame, terms: list[str]) -> DataFrame:
@@ -16,14 +17,17 @@ def matches(facts: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def capped(found: DataFrame, cap: int = 5) -> DataFrame:
-    """The first `cap` rows of each module and signal in source order, with the number there were."""
-    own = Window.partitionBy("module", "signal")
-    return found.withColumn("n", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("ordinal", "term_ordinal"))).where(F.col("r") <= cap)
+    """The first `cap` rows of each module and signal in source order, with the number there were.
+
+    The limit goes below the shuffle and the counts are summed before it, so a signal that matches everywhere sends few rows."""
+    first = F.row_number().over(Window.partitionBy("module", "signal").orderBy("ordinal", "term_ordinal"))
+    few = found.withColumn("r", first).where(F.col("r") <= cap)
+    return few.join(found.groupBy("module", "signal").agg(F.count("*").alias("n")), ["module", "signal"])
 
 
 def scores(facts: DataFrame, terms: list[str], cap: int = 5) -> DataFrame:
     """module, score, overflowing signals and the verdict on the module."""
-    kept = capped(matches(facts, terms), cap)
+    kept = capped(durable(matches(facts, terms)), cap)  # matched once, read twice
     out = kept.groupBy("module").agg(F.sum("weight").cast("long").alias("score"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("n") > cap, F.col("signal")))), ",").alias("capped"))
     return out.withColumn("verdict", _verdict(F.col("score")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.running import running_sums
+
 
 def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key, by partial aggregation."""
@@ -48,8 +50,8 @@ def outcome_faults(decisions: DataFrame, outcomes: DataFrame, key: str, seq: str
 
 def gc_prefix(blobs: DataFrame, group: str, order: str, size: str, most: int, most_bytes: int) -> DataFrame:
     """Candidates in order up to the first that breaks the cap on their number or bytes (sizes are not negative)."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blobs.withColumns({"nth": F.count("*").over(w), "used": F.sum(size).over(w)}).where((F.col("nth") <= most) & (F.col("used") <= most_bytes))
+    placed = running_sums(blobs, group, order, {"nth": F.lit(1).cast("long"), "used": F.col(size)})
+    return placed.where((F.col("nth") <= most) & (F.col("used") <= most_bytes))
 
 
 def skip_budget(sources: DataFrame, key: str, order: str, size: str, limit: int, most: int = 100) -> DataFrame:
@@ -131,10 +133,9 @@ def fencing_faults(log: DataFrame, key: str, seq: str, token: str) -> DataFrame:
 
 def prefix_budget(files: DataFrame, key: str, order: str, size: str, limit: int, oversize: int) -> DataFrame:
     """Files in order until the first that does not fit; oversize ones are passed over and use up nothing."""
-    w = Window.partitionBy(key).orderBy(order)
-    used = F.sum(F.when(F.col(size) <= oversize, F.col(size)).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = running_sums(files, key, order, {"used": F.when(F.col(size) <= oversize, F.col(size)).otherwise(0)})
     # sizes are not negative, so the running sum exceeds the limit from the first misfit on
-    return files.withColumn("used", used).where((F.col(size) <= oversize) & (F.col("used") <= limit))
+    return placed.where((F.col(size) <= oversize) & (F.col("used") <= limit))
 
 
 def kind_counts(log: DataFrame, kind: str, kinds: list[str]) -> DataFrame:
