@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import contract_build, graph, schemas
+from factloom.operators import context, contract_build, graph, schemas
 from factloom.plans.proofs import _proof
 from factloom.sources.extract import migrations as _migrations
 from factloom.sources.extract import schema_states as _schema_states
+from factloom.sources.python_routes import fastapi_routes
 from factloom.sources.tables import table
 
 # --- contracts -------------------------------------------------------------------------------------------------------
@@ -143,3 +144,55 @@ SELECT repo, t AS "table", (SELECT coalesce(string_agg(c, ',' ORDER BY v, c), ''
 def schema_states(spark, d):
     rows = _schema_states(_migrated(spark, d)[1], "repo", "path")
     return rows.select("repo", "table", F.coalesce(F.array_join("columns", ","), F.lit("")).alias("columns"), F.coalesce(_named("foreign_keys"), F.lit("")).alias("foreign_keys"), F.size("files").cast("long").alias("files"))
+
+
+# --- files of operations ---------------------------------------------------------------------------------------------
+#: Parts are source files of their brand's repository; every repository has four operations.
+_SOURCES = """SELECT p_brand AS repo, 'src/' || CASE WHEN p_size % 2 = 0 THEN 'routes/' ELSE '' END || 'widget' || p_size % 4 || '_' || p_partkey || '.py' AS path, CASE p_size % 5 WHEN 0 THEN 'def loadWidget' || p_size % 4 || '(a):' WHEN 1 THEN 'x = loadWidget' || p_size % 4 || '(1)  # def loadWidget9(' WHEN 2 THEN '@app.get("/API/widget' || p_size % 4 || '")' WHEN 3 THEN '// loadWidget0' ELSE '' END AS text FROM {parts}"""
+_CONTEXT = """s AS (SELECT p_brand AS repo, 'src/' || CASE WHEN p_size % 2 = 0 THEN 'routes/' ELSE '' END || 'widget' || p_size % 4 || '_' || p_partkey || '.py' AS path, 'loadWidget' || p_size % 4 AS operation_id, p_size AS z, 'widget' || p_size % 4 AS w FROM part),
+c AS (SELECT *, CAST(CASE z % 5 WHEN 0 THEN 240 WHEN 1 THEN 25 WHEN 2 THEN 135 ELSE 0 END + 80 + CASE WHEN z % 2 = 0 THEN 10 ELSE 0 END AS BIGINT) AS score, CAST(CASE WHEN z % 5 = 2 THEN 1 ELSE 0 END AS BIGINT) AS term_hits,
+CASE z % 5 WHEN 0 THEN 'handler_declaration,' WHEN 1 THEN 'symbol_reference,' WHEN 2 THEN 'full_route_literal,http_method_registration,' ELSE '' END || 'filename_operation:' || w || ',filename_route:' || w AS signals FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo, operation_id ORDER BY score DESC, path) AS rank FROM c)"""
+
+
+def _context(spark, d):
+    part = table(spark, d, "part")
+    operations = part.select(F.col("p_brand").alias("repo")).distinct().selectExpr("repo", "explode(sequence(0, 3)) AS k").selectExpr("repo", "'loadWidget' || k AS operation_id", "'GET' AS verb", "'/api/widget' || k || '/' AS path")
+    return context.selected(context.scored(operations, spark.sql(_SOURCES, parts=part)))
+
+
+@_proof(f"WITH {_CONTEXT} SELECT repo, operation_id, path, score, signals, term_hits, rank FROM k WHERE rank <= 4")
+def context_files(spark, d):
+    return _context(spark, d)[0].withColumns({"signals": F.array_join("signals", ","), "rank": F.col("rank").cast("long")}).drop("verb", "route")
+
+
+@_proof(f"""WITH {_CONTEXT}, g AS (SELECT repo, operation_id, count(*) AS matched, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS gap, max(signals) FILTER (rank = 1) AS top FROM k GROUP BY 1, 2),
+v AS (SELECT *, coalesce(gap < 30, false) AS ambiguous, CASE WHEN top LIKE 'handler%' THEN CASE WHEN coalesce(gap >= 30, true) THEN 'high' ELSE 'medium' END WHEN top LIKE 'full%' THEN 'medium' ELSE 'low' END AS confidence FROM g)
+SELECT repo, operation_id, matched, gap, ambiguous, confidence, concat_ws(',', CASE WHEN matched > 4 THEN 'ranked_candidates_truncated' END, CASE WHEN confidence = 'low' THEN 'no_confirmed_declaration' END, CASE WHEN ambiguous THEN 'ambiguous_top_scores' END, CASE WHEN top NOT LIKE 'handler%' THEN 'no_confirmed_handler_declaration' END) AS incomplete_reasons FROM v""")
+def context_verdicts(spark, d):
+    return _context(spark, d)[1].withColumn("incomplete_reasons", F.array_join("incomplete_reasons", ",")).drop("verb", "route")
+
+
+# --- routes over files -----------------------------------------------------------------------------------------------
+#: Parts are modules with a router, which the application of their brand mounts.
+_MODULE = """SELECT p_brand AS repo, 'pkg/m' || p_partkey || '.py' AS path, 'from fastapi import APIRouter' || chr(10) || CASE WHEN p_size % 7 = 0 THEN 'r = APIRouter()' || chr(10) ELSE '' END || 'r = APIRouter(prefix=' || CASE WHEN p_size % 11 = 0 THEN 'BASE' ELSE '"/p' || p_size || '"' END || ', tags=["a", "(b"])' || chr(10) ||
+'@r.get(' || CASE WHEN p_size % 13 = 0 THEN 'f' ELSE '' END || '"/x/{{id}}")  # @r.get("/no")' || chr(10) || '@cached(1)' || chr(10) || 'async def f' || p_partkey || '(a=Depends(b)): pass' AS text FROM {parts}"""
+_ENDS = "s AS (SELECT p_brand AS repo, p_partkey AS k, p_size AS z FROM part)"
+
+
+def _fastapi(spark, d):
+    part = table(spark, d, "part")
+    line = F.concat(F.lit("from .m"), "p_partkey", F.lit(" import r as r"), "p_partkey", F.lit("\napp.include_router(r"), "p_partkey", F.lit(", prefix="), F.when(F.col("p_size") % 6 == 0, F.lit("V")).otherwise(F.concat(F.lit("'/v"), F.col("p_size") % 3, F.lit("/'"))), F.lit(")\n"))
+    main = part.groupBy(F.col("p_brand").alias("repo")).agg(F.concat(F.lit("import fastapi\napp = fastapi.FastAPI()\n"), F.array_join(F.array_sort(F.collect_list(line)), "")).alias("text")).withColumn("path", F.lit("pkg/main.py"))
+    return fastapi_routes(main.unionByName(spark.sql(_MODULE, parts=part)), "repo", "path", "text")
+
+
+@_proof(f"""WITH {_ENDS} SELECT repo, CASE WHEN z % 6 = 0 THEN 'pkg.m' || k || '#r' ELSE 'pkg.main#app' END AS root, 'pkg.m' || k || '#r' AS router, 'GET' AS verb, CASE WHEN z % 6 = 0 THEN '' ELSE '/v' || z % 3 END || '/p' || z || '/x/{{id}}' AS path, 'f' || k AS function FROM s WHERE z % 7 > 0 AND z % 11 > 0 AND z % 13 > 0""")
+def fastapi_composed(spark, d):
+    return _fastapi(spark, d)[0]
+
+
+@_proof(f"""WITH {_ENDS} SELECT repo, 'pkg.m' || k AS module, CASE WHEN z % 13 = 0 THEN 'route-path-not-literal' WHEN z % 7 = 0 THEN 'router-ambiguous' ELSE 'router-prefix-not-literal' END AS reason, 1 AS n FROM s WHERE z % 7 = 0 OR z % 11 = 0 OR z % 13 = 0
+UNION ALL SELECT repo, 'pkg.main', 'mount-prefix-not-literal', count(*) FROM s WHERE z % 6 = 0 GROUP BY 1""")
+def fastapi_unknowns(spark, d):
+    return _fastapi(spark, d)[1].groupBy("repo", "module", "reason").agg(F.count("*").alias("n"))

@@ -84,3 +84,17 @@ def calls(texts: DataFrame, keys: list[str], code: Column, header: str) -> DataF
     items = groups(texts, keys, code, header, empty=True)
     listed = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("item", "text"))), lambda x: x["text"]), lambda t: t != "")
     return items.groupBy(*keys, "at", "head").agg(listed.alias("args"))
+
+
+#: Comments and strings of any of the languages: a quote that begins three ends with three, other strings end at their quote.
+_COMMENT = r"//[^\n]*|#[^\n]*|(?s:/\*.*?(?:\*/|\z))|(?s:\"{3}.*?(?:\"{3}|\z))|(?s:'{3}.*?(?:'{3}|\z))"
+_STRING = r"(?s:\"(?:[^\"\\]++|\\.)*+(?:\"|\z))|(?s:'(?:[^'\\]++|\\.)*+(?:'|\z))|(?s:`(?:[^`\\]++|\\.)*+(?:`|\z))"
+
+
+def code_text(text: Column, strings: bool) -> Column:
+    """text of the same length and lines with spaces for comments, whatever its language, and for strings too unless they stay."""
+    pattern = f"{_COMMENT}|{_STRING}"
+    blank = lambda t: F.regexp_replace(t, r"[^\n]", " ")
+    kept = lambda t: F.when(t.rlike(f"\\A(?:{_COMMENT})"), blank(t)).otherwise(t) if strings else blank(t)
+    held = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), kept)
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), held, lambda piece, t: F.concat(piece, F.coalesce(t, F.lit("")))), "")
