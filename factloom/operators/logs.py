@@ -99,7 +99,7 @@ def evicted(cache: DataFrame, key: str, deps: str, changed: DataFrame) -> DataFr
 
 def ci_selection(changed: DataFrame, active: DataFrame, feature: Column, documentation: Column) -> DataFrame:
     """(feature_id, reason): all active features for a change that belongs to none and is no document, else those touched."""
-    rows = changed.select(feature.alias("feature_id"), documentation.alias("doc")).join(F.broadcast(active.select("feature_id").distinct().withColumn("known", F.lit(True))), "feature_id", "left")
+    rows = changed.select(feature.alias("feature_id"), documentation.alias("doc")).join(active.select("feature_id").distinct().withColumn("known", F.lit(True)), "feature_id", "left")
     shared = rows.agg(F.coalesce(F.bool_or(F.col("known").isNull() & ~F.col("doc")), F.lit(False)).alias("shared"))
     touched = rows.where("known").select("feature_id").distinct().withColumn("touched", F.lit(True))
     out = active.select("feature_id").distinct().join(touched, "feature_id", "left").join(F.broadcast(shared))

@@ -27,12 +27,14 @@ def reconcile(endpoints: DataFrame, operations: DataFrame, prefix: DataFrame) ->
     """(key, kind, reason, operation) of endpoints (key, verb, path, operation_id); prefix is one row (value).
 
     With an operation id: missing, drift of verb or path, or matched.  Without: the one operation of the verb whose route has
-    the endpoint's shape, prefixed or bare, is adopted if it has an id; several are ambiguous.
+    the endpoint's shape, prefixed or bare, is adopted if it has an id; several are ambiguous.  Of operations that share an id
+    the first counts, by ordinal where operations have one, else by path and verb.
     """
     rows = endpoints.join(F.broadcast(prefix.select("value")))
     full = route_shape(F.concat(F.coalesce("value", F.lit("")), F.col("path")))
     ops = operations.select("verb", "path", "operation_id", route_shape(F.col("path")).alias("shape"))
-    by_id = ops.where("operation_id IS NOT NULL").groupBy("operation_id").agg(F.first(F.struct("verb", "shape")).alias("op"))
+    place = F.struct(*(c for c in ("ordinal", "path", "verb") if c in operations.columns))
+    by_id = operations.where("operation_id IS NOT NULL").groupBy("operation_id").agg(F.min_by(F.struct("verb", route_shape(F.col("path")).alias("shape")), place).alias("op"))
     kind = lambda k, reason="": F.struct(F.lit(k).alias("kind"), F.lit(reason).alias("reason"))
     named = rows.where("operation_id IS NOT NULL").join(by_id, "operation_id", "left")
     verdict = F.when(F.col("op").isNull(), kind("missing")).when(F.col("op.verb") != F.col("verb"), kind("drift", "verb")).when(F.col("op.shape") == full, kind("matched")).otherwise(kind("drift", "path"))

@@ -384,6 +384,6 @@ def route_groups(spark, d):
 _DDL = "'CREATE TABLE IF NOT EXISTS app.' || replace(p_brand, '#', '_') || ' (id uuid NOT NULL, ' || p_type || ' numeric(10, 2), CONSTRAINT pk PRIMARY KEY (id), FOREIGN KEY (id) REFERENCES base(uid)); ALTER TABLE ' || replace(p_brand, '#', '_') || ' ADD COLUMN size_' || p_size || ' int; CREATE TABLE broken (a int'"
 
 
-@_proof("""SELECT p_partkey, 'column' AS kind, replace(p_brand, '#', '_') AS "table", unnest(['id', p_type, 'size_' || p_size]) AS name, NULL AS parent, NULL AS parent_column, unnest([1, 2, 4]) AS ordinal FROM part UNION ALL SELECT p_partkey, 'fk', replace(p_brand, '#', '_'), 'id', 'base', 'uid', 3 FROM part""")
+@_proof("""SELECT p_partkey, 'column' AS kind, replace(p_brand, '#', '_') AS "table", unnest(['id', p_type, 'size_' || p_size]) AS name, NULL AS parent FROM part UNION ALL SELECT p_partkey, 'fk', replace(p_brand, '#', '_'), 'id', 'base.uid' FROM part""")
 def ddl_facts(spark, d):
-    return _ddl_facts(table(spark, d, "part").selectExpr("p_partkey", f"{_DDL} AS sql"), "sql").drop("sql")
+    return _ddl_facts(table(spark, d, "part").selectExpr("p_partkey", f"{_DDL} AS sql"), "sql").drop("sql", "parent_table", "parent_column", "ordinal")

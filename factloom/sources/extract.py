@@ -51,8 +51,8 @@ _NOT_A_COLUMN = r"(?i)^(CONSTRAINT|PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK|EXCL
 
 
 def ddl_facts(files: DataFrame, sql: str) -> DataFrame:
-    """files with kind (column or fk), table, name, parent and parent_column (null where a foreign key does not say it), and
-    ordinal, the place of the fact among the file's.
+    """files with kind (column or fk), table, name, parent (table.column of a foreign key, the table alone where it does not say
+    the column), parent_table, parent_column, and ordinal, the place of the fact among the file's.
 
     CREATE TABLE, ALTER TABLE ADD COLUMN and ADD CONSTRAINT FOREIGN KEY count; names lose quotes and tables their schema.
     Parentheses nest to any depth; comments and strings hold no facts; keys of several columns give none.  A table whose
@@ -61,7 +61,7 @@ def ddl_facts(files: DataFrame, sql: str) -> DataFrame:
     get = F.regexp_extract
     rows = durable(files.withColumn("_row", F.monotonically_increasing_id()))  # read several times: the numbers must stay
     known = rows.withColumn("_code", masked(F.col(sql), "sql"))
-    fact = lambda kind, t, name, parent=F.lit(""), column=F.lit(""): F.struct(F.lit(kind).alias("kind"), t.alias("table"), name.alias("name"), F.nullif(parent, F.lit("")).alias("parent"), F.nullif(column, F.lit("")).alias("parent_column"))
+    fact = lambda kind, t, name, parent=F.lit(""), column=F.lit(""): F.struct(F.lit(kind).alias("kind"), t.alias("table"), name.alias("name"), F.nullif(parent, F.lit("")).alias("parent_table"), F.nullif(column, F.lit("")).alias("parent_column"))
     each = lambda c: F.transform(c, lambda m, i: F.struct(i.cast("long").alias("n"), m.alias("fact")))
 
     x, name = F.col("text"), get("head", rf"(?is){_CREATE}", 1)
@@ -79,7 +79,8 @@ def ddl_facts(files: DataFrame, sql: str) -> DataFrame:
     later = [known.select("_row", F.lit(step).alias("_step"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("item"), F.explode(each(c)).alias("f")) for step, c in ((2, added), (3, bound))]
     facts = made.unionByName(later[0]).unionByName(later[1])
     ordinal = F.row_number().over(Window.partitionBy("_row").orderBy("_step", "at", "item", "f.n")).cast("long")
-    return rows.join(facts.select("_row", ordinal.alias("ordinal"), "f.fact.*"), "_row").drop("_row")
+    parent = F.nullif(F.concat_ws(".", "parent_table", "parent_column"), F.lit(""))
+    return rows.join(facts.select("_row", ordinal.alias("ordinal"), "f.fact.*"), "_row").drop("_row").withColumn("parent", parent)
 
 
 # Where the tools keep their files, the first tool with a file before the second.
@@ -106,7 +107,7 @@ def migrations(files: DataFrame, repo: str, path: str, sql: str) -> tuple[DataFr
     listed = own.groupBy(repo).agg(F.array_sort(F.collect_set(path)).alias("files"))
     repos = chosen.join(listed, repo, "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
     facts = ddl_facts(own.where(F.col(path).rlike(r"\.sql$")).select(repo, path, sql), sql)
-    keys = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "fk", F.struct("ordinal", F.col("name").alias("column"), F.col("parent").alias("references_table"), F.col("parent_column").alias("references_column"))))),
+    keys = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "fk", F.struct("ordinal", F.col("name").alias("column"), F.col("parent_table").alias("references_table"), F.col("parent_column").alias("references_column"))))),
                        lambda x: x.dropFields("ordinal"))
     tables = facts.groupBy(repo, path, "table").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "column", F.col("name")))).alias("columns"), keys.alias("foreign_keys"))
     number = F.split(F.regexp_extract(path, r"(?:^|/)V([0-9]+(?:[._][0-9]+)*)__[^/]*$", 1), "[._]")

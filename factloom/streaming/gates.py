@@ -12,8 +12,9 @@ from factloom.operators.logs import latest
 
 
 def latest_states(events: DataFrame, key: str, at: str, state: str) -> DataFrame:
-    """A streaming table of the last state of each key: max_by over the stream; late events never overrule newer ones."""
-    return events.groupBy(key).agg(F.max(at).alias(at), F.max_by(state, at).alias(state))
+    """A streaming table of the last state of each key: max_by over the stream; late events never overrule newer ones, and of
+    states of one moment the greatest counts."""
+    return events.groupBy(key).agg(F.max(at).alias(at), F.max_by(state, F.struct(at, state)).alias(state))
 
 
 def receipt_counts(receipts: DataFrame, contract: str, ref: str, current: str) -> DataFrame:
@@ -26,7 +27,7 @@ def upserts(events: DataFrame, key: str, order: list[str], states: str, history:
     """Starts a query that appends every batch to history and writes the states after it to `states`/batch=N.
 
     A batch is idempotent: it is written under its own number, from the states of the batch before, so a replay after a lost
-    driver or executor gives the same files.
+    driver or executor gives the same files.  States older than the batch before are removed.
     """
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -35,6 +36,8 @@ def upserts(events: DataFrame, key: str, order: list[str], states: str, history:
         if number:
             new = spark.read.parquet(f"{states}/batch={number - 1}").unionByName(new)
         latest(new, key, *order).write.mode("overwrite").parquet(f"{states}/batch={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{states}/batch={number - 2}")
+        old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
         if on_batch:
             on_batch(spark.read.parquet(f"{states}/batch={number}"))
 

@@ -69,7 +69,7 @@ def test_facts_match_a_plain_reader(spark):
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "id long, sql string, at int").repartition(3)
     got = extract.ddl_facts(df, "sql").orderBy("id", "ordinal").collect()
     for i, t in enumerate(texts):
-        assert [(g["kind"], g["table"], g["name"], g["parent"], g["parent_column"]) for g in got if g["id"] == i] == plain_facts(t or ""), t
+        assert [(g["kind"], g["table"], g["name"], g["parent_table"], g["parent_column"]) for g in got if g["id"] == i] == plain_facts(t or ""), t
 
 
 @pytest.mark.parametrize(("language", "text", "want"), [
