@@ -8,6 +8,7 @@ from factloom.operators import context, contract_build, graph, schemas
 from factloom.plans.proofs import _proof
 from factloom.sources.extract import migrations as _migrations
 from factloom.sources.extract import schema_states as _schema_states
+from factloom.sources.protocols import graphql, protobuf
 from factloom.sources.python_routes import fastapi_routes
 from factloom.sources.tables import table
 
@@ -196,3 +197,41 @@ def fastapi_composed(spark, d):
 UNION ALL SELECT repo, 'pkg.main', 'mount-prefix-not-literal', count(*) FROM s WHERE z % 6 = 0 GROUP BY 1""")
 def fastapi_unknowns(spark, d):
     return _fastapi(spark, d)[1].groupBy("repo", "module", "reason").agg(F.count("*").alias("n"))
+
+
+# --- protocols -------------------------------------------------------------------------------------------------------
+#: Parts are .proto files: a message within a message, a oneof, a service with streams; some are left open.
+_PROTO = """SELECT 'f' || p_partkey AS path, CASE WHEN p_size % 4 > 0 THEN 'syntax = "proto3";' ELSE '' END || ' package p' || p_size || '; // message No {{ string a = 1; }}' || chr(10) || 'message M' || p_size % 9 || ' {{ string id = 1; message In {{ repeated int32 n = ' || (p_size + 2) || '; }} oneof one {{ In a = 4; map<string, In> b = 5; }} string t = 6 [default = "x {{ int32 q = 1;"]; }}' || chr(10) ||
+CASE WHEN p_size % 5 = 0 THEN 'service S {{ rpc Do (' || CASE WHEN p_size % 2 = 0 THEN 'stream ' ELSE '' END || 'In) returns (stream M) {{ option (o) = {{ g: "/v" }}; }} }}' WHEN p_size % 5 = 1 THEN 'message Open {{ int32 z = 1;' ELSE '' END AS text FROM {parts}"""
+
+
+def _proto(spark, d, name):
+    return protobuf(spark.sql(_PROTO, parts=table(spark, d, "part")), "path", "text")[name]
+
+
+@_proof("""SELECT 'f' || p_partkey AS file, 'M' || p_size % 9 || CASE n WHEN 2 THEN '.In' ELSE '' END AS message, ['id', 'n', 'a', 'b', 't'][n] AS name, ['string', 'int32', 'In', 'map<string,In>', 'string'][n] AS type, CASE n WHEN 2 THEN 'repeated' END AS label, CAST([1, p_size + 2, 4, 5, 6][n] AS BIGINT) AS number, CASE WHEN n IN (3, 4) THEN 'one' END AS "oneof" FROM part, range(1, 6) t(n)""")
+def proto_fields(spark, d):
+    return _proto(spark, d, "fields")
+
+
+@_proof("""SELECT 'f' || p_partkey AS file, 'S' AS service, 'Do' AS name, 'In' AS request_type, 'M' AS response_type, p_size % 2 = 0 AS client_streaming, true AS server_streaming FROM part WHERE p_size % 5 = 0""")
+def proto_methods(spark, d):
+    return _proto(spark, d, "methods")
+
+
+@_proof("""SELECT 'f' || p_partkey AS file, 'PROTO_NESTED_DECLARATION_NOT_EXPANDED' AS code, 'message In' AS subject FROM part UNION ALL SELECT 'f' || p_partkey, 'PROTO_SYNTAX_UNRESOLVED', NULL FROM part WHERE p_size % 4 = 0 UNION ALL SELECT 'f' || p_partkey, 'PROTO_UNCLOSED_BLOCK', 'message Open' FROM part WHERE p_size % 5 = 1""")
+def proto_warnings(spark, d):
+    return _proto(spark, d, "warnings")
+
+
+_GRAPHQL = """SELECT 'g' || p_partkey AS path, CASE WHEN p_size % 3 = 0 THEN 'schema {{ query: Root }}' ELSE '' END || chr(10) || '# type No {{ a: Int }}' || chr(10) || 'type ' || CASE WHEN p_size % 3 = 0 THEN 'Root' ELSE 'Query' END || ' @d(a: 1) {{ "a: b" item(id: ID!, f: F = {{a: 1}}): [P' || p_size || '!]! all: Int }}' || chr(10) || 'enum E {{ A B }} scalar D' || p_size || chr(10) || CASE WHEN p_size % 7 = 0 THEN 'type Open {{ a: Int' ELSE '' END AS text FROM {parts}"""
+
+
+@_proof("""SELECT 'g' || p_partkey AS file, 'query' AS kind, ['item', 'all'][n] AS name, ['[P' || p_size || '!]!', 'Int'][n] AS type FROM part, range(1, 3) t(n)""")
+def graphql_operations(spark, d):
+    return graphql(spark.sql(_GRAPHQL, parts=table(spark, d, "part")), "path", "text")["operations"]
+
+
+@_proof("""SELECT 'g' || p_partkey AS file, kind, name FROM (SELECT p_partkey, unnest(['type', 'enum', 'scalar']) AS kind, unnest([CASE WHEN p_size % 3 = 0 THEN 'Root' ELSE 'Query' END, 'E', 'D' || p_size]) AS name FROM part UNION ALL SELECT p_partkey, 'type', 'Open' FROM part WHERE p_size % 7 = 0)""")
+def graphql_types(spark, d):
+    return graphql(spark.sql(_GRAPHQL, parts=table(spark, d, "part")), "path", "text")["types"]

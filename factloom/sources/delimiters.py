@@ -98,3 +98,22 @@ def code_text(text: Column, strings: bool) -> Column:
     kept = lambda t: F.when(t.rlike(f"\\A(?:{_COMMENT})"), blank(t)).otherwise(t) if strings else blank(t)
     held = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), kept)
     return F.array_join(F.zip_with(F.split(text, pattern, -1), held, lambda piece, t: F.concat(piece, F.coalesce(t, F.lit("")))), "")
+
+
+def scopes(texts: DataFrame, keys: list[str], code: Column, opening: str = "{", closing: str = "}", parting: str = ";") -> tuple[DataFrame, DataFrame]:
+    """(opens, pieces) of nested scopes, to any depth.  opens: keys, pos, at, head (the text before the opening delimiter, trimmed),
+    depth, parent (the pos of the scope around it; null outside all) and closed.  pieces: keys, pos, at, text (trimmed, not empty)
+    and scope (likewise) of what stands between delimiters.  A closing delimiter with nothing open counts for nothing."""
+    rows = delimiters(texts, keys, code, opening, closing, parting)
+    rows = rows.withColumn("head", F.when(F.col("token") == opening, F.regexp_replace(F.coalesce(F.lag("token").over(Window.partitionBy(*keys).orderBy("pos")), F.lit("")), r"^\s+|\s+\z", "")))
+    member = rows.select("*", F.col("depth").alias("_level"), F.lit(None).cast("int").alias("_open"))
+    opener = rows.where(F.col("token") == opening).select("*", (F.col("depth") + 1).alias("_level"), F.col("pos").alias("_open"))
+    # at each level the last scope that was opened before is the one around; a member comes before the scope it opens
+    last = Window.partitionBy(*keys, "_level").orderBy("pos", F.col("_open").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = member.unionByName(opener).withColumn("scope", F.when(F.col("_level") > 0, F.last("_open", ignorenulls=True).over(last))).where("_open IS NULL")
+    special = [opening, closing, *parting]
+    text = F.regexp_replace("token", r"^\s+|\s+\z", "")
+    pieces = placed.where(~F.col("token").isin(special)).select(*keys, "pos", "at", text.alias("text"), "scope").where("text <> ''")
+    ends = placed.where(F.col("token") == closing).select(*keys, F.col("scope").alias("pos"), F.lit(True).alias("closed")).where("pos IS NOT NULL").distinct()
+    opens = placed.where(F.col("token") == opening).select(*keys, "pos", "at", "head", "depth", F.col("scope").alias("parent"))
+    return opens.join(ends, [*keys, "pos"], "left").withColumn("closed", F.coalesce("closed", F.lit(False))), pieces
