@@ -121,10 +121,10 @@ def skip_budget(spark, d):
 @_proof("""WITH RECURSIVE s AS (SELECT l_orderkey AS request, l_linenumber AS source, l_quantity AS size, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
 r AS (SELECT request, source, n, c, CASE WHEN size <= 60 THEN size ELSE 0 END AS used, size <= 60 AS included FROM s WHERE n = 1 AND c <= 4
 UNION ALL SELECT s.request, s.source, s.n, s.c, r.used + CASE WHEN r.used + s.size <= 60 THEN s.size ELSE 0 END, r.used + s.size <= 60 FROM r JOIN s ON s.request = r.request AND s.n = r.n + 1)
-SELECT request, source, included, false AS refused FROM r UNION ALL SELECT DISTINCT request, NULL, false, true FROM s WHERE c > 4""")
+SELECT request, CAST(source AS VARCHAR) AS source, included, false AS refused FROM r UNION ALL SELECT DISTINCT request, NULL, false, true FROM s WHERE c > 4""")
 def packet_requests(spark, d):
     one = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("source")).agg(F.min("l_quantity").alias("size"))
-    return logs.skip_budget(one, "request", "source", "size", 60, 4)
+    return logs.skip_budget(one, "request", "source", "size", 60, 4).withColumn("source", F.col("source").cast("string"))
 
 
 @_proof("""WITH m AS (SELECT p_brand, max(p_size) AS m FROM part GROUP BY 1), b AS (SELECT p_brand, count(DISTINCT p_name) AS n, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names FROM part JOIN m USING (p_brand) WHERE p_size = m GROUP BY 1)

@@ -169,9 +169,9 @@ def context_files(spark, d):
 
 @_proof(f"""WITH {_CONTEXT}, g AS (SELECT repo, operation_id, count(*) AS matched, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS gap, max(signals) FILTER (rank = 1) AS top FROM k GROUP BY 1, 2),
 v AS (SELECT *, coalesce(gap < 30, false) AS ambiguous, CASE WHEN top LIKE 'handler%' THEN CASE WHEN coalesce(gap >= 30, true) THEN 'high' ELSE 'medium' END WHEN top LIKE 'full%' THEN 'medium' ELSE 'low' END AS confidence FROM g)
-SELECT repo, operation_id, matched, gap, ambiguous, confidence, concat_ws(',', CASE WHEN matched > 4 THEN 'ranked_candidates_truncated' END, CASE WHEN confidence = 'low' THEN 'no_confirmed_declaration' END, CASE WHEN ambiguous THEN 'ambiguous_top_scores' END, CASE WHEN top NOT LIKE 'handler%' THEN 'no_confirmed_handler_declaration' END) AS incomplete_reasons FROM v""")
+SELECT repo, operation_id, matched, CAST(gap AS VARCHAR) AS gap, ambiguous, confidence, concat_ws(',', CASE WHEN matched > 4 THEN 'ranked_candidates_truncated' END, CASE WHEN confidence = 'low' THEN 'no_confirmed_declaration' END, CASE WHEN ambiguous THEN 'ambiguous_top_scores' END, CASE WHEN top NOT LIKE 'handler%' THEN 'no_confirmed_handler_declaration' END) AS incomplete_reasons FROM v""")
 def context_verdicts(spark, d):
-    return _context(spark, d)[1].withColumn("incomplete_reasons", F.array_join("incomplete_reasons", ",")).drop("verb", "route")
+    return _context(spark, d)[1].withColumns({"gap": F.col("gap").cast("string"), "incomplete_reasons": F.array_join("incomplete_reasons", ",")}).drop("verb", "route")
 
 
 # --- routes over files -----------------------------------------------------------------------------------------------
