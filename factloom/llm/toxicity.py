@@ -144,7 +144,7 @@ def _windowed(x: np.ndarray) -> np.ndarray:
     """Sums of WINDOW rows from each row on; past the end there are zeros."""
     def more(a: np.ndarray, by: int, b: np.ndarray | None = None) -> np.ndarray:
         out = a.copy()
-        out[: len(a) - by] += (a if b is None else b)[by:]
+        out[: max(0, len(a) - by)] += (a if b is None else b)[by:]
         return out
 
     eight = more(more(more(x, 1), 2), 4)

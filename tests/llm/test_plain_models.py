@@ -176,6 +176,8 @@ def test_every_window_is_scored():
     got = scorer.windows(scorer.rows([w for d in docs for w in d]), n)
     want = [plain_windows(net, d) for d in docs]
     assert got == pytest.approx(np.concatenate(want), abs=1e-4)
+    for d, w in zip(docs, want):  # batches of short texts alone too
+        assert scorer.windows(scorer.rows(d), np.array([len(d)])) == pytest.approx(w, abs=1e-4)
     worst = toxicity.score_texts(scorer, [" ".join(d) for d in docs] + ["", None])
     assert worst == pytest.approx([1 / (1 + math.exp(-w.max())) for w in want] + [0, 0], abs=1e-4)
 
