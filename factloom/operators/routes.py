@@ -40,8 +40,10 @@ def reconcile(endpoints: DataFrame, operations: DataFrame, prefix: DataFrame) ->
     verdict = F.when(F.col("op").isNull(), kind("missing")).when(F.col("op.verb") != F.col("verb"), kind("drift", "verb")).when(F.col("op.shape") == full, kind("matched")).otherwise(kind("drift", "path"))
     named = named.select("key", verdict.alias("v"), F.when(verdict["kind"] == "matched", F.col("operation_id")).alias("operation"))
     asked = rows.where("operation_id IS NULL").select("key", "verb", "value", F.explode(F.array_distinct(F.array(full, route_shape(F.col("path"))))).alias("shape"))
-    hits = asked.join(ops.select("verb", "shape", F.struct("path", "operation_id").alias("hit")), ["verb", "shape"], "left").groupBy("key").agg(
-        F.first("value").alias("value"), F.count("hit").alias("n"), F.max("hit").alias("hit"))
+    # many endpoints can ask for a route that many operations have: the operations of a route are one row, not met one by one
+    by_route = ops.groupBy("verb", "shape").agg(F.count("*").alias("_n"), F.max(F.struct("path", "operation_id")).alias("_hit"))
+    hits = asked.join(by_route, ["verb", "shape"], "left").groupBy("key").agg(
+        F.first("value").alias("value"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.max("_hit").alias("hit"))
     guess = (
         F.when(F.col("n") > 1, kind("ambiguous")).when((F.col("n") == 1) & F.col("hit.operation_id").isNotNull(), kind("adopted")).when(F.col("n") == 1, kind("unresolved", "document-missing-operation-id"))
         .when(F.col("value").isNull(), kind("unresolved", "prefix-inconclusive")).otherwise(kind("unresolved", "no-candidate"))
