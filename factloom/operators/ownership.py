@@ -29,9 +29,11 @@ def classified(paths: DataFrame, path: str, hot: DataFrame, owners: DataFrame) -
     """(path, class, owners): hot before owned (by one or several whose scope (scope, owner) contains the path) before
     case-fold (only without regard to case) before unowned."""
     up = paths.select(path).distinct().withColumn("scope", F.explode(F.array_append(ancestors(F.col(path)), F.col(path))))
-    exact = up.join(owners, "scope").groupBy(path).agg(F.array_sort(F.collect_set("owner")).alias("exact"))
-    low = owners.select(F.lower("scope").alias("scope"), "owner")
-    fold = up.withColumn("scope", F.lower("scope")).join(low, "scope").groupBy(path).agg(F.array_sort(F.collect_set("owner")).alias("fold"))
+    # a scope is one row with its owners, so a path meets it once, however often it is given
+    met = lambda ups, given: ups.join(given.where("scope IS NOT NULL").groupBy("scope").agg(F.collect_set("owner").alias("_owners")), "scope").groupBy(path)
+    each = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list("_owners")))).alias(name)
+    exact = met(up, owners).agg(each("exact"))
+    fold = met(up.withColumn("scope", F.lower("scope")), owners.select(F.lower("scope").alias("scope"), "owner")).agg(each("fold"))
     is_hot = up.join(hot.select("scope").distinct(), "scope", "left_semi").select(path).distinct().withColumn("hot", F.lit(True))
     rows = paths.join(is_hot, path, "left").join(exact, path, "left").join(fold, path, "left")
     kind = F.when(F.col("hot"), "hot").when(F.size("exact") > 1, "multiple").when(F.size("exact") == 1, "owned").when(F.size("fold") > 0, "case-fold").otherwise("unowned")

@@ -1,6 +1,8 @@
 """Work that must not grow faster than the input: rows that joins make, partitions that hold the work, tables sent to every task."""
 
-from factloom.operators import routes
+from pyspark.sql import functions as F
+
+from factloom.operators import ownership, routes
 
 
 def nodes(plan):
@@ -31,3 +33,12 @@ def test_reconciliation_of_one_route_that_all_share(spark):
     got, most = most_joined(routes.reconcile(ends, ops, spark.createDataFrame([("/api",)], "value string")))
     assert len(got) == n and {(r["kind"], r["reason"], r["operation"]) for r in got} == {("ambiguous", "", None)}
     assert most <= 4 * n
+
+
+def test_owners_of_a_scope_given_many_times(spark):
+    n = 400
+    paths = spark.range(n).selectExpr("IF(id % 2 = 0, 'A', 'a') || '/1/f' || id AS path")
+    owners = spark.range(n).selectExpr("'A/1' AS scope", "'o' || id % 3 AS owner")
+    got, most = most_joined(ownership.classified(paths, "path", paths.limit(0).select(F.col("path").alias("scope")), owners))
+    assert {(r["path"][0], r["class"], r["owners"]) for r in got} == {("A", "multiple", "o0,o1,o2"), ("a", "case-fold", "o0,o1,o2")}
+    assert most <= 4 * n
