@@ -57,7 +57,7 @@ def scored(operations: DataFrame, files: DataFrame) -> DataFrame:
     their repository (repo, path, text) that score LEAST or more.  Comments count for nothing and strings for routes only; of a
     path that occurs twice the least text counts; a null text is an empty one; null names and routes have no files."""
     source = files.where(candidate_source(F.col("path"))).groupBy("repo", F.col("path").alias("file")).agg(F.min("text").alias("text"))
-    source = durable(source.select("repo", "file", code_text(F.coalesce("text", F.lit("")), strings=True).alias("clean"), code_text(F.coalesce("text", F.lit("")), strings=False).alias("bare")))
+    source = durable(source.select("repo", "file", code_text(F.coalesce("text", F.lit("")), strings=True).alias("clean"), code_text(F.coalesce("text", F.lit("")), strings=False).alias("bare")), broadcast=False)
     full = F.regexp_replace("path", r"/+$", "")
     full = F.when(full == "", "/").otherwise(full)
     leaf = F.coalesce(F.try_element_at(F.filter(F.split(full, "/"), lambda x: x != ""), F.lit(-1)), F.lit(""))

@@ -10,7 +10,7 @@ from factloom.sources.extract import migrations as _migrations
 from factloom.sources.extract import schema_states as _schema_states
 from factloom.sources.protocols import graphql, protobuf
 from factloom.sources.python_routes import fastapi_routes
-from factloom.sources.tables import table
+from factloom.sources.tables import spread, table
 
 # --- contracts -------------------------------------------------------------------------------------------------------
 #: Orders are features, their lines endpoints of two controllers in two modules.
@@ -157,7 +157,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY repo, operation_id ORDER BY scor
 
 
 def _context(spark, d):
-    part = table(spark, d, "part")
+    part = _files(spark, d)
     operations = part.select(F.col("p_brand").alias("repo")).distinct().selectExpr("repo", "explode(sequence(0, 3)) AS k").selectExpr("repo", "'loadWidget' || k AS operation_id", "'GET' AS verb", "'/api/widget' || k || '/' AS path")
     return context.selected(context.scored(operations, spark.sql(_SOURCES, parts=part)))
 
@@ -182,7 +182,7 @@ _ENDS = "s AS (SELECT p_brand AS repo, p_partkey AS k, p_size AS z FROM part)"
 
 
 def _fastapi(spark, d):
-    part = table(spark, d, "part")
+    part = _files(spark, d)
     line = F.concat(F.lit("from .m"), "p_partkey", F.lit(" import r as r"), "p_partkey", F.lit("\napp.include_router(r"), "p_partkey", F.lit(", prefix="), F.when(F.col("p_size") % 6 == 0, F.lit("V")).otherwise(F.concat(F.lit("'/v"), F.col("p_size") % 3, F.lit("/'"))), F.lit(")\n"))
     main = part.groupBy(F.col("p_brand").alias("repo")).agg(F.concat(F.lit("import fastapi\napp = fastapi.FastAPI()\n"), F.array_join(F.array_sort(F.collect_list(line)), "")).alias("text")).withColumn("path", F.lit("pkg/main.py"))
     return fastapi_routes(main.unionByName(spark.sql(_MODULE, parts=part)), "repo", "path", "text")
@@ -205,8 +205,13 @@ _PROTO = """SELECT 'f' || p_partkey AS path, CASE WHEN p_size % 4 > 0 THEN 'synt
 CASE WHEN p_size % 5 = 0 THEN 'service S {{ rpc Do (' || CASE WHEN p_size % 2 = 0 THEN 'stream ' ELSE '' END || 'In) returns (stream M) {{ option (o) = {{ g: "/v" }}; }} }}' WHEN p_size % 5 = 1 THEN 'message Open {{ int32 z = 1;' ELSE '' END AS text FROM {parts}"""
 
 
+def _files(spark, d):
+    """Parts as the rows of many files, dealt before their texts are made."""
+    return spread(table(spark, d, "part"), "p_partkey")
+
+
 def _proto(spark, d, name):
-    return protobuf(spark.sql(_PROTO, parts=table(spark, d, "part")), "path", "text")[name]
+    return protobuf(spark.sql(_PROTO, parts=_files(spark, d)), "path", "text")[name]
 
 
 @_proof("""SELECT 'f' || p_partkey AS file, 'M' || p_size % 9 || CASE n WHEN 2 THEN '.In' ELSE '' END AS message, ['id', 'n', 'a', 'b', 't'][n] AS name, ['string', 'int32', 'In', 'map<string,In>', 'string'][n] AS type, CASE n WHEN 2 THEN 'repeated' END AS label, CAST([1, p_size + 2, 4, 5, 6][n] AS BIGINT) AS number, CASE WHEN n IN (3, 4) THEN 'one' END AS "oneof" FROM part, range(1, 6) t(n)""")
@@ -229,9 +234,9 @@ _GRAPHQL = """SELECT 'g' || p_partkey AS path, CASE WHEN p_size % 3 = 0 THEN 'sc
 
 @_proof("""SELECT 'g' || p_partkey AS file, 'query' AS kind, ['item', 'all'][n] AS name, ['[P' || p_size || '!]!', 'Int'][n] AS type FROM part, range(1, 3) t(n)""")
 def graphql_operations(spark, d):
-    return graphql(spark.sql(_GRAPHQL, parts=table(spark, d, "part")), "path", "text")["operations"]
+    return graphql(spark.sql(_GRAPHQL, parts=_files(spark, d)), "path", "text")["operations"]
 
 
 @_proof("""SELECT 'g' || p_partkey AS file, kind, name FROM (SELECT p_partkey, unnest(['type', 'enum', 'scalar']) AS kind, unnest([CASE WHEN p_size % 3 = 0 THEN 'Root' ELSE 'Query' END, 'E', 'D' || p_size]) AS name FROM part UNION ALL SELECT p_partkey, 'type', 'Open' FROM part WHERE p_size % 7 = 0)""")
 def graphql_types(spark, d):
-    return graphql(spark.sql(_GRAPHQL, parts=table(spark, d, "part")), "path", "text")["types"]
+    return graphql(spark.sql(_GRAPHQL, parts=_files(spark, d)), "path", "text")["types"]

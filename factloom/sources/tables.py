@@ -24,8 +24,15 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again; a local folder only where that is unset and the master local."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over spark.sql.shuffle.partitions tasks (no fewer, however small it is): for rows of a few small files from
+    which much is made."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def durable(df: DataFrame, broadcast: bool = True) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read again; a local folder only where that is unset and the master local.
+    Spark takes a file's packed size for that of its rows: without broadcast, joins deal the table instead of sending it whole."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not df.sparkSession.sparkContext.master.startswith("local"):
@@ -35,7 +42,8 @@ def durable(df: DataFrame) -> DataFrame:
         base = _own[0]
     path = f"{base}/durable-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    return written if broadcast else written.hint("merge")
 
 
 def tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

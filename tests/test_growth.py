@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import ownership, routes
+from factloom.operators import context, ownership, routes
 
 
 def nodes(plan):
@@ -42,3 +42,15 @@ def test_owners_of_a_scope_given_many_times(spark):
     got, most = most_joined(ownership.classified(paths, "path", paths.limit(0).select(F.col("path").alias("scope")), owners))
     assert {(r["path"][0], r["class"], r["owners"]) for r in got} == {("A", "multiple", "o0,o1,o2"), ("a", "case-fold", "o0,o1,o2")}
     assert most <= 4 * n
+
+
+def kinds(df):
+    df.collect()
+    return [n.getClass().getSimpleName() for n in nodes(df._jdf.queryExecution().executedPlan())]
+
+
+def test_texts_are_not_sent_to_every_task(spark):
+    operations = spark.createDataFrame([("r", "loadWidget", "GET", "/api/widget")], "repo string, operation_id string, verb string, path string")
+    files = spark.createDataFrame([("r", "src/widget.py", "def loadWidget(a):")], "repo string, path string, text string")
+    got = context.scored(operations, files)
+    assert "SortMergeJoinExec" in kinds(got) and got.count() == 1
