@@ -128,9 +128,10 @@ def mounted_routes(nodes: DataFrame, routes: DataFrame, mounts: DataFrame) -> tu
 
 def alias_targets(aliases: DataFrame) -> DataFrame:
     """(name, target) of aliases (name, next), followed to the end by doubling the step; target is null on a cycle."""
-    way = durable(aliases.select("name", F.col("next").alias("at")))
+    way = durable(aliases.select("name", F.col("next").alias("at")), broadcast=False)
+    known = way.select(F.col("name").alias("at"), F.lit(True).alias("_more")).distinct()
     names, reach = way.count(), 1
     while reach <= names:  # after as many doublings every chain has ended but the endless ones
-        way = durable(way.join(way.select(F.col("name").alias("at"), F.col("at").alias("far")), "at", "left").select("name", F.coalesce("far", "at").alias("at")))
+        way = durable(way.join(way.select(F.col("name").alias("at"), F.col("at").alias("far")), "at", "left").select("name", F.coalesce("far", "at").alias("at")), broadcast=False)
         reach *= 2
-    return way.join(aliases.select(F.col("name").alias("at"), F.lit(True).alias("_more")).distinct(), "at", "left").select("name", F.when(F.col("_more").isNull(), F.col("at")).alias("target"))
+    return way.join(known, "at", "left").select("name", F.when(F.col("_more").isNull(), F.col("at")).alias("target"))

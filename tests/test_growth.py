@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import context, ownership, routes
+from factloom.operators import context, graph, ownership, routes
 
 
 def nodes(plan):
@@ -54,3 +54,8 @@ def test_texts_are_not_sent_to_every_task(spark):
     files = spark.createDataFrame([("r", "src/widget.py", "def loadWidget(a):")], "repo string, path string, text string")
     got = context.scored(operations, files)
     assert "SortMergeJoinExec" in kinds(got) and got.count() == 1
+
+
+def test_aliases_are_not_sent_to_every_task(spark):
+    got = graph.alias_targets(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x")], "name string, next string"))
+    assert "BroadcastExchangeExec" not in kinds(got) and {tuple(r) for r in got.collect()} == {("a", "c"), ("b", "c"), ("x", None)}
