@@ -10,7 +10,7 @@ from factloom.plans.proofs import NOW, _proof
 from factloom.sources.extract import ddl_facts as _ddl_facts
 from factloom.sources.extract import generic_routes as _generic_routes
 from factloom.sources.extract import grouped_routes
-from factloom.sources.tables import table
+from factloom.sources.tables import spread, table
 
 # --- ownership -------------------------------------------------------------------------------------------------------
 _SCOPES = "s AS (SELECT DISTINCT p_type AS repo, 't' || p_size % 6 AS track, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN lower(p_brand) || '/' || p_size % 8 ELSE p_brand || '/' || p_size % 8 || '/' || p_name END AS scope FROM part)"
@@ -386,4 +386,4 @@ _DDL = "'CREATE TABLE IF NOT EXISTS app.' || replace(p_brand, '#', '_') || ' (id
 
 @_proof("""SELECT p_partkey, 'column' AS kind, replace(p_brand, '#', '_') AS "table", unnest(['id', p_type, 'size_' || p_size]) AS name, NULL AS parent FROM part UNION ALL SELECT p_partkey, 'fk', replace(p_brand, '#', '_'), 'id', 'base.uid' FROM part""")
 def ddl_facts(spark, d):
-    return _ddl_facts(table(spark, d, "part").selectExpr("p_partkey", f"{_DDL} AS sql"), "sql").drop("sql", "parent_table", "parent_column", "ordinal")
+    return _ddl_facts(spread(table(spark, d, "part"), "p_partkey").selectExpr("p_partkey", f"{_DDL} AS sql"), "sql").drop("sql", "parent_table", "parent_column", "ordinal")

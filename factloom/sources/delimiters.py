@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.tables import durable, spread
+
 #: Comments and strings of a language, each with its end or that of the text.
 MASKS = {
     "sql": r"--[^\n]*|(?s:/\*.*?(?:\*/|\z))|'(?:[^']++|'')*+(?:'|\z)",
@@ -29,8 +31,9 @@ def delimiters(texts: DataFrame, keys: list[str], code: Column, opening: str = "
     """(keys, pos, token, at, depth): the delimiters of code and what stands between them, in order; at is the offset from 0,
     depth the number of groups open before the token.  A closing delimiter with nothing open counts for nothing."""
     special = "".join(f"\\{c}" for c in opening + closing + parting)
-    tokens = F.regexp_extract_all(code, F.lit(f"([{special}]|[^{special}]+)"), F.lit(1))
-    rows = texts.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    tokens = F.regexp_extract_all("_code", F.lit(f"([{special}]|[^{special}]+)"), F.lit(1))
+    # texts are dealt, not their many tokens, and every window below finds them in place
+    rows = spread(texts.select(*keys, code.alias("_code")), *keys).select(*keys, F.posexplode(tokens).alias("pos", "token"))
     before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     here = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("token") == opening, 1).when(F.col("token") == closing, -1).otherwise(0)
@@ -106,11 +109,13 @@ def scopes(texts: DataFrame, keys: list[str], code: Column, opening: str = "{",
     and scope (likewise) of what stands between delimiters.  A closing delimiter with nothing open counts for nothing."""
     rows = delimiters(texts, keys, code, opening, closing, parting)
     rows = rows.withColumn("head", F.when(F.col("token") == opening, F.regexp_replace(F.coalesce(F.lag("token").over(Window.partitionBy(*keys).orderBy("pos")), F.lit("")), r"^\s+|\s+\z", "")))
-    member = rows.select("*", F.col("depth").alias("_level"), F.lit(None).cast("int").alias("_open"))
-    opener = rows.where(F.col("token") == opening).select("*", (F.col("depth") + 1).alias("_level"), F.col("pos").alias("_open"))
+    member = F.struct(F.col("depth").alias("_level"), F.lit(None).cast("int").alias("_open"))
+    opener = F.struct((F.col("depth") + 1).alias("_level"), F.col("pos").alias("_open"))
     # at each level the last scope that was opened before is the one around; a member comes before the scope it opens
     last = Window.partitionBy(*keys, "_level").orderBy("pos", F.col("_open").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = member.unionByName(opener).withColumn("scope", F.when(F.col("_level") > 0, F.last("_open", ignorenulls=True).over(last))).where("_open IS NULL")
+    both = rows.select("*", F.inline(F.when(F.col("token") == opening, F.array(member, opener)).otherwise(F.array(member))))
+    placed = both.withColumn("scope", F.when(F.col("_level") > 0, F.last("_open", ignorenulls=True).over(last))).where("_open IS NULL")
+    placed = durable(placed.select(*keys, "pos", "at", "token", "head", "depth", "scope"), broadcast=False)  # one pass, three outputs
     special = [opening, closing, *parting]
     text = F.regexp_replace("token", r"^\s+|\s+\z", "")
     pieces = placed.where(~F.col("token").isin(special)).select(*keys, "pos", "at", text.alias("text"), "scope").where("text <> ''")

@@ -59,7 +59,7 @@ def ddl_facts(files: DataFrame, sql: str) -> DataFrame:
     parentheses do not close before the next one begins is passed over.  Repeated rows each give theirs; a null text gives none.
     """
     get = F.regexp_extract
-    rows = durable(files.withColumn("_row", F.monotonically_increasing_id()))  # read several times: the numbers must stay
+    rows = durable(files.withColumn("_row", F.monotonically_increasing_id()), broadcast=False)  # read several times: the numbers must stay
     known = rows.withColumn("_code", masked(F.col(sql), "sql"))
     fact = lambda kind, t, name, parent=F.lit(""), column=F.lit(""): F.struct(F.lit(kind).alias("kind"), t.alias("table"), name.alias("name"), F.nullif(parent, F.lit("")).alias("parent_table"), F.nullif(column, F.lit("")).alias("parent_column"))
     each = lambda c: F.transform(c, lambda m, i: F.struct(i.cast("long").alias("n"), m.alias("fact")))

@@ -18,19 +18,19 @@ _VALUE = r"^([A-Za-z_]\w*)\s*=\s*(-?\d+)\b"
 
 def _keyed(files: DataFrame, key: str, text: str, code: Column) -> DataFrame:
     """One row a file with its code; of a file that occurs twice the least text counts."""
-    return durable(files.groupBy(F.col(key).alias("file")).agg(F.min(text).alias("text")).where("text IS NOT NULL").select("file", "text", code.alias("code")))
+    return durable(files.groupBy(F.col(key).alias("file")).agg(F.min(text).alias("text")).where("text IS NOT NULL").select("file", "text", code.alias("code")), broadcast=False)
 
 
 def named_scopes(opens: DataFrame) -> DataFrame:
     """opens (file, pos, kind, name, parent) with full, the names of the scopes around and its own, joined by points, and owner, the
     nearest scope from it outwards that is no oneof; scopes without a name leave no trace in it."""
-    left = durable(opens)
-    done = [durable(left.where("parent IS NULL").select("file", "pos", F.col("name").alias("full"), F.col("pos").alias("owner")))]
+    left = durable(opens, broadcast=False)
+    done = [durable(left.where("parent IS NULL").select("file", "pos", F.col("name").alias("full"), F.col("pos").alias("owner")), broadcast=False)]
     while not done[-1].isEmpty():
         up = done[-1].select("file", F.col("pos").alias("parent"), F.col("full").alias("_up"), F.col("owner").alias("_owner"))
         own = F.col("kind") == "oneof"
         step = left.join(up, ["file", "parent"]).select("file", "pos", F.when(own | F.col("name").isNull(), F.col("_up")).otherwise(F.concat_ws(".", "_up", "name")).alias("full"), F.when(own | F.col("name").isNull(), F.col("_owner")).otherwise(F.col("pos")).alias("owner"))
-        done.append(durable(step))
+        done.append(durable(step, broadcast=False))
     return left.join(reduce(DataFrame.unionByName, done), ["file", "pos"])
 
 
@@ -45,9 +45,9 @@ def protobuf(files: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
     opens, pieces = scopes(source, ["file"], F.col("code"))
     head = lambda n: F.nullif(F.regexp_extract("head", _DECLARED, n), F.lit(""))
     known = named_scopes(opens.select("file", "pos", "head", "depth", "parent", "closed", head(1).alias("kind"), head(2).alias("name")))
-    known = durable(known)
+    known = durable(known, broadcast=False)
     at = known.select("file", F.col("pos").alias("scope"), F.col("kind").alias("in"), F.col("full").alias("inside"), "owner", F.col("name").alias("scope_name"), F.col("closed").alias("whole"))
-    lines = durable(pieces.select("file", "text", "scope").join(at, ["file", "scope"]))
+    lines = durable(pieces.select("file", "text", "scope").join(at, ["file", "scope"]), broadcast=False)
     part = lambda pattern, n: F.nullif(F.regexp_extract("text", pattern, n), F.lit(""))
     message = known.where("kind = 'message'").select("file", F.col("pos").alias("owner"), F.col("full").alias("message"), F.col("closed").alias("held"))
     fields = lines.where(F.col("in").isin("message", "oneof") & F.col("text").rlike(_FIELD)).join(message, ["file", "owner"]).where("held AND whole")
@@ -87,7 +87,7 @@ def graphql(files: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
     usual names where it has none.  A type that is not closed has a warning and no fields; a null text is no file."""
     source = _keyed(files, key, text, masked(F.col("text"), "hash"))
     opens, pieces = scopes(source, ["file"], F.col("code"), parting="")
-    opens = durable(opens.where("depth = 0"))
+    opens = durable(opens.where("depth = 0"), broadcast=False)
     tokens = pieces.join(opens.select("file", F.col("pos").alias("scope")), ["file", "scope"])
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
     flat = lambda c: F.regexp_replace(c, r"\([^()]*\)", " ")

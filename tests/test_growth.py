@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import context, graph, ownership, routes
+from factloom.sources import delimiters
 
 
 def nodes(plan):
@@ -59,3 +60,12 @@ def test_texts_are_not_sent_to_every_task(spark):
 def test_aliases_are_not_sent_to_every_task(spark):
     got = graph.alias_targets(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x")], "name string, next string"))
     assert "BroadcastExchangeExec" not in kinds(got) and {tuple(r) for r in got.collect()} == {("a", "c"), ("b", "c"), ("x", None)}
+
+
+def test_texts_of_one_partition_are_dealt_before_their_tokens(spark):
+    texts = spark.range(40).selectExpr("id AS k", "'a(b,c){x; y}' AS t").coalesce(1)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = delimiters.delimiters(texts, ["k"], F.col("t"))
+    assert rows.rdd.getNumPartitions() == n and rows.count() == 40 * 7
+    opens, pieces = delimiters.scopes(texts, ["k"], F.col("t"))
+    assert opens.where("closed AND head = 'a(b,c)'").count() == 40 and pieces.where("scope IS NOT NULL").count() == 80
