@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import json as J
 from factloom.operators import contracts, decisions, readiness
 from factloom.plans.proofs import _proof
-from factloom.sources.tables import table
+from factloom.sources.tables import spread, table
 
 # --- JSON ------------------------------------------------------------------------------------------------------------
 _EVENT = """'{"v": ' || event_id || ', "props": ' || coalesce(props, 'null') || ', "a": {"t": "' || event_type || '", "b": [1.50, null, true, {"z": ' || user_id || ', "y": "~"}]}' || CASE WHEN event_id % 9 = 0 THEN '' ELSE '}' END"""
@@ -118,7 +118,7 @@ def laravel_routes(spark, d):
 @_proof("""SELECT p_partkey, 'route' AS code, 'users' AS name, m AS method, '/u/' || p_size || '/{id}' AS path, 'users' AS controller, 'show' AS action FROM part, (SELECT unnest(['GET', 'PUT']) AS m) UNION ALL SELECT p_partkey, 'incomplete', NULL, NULL, '/x', NULL, NULL FROM part UNION ALL SELECT p_partkey, 'target-unresolved', 'blob', 'GET', '/b', NULL, NULL FROM part""")
 def rails_routes(spark, d):
     text = r"""'head\n--[ Route 1 ]------\nPrefix            | users\nVerb | GET|PUT\nURI | /u/' || p_size || '/:id(.:format)\nController#Action | users#show\n--[ Route 2 ]---\nPrefix |\nVerb |\nURI | /x\nController#Action | a#b\n--[ Route 3 ]---\nPrefix | blob\nVerb | get\nURI | /b\nController#Action | redirect(301)' AS text"""
-    return contracts.rails_routes(table(spark, d, "part").selectExpr("p_partkey", text), "p_partkey", "text")
+    return contracts.rails_routes(spread(table(spark, d, "part"), "p_partkey").selectExpr("p_partkey", text), "p_partkey", "text")
 
 
 _PAIR = "p AS (SELECT event_id AS id, event_id % 4 AS k, value, event_type FROM events)"
