@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from factloom.operators import decisions
 from factloom.plans.proofs import _proof
 from factloom.sources import frameworks
-from factloom.sources.tables import table
+from factloom.sources.tables import durable, spread, table
 
 _P = "regexp_replace(p_brand, '[^A-Za-z0-9]', '')"
 _DP = "regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')"
 
 
 def _texts(spark, d, text):
-    return table(spark, d, "part").selectExpr("p_partkey", f"{text} AS text")
+    # written once dealt: filters on the text would be moved before the deal, into the few tasks that read the file
+    return durable(spread(table(spark, d, "part"), "p_partkey")).selectExpr("p_partkey", f"{text} AS text")
 
 
 _SPRING = f"""'// @GetMapping("/no")\n@RestController /* @PostMapping */\n@RequestMapping("/api/' || p_size || '/")\npublic class ' || {_P} || 'Controller {{ @Operation(summary = "a (b)", operationId = "list' || p_partkey || '") @ApiResponses(@X(1)) @GetMapping\n List<A> l() {{}} @PostMapping(value = "http://x/' || p_size || '", produces = "j") void p() {{}} @Operation(summary="s") @DeleteMapping("/{{id}}") void d() {{}} }}'"""

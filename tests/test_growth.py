@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import context, graph, ownership, routes
+from factloom.plans import frameworks
 from factloom.sources import delimiters
 
 
@@ -69,3 +70,7 @@ def test_texts_of_one_partition_are_dealt_before_their_tokens(spark):
     assert rows.rdd.getNumPartitions() == n and rows.count() == 40 * 7
     opens, pieces = delimiters.scopes(texts, ["k"], F.col("t"))
     assert opens.where("closed AND head = 'a(b,c)'").count() == 40 and pieces.where("scope IS NOT NULL").count() == 80
+
+
+def test_rows_of_one_small_file_are_dealt_before_their_texts(spark):
+    assert frameworks._texts(spark, "/root/testdata/sf0.001", "p_name").rdd.getNumPartitions() > 1
