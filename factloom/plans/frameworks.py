@@ -98,13 +98,14 @@ UNION ALL SELECT id, 'api.security.declared', CASE WHEN l_suppkey % 4 > 1 THEN '
 d AS (SELECT id, field, state, CASE WHEN state = 'resolved' THEN v END AS value, candidates, authority, evidence, reason FROM y)"""
 
 
-def _decided(spark, d):
+def _decided(spark, d, dealt=False):
     kinds = "array(" + ", ".join(f"'{k}'" for k in _KINDS) + ")"
     rows = spark.sql(_RESULTS.format(at=f"get({kinds}, CAST(l_partkey % 6 AS INT))", t="{lines}"), lines=table(spark, d, "lineitem"))
     rows = rows.selectExpr("*", "CAST(NULL AS STRING) AS response", "CAST(NULL AS STRING) AS response_cause", "CAST(NULL AS STRING) AS error", "'cut' AS error_cause",
                            "IF(kind = 'ambiguous', array(named_struct('operation_id', 'a' || l_partkey, 'path', '/q'), named_struct('operation_id', 'b', 'path', path), named_struct('operation_id', 'b', 'path', NULL)), NULL) AS candidates",
                            "CASE l_suppkey % 4 WHEN 3 THEN CAST(array() AS array<string>) WHEN 2 THEN array('bearer', 'key') END AS security", "IF(l_suppkey % 4 = 1, 'unreadable', NULL) AS security_cause")
-    return rows, decisions.decided(rows, "id", F.lit("/api"), F.col("project"))
+    # results are dealt by their id where decisions are joined by it: one row, not its seven decisions
+    return rows, decisions.decided(spread(rows, "id") if dealt else rows, "id", F.lit("/api"), F.col("project"))
 
 
 def _flat(made):
@@ -135,7 +136,7 @@ c AS (SELECT *, CASE WHEN lost AND ps IN ('absent', 'skipped') THEN ps WHEN lost
 SELECT id, field, coalesce(ns, state) AS state, CASE WHEN ns IS NULL THEN value WHEN ns = 'resolved' THEN 'root' END AS value, CASE WHEN ns IS NULL THEN candidates END AS candidates, CASE WHEN ns IS NULL THEN authority WHEN ns = 'conflict' THEN 'conflict' ELSE 'openapi' END AS authority,
 CASE WHEN ns IS NULL THEN evidence ELSE 'openapi:o1' END AS evidence, CASE WHEN ns IS NULL THEN reason ELSE nr END AS reason FROM c""")
 def context_decisions(spark, d):
-    rows, made = _decided(spark, d)
+    rows, made = _decided(spark, d, dealt=True)
     known = spark.sql(_KNOWN.format(r="{rows}"), rows=rows)
     twice = table(spark, d, "part").where("p_size % 4 = 0").selectExpr("'op' || p_partkey AS operation_id")
     root = F.struct(F.lit("resolved").alias("state"), F.lit("root").alias("value"), F.lit(None).cast("string").alias("reason"))

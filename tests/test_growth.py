@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import context, graph, ownership, routes
+from factloom.operators import context, decisions, graph, ownership, routes
 from factloom.plans import frameworks
 from factloom.sources import delimiters
 
@@ -74,3 +74,14 @@ def test_texts_of_one_partition_are_dealt_before_their_tokens(spark):
 
 def test_rows_of_one_small_file_are_dealt_before_their_texts(spark):
     assert frameworks._texts(spark, "/root/testdata/sf0.001", "p_name").rdd.getNumPartitions() > 1
+
+
+def test_decisions_are_not_dealt_by_their_values(spark):
+    made = frameworks._decided(spark, "/root/testdata/sf0.001", dealt=True)[1]
+    known = spark.createDataFrame([], "id string, security_state string, security_reason string, request_state string, request_reason string, response_state string, response_reason string, error_state string, error_reason string")
+    root = F.struct(F.lit("unknown").alias("state"), F.lit(None).cast("string").alias("value"), F.lit("r").alias("reason"))
+    got = decisions.with_context(made, "id", spark.createDataFrame([("op1",), ("GET",)], "operation_id string"), known, F.lit("o1"), root).where("id IS NOT NULL")
+    n = made.count()
+    assert got.count() == n and got.where("reason = 'duplicate-openapi-operation-id' AND field <> 'operation.identity'").isEmpty()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and not any("value#" in x and "LeftOuter" in x for x in plan.split("\n"))
