@@ -48,7 +48,7 @@ def built(features: DataFrame, modules: DataFrame, endpoints: DataFrame, results
 
     Endpoints count in order of controller and ordinal; of those with one operation id the first has it.  A document's route
     counts only for matched and adopted endpoints."""
-    picked = chosen_modules(features, modules)
+    picked = durable(chosen_modules(features, modules), broadcast=False)  # it is met three times
     rows = endpoints.join(picked.where("module IS NOT NULL").select("feature", "module"), ["feature", "module"])
     found = results.select("feature", "controller", "ordinal", "kind", F.col("operation_id").alias("_id"), F.col("verb").alias("_verb"), F.col("path").alias("_path"), F.col("reason").alias("_reason"), *UNRESOLVED)
     rows = rows.join(found, ["feature", "controller", "ordinal"], "left")
@@ -76,7 +76,7 @@ def built(features: DataFrame, modules: DataFrame, endpoints: DataFrame, results
         *((F.col("kept") & safe & F.col(c).isNotNull(), _warning(code, F.col("id"), F.col(c))) for c, code in UNRESOLVED.items()),
     ]
     raised = F.filter(F.array(*(F.when(when, w) for when, w in told)), lambda w: w.isNotNull())
-    rows = durable(rows.select("feature", "controller", "ordinal", "id", "to_verb", "to_path", "method", "body", "provenance", "kept", raised.alias("raised")))  # one pass, two outputs
+    rows = durable(rows.select("feature", "controller", "ordinal", "id", "to_verb", "to_path", "body", "provenance", "kept", raised.alias("raised")))  # one pass, two outputs
 
     operations = rows.where("kept").select(
         "feature", F.col("id").alias("operation_id"), F.col("to_verb").alias("verb"), F.col("to_path").alias("path"), path_params(F.regexp_replace("to_path", r"\([^/]*\)", "")).alias("path_params"),

@@ -10,7 +10,7 @@ from factloom.sources.extract import migrations as _migrations
 from factloom.sources.extract import schema_states as _schema_states
 from factloom.sources.protocols import graphql, protobuf
 from factloom.sources.python_routes import fastapi_routes
-from factloom.sources.tables import spread, table
+from factloom.sources.tables import durable, spread, table
 
 # --- contracts -------------------------------------------------------------------------------------------------------
 #: Orders are features, their lines endpoints of two controllers in two modules.
@@ -37,7 +37,9 @@ x AS (SELECT * FROM w UNION ALL SELECT feature, 'CONTRACT_NO_MODULE', NULL, NULL
 
 
 def _built(spark, d):
-    endpoints = spark.sql(_ENDPOINTS, lines=table(spark, d, "lineitem"))
+    # a line's four keys tell its endpoint, so lines are made distinct by them, before the endpoints' texts, and written once for all that follows
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    endpoints = spark.sql(_ENDPOINTS.replace("SELECT DISTINCT", "SELECT"), lines=durable(lines, broadcast=False))
     modules = endpoints.groupBy("feature", "module").agg(F.min("ordinal").alias("rank"))
     features = table(spark, d, "orders").selectExpr("o_orderkey AS feature", "CASE o_custkey % 4 WHEN 0 THEN 'm1' WHEN 1 THEN 'none' END AS wanted")
     results = spark.sql(_FOUND.replace("CAST(NULL AS VARCHAR(9))", "CAST(NULL AS STRING)"), endpoints=endpoints)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import context, decisions, graph, ownership, routes
-from factloom.plans import frameworks
+from factloom.plans import frameworks, structures
 from factloom.sources import delimiters
 
 
@@ -91,3 +91,8 @@ def test_cases_of_decisions_are_made_once(spark):
     rows, made = frameworks._decided(spark, "/root/testdata/sf0.001")
     assert made.count() == 7 * rows.count()
     assert made._jdf.queryExecution().optimizedPlan().toString().count("operation.identity") == 1
+
+
+def test_lines_of_contracts_are_made_distinct_once(spark):
+    read = structures._built(spark, "/root/testdata/sf0.001")[2]._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in "".join(x for x in read.split("\n") if "Aggregate" in x) and read.count("l_linenumber") <= 2
