@@ -18,7 +18,7 @@ _LEVELS = 16
 def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(node, dist) for every node that edges (src, dst) reach from seeds (node); seeds are at 0."""
     front = durable(seeds.select("node").distinct().withColumn("dist", F.lit(0).cast("long")))
-    edges = durable(edges.select("src", "dst").distinct())
+    edges = durable(edges.select("src", "dst"))  # repeated ones do no harm: a level is distinct
     seen, level = front, 0
     while most is None or level < most:
         front = durable(edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("dist", F.lit(level + 1).cast("long")))
@@ -37,7 +37,12 @@ def invalidated(edges: DataFrame, nodes: DataFrame, changed: DataFrame, everythi
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """Each edge (src, dst) once in either direction; repeated ones, and those given both ways, are one before they are turned."""
+    turned = F.coalesce(F.col("src") > F.col("dst"), F.col("src").isNull())
+    pairs = edges.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("b")).distinct()
+    way = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    both = F.when(F.col("a").eqNullSafe(F.col("b")), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+    return pairs.select(F.inline(both))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:

@@ -203,11 +203,17 @@ _FIRST = "SELECT 'supplier:' || min(l_suppkey) AS node, CAST(0 AS BIGINT) AS dis
 
 
 def _dependents(spark, d) -> DataFrame:
-    """Edges of every row of lineitem: a supplier to its part, the part to the supplier of the order's next line."""
+    """Edges of every row of lineitem, each once: a supplier to its part, the part to the supplier of the order's next line."""
+    return _dependencies(spark, d).distinct()
+
+
+def _dependencies(spark, d) -> DataFrame:
+    """The edges of _dependents from one pass over the lines, repeated ones too."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
     lines = table(spark, d, "lineitem").withColumn("next_supp", F.lead("l_suppkey").over(order))
     supplier, part, following = (F.concat(F.lit(kind), F.col(c).cast("string")) for kind, c in (("supplier:", "l_suppkey"), ("part:", "l_partkey"), ("supplier:", "next_supp")))
-    return lines.select(supplier.alias("src"), part.alias("dst")).unionByName(lines.where("next_supp IS NOT NULL").select(part.alias("src"), following.alias("dst"))).distinct()
+    edge = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"))
+    return lines.select(F.inline(F.when(F.col("next_supp").isNull(), F.array(edge(supplier, part))).otherwise(F.array(edge(supplier, part), edge(part, following)))))
 
 
 def _first_supplier(spark, d) -> DataFrame:
@@ -233,14 +239,14 @@ def invalidation_closure(spark, d):
 @_proof(f"""WITH {_DEPENDENTS}, b AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d), s AS (SELECT node FROM ({_FIRST})), one AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM s) AND dst NOT IN (FROM s)),
 two AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM one) AND dst NOT IN (FROM one) AND dst NOT IN (FROM s)) SELECT * FROM (SELECT CAST(0 AS BIGINT) AS ring, count(*) AS nodes FROM s UNION ALL SELECT 1, count(*) FROM one UNION ALL SELECT 2, count(*) FROM two) WHERE nodes > 0""")
 def bfs_rings(spark, d):
-    return graph.hops(graph.undirected(_dependents(spark, d)), _first_supplier(spark, d), 2).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
+    return graph.hops(graph.undirected(_dependencies(spark, d)), _first_supplier(spark, d), 2).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
 
 
 @_proof(f"""WITH RECURSIVE {_DEPENDENTS}, b AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d), r(node, dist) USING KEY (node) AS ({_FIRST}
   UNION SELECT b.dst, min(r.dist) + 1 FROM r JOIN b ON b.src = r.node WHERE b.dst NOT IN (SELECT node FROM recurring.r) GROUP BY 1)
 SELECT dist AS ring, count(*) AS nodes FROM r GROUP BY 1""")
 def dependency_rings(spark, d):
-    return graph.hops(graph.undirected(_dependents(spark, d)), _first_supplier(spark, d)).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
+    return graph.hops(graph.undirected(_dependencies(spark, d)), _first_supplier(spark, d)).groupBy(F.col("dist").alias("ring")).agg(F.count("*").alias("nodes"))
 
 
 @_proof("""SELECT s_suppkey, s_nationkey AS k, CASE count(c_custkey) WHEN 0 THEN 'missing' WHEN 1 THEN 'bound' ELSE 'ambiguous' END AS status

@@ -96,3 +96,11 @@ def test_cases_of_decisions_are_made_once(spark):
 def test_lines_of_contracts_are_made_distinct_once(spark):
     read = structures._built(spark, "/root/testdata/sf0.001")[2]._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in "".join(x for x in read.split("\n") if "Aggregate" in x) and read.count("l_linenumber") <= 2
+
+
+def test_edges_both_ways_are_one_before_they_are_turned(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), (None, "a"), ("a", None)], "src string, dst string")
+    got = graph.undirected(edges)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [("a", "b"), ("b", "a"), ("c", "c"), (None, "a"), ("a", None)]))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
