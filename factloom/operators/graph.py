@@ -136,7 +136,8 @@ def alias_targets(aliases: DataFrame) -> DataFrame:
     way = durable(aliases.select("name", F.col("next").alias("at")), broadcast=False)
     known = way.select(F.col("name").alias("at"), F.lit(True).alias("_more")).distinct()
     names, reach = way.count(), 1
-    while reach <= names:  # after as many doublings every chain has ended but the endless ones
+    # after as many doublings every chain has ended but the endless ones; most are short, and all have ended long before
+    while reach <= names and not way.join(known, "at", "left_semi").isEmpty():
         way = durable(way.join(way.select(F.col("name").alias("at"), F.col("at").alias("far")), "at", "left").select("name", F.coalesce("far", "at").alias("at")), broadcast=False)
         reach *= 2
     return way.join(known, "at", "left").select("name", F.when(F.col("_more").isNull(), F.col("at")).alias("target"))

@@ -47,21 +47,33 @@ def groups(texts: DataFrame, keys: list[str], code: Column, header: str, opening
     header pattern says; at is the delimiter's offset.  Items are parted at the top level only and trimmed, empty ones are left
     out unless they are wanted (then a group without items has one); a group that is not closed before the next one that counts
     begins has none, and other groups inside it are part of its text."""
+    return groups_of(texts, keys, code, {"": header}, opening, closing, parting, empty).drop("kind")
+
+
+def groups_of(texts: DataFrame, keys: list[str], code: Column, headers: dict[str, str], opening: str = "(", closing: str = ")", parting: str = ",", empty: bool = False) -> DataFrame:
+    """groups for each kind of header, with the kind: the texts are cut into tokens once for all of them."""
     rows = delimiters(texts, keys, code, opening, closing, parting)
     along = Window.partitionBy(*keys).orderBy("pos")
-    head = F.regexp_extract(F.lag("token").over(along), rf"(?is)({header})\z", 1)
-    rows = rows.withColumn("head", F.when((F.col("token") == opening) & (head != ""), head))
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_open", F.max(F.when(F.col("head").isNotNull(), F.struct("pos", "at", "depth", "head"))).over(upto)).where("_open IS NOT NULL")
-    inside = Window.partitionBy(*keys, "_open.pos").orderBy("pos")
-    own = Window.partitionBy(*keys, "_open.pos")
+    rows = rows.withColumn("_before", F.when(F.col("token") == opening, F.lag("token").over(along)))
+    head = lambda header: F.regexp_extract("_before", rf"(?is)({header})\z", 1)
+    places = [(kind, f"_o{i}", f"_s{i}") for i, kind in enumerate(headers)]
+    rows = rows.withColumns({o: F.max(F.when(head(headers[kind]) != "", F.struct("pos", "at", "depth", head(headers[kind]).alias("head")))).over(upto) for kind, o, _ in places})
+    # where the last group was closed; what comes after it belongs to none, and is left out before groups are put in order
+    closes = lambda o: (F.col("token") == closing) & (F.col("depth") == F.col(f"{o}.depth") + 1)
+    rows = rows.withColumns({s: F.max(F.when(closes(o), F.col("pos"))).over(along.rowsBetween(Window.unboundedPreceding, -1)) for _, o, s in places})
+    around = [F.when(F.col(o).isNotNull() & (F.coalesce(F.col(s), F.lit(-1)) < F.col(f"{o}.pos")), F.struct(F.lit(kind).alias("kind"), F.col(o).alias("_open"))) for kind, o, s in places]
+    rows = rows.select(*keys, "pos", "token", "depth", F.array(*around).alias("_around")).select(*keys, "pos", "token", "depth", F.explode("_around").alias("_g")).where("_g IS NOT NULL")
+    rows = rows.select(*keys, "pos", "token", "depth", "_g.kind", "_g._open")
+    inside = Window.partitionBy(*keys, "kind", "_open.pos").orderBy("pos")
+    own = Window.partitionBy(*keys, "kind", "_open.pos")
     over = (F.col("token") == closing) & (F.col("depth") == F.col("_open.depth") + 1)
     rows = rows.withColumn("_end", F.min(F.when(over, F.col("pos"))).over(own)).where(F.col("pos") < F.col("_end"))
     rows = rows.withColumn("token", F.when(F.col("pos") > F.col("_open.pos"), F.col("token")).otherwise(""))
     part = F.col("token").isin(list(parting)) & (F.col("depth") == F.col("_open.depth") + 1)
     rows = rows.withColumn("item", F.count_if(part).over(inside.rowsBetween(Window.unboundedPreceding, 0))).where(~part)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")
-    out = rows.groupBy(*keys, F.col("_open.at").alias("at"), F.col("_open.head").alias("head"), "item").agg(F.regexp_replace(joined, r"^\s+|\s+\z", "").alias("text"))
+    out = rows.groupBy("kind", *keys, F.col("_open.at").alias("at"), F.col("_open.head").alias("head"), "item").agg(F.regexp_replace(joined, r"^\s+|\s+\z", "").alias("text"))
     return out if empty else out.where("text <> ''")
 
 
@@ -84,9 +96,14 @@ def unshielded(text: Column) -> Column:
 
 def calls(texts: DataFrame, keys: list[str], code: Column, header: str) -> DataFrame:
     """(keys, at, head, args): the calls whose name ends as the header says, with their arguments in order."""
-    items = groups(texts, keys, code, header, empty=True)
+    return calls_of(texts, keys, code, {"": header}).drop("kind")
+
+
+def calls_of(texts: DataFrame, keys: list[str], code: Column, headers: dict[str, str]) -> DataFrame:
+    """calls for each kind of header, with the kind, from one pass over the texts."""
+    items = groups_of(texts, keys, code, headers, empty=True)
     listed = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("item", "text"))), lambda x: x["text"]), lambda t: t != "")
-    return items.groupBy(*keys, "at", "head").agg(listed.alias("args"))
+    return items.groupBy("kind", *keys, "at", "head").agg(listed.alias("args"))
 
 
 #: Comments and strings of any of the languages: a quote that begins three ends with three, other strings end at their quote.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import alias_targets, mounted_routes
-from factloom.sources.delimiters import calls, shielded, unshielded
+from factloom.sources.delimiters import calls_of, shielded, unshielded
 from factloom.sources.tables import durable
 
 _ROUTER = r"(?:\A|\n)[ \t]*(\w+)[ \t]*(?::[^=\n]+)?=[ \t]*(?:\w+\.)?(APIRouter|FastAPI)\s*"
@@ -74,14 +74,15 @@ def fastapi_routes(files: DataFrame, repo: str, path: str, text: str) -> tuple[D
     a path that occurs twice the least text counts; null texts hold nothing."""
     rows = files.where(F.col(path).rlike(r"\.py$")).groupBy(F.col(repo).alias("repo"), F.col(path).alias("file")).agg(F.min(text).alias("text"))
     package = F.when(F.col("file").rlike(r"(^|/)__init__\.py$"), module_name(F.col("file"))).otherwise(F.regexp_replace(module_name(F.col("file")), r"\.?[^.]*$", ""))
-    code = durable(rows.select("repo", module_name(F.col("file")).alias("module"), package.alias("package"), shielded(F.col("text"), "hash").alias("code")))
+    code = durable(rows.select("repo", module_name(F.col("file")).alias("module"), package.alias("package"), shielded(F.col("text"), "hash").alias("code")), broadcast=False)
     keys, head = ["repo", "module"], lambda pattern, n: F.regexp_extract("head", rf"(?is){pattern}", n)
-    own = lambda pattern: calls(code, keys, F.col("code"), pattern)
+    called = durable(calls_of(code, keys, F.col("code"), {"router": _ROUTER, "mount": _MOUNT, "verb": _VERB, "def": _DEF}), broadcast=False)
+    own = lambda kind: called.where(F.col("kind") == kind)
 
     prefix = lambda: F.when(_keyword("prefix").isNull(), "").otherwise(_literal(_keyword("prefix")))
-    made = own(_ROUTER).select(*keys, "at", head(_ROUTER, 1).alias("var"), prefix().alias("prefix"))
+    made = own("router").select(*keys, "at", head(_ROUTER, 1).alias("var"), prefix().alias("prefix"))
     routers = made.groupBy(*keys, "var").agg(F.count("*").alias("n"), F.min("prefix").alias("prefix"), F.min("at").alias("at"))
-    routers = durable(routers.withColumn("node", F.concat_ws("|", "repo", _key(F.col("module"), F.col("var")))))
+    routers = durable(routers.withColumn("node", F.concat_ws("|", "repo", _key(F.col("module"), F.col("var")))), broadcast=False)
 
     used = imports(code)
     modules = code.select("repo", "module").distinct()
@@ -92,20 +93,20 @@ def fastapi_routes(files: DataFrame, repo: str, path: str, text: str) -> tuple[D
     sub_ = used.where("name IS NOT NULL").select("repo", "module", "local", F.concat_ws(".", "source", "name").alias("source"))
     as_module = sub_.unionByName(used.where("name IS NULL").select("repo", "module", "local", "source")).join(modules.withColumnRenamed("module", "source"), ["repo", "source"], "left_semi")
 
-    mounts = own(_MOUNT).select(*keys, "at", head(_MOUNT, 1).alias("var"), _first("router").alias("child"), prefix().alias("path"))
+    mounts = own("mount").select(*keys, "at", head(_MOUNT, 1).alias("var"), _first("router").alias("child"), prefix().alias("path"))
     outer, last = F.regexp_extract("child", r"^([\w.]+)\.\w+$", 1), F.regexp_extract("child", r"^(?:[\w.]+\.)?(\w+)$", 1)
     mounts = mounts.withColumns({"local": outer, "last": last}).join(as_module.groupBy("repo", "module", "local").agg(F.min("source").alias("source"), F.count("*").alias("n")).where("n = 1"), ["repo", "module", "local"], "left")
     meant = F.when((F.col("local") == "") & (F.col("last") != ""), _key(F.col("module"), F.col("last"))).when(F.col("source").isNotNull(), _key(F.col("source"), F.col("last")))
     mounts = mounts.withColumn("meant", F.when(meant.isNotNull(), F.concat_ws("|", "repo", meant)))
     ends = alias_targets(aliases).select(F.col("name").alias("meant"), "target", F.lit(True).alias("_alias"))
-    mounts = durable(mounts.join(ends, "meant", "left").withColumn("node", F.concat_ws("|", "repo", _key(F.col("module"), F.col("var")))).withColumn("child", F.when(F.col("_alias"), F.col("target")).otherwise(F.col("meant"))))
+    mounts = durable(mounts.join(ends, "meant", "left").withColumn("node", F.concat_ws("|", "repo", _key(F.col("module"), F.col("var")))).withColumn("child", F.when(F.col("_alias"), F.col("target")).otherwise(F.col("meant"))), broadcast=False)
 
-    verbs = own(_VERB).select(*keys, "at", head(_VERB, 1).alias("var"), F.upper(head(_VERB, 2)).alias("verb"), _first("path").alias("arg"))
-    defs = own(_DEF).select(*keys, "at", head(_DEF, 1).alias("function"))
+    verbs = own("verb").select(*keys, "at", head(_VERB, 1).alias("var"), F.upper(head(_VERB, 2)).alias("verb"), _first("path").alias("arg"))
+    defs = own("def").select(*keys, "at", head(_DEF, 1).alias("function"))
     events = verbs.unionByName(defs, allowMissingColumns=True)
     after = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     routes = events.withColumn("function", F.first("function", ignorenulls=True).over(after)).where("verb IS NOT NULL")
-    routes = durable(routes.withColumns({"path": _literal(F.col("arg")), "node": F.concat_ws("|", "repo", _key(F.col("module"), F.col("var")))}))
+    routes = durable(routes.withColumns({"path": _literal(F.col("arg")), "node": F.concat_ws("|", "repo", _key(F.col("module"), F.col("var")))}), broadcast=False)
 
     nodes = routers.select("node", F.col("module").alias("file"), F.col("prefix").alias("base"), ((F.col("n") == 1) & F.col("prefix").isNotNull()).alias("literal"))
     lines = mounts.select("node", "at", F.coalesce("path", F.lit("")).alias("path"), F.when(F.col("path").isNotNull(), F.col("child")).alias("child"))

@@ -104,3 +104,20 @@ def test_edges_both_ways_are_one_before_they_are_turned(spark):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [("a", "b"), ("b", "a"), ("c", "c"), (None, "a"), ("a", None)]))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_short_aliases_end_their_doubling(spark, monkeypatch):
+    written, write = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, **k: written.append(1) or write(df, **k))
+    chains = spark.range(64).selectExpr("'a' || id AS name", "'b' || id AS next")
+    assert graph.alias_targets(chains).where("target = 'b' || substr(name, 2)").count() == 64 and len(written) == 1
+
+
+def test_calls_of_several_kinds_come_from_one_pass(spark):
+    texts = spark.createDataFrame([(1, "f(a, g(b), (c)) h(x f(y)"), (2, "g(1) f(")], "id long, t string")
+    kinds_ = {"f": r"\bf", "g": r"\bg", "h": r"\bh"}
+    got = delimiters.calls_of(texts, ["id"], F.col("t"), kinds_)
+    one = [(kind, *map(str, r)) for kind, header in kinds_.items() for r in delimiters.calls(texts, ["id"], F.col("t"), header).select("id", "at", "head", "args").collect()]
+    assert sorted((r["kind"], *map(str, (r["id"], r["at"], r["head"], r["args"]))) for r in got.collect()) == sorted(one)
+    assert {(x[0], x[1], x[4]) for x in one} == {("f", "1", "['a', 'g(b)', '(c)']"), ("f", "1", "['y']"), ("g", "1", "['b']"), ("g", "2", "['1']")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
