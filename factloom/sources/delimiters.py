@@ -1,11 +1,13 @@
 """Masks of comments and strings, and groups of balanced delimiters with their items, to any depth.
 
-Depth is a running sum over the delimiters of a text, as a window over a row for each of them; a text is the most that one
-task holds of it.
+Depth is a running sum over the delimiters of a text, as a window over a row for each of them; nested scopes are folded within
+the text's row. A text is the most that one task holds of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,22 +122,59 @@ def code_text(text: Column, strings: bool) -> Column:
     return F.array_join(F.zip_with(F.split(text, pattern, -1), held, lambda piece, t: F.concat(piece, F.coalesce(t, F.lit("")))), "")
 
 
+#: Tokens that are folded at a time: a step copies what its stretch has found, not what the text has.
+_STRETCH = 500
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is made once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def nested(texts: DataFrame, code: Column, about: str = "pos:int", own: Callable[..., Column] = lambda head, around, pos, depth: F.struct(pos.alias("pos")), opening: str = "{", closing: str = "}", parting: str = ";") -> DataFrame:
+    """texts with events and unclosed.  events: of each scope's opening delimiter and of each piece between delimiters, in order, pos,
+    at, text (trimmed; before an opening delimiter that of its head), depth, opens, parent (pos of the scope around) and scope: the
+    scope that is opened or the one around a piece, a struct as about says, pos among it, which own(head, scope around, pos, depth) gives.
+    unclosed: the pos of the scopes left open, by depth.  A text is folded in its row: no token becomes one."""
+    trimmed = lambda c: F.trim(c, F.lit(" \t\n\x0b\f\r"))
+    scope = f"struct<{about}>"
+    found = f"array<struct<pos:int,at:bigint,text:string,depth:int,opens:boolean,parent:int,scope:{scope}>>"
+    special = "".join(f"\\{c}" for c in opening + closing + parting)
+
+    def state(pos: Column, at: Column, last: Column, inside: Column, out: Column) -> Column:
+        return F.struct(pos.alias("pos"), at.alias("at"), last.alias("last"), inside.alias("inside"), out.alias("out"))
+
+    def step(s: Column, token: Column) -> Column:
+        around, depth, head = F.try_element_at(s["inside"], F.lit(-1)), F.size(s["inside"]), trimmed(s["last"])
+        then = lambda inside, out: state(s["pos"] + 1, s["at"] + F.length(token), token, inside, out)
+        seen = lambda text, opens, scope: F.array_append(s["out"], F.struct(
+            s["pos"].alias("pos"), s["at"].alias("at"), text.alias("text"), depth.alias("depth"), F.lit(opens).alias("opens"), around["pos"].alias("parent"), scope.alias("scope")))
+        opened = let(own(head, around, s["pos"], depth), lambda me: then(F.array_append(s["inside"], me), seen(head, True, me)))
+        closed = then(F.slice(s["inside"], F.lit(1), F.greatest(depth - 1, F.lit(0))), s["out"])
+        piece = ~token.isin(list(parting)) & token.rlike(r"\S")
+        return F.when(token == opening, opened).when(token == closing, closed).when(piece, then(s["inside"], seen(trimmed(token), False, around))).otherwise(then(s["inside"], s["out"]))
+
+    def stretch(s: Column, tokens: Column) -> Column:
+        part = F.aggregate(tokens, state(s["pos"], s["at"], s["last"], s["inside"], F.array().cast(found)), step)
+        return let(part, lambda x: state(x["pos"], x["at"], x["last"], x["inside"], F.array_append(s["out"], x["out"])))
+
+    rows = texts.withColumn("_tokens", F.regexp_extract_all(code, F.lit(f"([{special}]|[^{special}]+)"), F.lit(1)))
+    stretches = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_tokens") - 1, F.lit(0)), F.lit(_STRETCH)), lambda i: F.slice("_tokens", i + 1, F.lit(_STRETCH)))
+    start = state(F.lit(0), F.lit(0).cast("long"), F.lit(""), F.array().cast(f"array<{scope}>"), F.array().cast(f"array<{found}>"))
+    folded = F.aggregate(stretches, start, stretch, lambda s: F.struct(F.flatten(s["out"]).alias("events"), F.transform(s["inside"], lambda x: x["pos"]).alias("unclosed")))
+    return rows.withColumn("_folded", folded).select(*texts.columns, "_folded.events", "_folded.unclosed")
+
+
+def left_open(pos: Column, depth: Column) -> Column:
+    """Whether the scope at pos and depth is one of the unclosed."""
+    return F.coalesce(F.get("unclosed", depth) == pos, F.lit(False))
+
+
 def scopes(texts: DataFrame, keys: list[str], code: Column, opening: str = "{", closing: str = "}", parting: str = ";") -> tuple[DataFrame, DataFrame]:
     """(opens, pieces) of nested scopes, to any depth.  opens: keys, pos, at, head (the text before the opening delimiter, trimmed),
     depth, parent (the pos of the scope around it; null outside all) and closed.  pieces: keys, pos, at, text (trimmed, not empty)
     and scope (likewise) of what stands between delimiters.  A closing delimiter with nothing open counts for nothing."""
-    rows = delimiters(texts, keys, code, opening, closing, parting)
-    rows = rows.withColumn("head", F.when(F.col("token") == opening, F.regexp_replace(F.coalesce(F.lag("token").over(Window.partitionBy(*keys).orderBy("pos")), F.lit("")), r"^\s+|\s+\z", "")))
-    member = F.struct(F.col("depth").alias("_level"), F.lit(None).cast("int").alias("_open"))
-    opener = F.struct((F.col("depth") + 1).alias("_level"), F.col("pos").alias("_open"))
-    # at each level the last scope that was opened before is the one around; a member comes before the scope it opens
-    last = Window.partitionBy(*keys, "_level").orderBy("pos", F.col("_open").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    both = rows.select("*", F.inline(F.when(F.col("token") == opening, F.array(member, opener)).otherwise(F.array(member))))
-    placed = both.withColumn("scope", F.when(F.col("_level") > 0, F.last("_open", ignorenulls=True).over(last))).where("_open IS NULL")
-    placed = durable(placed.select(*keys, "pos", "at", "token", "head", "depth", "scope"), broadcast=False)  # one pass, three outputs
-    special = [opening, closing, *parting]
-    text = F.regexp_replace("token", r"^\s+|\s+\z", "")
-    pieces = placed.where(~F.col("token").isin(special)).select(*keys, "pos", "at", text.alias("text"), "scope").where("text <> ''")
-    ends = placed.where(F.col("token") == closing).select(*keys, F.col("scope").alias("pos"), F.lit(True).alias("closed")).where("pos IS NOT NULL").distinct()
-    opens = placed.where(F.col("token") == opening).select(*keys, "pos", "at", "head", "depth", F.col("scope").alias("parent"))
-    return opens.join(ends, [*keys, "pos"], "left").withColumn("closed", F.coalesce("closed", F.lit(False))), pieces
+    rows = nested(spread(texts.select(*keys, code.alias("_code")), *keys), F.col("_code"), opening=opening, closing=closing, parting=parting)
+    rows = durable(rows.drop("_code"), broadcast=False).select(*keys, "unclosed", F.inline("events"))  # one pass, two outputs
+    opens = rows.where("opens").select(*keys, "pos", "at", F.col("text").alias("head"), "depth", "parent", (~left_open(F.col("pos"), F.col("depth"))).alias("closed"))
+    return opens, rows.where("NOT opens").select(*keys, "pos", "at", "text", F.col("parent").alias("scope"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources.delimiters import masked, scopes, shielded
-from factloom.sources.tables import durable
+from factloom.sources.delimiters import left_open, let, masked, nested, scopes, shielded
+from factloom.sources.tables import durable, spread
 
 _DECLARED = r"\b(service|message|enum|oneof|extend)\s+([A-Za-z_][\w.]*)\s*\z"
 _RPC = r"\brpc\s+([A-Za-z_]\w*)\s*\(\s*(stream\s+)?([A-Za-z_.][\w.]*)\s*\)\s*returns\s*\(\s*(stream\s+)?([A-Za-z_.][\w.]*)\s*\)"
@@ -18,20 +16,26 @@ _VALUE = r"^([A-Za-z_]\w*)\s*=\s*(-?\d+)\b"
 
 def _keyed(files: DataFrame, key: str, text: str, code: Column) -> DataFrame:
     """One row a file with its code; of a file that occurs twice the least text counts."""
-    return durable(files.groupBy(F.col(key).alias("file")).agg(F.min(text).alias("text")).where("text IS NOT NULL").select("file", "text", code.alias("code")), broadcast=False)
+    dealt = spread(files.select(F.col(key).alias("file"), F.col(text).alias("text")), "file")
+    return dealt.groupBy("file").agg(F.min("text").alias("text")).where("text IS NOT NULL").select("file", "text", code.alias("code"))
+
+
+_ABOUT = "pos:int,depth:int,kind:string,name:string,full:string,owner:int,owner_kind:string,owner_depth:int"
+
 
+def _declared(head: Column, around: Column, pos: Column, depth: Column) -> Column:
+    """What a scope tells: kind, name, full, the names of the scopes around and its own, joined by points, and owner, the nearest scope
+    from it outwards that is no oneof; scopes without a name leave no trace in it."""
+    part = lambda n: F.nullif(F.regexp_extract(head, _DECLARED, n), F.lit(""))
 
-def named_scopes(opens: DataFrame) -> DataFrame:
-    """opens (file, pos, kind, name, parent) with full, the names of the scopes around and its own, joined by points, and owner, the
-    nearest scope from it outwards that is no oneof; scopes without a name leave no trace in it."""
-    left = durable(opens, broadcast=False)
-    done = [durable(left.where("parent IS NULL").select("file", "pos", F.col("name").alias("full"), F.col("pos").alias("owner")), broadcast=False)]
-    while not done[-1].isEmpty():
-        up = done[-1].select("file", F.col("pos").alias("parent"), F.col("full").alias("_up"), F.col("owner").alias("_owner"))
-        own = F.col("kind") == "oneof"
-        step = left.join(up, ["file", "parent"]).select("file", "pos", F.when(own | F.col("name").isNull(), F.col("_up")).otherwise(F.concat_ws(".", "_up", "name")).alias("full"), F.when(own | F.col("name").isNull(), F.col("_owner")).otherwise(F.col("pos")).alias("owner"))
-        done.append(durable(step, broadcast=False))
-    return left.join(reduce(DataFrame.unionByName, done), ["file", "pos"])
+    def told(own: Column) -> Column:
+        kind, name = own["kind"], own["name"]
+        passed = around.isNotNull() & ((kind == "oneof") | name.isNull())
+        mine = lambda theirs, c: F.when(passed, around[theirs]).otherwise(c).alias(theirs)
+        full = F.when(around["full"].isNull(), name).otherwise(F.concat_ws(".", around["full"], name))
+        return F.struct(pos.alias("pos"), depth.alias("depth"), kind.alias("kind"), name.alias("name"), mine("full", full), mine("owner", pos), mine("owner_kind", kind), mine("owner_depth", depth))
+
+    return let(F.struct(part(1).alias("kind"), part(2).alias("name")), told)
 
 
 def protobuf(files: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
@@ -41,35 +45,35 @@ def protobuf(files: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
 
     Comments and strings hold no declarations.  Declarations inside others are given by their full names, with the warning that a
     plain reading leaves them out; a block that is not closed has a warning and no contents; a null text is no file."""
-    source = _keyed(files, key, text, masked(F.col("text"), "c"))
-    opens, pieces = scopes(source, ["file"], F.col("code"))
-    head = lambda n: F.nullif(F.regexp_extract("head", _DECLARED, n), F.lit(""))
-    known = named_scopes(opens.select("file", "pos", "head", "depth", "parent", "closed", head(1).alias("kind"), head(2).alias("name")))
-    known = durable(known, broadcast=False)
-    at = known.select("file", F.col("pos").alias("scope"), F.col("kind").alias("in"), F.col("full").alias("inside"), "owner", F.col("name").alias("scope_name"), F.col("closed").alias("whole"))
-    lines = durable(pieces.select("file", "text", "scope").join(at, ["file", "scope"]), broadcast=False)
+    read = lambda pattern: F.nullif(F.regexp_extract(shielded(F.col("text"), "c"), pattern, 1), F.lit(""))
+    source = nested(_keyed(files, key, text, masked(F.col("text"), "c")), F.col("code"), _ABOUT, _declared)
+    source = source.select("file", read(r"\bsyntax\s*=\s*[\"'](proto2|proto3)[\"']\s*;").alias("syntax"), read(r"\bpackage\s+([A-Za-z_][\w.]*)\s*;").alias("package"), "events", "unclosed")
+    source = durable(source, broadcast=False)  # one pass, all outputs
+    whole = lambda e: ~left_open(e["scope"]["pos"], e["scope"]["depth"])
+    each = source.select("file", "unclosed", F.explode("events").alias("e"))
+    known = each.where("e.opens").select("file", "e.scope.*", whole(F.col("e")).alias("closed"))
+    lines = each.where("NOT e.opens AND e.scope IS NOT NULL").where(whole(F.col("e"))).select("file", "unclosed", F.col("e.text").alias("text"), "e.scope")
     part = lambda pattern, n: F.nullif(F.regexp_extract("text", pattern, n), F.lit(""))
-    message = known.where("kind = 'message'").select("file", F.col("pos").alias("owner"), F.col("full").alias("message"), F.col("closed").alias("held"))
-    fields = lines.where(F.col("in").isin("message", "oneof") & F.col("text").rlike(_FIELD)).join(message, ["file", "owner"]).where("held AND whole")
-    fields = fields.select("file", "message", part(_FIELD, 3).alias("name"), F.regexp_replace(part(_FIELD, 2), r"\s+", "").alias("type"), part(_FIELD, 1).alias("label"), part(_FIELD, 4).cast("long").alias("number"), F.when(F.col("in") == "oneof", F.col("scope_name")).alias("oneof"))
-    values = lines.where((F.col("in") == "enum") & F.col("whole") & F.col("text").rlike(_VALUE)).select("file", F.col("inside").alias("enum"), part(_VALUE, 1).alias("name"), part(_VALUE, 2).cast("long").alias("number"))
-    methods = lines.where((F.col("in") == "service") & F.col("whole") & F.col("text").rlike(_RPC)).select(
-        "file", F.col("inside").alias("service"), part(_RPC, 1).alias("name"), part(_RPC, 3).alias("request_type"), part(_RPC, 5).alias("response_type"), part(_RPC, 2).isNotNull().alias("client_streaming"), part(_RPC, 4).isNotNull().alias("server_streaming"))
+    fields = lines.where("scope.kind IN ('message', 'oneof') AND scope.owner_kind = 'message'").where(F.col("text").rlike(_FIELD) & ~left_open(F.col("scope.owner"), F.col("scope.owner_depth")))
+    fields = fields.select("file", F.col("scope.full").alias("message"), part(_FIELD, 3).alias("name"), F.regexp_replace(part(_FIELD, 2), r"\s+", "").alias("type"), part(_FIELD, 1).alias("label"), part(_FIELD, 4).cast("long").alias("number"), F.when(F.col("scope.kind") == "oneof", F.col("scope.name")).alias("oneof"))
+    values = lines.where((F.col("scope.kind") == "enum") & F.col("text").rlike(_VALUE)).select("file", F.col("scope.full").alias("enum"), part(_VALUE, 1).alias("name"), part(_VALUE, 2).cast("long").alias("number"))
+    methods = lines.where((F.col("scope.kind") == "service") & F.col("text").rlike(_RPC)).select(
+        "file", F.col("scope.full").alias("service"), part(_RPC, 1).alias("name"), part(_RPC, 3).alias("request_type"), part(_RPC, 5).alias("response_type"), part(_RPC, 2).isNotNull().alias("client_streaming"), part(_RPC, 4).isNotNull().alias("server_streaming"))
     messages = known.where("kind = 'message' AND closed").select("file", F.col("full").alias("name"), F.col("depth").cast("long").alias("depth"))
-    services = known.where("kind = 'service' AND closed AND depth = 0").select("file", F.col("full").alias("name"))
-    read = lambda pattern: F.nullif(F.regexp_extract(shielded(F.col("text"), "c"), pattern, 1), F.lit(""))
-    count = lambda df, name: df.groupBy("file").agg(F.count("*").alias(name))
-    whole = source.select("file", read(r"\bsyntax\s*=\s*[\"'](proto2|proto3)[\"']\s*;").alias("syntax"), read(r"\bpackage\s+([A-Za-z_][\w.]*)\s*;").alias("package"))
-    for df, name in ((services, "services"), (methods.join(services.select("file", F.col("name").alias("service")), ["file", "service"], "left_semi"), "methods"), (messages, "messages")):
-        whole = whole.join(count(df, name), "file", "left").fillna(0, [name])
-    whole = whole.withColumn("status", F.when((F.col("services") + F.col("messages")) > 0, "partial").otherwise("blocked"))
+    held = lambda test: F.filter("events", lambda e: whole(e) & test(e))
+    services = held(lambda e: e["opens"] & (e["scope"]["kind"] == "service") & (e["depth"] == 0))
+    whole_files = source.withColumn("_names", F.transform(services, lambda e: e["scope"]["full"])).select(
+        "file", "syntax", "package", F.size("_names").cast("long").alias("services"),
+        F.size(held(lambda e: ~e["opens"] & (e["scope"]["kind"] == "service") & e["text"].rlike(_RPC) & F.array_contains("_names", e["scope"]["full"]))).cast("long").alias("methods"),
+        F.size(held(lambda e: e["opens"] & (e["scope"]["kind"] == "message"))).cast("long").alias("messages"))
+    whole_files = whole_files.withColumn("status", F.when((F.col("services") + F.col("messages")) > 0, "partial").otherwise("blocked"))
     declared = known.where(F.col("kind").isin("message", "service"))
     subject = F.concat_ws(" ", "kind", "name").alias("subject")
     warnings = declared.where("depth > 0").select("file", F.lit("PROTO_NESTED_DECLARATION_NOT_EXPANDED").alias("code"), subject).unionByName(
         declared.where("depth = 0 AND NOT closed").select("file", F.lit("PROTO_UNCLOSED_BLOCK").alias("code"), subject)).unionByName(
-        whole.where("syntax IS NULL").select("file", F.lit("PROTO_SYNTAX_UNRESOLVED").alias("code"), F.lit(None).cast("string").alias("subject"))).unionByName(
-        whole.where("status = 'blocked'").select("file", F.lit("PROTO_DECLARATIONS_NOT_FOUND").alias("code"), F.lit(None).cast("string").alias("subject")))
-    return {"files": whole, "messages": messages, "fields": fields, "values": values, "methods": methods, "warnings": warnings}
+        whole_files.where("syntax IS NULL").select("file", F.lit("PROTO_SYNTAX_UNRESOLVED").alias("code"), F.lit(None).cast("string").alias("subject"))).unionByName(
+        whole_files.where("status = 'blocked'").select("file", F.lit("PROTO_DECLARATIONS_NOT_FOUND").alias("code"), F.lit(None).cast("string").alias("subject")))
+    return {"files": whole_files, "messages": messages, "fields": fields, "values": values, "methods": methods, "warnings": warnings}
 
 
 _TYPE = r"(?:^|\s)(?:extend\s+)?(type|input|interface|enum)\s+([_A-Za-z]\w*)[^{}]*\z"
@@ -85,7 +89,7 @@ def graphql(files: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
 
     Descriptions, comments and strings hold no declarations; arguments are no fields.  Roots are those of the text's schema block, the
     usual names where it has none.  A type that is not closed has a warning and no fields; a null text is no file."""
-    source = _keyed(files, key, text, masked(F.col("text"), "hash"))
+    source = durable(_keyed(files, key, text, masked(F.col("text"), "hash")), broadcast=False)
     opens, pieces = scopes(source, ["file"], F.col("code"), parting="")
     opens = durable(opens.where("depth = 0"), broadcast=False)
     tokens = pieces.join(opens.select("file", F.col("pos").alias("scope")), ["file", "scope"])

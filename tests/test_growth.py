@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import context, decisions, graph, ownership, routes
 from factloom.plans import frameworks, structures
-from factloom.sources import delimiters
+from factloom.sources import delimiters, protocols
 
 
 def nodes(plan):
@@ -122,3 +122,28 @@ def test_calls_of_several_kinds_come_from_one_pass(spark):
     assert sorted((r["kind"], *map(str, (r["id"], r["at"], r["head"], r["args"]))) for r in got.collect()) == sorted(one)
     assert {(x[0], x[1], x[4]) for x in one} == {("f", "1", "['a', 'g(b)', '(c)']"), ("f", "1", "['y']"), ("g", "1", "['b']"), ("g", "2", "['1']")}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
+def in_their_rows(df):
+    """Whether texts are dealt and grouped by file alone: one sort, no window, no join, nothing shuffled after the texts."""
+    made = kinds(df)
+    return made.count("SortExec") <= 1 and made.count("ShuffleExchangeExec") <= 1 and not any("Window" in x or "Join" in x for x in made)
+
+
+def test_declarations_of_protobuf_are_found_in_their_texts_rows(spark, monkeypatch):
+    for module in (delimiters, protocols):
+        monkeypatch.setattr(module, "durable", lambda df, **k: df)
+    texts = spark.range(20).selectExpr("'f' || id AS path", "'message A { oneof o { int32 b = 1; } message C { int32 d = 2; } } service S { rpc Do (A) returns (A); }' AS text")
+    out = protocols.protobuf(texts, "path", "text")
+    assert [out[x].count() for x in ("fields", "methods", "warnings")] == [40, 20, 40]
+    assert all(in_their_rows(out[x]) for x in ("files", "messages", "fields", "values", "methods"))
+    assert not any("Window" in x or "Join" in x for x in kinds(out["warnings"]))
+
+
+def test_long_and_deep_texts_are_folded_whole(spark):
+    n = 4 * delimiters._STRETCH
+    texts = spark.createDataFrame([(1, "a{b;" * n + "}" * n), (2, "a{b;}" * n), (3, "}" * n + "{" * n)], "id long, t string")
+    opens, pieces = delimiters.scopes(texts, ["id"], F.col("t"))
+    deep = opens.where("id = 1 AND closed AND parent <=> IF(depth = 0, NULL, pos - 4) AND pos = 4 * depth + 1")
+    assert [deep.count(), opens.where("id = 2 AND closed AND parent IS NULL").count(), opens.where(f"id = 3 AND NOT closed AND depth = pos - {n}").count()] == [n, n, n]
+    assert [pieces.where("id = 1 AND text = 'b' AND scope = pos - 1").count(), pieces.where("id = 2 AND at % 5 IN (0, 2)").count(), pieces.where("id = 3").count()] == [n, 2 * n, 0]
