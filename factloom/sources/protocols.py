@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources.delimiters import left_open, let, masked, nested, scopes, shielded
+from factloom.sources.delimiters import left_open, let, masked, nested, shielded
 from factloom.sources.tables import durable, spread
 
 _DECLARED = r"\b(service|message|enum|oneof|extend)\s+([A-Za-z_][\w.]*)\s*\z"
@@ -89,24 +89,28 @@ def graphql(files: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
 
     Descriptions, comments and strings hold no declarations; arguments are no fields.  Roots are those of the text's schema block, the
     usual names where it has none.  A type that is not closed has a warning and no fields; a null text is no file."""
-    source = durable(_keyed(files, key, text, masked(F.col("text"), "hash")), broadcast=False)
-    opens, pieces = scopes(source, ["file"], F.col("code"), parting="")
-    opens = durable(opens.where("depth = 0"), broadcast=False)
-    tokens = pieces.join(opens.select("file", F.col("pos").alias("scope")), ["file", "scope"])
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    source = nested(_keyed(files, key, text, masked(F.col("text"), "hash")), F.col("code"), parting="")
+    # a scope outside all others and the pieces that stand in it itself, which follow it up to the next one
+    source = source.select("file", "unclosed", F.filter("events", lambda e: F.when(e["opens"], e["depth"] == 0).otherwise(e["depth"] == 1)).alias("kept"), F.filter("events", lambda e: ~e["opens"] & (e["depth"] == 0))["text"].alias("loose"))
+    source = source.withColumn("starts", F.filter(F.transform("kept", lambda e, i: F.when(e["opens"], i)), lambda i: i.isNotNull()))
+    body = lambda i, k: F.array_join(F.slice("kept", i + 2, F.coalesce(F.get("starts", k + 1), F.size("kept")) - i - 1)["text"], "\n")
+    own = lambda i, k: F.struct(F.get("kept", i)["text"].alias("head"), (~left_open(F.get("kept", i)["pos"], F.lit(0))).alias("closed"), body(i, k).alias("body"))
+    source = durable(source.select("file", F.transform("starts", own).alias("opens"), "loose"), broadcast=False)  # one pass, all outputs
     flat = lambda c: F.regexp_replace(c, r"\([^()]*\)", " ")
-    blocks = opens.join(tokens.groupBy("file", F.col("scope").alias("pos")).agg(body.alias("body")), ["file", "pos"], "left").where("closed")
-    blocks = blocks.withColumn("body", flat(flat(flat(F.coalesce("body", F.lit(""))))))
     part = lambda c, pattern, n: F.nullif(F.regexp_extract(c, pattern, n), F.lit(""))
-    entries = lambda df: df.withColumn("e", F.explode(F.regexp_extract_all("body", F.lit(f"({_ENTRY})"), F.lit(1))))
+    entries = lambda body: F.transform(F.regexp_extract_all(flat(flat(flat(body))), F.lit(f"({_ENTRY})"), F.lit(1)), lambda e: F.struct(part(e, _ENTRY, 1).alias("name"), part(e, _ENTRY, 2).alias("type")))
+    opens = source.select("file", F.inline("opens"))
     held = opens.select("file", "closed", part("head", _TYPE, 1).alias("kind"), part("head", _TYPE, 2).alias("name")).where("name IS NOT NULL")
-    loose = pieces.where("scope IS NULL").withColumn("s", F.explode(F.regexp_extract_all("text", F.lit(f"({_PLAIN})"), F.lit(1))))
-    types = held.select("file", "kind", "name").unionByName(loose.select("file", part("s", _PLAIN, 1).alias("kind"), part("s", _PLAIN, 2).alias("name")))
-    typed = blocks.withColumns({"kind": part("head", _TYPE, 1), "parent": part("head", _TYPE, 2)}).where("parent IS NOT NULL AND kind <> 'enum'")
-    fields = entries(typed).select("file", "parent", part("e", _ENTRY, 1).alias("name"), F.regexp_replace(part("e", _ENTRY, 2), r"\s+", "").alias("type"))
-    roots = entries(blocks.where(F.col("head").rlike(r"\bschema\b[^{}]*\z"))).select("file", part("e", _ENTRY, 2).alias("parent"), part("e", _ENTRY, 1).alias("kind")).where(F.col("kind").isin(list(ROOTS.values())))
-    usual = source.select("file").join(opens.where(F.col("head").rlike(r"\bschema\b[^{}]*\z")).select("file").distinct(), "file", "left_anti")
-    usual = usual.select("file", F.explode(F.create_map(*(F.lit(x) for pair in ROOTS.items() for x in pair))).alias("parent", "kind"))
-    operations = fields.join(roots.unionByName(usual).distinct(), ["file", "parent"]).select("file", "kind", "name", "type")
+    typed = F.transform("opens", lambda o: F.struct(part(o["head"], _TYPE, 1).alias("kind"), part(o["head"], _TYPE, 2).alias("name")))
+    loose = F.transform(F.flatten(F.transform("loose", lambda t: F.regexp_extract_all(t, F.lit(f"({_PLAIN})"), F.lit(1)))), lambda t: F.struct(part(t, _PLAIN, 1).alias("kind"), part(t, _PLAIN, 2).alias("name")))
+    types = source.select("file", F.inline(F.array_distinct(F.concat(F.filter(typed, lambda t: t["name"].isNotNull()), loose))))
+    schema = F.filter("opens", lambda o: o["head"].rlike(r"\bschema\b[^{}]*\z"))
+    told = F.flatten(F.transform(F.filter(schema, lambda o: o["closed"]), lambda o: entries(o["body"])))
+    roots = F.filter(F.transform(told, lambda e: F.struct(e["type"].alias("parent"), e["name"].alias("kind"))), lambda r: r["kind"].isin(list(ROOTS.values())))
+    usual = F.array(*(F.struct(F.lit(parent).alias("parent"), F.lit(kind).alias("kind")) for parent, kind in ROOTS.items()))
+    rooted = source.select("file", "opens", F.when(F.size(schema) > 0, F.array_distinct(roots)).otherwise(usual).alias("roots"))
+    fields = rooted.select("file", "roots", F.inline("opens")).where("closed").select("file", "roots", "body", part("head", _TYPE, 1).alias("kind"), part("head", _TYPE, 2).alias("parent")).where("parent IS NOT NULL AND kind <> 'enum'")
+    fields = fields.select("file", "roots", "parent", F.inline(entries(F.col("body")))).withColumn("type", F.regexp_replace("type", r"\s+", ""))
+    operations = fields.select("file", "name", "type", F.inline(F.filter("roots", lambda r: r["parent"] == F.col("parent")))).select("file", "kind", "name", "type")
     warnings = held.where("NOT closed").select("file", F.lit("GRAPHQL_UNCLOSED_TYPE").alias("code"), F.concat_ws(" ", "kind", "name").alias("subject"))
-    return {"types": types.distinct(), "fields": fields, "operations": operations, "warnings": warnings}
+    return {"types": types, "fields": fields.drop("roots"), "operations": operations, "warnings": warnings}

@@ -140,6 +140,15 @@ def test_declarations_of_protobuf_are_found_in_their_texts_rows(spark, monkeypat
     assert not any("Window" in x or "Join" in x for x in kinds(out["warnings"]))
 
 
+def test_declarations_of_graphql_are_found_in_their_texts_rows(spark, monkeypatch):
+    for module in (delimiters, protocols):
+        monkeypatch.setattr(module, "durable", lambda df, **k: df)
+    texts = spark.range(20).selectExpr("'g' || id AS path", "'schema { query: R } type R { a(x: I = {b: 1}): Int c: D } type R { d: R } scalar D scalar D type O {' AS text")
+    out = protocols.graphql(texts, "path", "text")
+    assert [out[x].count() for x in ("types", "fields", "operations", "warnings")] == [60, 60, 60, 20]
+    assert all(in_their_rows(df) for df in out.values())
+
+
 def test_long_and_deep_texts_are_folded_whole(spark):
     n = 4 * delimiters._STRETCH
     texts = spark.createDataFrame([(1, "a{b;" * n + "}" * n), (2, "a{b;}" * n), (3, "}" * n + "{" * n)], "id long, t string")
