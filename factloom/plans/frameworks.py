@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import decisions
 from factloom.plans.proofs import _proof
 from factloom.sources import frameworks
-from factloom.sources.tables import durable, spread, table
+from factloom.sources.tables import durable, spread, table, tasks_for
 
 _P = "regexp_replace(p_brand, '[^A-Za-z0-9]', '')"
 _DP = "regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')"
@@ -70,11 +70,12 @@ def rails_actions(spark, d):
 
 
 # --- decisions -------------------------------------------------------------------------------------------------------
-_RESULTS = """SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, {at} AS kind, CASE WHEN l_suppkey % 2 = 0 THEN 'verb' ELSE 'path' END AS drift, CASE WHEN l_suppkey % 5 > 0 THEN 'op' || l_partkey END AS operation_id, l_suppkey % 13 = 0 AS synthesized, 'GET' AS verb, '/api/x' || l_suppkey % 4 AS path,
+_ID = "l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey"
+_RESULTS = """SELECT {id} AS id, {at} AS kind, CASE WHEN l_suppkey % 2 = 0 THEN 'verb' ELSE 'path' END AS drift, CASE WHEN l_suppkey % 5 > 0 THEN 'op' || l_partkey END AS operation_id, l_suppkey % 13 = 0 AS synthesized, 'GET' AS verb, '/api/x' || l_suppkey % 4 AS path,
 'PUT' AS scan_verb, CASE l_suppkey % 3 WHEN 0 THEN '/api/x' WHEN 1 THEN '/x' ELSE '/y' END || l_suppkey % 4 AS scan_path, CASE WHEN l_suppkey % 7 = 0 THEN 'because' END AS cause, CASE WHEN l_linestatus = 'F' THEN 'schema' END AS request, CASE WHEN l_tax > 0.04 THEN 'too-big' END AS request_cause, l_discount > 0.05 AS project, l_suppkey, l_partkey,
-'s' || l_suppkey AS source_ref, CASE WHEN l_suppkey % 17 > 0 THEN 'o1' ELSE '' END AS openapi_ref FROM {t}"""
+'s' || l_suppkey AS source_ref, CASE WHEN l_suppkey % 17 > 0 THEN 'o1' ELSE '' END AS openapi_ref{also} FROM {t}"""
 _KINDS = ["matched", "adopted", "drift", "missing", "ambiguous", "unresolved"]
-_R = "r AS (" + _RESULTS.format(at="['matched', 'adopted', 'drift', 'missing', 'ambiguous', 'unresolved'][CAST(l_partkey % 6 + 1 AS INT)]", t="lineitem") + ")"
+_R = "r AS (" + _RESULTS.format(id=_ID, also="", at="['matched', 'adopted', 'drift', 'missing', 'ambiguous', 'unresolved'][CAST(l_partkey % 6 + 1 AS INT)]", t="lineitem") + ")"
 _LOST = "legacy-result-does-not-retain-none-vs-skipped-media-type"
 _ROOT = "root-security-inheritance-not-retained-by-legacy-result"
 _DECIDED = f"""{_R}, x AS (SELECT *, kind IN ('matched', 'adopted') AS safe, scan_path = path AS exact, scan_path = path OR '/api' || scan_path = path AS fits, kind = 'drift' AND drift = 'verb' AS vd, CASE WHEN NOT synthesized THEN operation_id END AS own, coalesce(cause, 'unresolved') AS why,
@@ -98,14 +99,23 @@ UNION ALL SELECT id, 'api.security.declared', CASE WHEN l_suppkey % 4 > 1 THEN '
 d AS (SELECT id, field, state, CASE WHEN state = 'resolved' THEN v END AS value, candidates, authority, evidence, reason FROM y)"""
 
 
-def _decided(spark, d, dealt=False):
+def _lines(spark, d):
+    # a result's columns are made of these few, after they are dealt
+    return table(spark, d, "lineitem").selectExpr(f"{_ID} AS id", "l_partkey", "l_suppkey", "l_linestatus", "l_tax", "l_discount")
+
+
+def _results(spark, lines, also=""):
     kinds = "array(" + ", ".join(f"'{k}'" for k in _KINDS) + ")"
-    rows = spark.sql(_RESULTS.format(at=f"get({kinds}, CAST(l_partkey % 6 AS INT))", t="{lines}"), lines=table(spark, d, "lineitem"))
-    rows = rows.selectExpr("*", "CAST(NULL AS STRING) AS response", "CAST(NULL AS STRING) AS response_cause", "CAST(NULL AS STRING) AS error", "'cut' AS error_cause",
+    rows = spark.sql(_RESULTS.format(id="id", also=also, at=f"get({kinds}, CAST(l_partkey % 6 AS INT))", t="{lines}"), lines=lines)
+    return rows.selectExpr("*", "CAST(NULL AS STRING) AS response", "CAST(NULL AS STRING) AS response_cause", "CAST(NULL AS STRING) AS error", "'cut' AS error_cause",
                            "IF(kind = 'ambiguous', array(named_struct('operation_id', 'a' || l_partkey, 'path', '/q'), named_struct('operation_id', 'b', 'path', path), named_struct('operation_id', 'b', 'path', NULL)), NULL) AS candidates",
                            "CASE l_suppkey % 4 WHEN 3 THEN CAST(array() AS array<string>) WHEN 2 THEN array('bearer', 'key') END AS security", "IF(l_suppkey % 4 = 1, 'unreadable', NULL) AS security_cause")
-    # results are dealt by their id where decisions are joined by it: one row, not its seven decisions
-    return rows, decisions.decided(spread(rows, "id") if dealt else rows, "id", F.lit("/api"), F.col("project"))
+
+
+def _decided(spark, d, dealt=False):
+    lines = _lines(spark, d)
+    rows = _results(spark, spread(lines, "id") if dealt else lines)
+    return rows, decisions.decided(rows, "id", F.lit("/api"), F.col("project"))
 
 
 def _flat(made):
@@ -122,11 +132,11 @@ def decision_counts(spark, d):
     return _decided(spark, d)[1].groupBy("state", "field").agg(F.count("*").alias("n"))
 
 
-_KNOWN = """SELECT DISTINCT id, CASE l_suppkey % 12 WHEN 0 THEN 'unknown' WHEN 4 THEN 'inherit' WHEN 3 THEN 'unknown' ELSE 'operation' END AS security_state, CASE WHEN l_suppkey % 3 = 0 THEN 'malformed-operation-security' END AS security_reason,
+_KNOWN = """SELECT {distinct}id, CASE l_suppkey % 12 WHEN 0 THEN 'unknown' WHEN 4 THEN 'inherit' WHEN 3 THEN 'unknown' ELSE 'operation' END AS security_state, CASE WHEN l_suppkey % 3 = 0 THEN 'malformed-operation-security' END AS security_reason,
 CASE l_suppkey % 5 WHEN 0 THEN 'absent' WHEN 1 THEN 'skipped' WHEN 2 THEN 'present' WHEN 3 THEN 'unknown' END AS request_state, CASE WHEN l_suppkey % 2 = 0 THEN 'request-why' END AS request_reason, 'absent' AS response_state, 'success-responses-absent' AS response_reason, 'present' AS error_state, NULL AS error_reason FROM {r} WHERE l_suppkey % 12 <> 8"""
 
 
-@_proof(f"""WITH {_DECIDED}, k AS ({_KNOWN.format(r="r")}), u AS (SELECT 'op' || p_partkey AS o FROM part WHERE p_size % 4 = 0),
+@_proof(f"""WITH {_DECIDED}, k AS ({_KNOWN.format(distinct="DISTINCT ", r="r")}), u AS (SELECT 'op' || p_partkey AS o FROM part WHERE p_size % 4 = 0),
 n AS (SELECT d.*, k.id IS NOT NULL AS there, security_state AS s, security_reason AS sr, CASE field WHEN 'api.request.schema' THEN request_state WHEN 'api.response.schema' THEN response_state WHEN 'api.error.schema' THEN error_state END AS ps, CASE field WHEN 'api.request.schema' THEN request_reason WHEN 'api.response.schema' THEN response_reason END AS pr,
   field = 'operation.identity' AND state = 'resolved' AND value IN (FROM u) AS clash, d.reason = '{_LOST}' AND k.id IS NOT NULL AS lost, d.reason = '{_ROOT}' AS o FROM d LEFT JOIN k USING (id)),
 m AS (SELECT *, field = 'api.security.declared' AND coalesce(s = 'unknown', false) AS bad FROM n),
@@ -136,11 +146,15 @@ c AS (SELECT *, CASE WHEN lost AND ps IN ('absent', 'skipped') THEN ps WHEN lost
 SELECT id, field, coalesce(ns, state) AS state, CASE WHEN ns IS NULL THEN value WHEN ns = 'resolved' THEN 'root' END AS value, CASE WHEN ns IS NULL THEN candidates END AS candidates, CASE WHEN ns IS NULL THEN authority WHEN ns = 'conflict' THEN 'conflict' ELSE 'openapi' END AS authority,
 CASE WHEN ns IS NULL THEN evidence ELSE 'openapi:o1' END AS evidence, CASE WHEN ns IS NULL THEN reason ELSE nr END AS reason FROM c""")
 def context_decisions(spark, d):
-    rows, made = _decided(spark, d, dealt=True)
-    known = spark.sql(_KNOWN.format(r="{rows}"), rows=rows)
+    lines = _lines(spark, d)
+    n = tasks_for(lines, 1 << 20)
+    # the narrow lines are dealt by id, once for their results and once for the operations: the first of a key is taken where it lies
+    known = spark.sql(_KNOWN.format(distinct="", r="{lines}"), lines=lines.select("id", "l_suppkey").repartition(n, "id"))
     twice = table(spark, d, "part").where("p_size % 4 = 0").selectExpr("'op' || p_partkey AS operation_id")
+    told = decisions.attached(lines.repartition(n, "id"), "id", decisions.identities(_results(spark, lines), "id"), twice, known, n)
+    made = decisions.decided(_results(spark, told, also=", _o, _shared"), "id", F.lit("/api"), F.col("project"), documented=True)
     root = F.struct(F.lit("resolved").alias("state"), F.lit("root").alias("value"), F.lit(None).cast("string").alias("reason"))
-    return _flat(decisions.with_context(made, "id", twice, known, F.lit("o1"), root))
+    return _flat(decisions.narrowed(made, "id", F.lit("o1"), root))
 
 
 @_proof("""SELECT p_brand, omission, count(*) AS operations FROM (SELECT p_brand, unnest([CASE WHEN p_size % 2 = 0 THEN 'summaries' END, CASE WHEN p_size % 3 = 0 THEN 'tags' END, CASE WHEN p_size % 5 = 0 THEN 'security' END]) AS omission FROM part) WHERE omission IS NOT NULL GROUP BY 1, 2""")

@@ -24,10 +24,17 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
+def tasks_for(df: DataFrame, rows: int | None = None) -> int:
+    """spark.sql.shuffle.partitions; or more, if else a task had over so many rows of df on average, so that what a task sorts stays the
+    same size and in memory."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(n, -(-df.count() // rows)) if rows else n
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys over spark.sql.shuffle.partitions tasks (no fewer, however small it is): for rows of a few small files from
     which much is made."""
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df.repartition(tasks_for(df), *keys)
 
 
 def durable(df: DataFrame, broadcast: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from factloom.operators import context, decisions, graph, ownership, routes
 from factloom.plans import frameworks, structures
 from factloom.sources import delimiters, protocols
+from factloom.sources.tables import tasks_for
 
 
 def nodes(plan):
@@ -156,3 +157,47 @@ def test_long_and_deep_texts_are_folded_whole(spark):
     deep = opens.where("id = 1 AND closed AND parent <=> IF(depth = 0, NULL, pos - 4) AND pos = 4 * depth + 1")
     assert [deep.count(), opens.where("id = 2 AND closed AND parent IS NULL").count(), opens.where(f"id = 3 AND NOT closed AND depth = pos - {n}").count()] == [n, n, n]
     assert [pieces.where("id = 1 AND text = 'b' AND scope = pos - 1").count(), pieces.where("id = 2 AND at % 5 IN (0, 2)").count(), pieces.where("id = 3").count()] == [n, 2 * n, 0]
+
+
+def below(plan):
+    """The names of the nodes under a node of a plan that has run."""
+    return [n.getClass().getSimpleName() for n in list(nodes(plan))[1:]]
+
+
+def test_decisions_in_context_are_neither_dealt_nor_sorted(spark):
+    got = frameworks.context_decisions(spark, "/root/testdata/sf0.001")
+    assert got.count() == 7 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    got.collect()
+    moved = [n for n in nodes(got._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() in ("ShuffleExchangeExec", "SortExec", "SortMergeJoinExec", "SortAggregateExec")]
+    assert moved and not any("GenerateExec" in below(n) for n in moved)
+
+
+def test_tasks_grow_with_the_rows(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [tasks_for(spark.range(r), 10) for r in (0, 10 * n, 10 * n + 1, 30 * n)] == [n, n, n + 1, 3 * n] and tasks_for(spark.range(99 * n)) == n
+
+
+def test_results_in_context_are_as_their_decisions_are(spark):
+    row = "id string, kind string, drift string, operation_id string, synthesized boolean, verb string, path string, scan_verb string, scan_path string, cause string, request string, response string, error string, request_cause string, response_cause string, error_cause string, security array<string>, security_cause string, source_ref string, openapi_ref string, candidates array<struct<operation_id:string,path:string>>"
+    made = lambda id_, kind, op, drift=None, security=None, path="/a": (id_, kind, drift, op, False, "GET", path, "GET", "/a", None, None, None, None, None, None, None, security, None, "s", "o", None)
+    results = spark.createDataFrame([
+        made("1", "matched", "twice"), made("1", "adopted", "once"), made("1", "matched", "twice", security=[]), made("2", "drift", "twice", "path", path="/b"), made("3", "missing", "twice"),
+        made(None, "matched", "twice"), made("4", "matched", None), made("5", "unresolved", ""), made("6", "ambiguous", "twice")], row)
+    duplicates = spark.createDataFrame([("twice",), ("twice",), (None,)], "operation_id string")
+    known = spark.createDataFrame([
+        ("1", "operation", None, "absent", "a", "present", None, "skipped", "c"), ("1", "inherit", None, "unknown", None, "present", None, None, None), ("4", "inherit", None, "unknown", None, None, "x", "unknown", "y"),
+        ("2", "unknown", "bad", "absent", "a", None, None, None, None), (None, "unknown", "no", "absent", "no", "absent", "no", "absent", "no")],
+        "id string, security_state string, security_reason string, request_state string, request_reason string, response_state string, response_reason string, error_state string, error_reason string")
+    ref, root = F.lit("o1"), F.struct(F.lit("absent").alias("state"), F.lit(None).cast("string").alias("value"), F.lit("r").alias("reason"))
+    made_of = lambda rows, **more: decisions.decided(rows, "id", F.lit(""), F.lit(True), **more)
+    one = decisions.with_context(made_of(results), "id", duplicates, known, ref, root)
+    for tasks in (None, 3):
+        rows = decisions.attached(results, "id", decisions.identities(results, "id"), duplicates, known, tasks)
+        two = decisions.narrowed(made_of(rows, documented=True), "id", ref, root)
+        assert sorted(map(str, two.collect())) == sorted(map(str, one.collect())) and two.columns == one.columns and two.count() == 7 * 9
+    told = {(r["id"], r["field"]): (r["state"], r["reason"]) for r in one.where("id <> '1'").collect()}
+    assert told["2", "operation.identity"] == ("conflict", "duplicate-openapi-operation-id") and told["2", "api.security.declared"] == ("unknown", "bad")
+    assert told["4", "api.security.declared"] == ("absent", "no-operation-or-document-security-declaration") and told["4", "api.error.schema"] == ("unknown", "y") and told["4", "operation.identity"][0] == "resolved"
+    first = one.where("id = '1' AND field IN ('operation.identity', 'api.request.schema')").groupBy("field", "state", "reason").count().collect()
+    assert {(r["state"], r["reason"], r["count"]) for r in first} == {("conflict", "duplicate-openapi-operation-id", 2), ("resolved", "single-route-adoption", 1), ("unknown", "openapi-schema-presence-unknown", 3)}
+    assert one.where("id IS NULL AND reason LIKE 'duplicate%' OR reason = 'no'").isEmpty()
